@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, packing, pii
+from . import bpe, media, packing, pii, quality, rules, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,3 +35,34 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path
     cut = packing.pieces(table(spark, sf_dir, "documents"), path("byte_bpe_50k.json"), path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return packing.pack(cut)
+
+
+@query
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = quality.remainder(5) == 0
+    scores = quality.scored(docs, quality.train(docs, labels, held_out))
+    return scores.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = quality.remainder(3) == 1
+    scores = toxicity.scored(docs, toxicity.train(docs, labels, held_out))
+    return scores.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query
+def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    pages = media.as_pages(docs)
+    items = media.interleaved(pages.select(F.struct("doc_id", "n_bytes").alias("page"), "html"), "page")
+    refs = items.select("page.*", F.explode("items").alias("item")).where("item.kind = 'media'")
+    refs = refs.select("doc_id", "n_bytes", F.substring_index("item.ref", ":", -1).alias("digest"), F.col("item.position").alias("position"))
+    return media.resolved(refs, media.described(media.store(docs)), ["digest", "n_bytes"]).select("doc_id", "n_bytes", *media.NAMES, "position")
+
+
+@query
+def op7_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, media, minhash, packing, pii, quality, rules, suffix, toxicity
+from . import bpe, licenses, media, minhash, packing, pii, quality, rules, suffix, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,3 +105,11 @@ from documents d join least l on l.node = d.doc_id left join sizes s on s.doc_id
 @query
 def op5_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.repeats(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op9_licenses"] = licenses.scan_sql()

@@ -30,7 +30,8 @@ def sentinel(x: Column | str, value: float) -> Column:
 
 
 def clip(x: Column | str, low: float, high: float) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), col(x)))
+    x = col(x)
+    return F.when(x.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), x)))  # greatest and least pass over nulls
 
 
 def sigmoid(z: Column) -> Column:
@@ -56,7 +57,8 @@ def sensitivity(threshold: float, level: str) -> float:
 
 def robust_probability(z: Column | str) -> Column:
     """Anomaly probability of a robust z-score: none up to 3, then rising towards 1."""
-    return clip(1 - F.exp(-F.greatest(F.abs(col(z)) - 3, F.lit(0.0))), 0.0, 1.0)
+    z = col(z)
+    return F.when(z.isNotNull(), clip(1 - F.exp(-F.greatest(F.abs(z) - 3, F.lit(0.0))), 0.0, 1.0))
 
 
 def top_scores(scores: Column | str, k: int) -> Column:

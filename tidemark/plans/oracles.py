@@ -228,3 +228,17 @@ ORACLE["losses"] = f"""with {SCORES} select series_id, {r6(f"avg({_LOSS})")} as
 ORACLE["event_bins"] = f"""with {EV}, b as (select floor(t / 3600) * 3600 as bin, count(*) as total, count(*) filter (event_type = 'error') as errors, count(*) filter (event_type = 'view') as views, max(case when value > 400 then 1 else 0 end) as alert from ev group by 1),
 g as (select cast(unnest(generate_series(cast(min(bin) as bigint), cast(max(bin) as bigint), 3600)) as double) as bin from b)
 select g.bin, coalesce(total, 0) as total, coalesce(errors, 0) as errors, coalesce(views, 0) as views, coalesce(alert, 0) as alert from g left join b on b.bin = g.bin"""
+ORACLE["source_quality"] = f"""with {EV}, g as (select event_type, t - lag(t) over (partition by event_type order by t, event_id) as gap from ev),
+s as (select event_type, avg(gap) as mean_gap, stddev_pop(gap) / avg(gap) as gap_variation from g group by 1),
+h as (select event_type, floor(t / 3600) * 3600 as bin, count(*) as n from ev group by 1, 2),
+f as (select event_type, cast(unnest(generate_series(cast(min(bin) as bigint), cast(max(bin) as bigint), 3600)) as double) as bin from h group by 1),
+j as (select f.event_type, f.bin, coalesce(n, 0) as n from f left join h on h.event_type = f.event_type and h.bin = f.bin),
+l as (select event_type, n, lag(n) over (partition by event_type order by bin) as before from j), a as (select event_type, corr(n, before) as volume_autocorrelation from l group by 1),
+d as (select event_type, floor((t - floor(t / 86400) * 86400) / 3600) as h, count(*) as n from ev group by 1, 2), p as (select event_type, max(n) / avg(n) as peak_hour from d group by 1)
+select s.event_type, {r6("mean_gap")} as mean_gap, {r6("gap_variation")} as gap_variation, {r6("volume_autocorrelation")} as volume_autocorrelation, {r6("peak_hour")} as peak_hour
+from s join a on a.event_type = s.event_type join p on p.event_type = s.event_type"""
+ORACLE["corr_graph_reach"] = f"""with recursive {HOURS}, p as (select a.channel, b.channel as partner, corr(a.n, b.n) as r from hours a join hours b on a.bin = b.bin and a.channel <> b.channel group by 1, 2),
+k as (select *, row_number() over (partition by channel order by round(abs(r), 9) desc, partner) as k from p), e as (select channel, partner from k where k = 1),
+reach as (select channel as a, partner as b from e union select r.a, e.partner from reach r join e on e.channel = r.b) select a, b from reach"""
+ORACLE["detect_rows"] = f"""with {EV}, {scaled("ev", "series_id")}, q as (select series_id, least(1, greatest(0, 1 - exp(-greatest(abs(z) - 3, 0)))) as p from z)
+select series_id, count(*) as n, cast(count(*) filter (p > 0.3) as bigint) as n_anomalies, {r6("max(p)")} as top from q group by 1"""

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import events, inject, labels, metrics, reshape, runs, series
+from ..operators import events, generate, inject, labels, metrics, reshape, runs, scoring, series
 from ..sources import tables as T
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -420,3 +420,62 @@ def event_bins(spark, sf):
     bins = rows.groupBy("bin").agg(F.count("*").alias("total"), F.count_if(F.col("event_type") == "error").alias("errors"), F.count_if(F.col("event_type") == "view").alias("views"), F.max((F.col("value") > 400).cast("int")).alias("alert")).withColumn("series_id", F.lit(0))
     full = reshape.grid(bins, 3600.0, ("series_id",)).join(bins, ["series_id", "bin"], "left")
     return full.na.fill(0).select("bin", "total", "errors", "views", "alert")
+
+
+@query
+def matrix_profile(spark, sf):
+    return scoring.matrix_profile(T.daily_series(spark, sf).where("row_idx < 400")).select("series_id", "row_idx", r6("score"))
+
+
+@query
+def frozen_reference_fold(spark, sf):
+    return scoring.frozen_reference(_hourly_rows(spark, sf).withColumn("series_id", F.col("channel").cast("long")), size=128).select("series_id", "row_idx", r6("p"))
+
+
+@query
+def detect_rows(spark, sf):
+    cells = T.event_series(spark, sf).select("series_id", "timestamp", "channel", "value")
+    rows, _ = scoring.detect(cells, threshold=0.3)
+    return rows.groupBy("series_id").agg(F.count("*").alias("n"), F.sum("anomaly").alias("n_anomalies"), r6(F.max("score"), "top"))
+
+
+@query
+def multi_scale_scores(spark, sf):
+    cells = T.daily_series(spark, sf)
+    return scoring.score_cells(cells, scales=(4, 16), max_t=1000).select("series_id", "row_idx", "channel", r6("p"))
+
+
+@query
+def calibration_fit(spark, sf):
+    temperature, bias = metrics.fit_calibration(scores(spark, sf))
+    return spark.createDataFrame([(float(temperature), float(bias))], "temperature double, bias double")
+
+
+@query
+def generated_series(spark, sf):
+    made = generate.generate(spark, 60, rows=256)
+    return made.groupBy("domain").agg(F.countDistinct("sample").alias("samples"), F.count_if(F.col("label") == 1).alias("anomalous"), F.countDistinct("type").alias("types"))
+
+
+@query
+def source_quality(spark, sf):
+    """Whether a source looks made up: rows by hour of day, spread of gaps, autocorrelation of hourly volume."""
+    rows = T.event_series(spark, sf)
+    gaps = rows.selectExpr("event_type", "timestamp", "timestamp - lag(timestamp) over (partition by event_type order by timestamp, event_id) as gap")
+    spread = gaps.groupBy("event_type").agg(F.avg("gap").alias("mean_gap"), (F.stddev_pop("gap") / F.avg("gap")).alias("gap_variation"))
+    hours = rows.groupBy("event_type", reshape.binned("timestamp", 3600.0).alias("bin")).agg(F.count("*").alias("n"))
+    full = reshape.grid(hours, 3600.0, ("event_type",)).join(hours, ["event_type", "bin"], "left").na.fill(0, ["n"])
+    lagged = full.selectExpr("event_type", "n", "lag(n) over (partition by event_type order by bin) as before")
+    auto = lagged.groupBy("event_type").agg(F.corr("n", "before").alias("volume_autocorrelation"))
+    of_day = rows.groupBy("event_type", F.floor(C.hour("timestamp")).alias("h")).agg(F.count("*").alias("n")).groupBy("event_type").agg((F.max("n") / F.avg("n")).alias("peak_hour"))
+    return spread.join(auto, "event_type").join(of_day, "event_type").select("event_type", *(r6(c) for c in ("mean_gap", "gap_variation", "volume_autocorrelation", "peak_hour")))
+
+
+@query
+def corr_graph_reach(spark, sf):
+    """Channels reachable along strong correlations: the closure of the coupling graph."""
+    cells = T.hourly_cells(spark, sf).select("series_id", F.col("bin").alias("row_idx"), "channel", F.col("n").cast("double").alias("value"))
+    best = series.correlated_partner(cells, 0.0).select("channel", "partner")
+    best.createOrReplaceTempView("tidemark_edges")
+    # Each channel has one edge, so no path is longer than the number of channels.
+    return spark.sql("with recursive reach(a, b, d) as (select channel, partner, 1 from tidemark_edges union all select r.a, e.partner, r.d + 1 from reach r join tidemark_edges e on e.channel = r.b where r.d < 6) select distinct a, b from reach")

@@ -65,8 +65,8 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("Unlicense", ("This is free and unencumbered software released into the public domain",)),
 )
 
-#: Each known sentence has one of these in lower case; a text without any needs no look-up.
-MARKS = ("licen", "permission", "redistribut", "public domain", "free software")
+#: Each rule has a sentence with one of these in lower case; a text without any needs no look-up.
+MARKS = ("licen", "permission", "redistribut", "unencumbered")
 
 #: A new line that goes on in lower case; what ends a sentence; what is no letter or digit.
 GOES_ON = r"[ \t]*\r?\n[ \t]*([a-z])"

@@ -127,6 +127,8 @@ def neighbours(frames: Iterator[pd.DataFrame], border: bool) -> Iterator[pd.Data
     recent: list[list] = []
     last: list[tuple] = []
     count, gram = 0, None
+    # Suffixes with the same WORDS next words: those words, whether several documents have them, else the one's suffixes.
+    equal, several, alone = None, False, []
     for frame in frames:
         out: list[tuple] = []
         for row in frame[["gram", "after", "before", "doc_id", "position"]].itertuples(index=False, name=None):
@@ -140,8 +142,18 @@ def neighbours(frames: Iterator[pd.DataFrame], border: bool) -> Iterator[pd.Data
                 count += 1
             if key != gram:
                 out += [(gram, d, p, p - left, p + right, None, None) for d, p, _, _, left, right in recent if left + right]
-                recent, gram = [], key
+                recent, gram, equal = [], key, None
             mine = [doc, at, after, before, 0, 0]
+            if len(after) < UNIT * WORDS or after != equal:
+                equal, several, alone = (after if len(after) == UNIT * WORDS else None), False, []
+            if equal is not None:
+                if not several and alone and alone[0][0] != doc:
+                    several = True
+                    out += [(gram, d, p, p, p + WORDS, None, None) for d, p in alone]
+                if several:
+                    mine[5] = WORDS
+                else:
+                    alone.append((doc, at))
             for other in recent:
                 if other[0] != doc:
                     right, left = common(after, other[2]), common(before, other[3])

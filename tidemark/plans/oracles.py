@@ -242,3 +242,22 @@ k as (select *, row_number() over (partition by channel order by round(abs(r), 9
 reach as (select channel as a, partner as b from e union select r.a, e.partner from reach r join e on e.channel = r.b) select a, b from reach"""
 ORACLE["detect_rows"] = f"""with {EV}, {scaled("ev", "series_id")}, q as (select series_id, least(1, greatest(0, 1 - exp(-greatest(abs(z) - 3, 0)))) as p from z)
 select series_id, count(*) as n, cast(count(*) filter (p > 0.3) as bigint) as n_anomalies, {r6("max(p)")} as top from q group by 1"""
+ORACLE["first_positive_rows"] = f"""with {EV}, p as (select *, row_number() over (partition by series_id, label = 1 order by row_idx) as k from ev)
+select series_id, row_idx, case when label = 1 and (series_id % 5 = 0 or k > 3) then -1 else label end as label from p"""
+ORACLE["first_rows_of_runs"] = f"""with {EV}, {RUNS.format(src="ev", label=1)}
+select e.series_id, e.row_idx, case when e.row_idx - r.start >= 2 then -1 else e.label end as label from ev e left join runs r on r.series_id = e.series_id and e.row_idx >= r.start and e.row_idx < r.stop"""
+ORACLE["status_log_labels"] = f"""with {EV}, last as (select series_id, max(t) + 600 as last from ev group by 1),
+lg as (select e.series_id, t as a, coalesce(case when event_id % 100 = 0 then t + 90000 end, last) as b, case event_type when 'error' then 2 when 'view' then 1 end as hit from ev e join last l on l.series_id = e.series_id where event_id % 50 = 0),
+n as (select *, lead(t) over (partition by series_id order by t) as nxt from ev)
+select series_id, row_idx, coalesce((select case max(hit) when 2 then 1 when 1 then -1 end from lg where lg.series_id = n.series_id and (t between a and b or (t <= a and (nxt is null or nxt > a)))), 0) as label from n"""
+ORACLE["train_part_unknown"] = f"with {EV} select series_id, row_idx, case when row_idx < floor(count(*) over (partition by series_id) * 0.7) then -1 else label end as label from ev"
+ORACLE["outer_align"] = f"""with {HOURS}, a as (select bin, value from hours where channel = 1 and cast(bin as bigint) % 7200 = 0), b as (select bin, value from hours where channel = 3 and cast(bin as bigint) % 10800 = 0)
+select coalesce(a.bin, b.bin) as bin, {r6("a.value")} as error, {r6("b.value")} as signup from a full join b on a.bin = b.bin"""
+ORACLE["positional_join"] = f"""with {EV}, {DAYS}, m as (select row_idx, max(label) as label from ev where series_id < 3 group by 1)
+select series_id, d.row_idx, coalesce(m.label, -1) as label from days d left join m on m.row_idx = d.row_idx"""
+ORACLE["smallest_of_group"] = """with p as (select p_brand || ' ' || case p_partkey % 3 when 0 then 'solar' when 1 then 'taxi' else 'x' end as subset, p_name as file, p_partkey as size from part),
+k as (select *, row_number() over (partition by subset order by size, file) as k from p)
+select subset, file, case when subset like '%taxi' then 'transport' when subset like '%solar' then 'energy' else 'mixed' end as sector from k where k = 1"""
+ORACLE["role_counts"] = f"select role, count(*) as n, min(series_id) as first from ({ORACLE['role_assignment']}) group by 1"
+ORACLE["per_source_subset"] = """with s as (select distinct user_id as series_id, user_id % 11 as source from events), k as (select *, row_number() over (partition by source order by series_id) as place from s)
+select * from k where place <= 3"""

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import events, generate, inject, labels, metrics, reshape, runs, scoring, series
+from ..operators import events, generate, inject, label_rules, labels, metrics, reshape, runs, scoring, series
 from ..sources import tables as T
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -251,7 +251,7 @@ def _hourly_probabilities(spark, sf):
 @query
 def detect_events(spark, sf):
     cells = _hourly_probabilities(spark, sf)
-    return events.detected(cells, events.decide(cells, 0.6), 0.6).withColumn("confidence", F.round("confidence", 6))
+    return events.detected(cells, events.decide(cells, 0.6), 0.6).withColumn("confidence", r6("confidence"))
 
 
 @query
@@ -479,3 +479,64 @@ def corr_graph_reach(spark, sf):
     best.createOrReplaceTempView("tidemark_edges")
     # Each channel has one edge, so no path is longer than the number of channels.
     return spark.sql("with recursive reach(a, b, d) as (select channel, partner, 1 from tidemark_edges union all select r.a, e.partner, r.d + 1 from reach r join tidemark_edges e on e.channel = r.b where r.d < 6) select distinct a, b from reach")
+
+
+@query
+def first_positive_rows(spark, sf):
+    return label_rules.first_positives(T.event_series(spark, sf), 3, F.pmod("series_id", F.lit(5)) == 0).select("series_id", "row_idx", "label")
+
+
+@query
+def first_rows_of_runs(spark, sf):
+    return runs.first_rows(T.event_series(spark, sf), 2).select("series_id", "row_idx", "label")
+
+
+@query
+def status_log_labels(spark, sf):
+    rows = T.event_series(spark, sf)
+    log = rows.where("event_id % 50 = 0").select("series_id", F.col("timestamp").alias("start"), F.when(F.col("event_id") % 100 == 0, F.col("timestamp") + 90000.0).alias("stop"), "event_type")
+    out = label_rules.status_labels(rows.select("series_id", "row_idx", "timestamp"), log, F.col("event_type") == "error", F.col("event_type") == "view")
+    return out.select("series_id", "row_idx", "label")
+
+
+@query
+def train_part_unknown(spark, sf):
+    return label_rules.half_known(T.event_series(spark, sf)).select("series_id", "row_idx", "label")
+
+
+@query
+def outer_align(spark, sf):
+    """Two channels on the union of their times."""
+    rows = T.hourly_cells(spark, sf)
+    a, b = (rows.where(F.col("channel") == c).select("bin", F.col("value").alias(n)) for c, n in ((1, "error"), (3, "signup")))
+    return a.where("bin % 7200 = 0").join(b.where("bin % 10800 = 0"), "bin", "full_outer").select("bin", r6("error"), r6("signup"))
+
+
+@query
+def positional_join(spark, sf):
+    """Labels of one table put to the rows of another by position; rows beyond the labels are unknown."""
+    rows = T.daily_series(spark, sf).select("series_id", "row_idx", "value")
+    marks = T.event_series(spark, sf).where("series_id < 3").groupBy("row_idx").agg(F.max("label").alias("label"))
+    return rows.join(marks, "row_idx", "left").select("series_id", "row_idx", F.coalesce("label", F.lit(-1)).alias("label"))
+
+
+@query
+def smallest_of_group(spark, sf):
+    """The smallest item of each group, its class by the first pattern that matches its name."""
+    from ..sources.raw import smallest_files
+
+    parts = T.table(spark, sf, "part").select(F.concat_ws(" ", F.col("p_brand"), F.when(F.col("p_partkey") % 3 == 0, "solar").when(F.col("p_partkey") % 3 == 1, "taxi").otherwise("x")).alias("subset"), F.col("p_name").alias("file"), F.col("p_partkey").alias("size"))
+    return smallest_files(parts)
+
+
+@query
+def role_counts(spark, sf):
+    roles = role_assignment(spark, sf)
+    return roles.groupBy("role").agg(F.count("*").alias("n"), F.min("series_id").alias("first"))
+
+
+@query
+def per_source_subset(spark, sf):
+    """At most three series a group, by id."""
+    rows = T.event_series(spark, sf).select("series_id", F.pmod("series_id", F.lit(11)).alias("source")).distinct()
+    return rows.selectExpr("*", "row_number() over (partition by source order by series_id) as place").where("place <= 3")

@@ -2,8 +2,10 @@
 
 import json
 
+import numpy as np
 import pytest
 
+from tidemark.operators import label_rules
 from tidemark.sources import raw
 
 
@@ -99,5 +101,42 @@ def test_nested_arrays_and_pool(spark, tmp_path):
     assert sorted(tuple(r) for r in raw.smallest_files(files).collect()) == [("solar_x", "f2", "energy"), ("zzz", "f3", "mixed")]
 
 
-def test_all_wide_sources_are_registered():
-    assert set(raw.WIDE) <= set(raw.LOADERS) and len(raw.LOADERS) >= 38
+def test_simulations_and_labels_by_position(spark, tmp_path):
+    rows = [f"{f},1,{s},{s}" for f in (0, 1, 3) for s in range(1, 161)]
+    cells, _ = raw.LOADERS["tep"](spark, put(tmp_path / "a", x_DOT_csv="faultNumber,simulationRun,sample,xmeas_1\n" + "\n".join(rows)))
+    got = labels(cells)
+    assert got[:160] == [0] * 160 and got[160:320] == [0] * 20 + [1] * 100 + [-1] * 40 and got[320:] == [0] * 20 + [-1] * 140
+    path = put(tmp_path / "b", train_DOT_csv="timestamp_(min),a\n0,1\n", test_DOT_csv="timestamp_(min),a\n0,1\n1,2\n2,3\n", test_label_DOT_csv="timestamp_(min),label\n0,0\n1,1\n")
+    assert labels(raw.LOADERS["psm"](spark, path)[0]) == [0, 1, -1, -1]
+
+
+def test_arrays_blocks_and_days(spark, tmp_path):
+    for part in ("train", "test"):
+        (tmp_path / "a" / part).mkdir(parents=True)
+        np.save(tmp_path / "a" / part / "A-1.npy", np.arange(12.0).reshape(6, 2))
+    path = put(tmp_path / "a", labeled_anomalies_DOT_csv='chan_id,anomaly_sequences\nA-1,"[[1, 2]]"\nA-1,"[[5, 9]]"\n')
+    cells, _ = raw.LOADERS["smap"](spark, path)
+    assert labels(cells.where("series_id = 'test/A-1'")) == [0, 1, 1, 0, 0, 1] and set(labels(cells.where("series_id = 'test/A-1'"), 1)) == {0}
+    path = put(tmp_path / "b", good__f_DOT_csv="x\n" + "\n".join(map(str, range(25))))
+    assert [r["value"] for r in raw.LOADERS["bosch_cnc"](spark, path)[0].orderBy("row_idx").collect()] == [4.5, 14.5]
+    path = put(tmp_path / "c", **{"machine-1_0_DOT_csv": "a\n1\n2\n", "machine-1_5_DOT_csv": "a\n3\n4\n", "label_machine-1_DOT_csv": "label\n1\n0\n"})
+    cells, catalog = raw.LOADERS["ctf"](spark, path)
+    assert labels(cells) == [-1, -1, 1, 0] and catalog.first()["n_rows"] == 4
+
+
+def test_mission(spark, tmp_path):
+    rows = lambda k: "time,value\n" + "\n".join(f"2020-01-01 00:{10 * i}:00,{k + i}" for i in range(4))
+    path = put(tmp_path, channel_1_DOT_csv=rows(0), channel_2_DOT_csv=rows(5), labels_DOT_csv="ID,Channel,StartTime,EndTime\ne1,channel_1,2020-01-01 00:10:00,2020-01-01 00:20:00\ne2,channel_2,2020-01-01 00:20:00,2020-01-01 00:30:00\n", anomaly_types_DOT_csv="ID,Category\ne1,Anomaly\ne2,Rare Event\n")
+    cells, _ = raw.LOADERS["esa_full"](spark, path)
+    assert labels(cells, 0) == [0, 1, 1, 0] and labels(cells, 1) == [0, 0, -1, -1]
+
+
+def test_leaks(spark):
+    rows = [("p", i, 5.0 if 10 <= i < 30 else 0.0) for i in range(50)] + [("q", i, 1.0 if 40 <= i else 0.0) for i in range(50)]
+    out = label_rules.leak_labels(spark.createDataFrame(rows, "leak string, row_idx long, flow double"), onset=5, margin=2)
+    got = [r["label"] for r in out.orderBy("row_idx").collect()]
+    assert got == [0] * 10 + [1] * 5 + [0] * 12 + [-1] * 5 + [0] * 8 + [-1] * 5 + [0] * 5
+
+
+def test_all_sources_are_registered():
+    assert set(raw.WIDE) <= set(raw.LOADERS) and len(raw.LOADERS) >= 50

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import missing, unix_seconds
-from ..operators import reshape, runs, series
+from ..operators import label_rules, reshape, runs, series
 
 #: Sources whose labels are weak (from a time limit) or predictive, and the benchmark each source is in.
 WEAK = ("cmapss", "ims_bearing", "femto")
@@ -189,7 +189,6 @@ WIDE: dict[str, Wide] = {
     "hai": Wide("industry", "timestamp", label=flag("attack"), drop=("attack", "attack_P1", "attack_P2", "attack_P3"), moving=True),
     "w3": Wide("oil", "timestamp", parquet=True, label=lambda: F.when(F.col("class").isNull(), -1).when(F.col("class") > 0, 1).otherwise(0), drop=("class", "state"), known=0.5, moving=True, least=200),
     "refit": Wide("buildings", "Unix", "unix", drop=("Issues",), least=1000),
-    "psm": Wide("it", "timestamp_(min)", "unix", label=lambda: F.lit(-1), pattern="train.csv"),
     "battledim": Wide("water", "Timestamp", options={"sep": ";"}),
 }
 WIDE["penmanshiel"] = WIDE["kelmarsh"]
@@ -380,6 +379,142 @@ def load_messages(spark: SparkSession, path: str, width: float = 0.1, most: int
     filled = rows.select("series_id", F.col("bin").alias("timestamp"), F.coalesce("label", F.lit(0)).alias("label"), F.lit(0).alias("order"), *(F.last(f"`{n}`", ignorenulls=True).over(w).alias(n) for n in names))
     return canonical(filled, "road", "automotive", names)
 
+@loader("tep")
+def load_simulations(spark: SparkSession, path: str, runs_: int = 25) -> Loaded:
+    """Simulation runs by fault: the first ``runs_`` of each by hash; anomalous after the 20th sample of a fault, of which the
+    first 100 rows count; all of it unknown for the faults that can't be seen."""
+    raw = spark.read.options(header=True, inferSchema=True).csv(path)
+    names = [c for c in raw.columns if c.startswith(("xmeas", "xmv"))]
+    some = raw.select("faultNumber", "simulationRun").distinct().withColumn("place", F.row_number().over(Window.partitionBy("faultNumber").orderBy(F.xxhash64("simulationRun"), "simulationRun"))).where(F.col("place") <= runs_).drop("place")
+    rows = raw.join(some, ["faultNumber", "simulationRun"], "left_semi").withColumn("series_id", F.concat_ws("/", F.col("faultNumber").cast("int"), F.col("simulationRun").cast("int")))
+    rows = rows.withColumn("label", ((F.col("faultNumber") > 0) & (F.col("sample") > 20)).cast("int")).withColumn("row_idx", F.col("sample"))
+    rows = label_rules.first_positives(rows, 100, F.col("faultNumber").isin(3, 9, 15))
+    return canonical(rows.withColumn("timestamp", F.lit(EPOCH) + 180 * F.col("sample")).withColumn("order", F.col("sample")).drop("row_idx"), "tep", "chemical", names, synthetic=True)
+
+
+@loader("kantine")
+def load_episodes(spark: SparkSession, path: str) -> Loaded:
+    """Robot episodes with array columns of states and actions; the episodes from the fifth on are anomalous."""
+    raw = spark.read.parquet(path)
+    arrays = ["observation.state", "action"]
+    sizes = raw.agg(*(F.max(F.size(F.col(f"`{a}`"))).alias(f"n{i}") for i, a in enumerate(arrays))).head()
+    cols = [(f"{a.split('.')[-1]}_{j}", F.get(F.col(f"`{a}`"), F.lit(j))) for i, a in enumerate(arrays) for j in range(sizes[f"n{i}"])]
+    rows = raw.select(F.col("episode_index").cast("string").alias("series_id"), F.col("timestamp").cast("double").alias("timestamp"), F.col("frame_index").alias("order"), (F.col("episode_index") >= 5).cast("int").alias("label"), *(c.alias(n) for n, c in cols))
+    fixed = runs.context_fix(reshape.row_numbers(rows, "series_id", "timestamp", "order"), 2048).drop("row_idx")
+    return canonical(fixed, "kantine", "robotics", [n for n, _ in cols])
+
+
+@loader("bosch_cnc")
+def load_blocks(spark: SparkSession, path: str, factor: int = 10, files: int = 40) -> Loaded:
+    """Vibration files (``x,y,z``) in folders ``good`` and ``bad``: the first ``files`` by name, means of ``factor`` rows."""
+    raw = spark.read.options(header=True, inferSchema=True, recursiveFileLookup=True).csv(path)
+    named = raw.select(F.concat_ws("/", folder_name(), file_stem()).alias("series_id"), *raw.columns, F.monotonically_increasing_id().alias("order"), (folder_name() == "bad").cast("int").alias("label"))
+    first = named.select("series_id").distinct().orderBy("series_id").limit(files)
+    numbered = reshape.row_numbers(named.join(first, "series_id", "left_semi"), "series_id", "order")
+    whole = F.floor((F.max("row_idx").over(Window.partitionBy("series_id")) + 1) / factor)
+    block = numbered.withColumn("block", F.floor(F.col("row_idx") / factor)).withColumn("whole", whole).where("block < whole")
+    rows = block.groupBy("series_id", F.col("block").alias("row_idx")).agg(*(F.avg(c).alias(c) for c in raw.columns), F.max("label").alias("label"))
+    fixed = runs.context_fix(rows, 2048).withColumn("timestamp", F.lit(EPOCH) + F.col("row_idx") * factor / 2000).withColumn("order", F.col("row_idx")).drop("row_idx")
+    return canonical(fixed, "bosch_cnc", "manufacturing", raw.columns, synthetic=True)
+
+
+def load_with_labels(source: str, sector: str, time: str, step: float) -> Callable[[SparkSession, str], Loaded]:
+    """``train.csv`` (unknown), ``test.csv`` and ``test_label.csv``, whose rows go together by position."""
+
+    def load(spark: SparkSession, path: str) -> Loaded:
+        def part(name: str) -> DataFrame:
+            raw = spark.read.options(header=True, inferSchema=True).csv(f"{path}/{name}.csv").withColumn("order", F.monotonically_increasing_id()).withColumn("series_id", F.lit(name))
+            return reshape.row_numbers(raw, "series_id", "order")
+
+        train, test, marks = part("train"), part("test"), part("test_label")
+        names = [c for c in train.columns if c not in (time, "order", "series_id", "row_idx")]
+        mark = next(c for c in marks.columns if c not in (time, "order", "series_id", "row_idx"))
+        known = test.join(marks.select("row_idx", F.col(f"`{mark}`").cast("int").alias("label")), "row_idx", "left")
+        both = train.withColumn("label", F.lit(-1)).unionByName(known).withColumn("label", F.coalesce("label", F.lit(-1)))
+        return canonical(both.withColumn("timestamp", F.lit(EPOCH) + step * F.col("row_idx")).drop("row_idx"), source, sector, names, synthetic=True)
+
+    return load
+
+
+LOADERS["psm"] = load_with_labels("psm", "it", "timestamp_(min)", 60.0)
+
+
+@loader("ctf")
+def load_machine_days(spark: SparkSession, path: str, unknown_days: int = 5, step: float = 30.0) -> Loaded:
+    """Files ``machine_day`` of equal columns; days that are missing leave a gap; the first days are unknown.
+    ``label_<machine>.csv`` has a label a row from the first labelled day on; rows beyond it are unknown."""
+    lines = spark.read.options(header=True, inferSchema=True, pathGlobFilter="machine*.csv").csv(path)
+    names = lines.columns
+    part = lambda i: F.regexp_extract(file_stem(), r"^(.*)_(\d+)$", i)
+    rows = lines.select(part(1).alias("series_id"), part(2).cast("int").alias("day"), F.monotonically_increasing_id().alias("order"), *names)
+    rows = rows.withColumn("slot", F.row_number().over(Window.partitionBy("series_id", "day").orderBy("order")) - 1)
+    per_day = int(86400 / step)
+    rows = rows.withColumn("at", F.col("day") * per_day + F.col("slot"))
+    marks = spark.read.options(header=True, inferSchema=True, pathGlobFilter="label_*.csv").csv(path).select(F.regexp_replace(file_stem(), "^label_", "").alias("series_id"), F.col("label").cast("int").alias("label"), F.monotonically_increasing_id().alias("o"))
+    marks = reshape.row_numbers(marks, "series_id", "o").select("series_id", (F.col("row_idx") + unknown_days * per_day).alias("at"), "label")
+    joined = rows.join(marks, ["series_id", "at"], "left").withColumn("label", F.when(F.col("day") < unknown_days, -1).otherwise(F.coalesce("label", F.lit(-1))))
+    return canonical(joined.withColumn("timestamp", F.lit(EPOCH) + step * F.col("at")).drop("at", "day", "slot"), "ctf", "it", names, synthetic=True)
+
+
+def load_arrays(source: str, sector: str) -> Callable[[SparkSession, str], Loaded]:
+    """Binary array files ``test/*.npy`` and ``train/*.npy`` and a CSV ``labeled_anomalies.csv`` with ``chan_id`` and inclusive
+    row ranges of the test part as a list; several lists of one channel are joined. Labels are cells of the first channel."""
+
+    def load(spark: SparkSession, path: str) -> Loaded:
+        def unpack(frames):
+            import io
+
+            import numpy as np
+            import pandas as pd
+
+            for frame in frames:
+                for name, content in frame[["path", "content"]].itertuples(index=False):
+                    x = np.load(io.BytesIO(content)).astype(float)
+                    x = x.reshape(len(x), -1)
+                    where, stem = name.split("/")[-2:]
+                    yield pd.DataFrame({"series_id": f"{where}/{stem.removesuffix('.npy')}", "order": np.arange(len(x)), "v": list(x)})
+
+        # One file is one array: the largest thing a task holds.
+        rows = spark.read.format("binaryFile").options(recursiveFileLookup=True, pathGlobFilter="*.npy").load(path).mapInPandas(unpack, "series_id string, order long, v array<double>")
+        k = rows.agg(F.max(F.size("v"))).head()[0]
+        raw = spark.read.options(header=True, quote='"', escape='"').csv(f"{path}/labeled_anomalies.csv")
+        spans = raw.select(F.concat(F.lit("test/"), F.col("chan_id")).alias("series_id"), F.from_json("anomaly_sequences", "array<array<long>>").alias("s"))
+        table = spans.groupBy("series_id").agg(F.flatten(F.collect_list("s")).alias("s")).select("series_id", F.explode("s").alias("p")).select("series_id", F.col("p")[0].cast("double").alias("a"), F.col("p")[1].cast("double").alias("b"), F.lit(1).alias("label"))
+        marked = reshape.interval_label(rows.withColumn("row", F.col("order").cast("double")), table, "row", 1000.0)
+        first = F.when(F.col("series_id").startswith("train/"), -1).otherwise(F.col("label"))
+        rest = F.when(F.col("series_id").startswith("train/"), -1).otherwise(0)
+        wide = marked.select("series_id", "order", *(F.get("v", F.lit(c)).alias(f"ch_{c}") for c in range(k)), F.array(first, *[rest] * (k - 1)).alias("label"), (F.lit(EPOCH) + 60 * F.col("order")).alias("timestamp"))
+        return canonical(wide, source, sector, [f"ch_{c}" for c in range(k)], level="cell", synthetic=True)
+
+    return load
+
+
+LOADERS["smap"] = load_arrays("smap", "space")
+LOADERS["msl"] = load_arrays("msl", "space")
+
+
+@loader("esa_full")
+def load_mission(spark: SparkSession, path: str, width: float = 600.0) -> Loaded:
+    """Channels in files of their own (``time,value``), on a common grid of ``width`` seconds by mean; ``labels.csv`` has
+    intervals by event and channel, ``anomaly_types.csv`` each event's category: anomalies are one, all else unknown."""
+    raw = spark.read.options(header=True, inferSchema=True, pathGlobFilter="channel_*.csv").csv(path).select(file_stem().alias("channel"), unix_seconds(F.to_timestamp(F.col("time").cast("string"))).alias("t"), F.col("value").cast("double").alias("value"))
+    names = [r[0] for r in raw.select("channel").distinct().orderBy("channel").collect()]  # a few channel names
+    wide = raw.groupBy(F.lit("0").alias("series_id"), reshape.binned("t", width).alias("timestamp")).pivot("channel", names).agg(F.avg("value"))
+    marks = spark.read.options(header=True, inferSchema=True).csv(f"{path}/labels.csv")
+    kinds = spark.read.options(header=True, inferSchema=True).csv(f"{path}/anomaly_types.csv")
+    spans = label_rules.categorised(marks, kinds, "ID", "Category", "Anomaly")
+    at = lambda c: unix_seconds(F.to_timestamp(F.col(c).cast("string")))
+    table = spans.select(F.col("Channel").alias("series_id"), at("StartTime").alias("a"), at("EndTime").alias("b"), "label")
+    per = wide.select("timestamp").crossJoin(F.broadcast(spark.createDataFrame([(n,) for n in names], "series_id string")))  # times by a few names
+    cell = reshape.interval_label(per, table, "timestamp", 86400.0).groupBy("timestamp").pivot("series_id", names).agg(F.first("label"))
+    cell = cell.select("timestamp", F.array(*(F.col(f"`{n}`") for n in names)).alias("label"))
+    return canonical(wide.join(cell, "timestamp").withColumn("order", F.lit(0)), "esa_full", "space", names, level="cell")
+
+
+LOADERS["esa"] = LOADERS["esa2"] = LOADERS["esa_full"]
+LOADERS["bidmc"] = lambda spark, path: load_wide(spark, path, "bidmc", Wide("health", step=1.0, pattern="*.csv", drop=("Time [s]",)))
+LOADERS["w3_val"], LOADERS["lead_val"], LOADERS["ctf_val"], LOADERS["alfa_val"] = (LOADERS[n] for n in ("w3", "lead", "ctf", "alfa"))
+
 
 #: Sectors of a mixed archive's subsets, the first match counts.
 SECTORS = (("traffic|pems|loop|taxi|bike|pedestrian", "transport"), ("elec|load|bdg|building|smart", "energy"), ("solar|wind", "energy"), ("weather|era5|cmip|temp|rain|air", "environment"), ("sales|m5|retail|restaurant", "retail"), ("covid|hospital|ili", "health"), ("azure|borg|alibaba|cloud", "it"), ("bitcoin|fred|nn5|exchange", "finance"))

@@ -35,7 +35,9 @@ GRAM = 8
 #: Neighbours of other documents that a suffix is compared with, on either side.
 NEIGHBOURS = 4
 #: Rows at either end of a partition that are compared with those of the next.
-BORDER = 4 * NEIGHBOURS
+BORDER = NEIGHBOURS
+#: Earlier rows that a suffix is compared with at most, several of one document among them.
+RECENT = 4 * NEIGHBOURS
 #: Bytes of a word's hash in a suffix.
 UNIT = 4
 
@@ -161,7 +163,7 @@ def neighbours(frames: Iterator[pd.DataFrame], border: bool) -> Iterator[pd.Data
                         for x in (mine, other):
                             x[4], x[5] = max(x[4], left), max(x[5], right)
             recent.append(mine)
-            while len({x[0] for x in recent}) > NEIGHBOURS or len(recent) > BORDER:
+            while len({x[0] for x in recent}) > NEIGHBOURS or len(recent) > RECENT:
                 d, p, _, _, left, right = recent.pop(0)
                 if left + right:
                     out.append((gram, d, p, p - left, p + right, None, None))

@@ -98,8 +98,9 @@ def measures(frame: pd.DataFrame) -> np.ndarray:
     """What the forest splits on: mean word length and share of symbols.
 
     Repeats are left to the base rule: among documents that pass it, few repeats are rare but no sign of bad text,
-    and a forest that sees them takes them for anomalies before all else (at the calibrated threshold it then finds
-    3 % of the bad documents of the test tables, without them 97 %).
+    and a forest that sees them takes them for anomalies before all else. The two measures were picked from nine sets
+    on the labelled rows of sf0.1, where they find 97 % of the bad documents (all five measures: 3 %); on check_s, which
+    had no part in the choice, they find 57 % (796 of 1,397) at 0.5 % of the good ones (85 of 17,242).
     """
     chars = frame["word_chars"].to_numpy(float)
     return np.stack([chars / np.maximum(1, frame["n_words"].to_numpy(float)), frame["n_symbols"].to_numpy(float) / np.maximum(1, chars)], axis=1)

@@ -278,6 +278,51 @@ def test_repeats(spark, empty):
     assert suffix.repeats(empty).count() == 0
 
 
+def windows_by_first(texts, n=50):
+    """Words by (document, first document) of the windows that several documents have, by comparing them all."""
+    where, words = {}, [(t or "").split() for t in texts]
+    for d, ws in enumerate(words):
+        for i in range(len(ws) - n + 1):
+            where.setdefault(tuple(ws[i : i + n]), []).append((d, i))
+    out = {}
+    for at in where.values():
+        first = min(d for d, _ in at)
+        if any(d != first for d, _ in at):
+            for d, i in at:
+                out.setdefault((d, first), set()).update(range(i, i + n))
+    return out
+
+
+def same_firsts(docs, texts):
+    got = {}
+    for r in suffix.repeats(docs).collect():
+        assert r["repeat"] == (r["doc_id"] != r["first_doc_id"]) and r["n_words"] == r["stop"] - r["start"]
+        got.setdefault((r["doc_id"], r["first_doc_id"]), set()).update(range(r["start"], r["stop"]))
+    assert got == windows_by_first(texts)
+
+
+def test_first_occurrence_is_of_the_passage(spark):
+    """Passages that share a frequent line, and extents that differ around one line: one copy of each word stays."""
+    rng = random.Random(14)
+    fresh = lambda n: [f"v{rng.randint(0, 10**9)}" for _ in range(n)]
+    texts = []
+    for _ in range(12):
+        line = fresh(12)
+        one, two = (fresh(40) + line + fresh(40) for _ in range(2))
+        texts += [fresh(5) + one, one + fresh(5), fresh(7) + two, two + fresh(3)]
+        long = fresh(130)
+        texts += [long[:80] + fresh(20), fresh(9) + long, fresh(4) + long + fresh(4)]
+    words = [w for t in texts for w in t]
+    texts = [" ".join(t) for t in texts]
+    docs = frame(spark, texts)
+    same_firsts(docs, texts)
+    left = [w for r in suffix.without_repeats(docs).collect() for w in r["text"].split()]
+    assert set(left) == set(words)
+    passages = {w for i, t in enumerate(texts) for w in t.split() if words.count(w) > 1}
+    lines = {w for w in passages if words.count(w) > 3}
+    assert all(left.count(w) == 1 for w in passages - lines)
+
+
 def test_cut():
     assert suffix.cut("a b  c\nd e", [(1, 3)]) == "a d e" and suffix.cut("a b", [(0, 2)]) == "" and suffix.cut("a b", []) == "a b"
 

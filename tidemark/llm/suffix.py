@@ -1,17 +1,17 @@
-"""Passages that repeat across documents, by a sparse suffix array.
+"""Passages that repeat across documents, by sparse suffixes at content-selected positions.
 
 Only suffixes at content-selected positions are kept: those where a word's ``GRAM``-gram has the least hash of
-``WORDS - GRAM + 1`` neighbours in a row. Equal passages of ``WORDS`` words select equal positions, so each
-has at least one such suffix. Suffixes whose first gram occurs in other documents are sorted over all
-partitions by their next ``WORDS`` words; each is compared with its neighbours of other documents, and each
-match is extended to the right and to the left. Matches of ``WORDS`` words and more count; those of one
-document are merged to spans. The suffixes at partition borders are compared once more by themselves.
+``WORDS - GRAM + 1`` neighbours in a row. Each window of ``WORDS`` words has one such suffix, its leftmost, and
+equal windows have equal ones at equal places. The windows of one suffix follow each other: they are a run. Runs
+whose gram occurs in one document alone have no repeat; where all runs of a gram are equal, all their windows
+are; else each distinct run is cut into its windows, and these are compared by their hashes. So every window that
+two documents share is found, however many documents have its grams.
 
-Words are runs of characters other than blanks and are compared as they are. Word positions count from 0,
-ends are exclusive.
+Words are runs of characters other than blanks and are compared as they are, by 64-bit hashes of words, windows
+and runs, each beside its gram's. Word positions count from 0, ends are exclusive.
 
 Defined cases: null and empty texts and those of fewer than ``WORDS`` words have no spans; repeats within one
-document alone don't count; rows with one ``doc_id`` are one document; of a passage's occurrences those in
+document alone don't count; rows with one ``doc_id`` are one document; of a window's occurrences those in
 the document of least id are the first, all others are repeats; columns besides ``doc_id`` and ``text`` are
 ignored by ``repeats`` and kept by ``without_repeats``.
 """
@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, texts, written
@@ -32,17 +32,11 @@ from .common import bounded_batches, texts, written
 #: Least words of a repeated passage, words of a gram.
 WORDS = 50
 GRAM = 8
-#: Neighbours of other documents that a suffix is compared with, on either side.
-NEIGHBOURS = 4
-#: Rows at either end of a partition that are compared with those of the next.
-BORDER = NEIGHBOURS
-#: Earlier rows that a suffix is compared with at most, several of one document among them.
-RECENT = 4 * NEIGHBOURS
-#: Bytes of a word's hash in a suffix.
-UNIT = 4
-
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _WORD = re.compile("[^\x20\x09-\x0d]+").finditer
+#: Base of the hashes of word sequences (odd) and its inverse.
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
 
 
 def word_hashes(text: str) -> np.ndarray:
@@ -50,12 +44,32 @@ def word_hashes(text: str) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
-def selected(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The gram hashes and positions of a document's suffixes that are kept."""
+def powers(base: int, n: int) -> np.ndarray:
+    """``base`` to the 0 to n - 1, modulo 2^64."""
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+class Sequences:
+    """Hashes of stretches of one document's words; equal stretches have equal ones wherever they are."""
+
+    def __init__(self, hashes: np.ndarray) -> None:
+        n = len(hashes)
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * powers(_BASE, n), dtype=np.uint64)])
+        self.back = powers(_INVERSE, n + 1)
+
+    def hashed(self, begin: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        out = (self.sums[stop] - self.sums[begin]) * self.back[begin]
+        return ((out ^ (out >> np.uint64(32))) * _FACTOR).view(np.int64)
+
+
+def runs(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A document's windows by their selected suffixes: gram hash, hash of the run's words, first window, windows."""
     n = len(hashes) - GRAM + 1
     reach = WORDS - GRAM + 1
     if n < reach:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return (np.zeros(0, np.int64),) * 4
     gram = np.zeros(n, np.uint64)
     for k in range(GRAM):
         gram = (gram ^ hashes[k : n + k]) * _FACTOR
@@ -66,158 +80,106 @@ def selected(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         best = np.minimum(best[:-width], best[width:])
         width *= 2
     least = np.minimum(best[: n - reach + 1], best[reach - width : n - width + 1])
-    # A position is kept if it is the first of its hash among some window whose least hash it has.
+    # A window's suffix is the first of its least hash.
     at = np.flatnonzero(np.isin(gram, least))
     starts = np.searchsorted(at, np.arange(len(least)))
     while (wrong := gram[at[starts]] != least).any():
         starts = starts + wrong
-    at = at[np.unique(starts)]
-    return gram[at].view(np.int64), at
+    place = at[starts]
+    begin = np.concatenate([[0], np.flatnonzero(np.diff(place)) + 1])
+    windows = np.diff(begin, append=len(place))
+    return gram[place[begin]].view(np.int64), Sequences(hashes).hashed(begin, begin + windows - 1 + WORDS), begin, windows
 
 
 def suffixes(docs: DataFrame) -> DataFrame:
-    """``doc_id, gram, position`` of the suffixes that are kept. Narrow: no shuffle."""
+    """``doc_id, gram, run, begin, windows``: the runs of windows of each document. Narrow: no shuffle."""
     bounded_batches(docs.sparkSession)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            made = [selected(word_hashes(t)) for t in frame["text"]]
-            yield pd.DataFrame({"doc_id": np.repeat(frame["doc_id"].to_numpy(), [len(g) for g, _ in made]), "gram": np.concatenate([g for g, _ in made]), "position": np.concatenate([p for _, p in made])})
+            made = [runs(word_hashes(t)) for t in frame["text"]]
+            columns = {name: np.concatenate([m[k] for m in made]) for k, name in enumerate(("gram", "run", "begin", "windows"))}
+            yield pd.DataFrame({"doc_id": np.repeat(frame["doc_id"].to_numpy(), [len(m[0]) for m in made]), **columns})
 
-    return texts(docs).mapInPandas(run, "doc_id long, gram long, position long")
+    return texts(docs).mapInPandas(run, "doc_id long, gram long, run long, begin int, windows int")
 
 
-def contexts(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The ``kept`` suffixes with the hashes of ``WORDS`` words from each on (``after``) and before it, reversed (``before``)."""
+def windows(docs: DataFrame, kinds: DataFrame) -> DataFrame:
+    """The windows of each distinct run: ``gram, run, offset, window, low, high``. ``kinds`` has a place (``at``) for each."""
     bounded_batches(docs.sparkSession)
-    places = kept.groupBy("doc_id").agg(F.collect_set("position").alias("positions"))  # bounded by the document's words
+    one = F.struct("gram", "run", "low", "high", "at.begin", "at.windows")
+    places = kinds.groupBy("at.doc_id").agg(F.collect_list(one).alias("places"))  # bounded by the document's words
     joined = texts(docs).join(places, "doc_id")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for doc, text, positions in zip(frame["doc_id"], frame["text"], frame["positions"], strict=True):
+            for text, places in zip(frame["text"], frame["places"], strict=True):
                 hashes = word_hashes(text)
-                grams, at = selected(hashes)
-                gram = dict(zip(at.tolist(), grams.tolist(), strict=True))
-                units = hashes.astype(">u4")  # the low half of each hash
-                forth, back, n = units.tobytes(), units[::-1].tobytes(), len(units)
-                wide = UNIT * WORDS
-                rows = [(gram[p], forth[UNIT * p :][:wide], back[UNIT * (n - p) :][:wide], doc, p) for p in np.sort(positions).tolist() if p in gram]
-                yield pd.DataFrame(rows, columns=["gram", "after", "before", "doc_id", "position"])
-
-    return joined.mapInPandas(run, "gram long, after binary, before binary, doc_id long, position long")
-
-
-def common(a: bytes, b: bytes) -> int:
-    """Words that two contexts share from their start."""
-    high = min(len(a), len(b))
-    if a[:high] == b[:high]:
-        return high // UNIT
-    low, high = 0, high // UNIT
-    while low < high:
-        middle = (low + high + 1) // 2
-        if a[: UNIT * middle] == b[: UNIT * middle]:
-            low = middle
-        else:
-            high = middle - 1
-    return low
-
-
-def neighbours(frames: Iterator[pd.DataFrame], border: bool) -> Iterator[pd.DataFrame]:
-    """Compares sorted suffixes with those before them; gives matches and, if asked, the rows at either end again."""
-    columns = ["gram", "doc_id", "position", "begin", "stop", "after", "before"]
-    recent: list[list] = []
-    last: list[tuple] = []
-    count, gram = 0, None
-    # Suffixes with the same WORDS next words: those words, whether several documents have them, else the one's suffixes.
-    equal, several, alone = None, False, []
-    for frame in frames:
-        out: list[tuple] = []
-        for row in frame[["gram", "after", "before", "doc_id", "position"]].itertuples(index=False, name=None):
-            key, after, before, doc, at = row
-            if border:
-                if count < BORDER:
-                    out.append((key, doc, at, None, None, after, before))
-                else:
-                    last.append(row)
-                    del last[:-BORDER]
-                count += 1
-            if key != gram:
-                out += [(gram, d, p, p - left, p + right, None, None) for d, p, _, _, left, right in recent if left + right]
-                recent, gram, equal = [], key, None
-            mine = [doc, at, after, before, 0, 0]
-            if len(after) < UNIT * WORDS or after != equal:
-                equal, several, alone = (after if len(after) == UNIT * WORDS else None), False, []
-            if equal is not None:
-                if not several and alone and alone[0][0] != doc:
-                    several = True
-                    out += [(gram, d, p, p, p + WORDS, None, None) for d, p in alone]
-                if several:
-                    mine[5] = WORDS
-                else:
-                    alone.append((doc, at))
-            for other in recent:
-                if other[0] != doc:
-                    right, left = common(after, other[2]), common(before, other[3])
-                    if left + right >= WORDS:
-                        for x in (mine, other):
-                            x[4], x[5] = max(x[4], left), max(x[5], right)
-            recent.append(mine)
-            while len({x[0] for x in recent}) > NEIGHBOURS or len(recent) > RECENT:
-                d, p, _, _, left, right = recent.pop(0)
-                if left + right:
-                    out.append((gram, d, p, p - left, p + right, None, None))
-        yield pd.DataFrame(out, columns=columns)
-    out = [(gram, d, p, p - left, p + right, None, None) for d, p, _, _, left, right in recent if left + right]
-    yield pd.DataFrame(out + [(k, d, p, None, None, a, b) for k, a, b, d, p in last], columns=columns)
-
-
-def matches(suffix: DataFrame) -> DataFrame:
-    """``gram, doc_id, position, begin, stop`` of the suffixes that match a neighbour, with the words their matches cover."""
-    schema = "gram long, doc_id long, position long, begin long, stop long, after binary, before binary"
-    order = ["gram", "after", "doc_id", "position"]
-    parts = suffix.repartitionByRange(*order).sortWithinPartitions(*order)
-    made = written(parts.mapInPandas(lambda frames: neighbours(frames, True), schema), "matches")
-    # A fixed number of rows for each partition: one task compares them all.
-    ends = made.where("after is not null").select("gram", "after", "before", "doc_id", "position").coalesce(1).sortWithinPartitions(*order)
-    again = ends.mapInPandas(lambda frames: neighbours(frames, False), schema)
-    return made.where("after is null").unionByName(again).select("gram", "doc_id", "position", "begin", "stop")
-
-
-def merged(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Overlapping or touching (begin, stop, first document) as one, with the least document."""
+                sequences, n = Sequences(hashes), len(hashes)
+                gram, key, low, high, begin, count = (np.array([p[name] for p in places], np.int64) for name in ("gram", "run", "low", "high", "begin", "windows"))
+                stop = begin + count - 1 + WORDS
+                # Another text of the same doc_id may not have the run there.
+                has = stop <= n
+                has[has] = sequences.hashed(begin[has], stop[has]) == key[has]
+                gram, key, low, high, begin, count = (x[has] for x in (gram, key, low, high, begin, count))
+                offset = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+                start = np.repeat(begin, count) + offset
+                each = {name: np.repeat(x, count) for name, x in (("gram", gram), ("run", key), ("low", low), ("high", high))}
+                yield pd.DataFrame({**each, "offset": offset, "window": sequences.hashed(start, start + WORDS)})
+
+    schema = "gram long, run long, low long, high long, offset int, window long"
+    return joined.mapInPandas(run, schema)
+
+
+def stretches(docs: DataFrame) -> DataFrame:
+    """``doc_id, begin, stop, first_doc_id``: stretches of words whose windows all occur in other documents and for the
+    first time in ``first_doc_id``."""
+    every = written(suffixes(docs), "suffixes")
+    grams = every.groupBy("gram").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.min("run").alias("a"), F.max("run").alias("b"))
+    grams = written(grams.where("low < high").select("gram", "low", (F.col("a") != F.col("b")).alias("mixed")), "grams")
+    kept = written(every.join(grams, "gram"), "kept")
+    same = kept.where("not mixed").select("doc_id", "begin", (F.col("begin") + F.col("windows") - 1 + WORDS).alias("stop"), F.col("low").alias("first_doc_id"))
+    mixed = kept.where("mixed").drop("low", "mixed")
+    kinds = written(mixed.groupBy("gram", "run").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.min(F.struct("doc_id", "begin", "windows")).alias("at")), "kinds")
+    each = written(windows(docs, kinds), "windows")
+    shared = written(each.groupBy("gram", "window").agg(F.min("low").alias("first_doc_id"), F.max("high").alias("last")).where("first_doc_id < last").drop("last"), "shared")
+    named = each.select("gram", "run", "offset", "window").join(shared, ["gram", "window"])
+    # Windows of one run that follow each other and have the same first document are one part of it.
+    island = F.col("offset") - F.dense_rank().over(Window.partitionBy("gram", "run", "first_doc_id").orderBy("offset"))
+    parts = named.withColumn("island", island).groupBy("gram", "run", "first_doc_id", "island").agg(F.min("offset").alias("low"), F.max("offset").alias("high"))
+    parts = written(parts.drop("island"), "parts")
+    found = mixed.join(parts, ["gram", "run"]).select("doc_id", (F.col("begin") + F.col("low")).alias("begin"), (F.col("begin") + F.col("high") + WORDS).alias("stop"), "first_doc_id")
+    return same.unionByName(found)
+
+
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Overlapping or touching (begin, stop) as one."""
     out: list[list[int]] = []
-    for a, b, first in sorted(spans):
+    for a, b in sorted(spans):
         if out and a <= out[-1][1]:
-            out[-1][1], out[-1][2] = max(out[-1][1], b), min(out[-1][2], first)
+            out[-1][1] = max(out[-1][1], b)
         else:
-            out.append([a, b, first])
+            out.append([a, b])
     return [tuple(x) for x in out]
 
 
 def repeats(docs: DataFrame) -> DataFrame:
     """One row a span: ``doc_id, start, stop`` (words), ``n_words, first_doc_id, repeat`` (false: the first occurrence).
 
-    Spans that are repeats and those that are first occurrences are merged each on their own.
+    Spans of one first document are merged; those of different ones may overlap.
     """
-    spark = docs.sparkSession
-    every = written(suffixes(docs), "suffixes")
-    shared = written(every.groupBy("gram").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("gram"), "grams")
-    kept = written(every.join(shared, "gram"), "kept")
-    found = written(matches(contexts(docs, kept)), "found")
-    firsts = written(found.groupBy("gram").agg(F.min("doc_id").alias("first_doc_id")), "firsts")
-    named = found.join(firsts, "gram").withColumn("repeat", F.col("doc_id") != F.col("first_doc_id"))
-    # A document's matches: bounded by its words.
-    lists = named.groupBy("doc_id", "repeat").agg(F.collect_set(F.struct("begin", "stop", "first_doc_id")).alias("spans"))
-    bounded_batches(spark)
+    # A document's stretches: bounded by its words.
+    lists = stretches(docs).groupBy("doc_id").agg(F.collect_set(F.struct("begin", "stop", "first_doc_id")).alias("spans"))
+    bounded_batches(docs.sparkSession)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = [
-                (doc, a, b, b - a, first, repeat)
-                for doc, repeat, spans in frame.itertuples(index=False, name=None)
-                for a, b, first in merged([(s["begin"], s["stop"], s["first_doc_id"]) for s in spans])
-            ]
+            rows = []
+            for doc, spans in frame.itertuples(index=False, name=None):
+                by_first: dict[int, list[tuple[int, int]]] = {}
+                for s in spans:
+                    by_first.setdefault(s["first_doc_id"], []).append((s["begin"], s["stop"]))
+                rows += [(doc, a, b, b - a, first, doc != first) for first, own in by_first.items() for a, b in merged(own)]
             yield pd.DataFrame(rows, columns=["doc_id", "start", "stop", "n_words", "first_doc_id", "repeat"])
 
     return lists.mapInPandas(run, "doc_id long, start long, stop long, n_words long, first_doc_id long, repeat boolean")
@@ -235,12 +197,13 @@ def cut(text: str, spans: list[tuple[int, int]]) -> str:
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with repeated passages cut from ``text`` but for each one's first occurrence; ``n_chars``, if there, is
-    counted anew. Documents that lose all their words go."""
+    counted anew. Documents that lose all their words go. A word is cut only if an earlier document has a window around
+    it, so one copy of each stays."""
     spans = repeats(docs).where("repeat").groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("cut_spans"))
 
     @F.pandas_udf("string")
     def apply(text: pd.Series, cuts: pd.Series) -> pd.Series:
-        return pd.Series([t if c is None or t is None else cut(t, [(s["start"], s["stop"]) for s in c]) for t, c in zip(text, cuts, strict=True)], dtype=object)
+        return pd.Series([t if c is None or t is None else cut(t, merged([(s["start"], s["stop"]) for s in c])) for t, c in zip(text, cuts, strict=True)], dtype=object)
 
     joined = docs.join(spans, "doc_id", "left")
     whole = F.col("cut_spans").isNull()

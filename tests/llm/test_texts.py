@@ -323,6 +323,23 @@ def test_first_occurrence_is_of_the_passage(spark):
     assert all(left.count(w) == 1 for w in passages - lines)
 
 
+def test_repeats_around_a_frequent_line(spark):
+    """Passages whose only shared suffixes may lie in a line that many other documents hold."""
+    rng = random.Random(15)
+    fresh = lambda n: [f"v{rng.randint(0, 10**9)}" for _ in range(n)]
+    texts = []
+    for _ in range(15):
+        line = fresh(12)
+        texts += [fresh(rng.randint(1, 60)) + line + fresh(60) for _ in range(40)]
+        for _ in range(4):
+            before, after = fresh(40), fresh(40)
+            texts += [fresh(3) + before + line + fresh(60), before + line + fresh(60)]
+            texts += [fresh(60) + line + after, fresh(60) + line + after + fresh(3)]
+    rng.shuffle(texts)
+    texts = [" ".join(t) for t in texts]
+    same_firsts(frame(spark, texts), texts)
+
+
 def test_cut():
     assert suffix.cut("a b  c\nd e", [(1, 3)]) == "a d e" and suffix.cut("a b", [(0, 2)]) == "" and suffix.cut("a b", []) == "a b"
 

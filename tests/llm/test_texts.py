@@ -225,6 +225,27 @@ def test_near_duplicates(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [i for i, w in enumerate(want) if w == i] and kept.columns == frame(spark, ["a"]).columns
 
 
+def test_families_are_compared_to_the_end(spark):
+    """In one bucket, two similar documents whose common shingles the centre lacks and many members hold."""
+    texts, buckets = [], []
+    for f in range(4):
+        base = [f"t{f}.{i}" for i in range(160)] + [f"b{f}.{i}" for i in range(40)]
+        edited = lambda places: " ".join(f"e{len(texts)}.{i}" if i in places else w for i, w in enumerate(base))  # noqa: B023, E731
+        first = len(texts)
+        texts.append(edited({20}))
+        for k in range(20):
+            texts.append(edited({7 + k, 40 + k, 65 + k, 90 + k, 115 + k}))
+        texts.append(edited({130}))
+        centre = len(texts)
+        texts.append(" ".join(base[:160] + [f"h{f}.{i}" for i in range(40)]))
+        texts += [f"lone {f} {i} x y z" for i in range(2)]
+        buckets += [(10 * f, d) for d in range(first, centre + 1)] + [(10 * f + 1, centre), (10 * f + 1, centre + 1), (10 * f + 2, centre), (10 * f + 2, centre + 2)]
+    want, _ = jaccard_components(texts)
+    assert len(set(want)) == len(texts) - 4
+    found = minhash.linked(frame(spark, texts), spark.createDataFrame(buckets, "bucket long, doc long"), 85).collect()
+    assert {r["node"]: r["component"] for r in found} == {d: c for d, c in enumerate(want) if want.count(c) > 1}
+
+
 def test_near_duplicates_of_nothing(spark, empty):
     assert minhash.near_duplicates(empty).count() == 0
 

@@ -10,7 +10,8 @@ A family that still spans several components is looked at again, without all its
 more than what both share with the centre and what both have besides. So pairs are compared that the centre's
 share of both doesn't rule out (neighbours by size first, then whatever is still apart), and pairs that share a
 shingle which the centre lacks (all of them for a shingle of up to ``FEW`` documents, a star around a document
-drawn anew in each turn for others). Turns go on until one finds no link.
+drawn anew in each turn for others). Turns go on until one finds no link. What is still apart then is compared
+once without bounds on frequency: documents of a similarity share one of their rarest shingles (prefix filter).
 
 Defined cases: null and empty texts have an empty set and link with nothing; fewer than ``SHINGLE`` words
 are one shingle; documents of equal sets always link; a component's id is its least ``doc_id``; repeated rows
@@ -40,8 +41,10 @@ BAND = 8
 SIMILARITY = 85
 #: Neighbours by size that a document of an open family is compared with at first.
 NEIGHBOURS = 4
-#: Documents with a shingle up to which all their pairs are compared; beyond, stars.
+#: Documents with a shingle up to which all their pairs are compared in the turns; beyond, stars.
 FEW = 12
+#: Documents that one task takes of those with a rare shingle in common.
+SHARE = 256
 
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 #: Place of each slot in the preference order of each empty slot.
@@ -153,6 +156,26 @@ def _by_shingle(members: DataFrame, further: DataFrame, seed: int) -> DataFrame:
     return two.select(F.col("p.doc").alias("x"), F.col("q.doc").alias("y")).unionByName(star.select(F.col("doc").alias("x"), F.col("c.doc").alias("y")))
 
 
+def _by_prefix(members: DataFrame, full: DataFrame, similarity: int) -> DataFrame:
+    """All pairs of one family's different components that can be similar. Of ``n`` shingles in an order that the family
+    shares, rarest first, two similar documents have one in common among the first ``n - similarity * n + 1``."""
+    own = members.where("doc != centre").select("centre", "doc", "component", "n")  # stars have the centre's pairs
+    apart = own.groupBy("centre").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("centre")
+    own = own.join(apart, "centre")
+    rows = written(own.join(full.select(F.col("doc_id").alias("doc"), "shingles"), "doc").select("centre", "doc", "component", "n", F.explode("shingles").alias("shingle")), "family-shingles")
+    counts = rows.groupBy("centre", "shingle").agg(F.count("*").alias("k"))
+    # One document's shingles: bounded by its text.
+    place = F.row_number().over(Window.partitionBy("centre", "doc").orderBy("k", "shingle"))
+    first = rows.join(counts, ["centre", "shingle"]).withColumn("place", place).where(F.col("place") <= F.floor((100 - similarity) * F.col("n") / 100) + 1)
+    first = written(first.where("k > 1").drop("place", "k"), "prefixes")
+    groups = first.groupBy("centre", "shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("k")).where("low < high")
+    first = first.join(groups.select("centre", "shingle", F.ceil(F.col("k") / SHARE).alias("parts")), ["centre", "shingle"])
+    left = first.select("centre", "shingle", F.pmod(F.xxhash64("doc"), F.col("parts")).alias("part"), F.col("doc").alias("x"), F.col("component").alias("own"), F.col("n").alias("m"))
+    right = first.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    sized = 100 * F.least("n", "m") >= similarity * F.greatest("n", "m")
+    return left.join(right, ["centre", "shingle", "part"]).where((F.col("x") < F.col("doc")) & (F.col("own") != F.col("component")) & sized).select("x", F.col("doc").alias("y"))
+
+
 def linked(docs: DataFrame, buckets: DataFrame, similarity: int) -> DataFrame:
     """``node, component`` of the representatives that link; ``buckets`` has ``bucket, doc`` and no lone members."""
     members = buckets.select("doc").distinct()
@@ -183,12 +206,15 @@ def linked(docs: DataFrame, buckets: DataFrame, similarity: int) -> DataFrame:
         fresh = written(fresh.join(tested, ["a", "b"], "left_anti"), "pairs")
         more = written(_similar(overlaps(fresh, full), similarity), "links")
         if more.isEmpty():
-            if turn:
-                return found
             tested = tested.unionByName(fresh)
+            if turn:
+                break
             continue
         tested, links = tested.unionByName(fresh), links.unionByName(more)
         found = written(components(links), "components")
+    rest = written(_pairs(_by_prefix(open_, full, similarity)).join(tested, ["a", "b"], "left_anti"), "pairs")
+    more = written(_similar(overlaps(rest, full), similarity), "links")
+    return found if more.isEmpty() else written(components(links.unionByName(more)), "components")
 
 
 def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:

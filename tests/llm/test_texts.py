@@ -476,6 +476,50 @@ def test_licenses(spark, odd, empty):
     assert all(any(m in licenses.normalised(s) for m in licenses.MARKS for s in parts) for _, parts in licenses.RULES)
 
 
+def test_licences_as_published(spark):
+    apache = """Copyright 2020 A. Name
+
+   Licensed under the Apache License, Version 2.0 (the "License");
+   you may not use this file except in compliance with the License.
+   You may obtain a copy of the License at
+
+       http://www.apache.org/licenses/LICENSE-2.0
+
+   Unless required by applicable law or agreed to in writing, software"""
+    gpl = """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU General Public License for more details."""
+    mpl = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+    bsd = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED"""
+    texts = [apache, "\n".join("# " + x for x in gpl.split("\n")), gpl, mpl, bsd, bsd[: bsd.index("\n\n3.")], "Licensed under the GNU General Public License, version\n3. More"]
+    wants = ["Apache-2.0", "GPL-3.0-or-later", "GPL-3.0-or-later", "MPL-2.0", "BSD-3-Clause", "BSD-2-Clause", "GPL-3.0-only"]
+    for _, parts in licenses.RULES:  # each rule by itself, one word a line as well
+        texts += [". ".join(p.rstrip(":") for p in parts), "\n".join(" ".join(parts).split())]
+        wants += [None, None]
+    got = {}
+    for r in licenses.scan(frame(spark, texts)).collect():
+        got.setdefault(r["doc_id"], []).append((r["license"], r["rule"]))
+    for d, want in enumerate(wants):
+        rule = (d - 7) // 2 + 1
+        assert len(got[d]) == 1 and (got[d][0][0] == want if want else got[d] == [(licenses.RULES[rule - 1][0], rule)]), texts[d]
+
+
 # media
 
 

@@ -1,9 +1,10 @@
 """Licence scans by sentence rules, with DataFrame functions only.
 
 A text is cut into sentences; each one is normalised (lower case, runs of letters and digits with single spaces)
-and looked up among the known licence sentences. A document's recognised sentences, in order, are then matched
-against the licence rules: a rule is a sequence of sentences that must follow each other directly. At a sentence
-the longest rule counts; a rule that starts within an earlier match doesn't.
+and rules are looked up by the first words from its start on. A rule is a sequence of sentences; it matches where
+its words are those of whole pieces that follow each other, however lines are wrapped and wherever abbreviations
+and blank lines cut them; list numbers between them don't count. At a sentence the longest rule counts; a rule
+that starts within an earlier match doesn't. Sentences are numbered as they are cut.
 
 Defined cases: null and empty texts have no rows; a sentence that occurs twice gives two matches; equal texts
 give equal matches; a line that goes on in lower case belongs to the sentence before it; columns besides
@@ -72,6 +73,11 @@ MARKS = ("licen", "permission", "redistribut", "unencumbered")
 GOES_ON = r"[ \t]*\r?\n[ \t]*([a-z])"
 ENDS = r"[.!?]+[ \t\r\n]+|\r?\n[ \t\r\n]*"
 OTHER = r"[^a-z0-9]+"
+#: A list mark before a piece's words; a piece that is a list number.
+LISTED = r"^[^A-Za-z0-9]*(?:[0-9]{1,2}|[a-z])\)[ \t]+"
+NUMBER = "^(?:[0-9]{1,2}|[a-z])$"
+#: Words by which rules are looked up.
+KEY = 3
 
 
 def normalised(sentence: str) -> str:
@@ -95,39 +101,45 @@ def _clean(sentence: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(sentence), OTHER, " "))
 
 
-def recognised(docs: DataFrame) -> DataFrame:
-    """``doc_id, sentence`` (its number in the text) and ``known`` (identifier) of each known sentence."""
-    known, _ = rule_table()
-    look_up = docs.sparkSession.createDataFrame([(s, i) for s, i in known.items()], "clean string, known int")
+def pieces(docs: DataFrame) -> DataFrame:
+    """``doc_id, found``: the pieces (``sentence``, its number in the text, and ``clean``) of texts that may hold a licence."""
     lower = F.lower("text")
     marked = F.lit(False)
     for mark in MARKS:
         marked = marked | F.contains(lower, F.lit(mark))
-    sentences = F.split(F.regexp_replace("text", GOES_ON, " $1"), ENDS)
-    each = docs.where(marked).select("doc_id", F.posexplode(sentences).alias("sentence", "words"))
-    # The look-up table is a constant of this module.
-    return each.select("doc_id", "sentence", _clean(F.col("words")).alias("clean")).join(F.broadcast(look_up), "clean").select("doc_id", "sentence", "known")
+    cut = F.split(F.regexp_replace("text", GOES_ON, " $1"), ENDS)
+    each = F.transform(cut, lambda words, i: F.struct(i.alias("sentence"), _clean(F.regexp_replace(words, LISTED, "")).alias("clean")))
+    return docs.where(marked).select("doc_id", F.filter(each, lambda x: x["clean"] != "").alias("found"))
+
+
+def _joined(found: Column) -> Column:
+    return F.array_join(F.transform(found, lambda x: x["clean"]), " ")
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """One row a match: ``doc_id, sentence, n_sentences, rule, license``."""
     _, rules = rule_table()
-    longest = max(len(ids) for _, _, ids in rules)
-    table = docs.sparkSession.createDataFrame([(r, name, ids, ids[0]) for r, name, ids in rules], "rule int, license string, ids array<int>, known int")
-    hits = recognised(docs)
-    # A document's recognised sentences: bounded by its text.
-    per_doc = hits.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("sentence", "known"))).alias("found"))
-    at = per_doc.select("doc_id", "found", F.posexplode("found").alias("place", "here"))
-    run = F.slice("found", F.col("place") + 1, longest)
-    at = at.select("doc_id", F.col("here.sentence").alias("sentence"), F.col("here.known").alias("known"), run.alias("run"))
-    size = F.size("ids")
-    same = F.transform(F.slice("run", 1, size), lambda x: x["known"]) == F.col("ids")
-    direct = F.element_at("run", size)["sentence"] == F.col("sentence") + size - 1
-    found = at.join(F.broadcast(table), "known").where((F.size("run") >= size) & same & F.when(F.size("run") >= size, direct))
-    best = found.groupBy("doc_id", "sentence").agg(F.max(F.struct(size.alias("n"), (-F.col("rule")).alias("r"), "license")).alias("best"))
-    rows = best.select("doc_id", F.col("sentence").cast("long").alias("sentence"), F.col("best.n").cast("long").alias("n_sentences"), (-F.col("best.r")).alias("rule"), F.col("best.license").alias("license"))
-    covered = "max(sentence + n_sentences) over (partition by doc_id order by sentence rows between unbounded preceding and 1 preceding)"
-    return rows.withColumn("until", F.expr(covered)).where("until is null or until <= sentence").drop("until")
+    parts = [*(p for _, p in RULES), *((f"SPDX-License-Identifier: {t}",) for t in dict.fromkeys(t for t, _ in RULES))]
+    words = [" ".join(map(normalised, p)) for p in parts]
+    table = [(r, name, len(ids), w, len(w.split()), " ".join(w.split()[:KEY])) for (r, name, ids), w in zip(rules, words, strict=True)]
+    table = docs.sparkSession.createDataFrame(table, "rule int, license string, n int, words string, n_words int, key string")
+    # Each piece has a word at least: KEY of them hold the key.
+    key = F.substring_index(_joined(F.slice("found", F.col("place") + 1, KEY)), " ", KEY)
+    at = pieces(docs).select("doc_id", "found", F.posexplode("found").alias("place", "here")).withColumn("key", key)
+    # The rules are a constant of this module.
+    at = at.join(F.broadcast(table), "key").withColumn("run", F.slice("found", F.col("place") + 1, 2 * F.col("n_words")))
+
+    def whole(m: Column) -> Column:
+        run = F.slice("run", 1, m)
+        return (_joined(run) == F.col("words")) | (_joined(F.filter(run, lambda x: ~x["clean"].rlike(NUMBER))) == F.col("words"))
+
+    size = F.get(F.filter(F.sequence(F.lit(1), F.size("run")), whole), F.lit(0))
+    found = at.select("doc_id", F.col("here.sentence").alias("sentence"), "run", "n", "rule", "license", size.alias("size")).where("size is not null")
+    found = found.withColumn("stop", F.expr("run[size - 1].sentence + 1"))
+    best = found.groupBy("doc_id", "sentence").agg(F.max(F.struct("n", (-F.col("rule")).alias("r"), "license", "stop")).alias("best"))
+    rows = best.select("doc_id", F.col("sentence").cast("long").alias("sentence"), F.col("best.n").cast("long").alias("n_sentences"), (-F.col("best.r")).alias("rule"), F.col("best.license").alias("license"), "best.stop")
+    covered = "max(stop) over (partition by doc_id order by sentence rows between unbounded preceding and 1 preceding)"
+    return rows.withColumn("until", F.expr(covered)).where("until is null or until <= sentence").drop("until", "stop")
 
 
 def scan_sql() -> str:

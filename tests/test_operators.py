@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import columns as C
 from tidemark.operators import generate, inject, labels, metrics, reshape, runs, scoring, series
+from tidemark.plans import queries
 from tidemark.schema import BUFFERS
+from tidemark.sources import tables
 
 
 def cells(spark, values, series_id="a"):
@@ -223,6 +225,33 @@ def test_matrix_profile_against_definition():
     assert scoring.nearest(x, m, exclude) == pytest.approx(d.min(1), abs=1e-6)
 
 
+def test_matrix_profile_of_whole_series(spark, sf):
+    """Blocks of offsets together give the profile by definition, and the query scores every row."""
+    rng = np.random.default_rng(3)
+    made = {"a": rng.normal(size=(90, 2)) * [1, 3], "b": rng.normal(size=(61, 1)), "c": rng.normal(size=(9, 1))}
+    rows = [(s, i, c, float(v)) for s, x in made.items() for (i, c), v in np.ndenumerate(x)]
+    cells = spark.createDataFrame(rows, "series_id string, row_idx long, channel int, value double")
+    got = {(r["series_id"], r["row_idx"]): r["score"] for r in scoring.matrix_profile(cells, block=7).collect()}
+    assert len(got) == 160
+    m, exclude = 8, 2
+    for s, x in made.items():
+        n = len(x) - m + 1
+        total = np.zeros(len(x))
+        if len(x) >= 2 * m:
+            profiles = []
+            for c in range(x.shape[1]):
+                w = np.stack([x[i : i + m, c] for i in range(n)])
+                z = (w - w.mean(1, keepdims=True)) / w.std(1, keepdims=True)
+                d = np.sqrt(((z[:, None] - z[None]) ** 2).sum(2))
+                d[np.abs(np.subtract.outer(np.arange(n), np.arange(n))) <= exclude] = np.inf
+                profiles.append(d.min(1))
+            padded = np.pad(np.mean(profiles, 0), (m // 2, m - 1 - m // 2), mode="edge")
+            total = [padded[max(0, i - m // 2) : i + m // 2].mean() for i in range(len(x))]
+        assert [got[s, i] for i in range(len(x))] == pytest.approx(list(total), abs=1e-6)
+    days = tables.daily_series(spark, sf)
+    assert queries.QUERIES["matrix_profile"](spark, sf).count() == days.count() > days.where("row_idx < 400").count()
+
+
 def test_frozen_reference_keeps_anomalies_out():
     x = np.concatenate([np.tile([0.0, 1, 2, 1], 64), np.tile([0.0, 1, 2, 1], 64) + 30])[:, None]
     p = scoring.fold_windows(x, 64, 32, 0.5)[:, 0]

@@ -28,7 +28,13 @@ def robust_scorer(cells: DataFrame) -> DataFrame:
 
 
 def nearest(x: np.ndarray, m: int, exclude: int) -> np.ndarray:
-    """Z-normalised distance of each ``m``-row stretch to its nearest one further than ``exclude`` rows away.
+    """Z-normalised distance of each ``m``-row stretch to its nearest one further than ``exclude`` rows away."""
+    best = nearest_squared(x, m, range(exclude + 1, len(x) - m + 1))
+    return np.sqrt(np.where(np.isfinite(best), best, 0.0))
+
+
+def nearest_squared(x: np.ndarray, m: int, offsets: range) -> np.ndarray:
+    """The square of that distance among stretches that are one of ``offsets`` rows away; infinite where there is none.
 
     Dot products of all stretches at one offset are a running sum of products, so the work is one vector pass an offset.
     """
@@ -37,7 +43,7 @@ def nearest(x: np.ndarray, m: int, exclude: int) -> np.ndarray:
     deviation = np.sqrt(np.maximum(np.convolve(x * x, np.ones(m) / m, "valid") - mean * mean, 0))
     flat = deviation < 1e-9
     best = np.full(n, np.inf)
-    for offset in range(exclude + 1, n):
+    for offset in offsets:
         products = np.cumsum(x[: len(x) - offset] * x[offset:])
         dots = products[m - 1 :] - np.concatenate([[0.0], products[:-m]])
         a, b = slice(0, n - offset), slice(offset, n)
@@ -47,32 +53,60 @@ def nearest(x: np.ndarray, m: int, exclude: int) -> np.ndarray:
         d = np.where(flat[a] & flat[b], 0.0, np.where(flat[a] | flat[b], float(m), d))
         best[a] = np.minimum(best[a], d)
         best[b] = np.minimum(best[b], d)
-    return np.sqrt(np.where(np.isfinite(best), best, 0.0))
+    return best
 
 
-def matrix_profile(cells: DataFrame, most_rows: int = 40_000, channels: int = 8) -> DataFrame:
+def matrix_profile(cells: DataFrame, most_rows: int = 40_000, channels: int = 8, block: int = 256) -> DataFrame:
     """``series_id, row_idx, score``: the nearest-neighbour baseline.
 
     Stretches of ``min(64, max(8, n // 20))`` rows; the profile of the (at most ``channels``) most variable channels is
-    averaged, put at stretch centres, its ends extended, and smoothed. One series is one group of at most
-    ``most_rows`` rows (the baseline's own limit; its work is quadratic in them).
+    averaged, put at stretch centres, its ends extended, and smoothed. A series has at most ``most_rows`` rows (the
+    baseline's own limit). The work is quadratic in them: a task takes ``block`` offsets of one channel, and the least
+    distance of each stretch is taken over all blocks.
     """
+    kind = dict(cells.dtypes)["series_id"]
 
-    def score(frame: pd.DataFrame) -> pd.DataFrame:
+    def chosen(frame: pd.DataFrame) -> pd.DataFrame:
         wide = frame.pivot(index="row_idx", columns="channel", values="value").sort_index()
         x = wide.ffill().bfill().fillna(0.0).to_numpy(float)
         n = len(x)
         m = min(64, max(8, n // 20))
-        total = np.zeros(n)
+        top = np.argsort(-x.std(0), kind="stable")[:channels]
+        rows = [(frame["series_id"].iloc[0], k, m, wide.index.to_numpy(), x[:, c]) for k, c in enumerate(top)]
+        return pd.DataFrame(rows, columns=["series_id", "rank", "m", "index", "x"])
+
+    def distances(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for series_id, rank, m, x, first in frame[["series_id", "rank", "m", "x", "first"]].itertuples(index=False, name=None):
+                x = np.asarray(x, float)
+                best = nearest_squared(x, m, range(first, min(first + block, len(x) - m + 1)))
+                yield pd.DataFrame({"series_id": series_id, "rank": rank, "place": np.arange(len(best)), "d": best})
+
+    def score(frame: pd.DataFrame) -> pd.DataFrame:
+        index, m = np.asarray(frame["index"].iloc[0]), int(frame["m"].iloc[0])
+        n, total = len(index), np.zeros(len(index))
         if n >= 2 * m:
-            top = np.argsort(-x.std(0), kind="stable")[:channels]
-            profile = np.mean([nearest(x[:, c], m, math.ceil(m / 4)) for c in top], axis=0)
+            rows = []
+            for found in frame.sort_values("rank")["found"]:
+                best = np.full(n - m + 1, np.inf)
+                for f in found if found is not None else ():
+                    best[f["place"]] = f["d"]
+                rows.append(np.sqrt(np.where(np.isfinite(best), best, 0.0)))
+            profile = np.mean(rows, axis=0)
             total = np.pad(profile, (m // 2, n - len(profile) - m // 2), mode="edge")
             total = pd.Series(total).rolling(m, center=True, min_periods=1).mean().to_numpy()
-        return pd.DataFrame({"series_id": frame["series_id"].iloc[0], "row_idx": wide.index.to_numpy(), "score": total})
-
-    kind = dict(cells.dtypes)["series_id"]
-    return cells.where(F.col("row_idx") < most_rows).select("series_id", "row_idx", "channel", "value").groupBy("series_id").applyInPandas(score, f"series_id {kind}, row_idx long, score double")
+        return pd.DataFrame({"series_id": frame["series_id"].iloc[0], "row_idx": index, "score": total})
+
+    rows = cells.where(F.col("row_idx") < most_rows).select("series_id", "row_idx", "channel", "value")
+    picked = rows.groupBy("series_id").applyInPandas(chosen, f"series_id {kind}, rank int, m int, index array<long>, x array<double>")
+    last, exclude = F.size("x") - F.col("m"), F.ceil(F.col("m") / 4).cast("int")
+    blocks = picked.where((F.size("x") >= 2 * F.col("m")) & (last > exclude)).withColumn("first", F.explode(F.sequence(exclude + 1, last, F.lit(block))))
+    parts = blocks.drop("index").repartition("series_id", "rank", "first").mapInPandas(distances, f"series_id {kind}, rank int, place int, d double")
+    least = parts.groupBy("series_id", "rank", "place").agg(F.min("d").alias("d"))
+    # A channel's stretches: at most ``most_rows``.
+    least = least.groupBy("series_id", "rank").agg(F.collect_list(F.struct("place", "d")).alias("found"))
+    made = picked.select("series_id", "rank", "m", "index").join(least, ["series_id", "rank"], "left")
+    return made.groupBy("series_id").applyInPandas(score, f"series_id {kind}, row_idx long, score double")
 
 
 def scaled_by(x: np.ndarray, reference: np.ndarray) -> np.ndarray:

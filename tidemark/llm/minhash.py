@@ -6,22 +6,18 @@ their own (optimal densification). Documents of equal sets are one class; class
 a band share a bucket. In each bucket the member with the most bucket mates becomes the centre of a star of
 candidates, whose similarity is taken from full sets; a centre's stars are its family.
 
-A family that still spans several components is looked at again, without all its pairs: two documents share no
-more than what both share with the centre and what both have besides. So pairs are compared that the centre's
-share of both doesn't rule out (neighbours by size first, then whatever is still apart), and pairs that share a
-shingle which the centre lacks (all of them for a shingle of up to ``FEW`` documents, a star around a document
-drawn anew in each turn for others). Turns go on until one finds no link. What is still apart then is compared
-once without bounds on frequency: documents of a similarity share one of their rarest shingles (prefix filter).
+A family that still spans several components is compared once more, exactly and without all its pairs: two
+similar documents have one of their rarest shingles in common (prefix filter), and from the first one that they
+have in common on each must have enough shingles left for the overlap (positional filter).
 
 Defined cases: null and empty texts have an empty set and link with nothing; fewer than ``SHINGLE`` words
 are one shingle; documents of equal sets always link; a component's id is its least ``doc_id``; repeated rows
-get equal results; columns besides ``doc_id`` and ``text`` are ignored by ``near_duplicates`` and kept by
-``distinct_documents``.
+get equal results; of rows with one ``doc_id`` and different texts each gets the component of its own text;
+columns besides ``doc_id`` and ``text`` are ignored by ``near_duplicates`` and kept by ``distinct_documents``.
 """
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,10 +35,6 @@ SLOTS = 256
 BAND = 8
 #: Documents link from this similarity on, in hundredths.
 SIMILARITY = 85
-#: Neighbours by size that a document of an open family is compared with at first.
-NEIGHBOURS = 4
-#: Documents with a shingle up to which all their pairs are compared in the turns; beyond, stars.
-FEW = 12
 #: Documents that one task takes of those with a rare shingle in common.
 SHARE = 256
 
@@ -104,115 +96,69 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 
 def sets(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``shingles``: the full set of each document."""
+    """``doc_id``, ``kind`` (tells texts of one ``doc_id`` apart), ``shingles``: the full set of each document."""
     bounded_batches(docs.sparkSession)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "shingles": [shingles(t).view(np.int64) for t in frame["text"]]})
+            found = [shingles(t).view(np.int64) for t in frame["text"]]
+            yield pd.DataFrame({"doc_id": frame["doc_id"], "kind": [xxhash.xxh3_64_intdigest(s.tobytes()) >> 1 for s in found], "shingles": found})
 
-    return texts(docs).mapInPandas(run, "doc_id long, shingles array<long>")
+    return texts(docs).mapInPandas(run, "doc_id long, kind long, shingles array<long>").dropDuplicates(["doc_id", "kind"])
 
 
 def overlaps(pairs: DataFrame, full: DataFrame) -> DataFrame:
-    """``a, b, shared, size_a, size_b`` of pairs, from their full sets."""
-    left = full.select(F.col("doc_id").alias("b"), F.col("shingles").alias("of_b"))
+    """``a, b, shared, size_a, size_b, kind`` (of b) of pairs, from their full sets."""
+    left = full.select(F.col("doc_id").alias("b"), "kind", F.col("shingles").alias("of_b"))
     right = full.select(F.col("doc_id").alias("a"), F.col("shingles").alias("of_a"))
     both = pairs.join(left, "b").join(right, "a")
-    return both.select("a", "b", F.size(F.array_intersect("of_a", "of_b")).alias("shared"), F.size("of_a").alias("size_a"), F.size("of_b").alias("size_b"))
+    return both.select("a", "b", F.size(F.array_intersect("of_a", "of_b")).alias("shared"), F.size("of_a").alias("size_a"), F.size("of_b").alias("size_b"), "kind")
 
 
 def _similar(measured: DataFrame, similarity: int) -> DataFrame:
-    return measured.where(100 * F.col("shared") >= similarity * (F.col("size_a") + F.col("size_b") - F.col("shared"))).select("a", "b")
+    return measured.where(100 * F.col("shared") >= similarity * (F.col("size_a") + F.col("size_b") - F.col("shared"))).select("a", "b").distinct()
 
 
 def _pairs(rows: DataFrame) -> DataFrame:
     return rows.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a < b").distinct()
 
 
-def _by_size(members: DataFrame, similarity: int, reach: int | None) -> DataFrame:
-    """Pairs of one family that the centre's share of both doesn't rule out: what two documents share is at most what
-    both share with the centre, unless they share further shingles. ``reach``: only so many neighbours by size."""
-    if reach is not None:
-        w = Window.partitionBy("centre").orderBy("n", "doc")
-        near = F.array(*(F.struct(F.lag("doc", k).over(w).alias("doc"), F.lag("component", k).over(w).alias("component")) for k in range(1, reach + 1)))
-        return members.withColumn("near", near).select("component", F.col("doc").alias("x"), F.explode("near").alias("o")).where("o.doc is not null and o.component != component").select("x", F.col("o.doc").alias("y"))
-    left = members.where("component != home").select("centre", F.col("doc").alias("x"), F.col("shared").alias("i"), F.col("n").alias("m"), F.col("component").alias("own"))
-    bound = (100 + similarity) * F.least("shared", "i") >= similarity * (F.col("n") + F.col("m"))
-    return members.join(left, "centre").where((F.col("component") != F.col("own")) & bound).select("x", F.col("doc").alias("y"))
-
-
-def _by_shingle(members: DataFrame, further: DataFrame, seed: int) -> DataFrame:
-    """Pairs of one family that share a shingle which their centre lacks: all pairs where at most ``FEW`` documents have
-    it, else a star around one of them by hash."""
-    rows = further.join(members.select("centre", "doc", "component"), ["centre", "doc"])
-    groups = rows.groupBy("centre", "shingle").agg(
-        F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("k"), F.max_by(F.struct("doc", "component"), F.xxhash64("doc", F.lit(seed))).alias("c")
-    ).where("low < high")
-    few = rows.join(groups.where(F.col("k") <= FEW).select("centre", "shingle"), ["centre", "shingle"])
-    lists = few.groupBy("centre", "shingle").agg(F.array_sort(F.collect_list(F.struct("doc", "component"))).alias("l"))  # FEW at most
-    two = lists.select(F.explode("l").alias("p"), "l").select("p", F.explode("l").alias("q")).where("p.doc < q.doc and p.component != q.component")
-    star = rows.join(groups.where(F.col("k") > FEW).select("centre", "shingle", "c"), ["centre", "shingle"]).where("component != c.component")
-    return two.select(F.col("p.doc").alias("x"), F.col("q.doc").alias("y")).unionByName(star.select(F.col("doc").alias("x"), F.col("c.doc").alias("y")))
-
-
 def _by_prefix(members: DataFrame, full: DataFrame, similarity: int) -> DataFrame:
-    """All pairs of one family's different components that can be similar. Of ``n`` shingles in an order that the family
-    shares, rarest first, two similar documents have one in common among the first ``n - similarity * n + 1``."""
-    own = members.where("doc != centre").select("centre", "doc", "component", "n")  # stars have the centre's pairs
+    """All pairs of one family's different components that can be similar. Shingles are put in an order that the family
+    shares, rarest first. Of ``n`` shingles, two similar documents have one in common among the first
+    ``n - similarity * n + 1``, and the first one they have in common leaves each enough shingles for the overlap."""
+    own = members.where("doc != centre").select("centre", "doc", "kind", "component", "n").distinct()  # stars have the centre's pairs
     apart = own.groupBy("centre").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("centre")
     own = own.join(apart, "centre")
-    rows = written(own.join(full.select(F.col("doc_id").alias("doc"), "shingles"), "doc").select("centre", "doc", "component", "n", F.explode("shingles").alias("shingle")), "family-shingles")
+    rows = written(own.join(full.withColumnRenamed("doc_id", "doc"), ["doc", "kind"]).select("centre", "doc", "kind", "component", "n", F.explode("shingles").alias("shingle")), "family-shingles")
     counts = rows.groupBy("centre", "shingle").agg(F.count("*").alias("k"))
     # One document's shingles: bounded by its text.
-    place = F.row_number().over(Window.partitionBy("centre", "doc").orderBy("k", "shingle"))
-    first = rows.join(counts, ["centre", "shingle"]).withColumn("place", place).where(F.col("place") <= F.floor((100 - similarity) * F.col("n") / 100) + 1)
-    first = written(first.where("k > 1").drop("place", "k"), "prefixes")
+    place = F.row_number().over(Window.partitionBy("centre", "doc", "kind").orderBy("k", "shingle"))
+    first = rows.join(counts, ["centre", "shingle"]).withColumn("left", F.col("n") - place + 1).where(100 * F.col("left") >= similarity * F.col("n"))
+    first = written(first.where("k > 1").drop("k"), "prefixes")
     groups = first.groupBy("centre", "shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("k")).where("low < high")
     first = first.join(groups.select("centre", "shingle", F.ceil(F.col("k") / SHARE).alias("parts")), ["centre", "shingle"])
-    left = first.select("centre", "shingle", F.pmod(F.xxhash64("doc"), F.col("parts")).alias("part"), F.col("doc").alias("x"), F.col("component").alias("own"), F.col("n").alias("m"))
-    right = first.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    sized = 100 * F.least("n", "m") >= similarity * F.greatest("n", "m")
-    return left.join(right, ["centre", "shingle", "part"]).where((F.col("x") < F.col("doc")) & (F.col("own") != F.col("component")) & sized).select("x", F.col("doc").alias("y"))
+    one = first.select("centre", "shingle", F.pmod(F.xxhash64("doc"), F.col("parts")).alias("part"), F.col("doc").alias("x"), F.col("component").alias("own"), F.col("n").alias("m"), F.col("left").alias("rest"))
+    other = first.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    enough = (100 + similarity) * F.least("rest", "left") >= similarity * (F.col("n") + F.col("m"))
+    return one.join(other, ["centre", "shingle", "part"]).where((F.col("x") < F.col("doc")) & (F.col("own") != F.col("component")) & enough).select("x", F.col("doc").alias("y"))
 
 
 def linked(docs: DataFrame, buckets: DataFrame, similarity: int) -> DataFrame:
     """``node, component`` of the representatives that link; ``buckets`` has ``bucket, doc`` and no lone members."""
     members = buckets.select("doc").distinct()
-    full = written(sets(docs.join(members.withColumnRenamed("doc", "doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])), "sets")
+    full = written(sets(docs.join(members.withColumnRenamed("doc", "doc_id"), "doc_id", "left_semi")), "sets")
     sizes = buckets.groupBy("bucket").agg(F.count("*").alias("n"))
     mates = buckets.join(sizes, "bucket").groupBy("doc").agg(F.sum("n").alias("mates"))
     centres = written(buckets.join(mates, "doc").groupBy("bucket").agg(F.max_by("doc", F.struct("mates", -F.col("doc"))).alias("a")), "centres")
-    star = written(buckets.join(centres, "bucket").select("a", F.col("doc").alias("b")).where("a != b").distinct(), "stars")
+    star = buckets.join(centres, "bucket").select("a", F.col("doc").alias("b")).where("a != b").distinct()
     measured = written(overlaps(star, full), "measured")
     links = written(_similar(measured, similarity), "links")
     found = written(components(links), "components")
-    family = measured.select(F.col("a").alias("centre"), F.col("b").alias("doc"), "shared", F.col("size_b").alias("n"))
-    heads = measured.select(F.col("a").alias("centre"), F.col("a").alias("doc"), F.col("size_a").alias("shared"), F.col("size_a").alias("n")).distinct()
-    family = written(family.unionByName(heads), "families")
-    tested, further = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), None
-    for turn in itertools.count():
-        placed = family.join(found, family["doc"] == found["node"], "left").select("centre", "doc", "shared", "n", F.coalesce("component", "doc").alias("component"))
-        home = placed.where("doc = centre").select("centre", F.col("component").alias("home"))
-        spread = placed.groupBy("centre").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("centre")
-        open_ = written(placed.join(spread, "centre").join(home, "centre"), "open")
-        if further is None:
-            both = open_.select("centre", "doc").where("doc != centre").join(full.select(F.col("doc_id").alias("doc"), "shingles"), "doc").join(full.select(F.col("doc_id").alias("centre"), F.col("shingles").alias("of_centre")), "centre")
-            own = both.select("centre", "doc", F.explode(F.array_except("shingles", "of_centre")).alias("shingle"))
-            own = written(own, "own")
-            again = written(own.groupBy("centre", "shingle").agg(F.count("*").alias("k")).where("k > 1").select("centre", "shingle"), "again")
-            further = written(own.join(again, ["centre", "shingle"]), "further")
-        fresh = _pairs(_by_size(open_, similarity, None if turn else NEIGHBOURS).unionByName(_by_shingle(open_, further, turn)))
-        fresh = written(fresh.join(tested, ["a", "b"], "left_anti"), "pairs")
-        more = written(_similar(overlaps(fresh, full), similarity), "links")
-        if more.isEmpty():
-            tested = tested.unionByName(fresh)
-            if turn:
-                break
-            continue
-        tested, links = tested.unionByName(fresh), links.unionByName(more)
-        found = written(components(links), "components")
-    rest = written(_pairs(_by_prefix(open_, full, similarity)).join(tested, ["a", "b"], "left_anti"), "pairs")
+    family = measured.select(F.col("a").alias("centre"), F.col("b").alias("doc"), "kind", F.col("size_b").alias("n"))
+    placed = family.join(found, family["doc"] == found["node"], "left").select("centre", "doc", "kind", "n", F.coalesce("component", "doc").alias("component"))
+    spread = placed.groupBy("centre").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("centre")
+    rest = written(_pairs(_by_prefix(placed.join(spread, "centre"), full, similarity)), "pairs")
     more = written(_similar(overlaps(rest, full), similarity), "links")
     return found if more.isEmpty() else written(components(links.unionByName(more)), "components")
 

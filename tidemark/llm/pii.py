@@ -113,7 +113,7 @@ def spans(text: str) -> list[tuple[int, str, int]]:
         if 12 <= len(digits := _digits(m[0])) <= 19 and luhn(digits):
             found.append((m.start(), 2, m.end()))
     if "." in text:
-        found += [(m.start(), 1, m.end()) for m in _IP(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+        found += [(m.start(), 1, m.end()) for m in _IP(text) if all(len(p) <= 3 and int(p or 0) <= 255 for p in (x.lstrip("0") for x in m[0].split(".")))]
     more = [(4, m) for m in _IBAN(text) if mod97(m[0])] + [(6, m) for m in _BTC(text) if base58check(m[0])]
     if "-" in text:
         more += [(5, m) for m in _SSN(text)]

@@ -199,15 +199,19 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with repeated passages cut from ``text`` but for each one's first occurrence; ``n_chars``, if there, is
     counted anew. Documents that lose all their words go. A word is cut only if an earlier document has a window around
     it, so one copy of each stays."""
-    spans = repeats(docs).where("repeat").groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("cut_spans"))
+    spans = repeats(docs).where("repeat").groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("cuts"))
 
     @F.pandas_udf("string")
     def apply(text: pd.Series, cuts: pd.Series) -> pd.Series:
         return pd.Series([t if c is None or t is None else cut(t, merged([(s["start"], s["stop"]) for s in c])) for t, c in zip(text, cuts, strict=True)], dtype=object)
 
-    joined = docs.join(spans, "doc_id", "left")
-    whole = F.col("cut_spans").isNull()
-    out = joined.where(whole).unionByName(joined.where(~whole).withColumn("text", apply("text", "cut_spans")).where(F.col("text").rlike("[^\\x20\\x09-\\x0D]")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("cut_spans").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast("long"))
-    return out.select(*docs.columns)
+    # Further columns travel in a struct, whatever their names.
+    whole = docs.select("doc_id", "text", F.struct(*(c for c in docs.columns if c != "text")).alias("row"))
+    joined = whole.join(spans, "doc_id", "left")
+    # Python gets the texts only that lose something.
+    left = joined.withColumn("left", apply(F.when(F.col("cuts").isNotNull(), F.col("text")), "cuts"))
+    out = left.where(F.col("cuts").isNull() | F.col("left").rlike("[^\\x20\\x09-\\x0D]"))
+    text = F.when(F.col("cuts").isNull(), F.col("text")).otherwise(F.col("left"))
+    n_chars = F.when(F.col("cuts").isNull(), F.col("row.n_chars")).otherwise(F.length("left").cast("long")) if "n_chars" in docs.columns else None
+    made = {"text": text, "n_chars": n_chars}
+    return out.select(*(made.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns))

@@ -2,12 +2,14 @@
 
 A text is cut into sentences; each one is normalised (lower case, runs of letters and digits with single spaces)
 and rules are looked up by the first words from its start on. A rule is a sequence of sentences; it matches where
-its words are those of whole pieces that follow each other, however lines are wrapped and wherever abbreviations
-and blank lines cut them; list numbers between them don't count. At a sentence the longest rule counts; a rule
-that starts within an earlier match doesn't. Sentences are numbered as they are cut.
+its words are those of whole pieces that follow each other, however lines are wrapped, whatever comment marks they
+start with and wherever abbreviations and blank lines cut them; list numbers between them don't count. At a
+sentence the longest rule counts; a rule that starts within an earlier match doesn't. Sentences are numbered as
+they are cut.
 
 Defined cases: null and empty texts have no rows; a sentence that occurs twice gives two matches; equal texts
-give equal matches; a line that goes on in lower case belongs to the sentence before it; columns besides
+give equal matches; repeated rows (one ``doc_id``, one text) count once, different texts of one ``doc_id`` are each
+scanned on their own; a line that goes on in lower case belongs to the sentence before it; columns besides
 ``doc_id`` and ``text`` are ignored.
 """
 
@@ -16,68 +18,157 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: The licence rules, each a licence and its sentences in order.
+#: Full names of licences, with versions (none: the name alone).
+NAMES: tuple[tuple[str, str, tuple[str, ...]], ...] = (
+    ("MIT", "MIT License", ()),
+    ("MIT-0", "MIT No Attribution License", ()),
+    ("X11", "X11 License", ()),
+    ("ISC", "ISC License", ()),
+    ("0BSD", "BSD Zero Clause License", ()),
+    ("BSD-2-Clause", "BSD 2-Clause License", ()),
+    ("BSD-3-Clause", "BSD 3-Clause License", ()),
+    ("BSD-4-Clause", "BSD 4-Clause License", ()),
+    ("Apache-1.1", "Apache License", ("1.1",)),
+    ("Apache-2.0", "Apache License", ("2.0", "2")),
+    ("GPL-2.0-only", "GNU General Public License", ("2", "2.0")),
+    ("GPL-3.0-only", "GNU General Public License", ("3", "3.0")),
+    ("LGPL-2.0-only", "GNU Library General Public License", ("2", "2.0")),
+    ("LGPL-2.1-only", "GNU Lesser General Public License", ("2.1",)),
+    ("LGPL-3.0-only", "GNU Lesser General Public License", ("3", "3.0")),
+    ("AGPL-3.0-only", "GNU Affero General Public License", ("3", "3.0")),
+    ("GFDL-1.3-only", "GNU Free Documentation License", ("1.3",)),
+    ("MPL-1.1", "Mozilla Public License", ("1.1",)),
+    ("MPL-2.0", "Mozilla Public License", ("2.0", "2")),
+    ("EPL-1.0", "Eclipse Public License", ("1.0", "1")),
+    ("EPL-2.0", "Eclipse Public License", ("2.0", "2")),
+    ("EUPL-1.2", "European Union Public Licence", ("1.2",)),
+    ("CDDL-1.0", "Common Development and Distribution License", ("1.0",)),
+    ("CPL-1.0", "Common Public License", ("1.0",)),
+    ("Artistic-1.0", "Artistic License", ("1.0",)),
+    ("Artistic-2.0", "Artistic License", ("2.0",)),
+    ("AFL-3.0", "Academic Free License", ("3.0",)),
+    ("OSL-3.0", "Open Software License", ("3.0",)),
+    ("BSL-1.0", "Boost Software License", ("1.0",)),
+    ("BUSL-1.1", "Business Source License", ("1.1",)),
+    ("SSPL-1.0", "Server Side Public License", ("1",)),
+    ("Elastic-2.0", "Elastic License", ("2.0",)),
+    ("MS-PL", "Microsoft Public License", ()),
+    ("MS-RL", "Microsoft Reciprocal License", ()),
+    ("MulanPSL-2.0", "Mulan Permissive Software License", ("2",)),
+    ("UPL-1.0", "Universal Permissive License", ("1.0",)),
+    ("NCSA", "University of Illinois/NCSA Open Source License", ()),
+    ("OFL-1.1", "SIL Open Font License", ("1.1",)),
+    ("PostgreSQL", "PostgreSQL License", ()),
+    ("PSF-2.0", "Python Software Foundation License", ("2",)),
+    ("Ruby", "Ruby License", ()),
+    ("PHP-3.01", "PHP License", ("3.01",)),
+    ("Zlib", "zlib License", ()),
+    ("Unlicense", "Unlicense", ()),
+    ("BlueOak-1.0.0", "Blue Oak Model License", ("1.0.0",)),
+    ("CECILL-2.1", "CeCILL Free Software License Agreement", ("2.1",)),
+    ("ODbL-1.0", "Open Data Commons Open Database License", ("1.0",)),
+    ("ODC-By-1.0", "Open Data Commons Attribution License", ("1.0",)),
+)
+#: How a text names its licence, and a licence its version.
+PHRASES = (
+    "Licensed under the {}", "Released under the {}", "Distributed under the {}", "Published under the {}", "Available under the {}",
+    "This project is licensed under the {}", "This work is licensed under the {}", "This software is licensed under the {}", "This program is licensed under the {}",
+    "This file is licensed under the {}", "This code is licensed under the {}", "This package is licensed under the {}", "This library is licensed under the {}",
+    "This project is released under the {}", "This software is released under the {}", "This code is released under the {}", "This work is released under the {}",
+)
+VERSIONS = ("{} {}", "{}, version {}", "{} v{}")
+#: Creative Commons licences, their names and versions.
+COMMONS = (
+    ("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-NC", "Attribution-NonCommercial"), ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"),
+    ("BY-ND", "Attribution-NoDerivatives"), ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"),
+)
+COMMONS_VERSIONS = ("2.0", "2.5", "3.0", "4.0")
+
+#: Sentences of licence texts and notices.
+_GRANT = 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:'
+_NOTICE = "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software"
+_AS_IS = (
+    'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT',
+    "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE",
+)
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer",
+    "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution",
+    "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+)
+_BSD_END = (
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED',
+    "IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE",
+)
+_APACHE = (
+    'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License',
+    "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+)
+_APACHE_END = (
+    'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied',
+    "See the License for the specific language governing permissions and limitations under the License",
+)
+_FREE = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version"
+_HOPE = "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE"
+_ISC = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"
+
+#: The licence texts' and notices' rules, each a licence and its sentences in order; a longer one comes beside its beginning.
 RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
-    ("MIT", ("Released under the MIT License",)),
-    ("MIT", ("Licensed under the MIT License",)),
-    ("MIT", ("This project is licensed under the MIT License",)),
-    ("MIT", (
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
-        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software",
-    )),
-    ("Apache-2.0", ("Licensed under the Apache License, Version 2.0",)),
-    ("Apache-2.0", ("This project is licensed under the Apache License, Version 2.0",)),
-    ("Apache-2.0", (
-        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License",
-        "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
-    )),
-    ("GPL-3.0-only", ("This work is licensed under the GNU General Public License, version 3",)),
-    ("GPL-3.0-only", ("Licensed under the GNU General Public License, version 3",)),
-    ("GPL-3.0-or-later", (
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
-        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE",
-    )),
-    ("GPL-2.0-only", ("Licensed under the GNU General Public License, version 2",)),
-    ("GPL-2.0-only", ("This work is licensed under the GNU General Public License, version 2",)),
-    ("LGPL-3.0-only", ("Licensed under the GNU Lesser General Public License, version 3",)),
-    ("AGPL-3.0-only", ("Licensed under the GNU Affero General Public License, version 3",)),
-    ("BSD-3-Clause", ("Licensed under the BSD 3-Clause License",)),
-    ("BSD-2-Clause", ("Licensed under the BSD 2-Clause License",)),
-    ("BSD-2-Clause", (
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
-        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer",
-    )),
-    ("BSD-3-Clause", (
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
-        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer",
-        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution",
-        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
-    )),
-    ("ISC", ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",)),
+    ("MIT", (_GRANT, _NOTICE)),
+    ("MIT", (_GRANT, _NOTICE, *_AS_IS)),
+    ("Apache-2.0", _APACHE),
+    ("Apache-2.0", (*_APACHE, *_APACHE_END)),
+    ("GPL-3.0-or-later", (_FREE.format("General Public License", 3), _HOPE)),
+    ("GPL-3.0-or-later", (_FREE.format("General Public License", 3),)),
+    ("AGPL-3.0-or-later", (_FREE.format("Affero General Public License", 3),)),
+    ("LGPL-3.0-or-later", (_FREE.format("Lesser General Public License", 3),)),
+    ("GPL-2.0-or-later", ("This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version",)),
+    ("LGPL-2.1-or-later", ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version",)),
+    ("BSD-2-Clause", _BSD[:2]),
+    ("BSD-2-Clause", _BSD[:3]),
+    ("BSD-2-Clause", (*_BSD[:3], *_BSD_END)),
+    ("BSD-3-Clause", _BSD),
+    ("BSD-3-Clause", (*_BSD, *_BSD_END)),
+    ("ISC", (_ISC,)),
     ("MPL-2.0", ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",)),
-    ("MPL-2.0", ("Licensed under the Mozilla Public License, version 2.0",)),
-    ("CC-BY-4.0", ("Licensed under CC BY 4.0",)),
-    ("CC-BY-SA-4.0", ("Licensed under CC BY-SA 4.0",)),
-    ("CC-BY-NC-4.0", ("Licensed under CC BY-NC 4.0",)),
-    ("CC-BY-NC-SA-4.0", ("Licensed under CC BY-NC-SA 4.0",)),
-    ("CC-BY-ND-4.0", ("Licensed under CC BY-ND 4.0",)),
-    ("CC-BY-4.0", ("This work is licensed under a Creative Commons Attribution 4.0 International License",)),
+    ("BSL-1.0", ("Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at https://www.boost.org/LICENSE_1_0.txt)",)),
+    ("EPL-2.0", ("This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0",)),
+    ("Zlib", ("Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",)),
     ("CC0-1.0", ("Licensed under CC0 1.0",)),
+    ("CC0-1.0", ("Licensed under the Creative Commons Zero License",)),
     ("Unlicense", ("This is free and unencumbered software released into the public domain",)),
 )
 
+
+def all_rules() -> list[tuple[str, tuple[str, ...]]]:
+    """``RULES``, those made of names and phrases, and SPDX tags."""
+    out = list(RULES)
+    for licence, name, versions in NAMES:
+        for full in [form.format(name, v) for v in versions for form in VERSIONS] or [name]:
+            out += [(licence, (phrase.format(full),)) for phrase in PHRASES]
+    for short, name in COMMONS:
+        for v in COMMONS_VERSIONS:
+            licence = f"CC-{short}-{v}"
+            out += [(licence, (f"Licensed under CC {short} {v}",)), (licence, (f"This work is licensed under CC {short} {v}",))]
+            out += [(licence, (f"{phrase} a Creative Commons {name} {v} International License",)) for phrase in ("Licensed under", "This work is licensed under")]
+    out += [(licence, (f"SPDX-License-Identifier: {licence}",)) for licence in dict.fromkeys(x for x, _ in out)]
+    words: set[tuple[str, ...]] = set()
+    return [(licence, parts) for licence, parts in out if (form := tuple(map(normalised, parts))) not in words and not words.add(form)]
+
+
 #: Each rule has a sentence with one of these in lower case; a text without any needs no look-up.
 MARKS = ("licen", "permission", "redistribut", "unencumbered")
 
-#: A new line that goes on in lower case; what ends a sentence; what is no letter or digit.
-GOES_ON = r"[ \t]*\r?\n[ \t]*([a-z])"
+#: A new line, with a comment mark or without, that goes on in lower case; what ends a sentence; what is no letter or digit.
+GOES_ON = r"[ \t]*\r?\n[ \t]*(?:(?:[*#;%>]+|//+|--)[ \t]*)?([a-z])"
 ENDS = r"[.!?]+[ \t\r\n]+|\r?\n[ \t\r\n]*"
 OTHER = r"[^a-z0-9]+"
 #: A list mark before a piece's words; a piece that is a list number.
 LISTED = r"^[^A-Za-z0-9]*(?:[0-9]{1,2}|[a-z])\)[ \t]+"
 NUMBER = "^(?:[0-9]{1,2}|[a-z])$"
 #: Words by which rules are looked up.
-KEY = 3
+KEY = 4
 
 
 def normalised(sentence: str) -> str:
@@ -86,12 +177,10 @@ def normalised(sentence: str) -> str:
 
 
 def rule_table() -> tuple[dict[str, int], list[tuple[int, str, list[int]]]]:
-    """Identifiers of the known sentences, and (rule, licence, identifiers) of the rules; SPDX tags are rules, too."""
-    tags = dict.fromkeys(licence for licence, _ in RULES)
-    rules = [*RULES, *((t, (f"SPDX-License-Identifier: {t}",)) for t in tags)]
+    """Identifiers of the known sentences, and (rule, licence, identifiers) of the rules."""
     sentences: dict[str, int] = {}
     out = []
-    for rule, (licence, parts) in enumerate(rules, 1):
+    for rule, (licence, parts) in enumerate(all_rules(), 1):
         ids = [sentences.setdefault(normalised(p), len(sentences) + 1) for p in parts]
         out.append((rule, licence, ids))
     return sentences, out
@@ -102,14 +191,14 @@ def _clean(sentence: Column) -> Column:
 
 
 def pieces(docs: DataFrame) -> DataFrame:
-    """``doc_id, found``: the pieces (``sentence``, its number in the text, and ``clean``) of texts that may hold a licence."""
+    """``doc_id, row`` (tells texts of one ``doc_id`` apart), ``found``: the pieces (``sentence``, its number in the text, and ``clean``) of texts that may hold a licence."""
     lower = F.lower("text")
     marked = F.lit(False)
     for mark in MARKS:
         marked = marked | F.contains(lower, F.lit(mark))
     cut = F.split(F.regexp_replace("text", GOES_ON, " $1"), ENDS)
     each = F.transform(cut, lambda words, i: F.struct(i.alias("sentence"), _clean(F.regexp_replace(words, LISTED, "")).alias("clean")))
-    return docs.where(marked).select("doc_id", F.filter(each, lambda x: x["clean"] != "").alias("found"))
+    return docs.where(marked).select("doc_id", F.xxhash64("text").alias("row"), F.filter(each, lambda x: x["clean"] != "").alias("found"))
 
 
 def _joined(found: Column) -> Column:
@@ -119,13 +208,15 @@ def _joined(found: Column) -> Column:
 def scan(docs: DataFrame) -> DataFrame:
     """One row a match: ``doc_id, sentence, n_sentences, rule, license``."""
     _, rules = rule_table()
-    parts = [*(p for _, p in RULES), *((f"SPDX-License-Identifier: {t}",) for t in dict.fromkeys(t for t, _ in RULES))]
-    words = [" ".join(map(normalised, p)) for p in parts]
+    words = [" ".join(map(normalised, parts)) for _, parts in all_rules()]
     table = [(r, name, len(ids), w, len(w.split()), " ".join(w.split()[:KEY])) for (r, name, ids), w in zip(rules, words, strict=True)]
+    keys = sorted({row[-1] for row in table})
     table = docs.sparkSession.createDataFrame(table, "rule int, license string, n int, words string, n_words int, key string")
     # Each piece has a word at least: KEY of them hold the key.
-    key = F.substring_index(_joined(F.slice("found", F.col("place") + 1, KEY)), " ", KEY)
-    at = pieces(docs).select("doc_id", "found", F.posexplode("found").alias("place", "here")).withColumn("key", key)
+    key = lambda place: F.substring_index(_joined(F.slice("found", place + 1, KEY)), " ", KEY)
+    places = F.filter(F.transform("found", lambda _, i: i), lambda place: key(place).isin(keys))
+    at = pieces(docs).withColumn("places", places).select("doc_id", "row", "found", F.explode("places").alias("place"))
+    at = at.withColumn("key", key(F.col("place"))).withColumn("here", F.get("found", F.col("place")))
     # The rules are a constant of this module.
     at = at.join(F.broadcast(table), "key").withColumn("run", F.slice("found", F.col("place") + 1, 2 * F.col("n_words")))
 
@@ -134,12 +225,12 @@ def scan(docs: DataFrame) -> DataFrame:
         return (_joined(run) == F.col("words")) | (_joined(F.filter(run, lambda x: ~x["clean"].rlike(NUMBER))) == F.col("words"))
 
     size = F.get(F.filter(F.sequence(F.lit(1), F.size("run")), whole), F.lit(0))
-    found = at.select("doc_id", F.col("here.sentence").alias("sentence"), "run", "n", "rule", "license", size.alias("size")).where("size is not null")
+    found = at.select("doc_id", "row", F.col("here.sentence").alias("sentence"), "run", "n", "rule", "license", size.alias("size")).where("size is not null")
     found = found.withColumn("stop", F.expr("run[size - 1].sentence + 1"))
-    best = found.groupBy("doc_id", "sentence").agg(F.max(F.struct("n", (-F.col("rule")).alias("r"), "license", "stop")).alias("best"))
-    rows = best.select("doc_id", F.col("sentence").cast("long").alias("sentence"), F.col("best.n").cast("long").alias("n_sentences"), (-F.col("best.r")).alias("rule"), F.col("best.license").alias("license"), "best.stop")
-    covered = "max(stop) over (partition by doc_id order by sentence rows between unbounded preceding and 1 preceding)"
-    return rows.withColumn("until", F.expr(covered)).where("until is null or until <= sentence").drop("until", "stop")
+    best = found.groupBy("doc_id", "row", "sentence").agg(F.max(F.struct("n", (-F.col("rule")).alias("r"), "license", "stop")).alias("best"))
+    rows = best.select("doc_id", "row", F.col("sentence").cast("long").alias("sentence"), F.col("best.n").cast("long").alias("n_sentences"), (-F.col("best.r")).alias("rule"), F.col("best.license").alias("license"), "best.stop")
+    covered = "max(stop) over (partition by doc_id, row order by sentence rows between unbounded preceding and 1 preceding)"
+    return rows.withColumn("until", F.expr(covered)).where("until is null or until <= sentence").drop("until", "stop", "row")
 
 
 def scan_sql() -> str:

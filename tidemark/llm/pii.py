@@ -1,11 +1,11 @@
 """Personal data in texts: patterns propose spans, checksums confirm them, context words adjust the score.
 
 Base kinds (``email ip card phone``) follow fixed patterns and are kept whenever their own check holds.
-Further kinds (``iban ssn btc``) need a checksum or a nearby context word to reach ``MIN_SCORE``. Spans are
-code points, end exclusive, sorted by start and then kind.
+Further kinds (``iban ssn btc``) start from a score of their own, which words nearby raise or lower; they count
+from ``MIN_SCORE`` on. Spans are code points, end exclusive, sorted by start and then kind.
 
 Defined cases: null and empty texts have no spans; overlapping spans of different kinds are all reported and
-masked as one; equal texts have equal spans; columns besides ``doc_id`` and ``text`` are ignored by ``find``
+masked as one; equal texts have equal spans; repeated rows each get theirs; columns besides ``doc_id`` and ``text`` are ignored by ``find``
 and kept by ``mask``. All patterns are linear in the text, also for one very long run of digits or letters.
 """
 
@@ -28,14 +28,16 @@ BASE = KINDS[:4]
 MIN_SCORE = 0.6
 #: Code points on either side that are searched for context words.
 CONTEXT = 48
-#: Score of a proposal whose check holds, what a context word adds, and the words.
-SCORES = {"iban": 0.9, "ssn": 0.4, "btc": 0.5}
-BOOST = 0.3
+#: Score of a proposal whose check holds, what words nearby add or take, and the words.
+SCORES = {"iban": 0.7, "ssn": 0.4, "btc": 0.7}
+BOOST = PENALTY = 0.3
 WORDS = {
     "iban": ("iban", "bank", "konto", "compte", "cuenta", "account"),
     "ssn": ("ssn", "social security", "tax id", "taxpayer"),
     "btc": ("bitcoin", "btc", "wallet"),
 }
+#: Words of numbers that are no personal data.
+OTHERS = ("serial", "part no", "part number", "order number", "order no", "tracking", "isbn", "version", "commit", "hash", "placeholder", "sample value")
 
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+").match
@@ -97,9 +99,9 @@ def emails(text: str) -> Iterator[tuple[int, int]]:
 
 
 def scored(kind: str, text: str, lower: str, start: int, end: int) -> float:
-    """The score of a confirmed proposal; a context word nearby raises it."""
+    """The score of a confirmed proposal: words of its kind nearby raise it, words of other numbers lower it."""
     near = lower[max(0, start - CONTEXT) : end + CONTEXT]
-    return SCORES[kind] + BOOST * any(word in near for word in WORDS[kind])
+    return round(SCORES[kind] + BOOST * any(word in near for word in WORDS[kind]) - PENALTY * any(word in near for word in OTHERS), 6)
 
 
 def spans(text: str) -> list[tuple[int, str, int]]:

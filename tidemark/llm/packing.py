@@ -7,7 +7,7 @@ ranks for each place of a length in a pattern; pieces get their rank within thei
 prefix count, and look their interval up.
 
 Defined cases: a null or empty text is the end token alone; every id lies in exactly one piece; equal
-documents are packed each on their own; an empty table packs to an empty one; no sequence is over length
+documents are packed each on their own, and so are repeated rows; an empty table packs to an empty one; no sequence is over length
 and offsets in a sequence have no gaps.
 """
 
@@ -30,8 +30,8 @@ from .common import bounded_batches, texts, written
 
 #: Tokens in a full sequence.
 SEQUENCE = 1024
-#: Rows of the rank table for each length: pieces are counted by this many hash buckets before ranks are given.
-BUCKETS = 256
+#: Pieces of one length that one task ranks: a length is dealt to as many hash buckets as that takes.
+BUCKET_ROWS = 50_000
 
 #: Pre-tokens of these characters mean the same to both tokenizer libraries.
 PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-ɏ]+").fullmatch
@@ -124,10 +124,10 @@ def places(patterns: list[tuple[tuple[int, ...], int]]) -> dict[int, np.ndarray]
     return {length: np.array(rows, np.int64) for length, rows in out.items()}
 
 
-def ranked(cut: DataFrame) -> DataFrame:
+def ranked(cut: DataFrame, buckets: int) -> DataFrame:
     """``cut`` with ``rank``: 0, 1, ... within each length. A length may hold most rows, so its rows are counted
     by hash bucket first and each bucket starts where those before it end."""
-    bucket = F.pmod(F.xxhash64("doc_id", "start"), F.lit(BUCKETS))
+    bucket = F.pmod(F.xxhash64("doc_id", "start"), F.lit(buckets))
     cut = cut.withColumn("bucket", bucket)
     counts = cut.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     before = counts.selectExpr("length as l", "bucket as b", "sum(n) over (partition by length order by bucket) - n as before")
@@ -140,6 +140,7 @@ def pack(cut: DataFrame, sequence: int = SEQUENCE) -> DataFrame:
     """Pieces with ``sequence_id`` and ``offset``; ``cut`` has ``doc_id, start, length`` and may have more columns."""
     cut = written(cut, "pieces")
     histogram = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}  # at most `sequence` rows
+    buckets = -(-max(histogram.values(), default=1) // BUCKET_ROWS)
     table = places(shortest_pack_first(histogram, sequence))
     shared = cut.sparkSession.sparkContext.broadcast(table)  # patterns over at most `sequence` lengths
 
@@ -157,4 +158,4 @@ def pack(cut: DataFrame, sequence: int = SEQUENCE) -> DataFrame:
             yield frame.drop(columns="rank").assign(sequence_id=ids, offset=offsets)
 
     fields = ", ".join(f"`{name}` {kind}" for name, kind in cut.dtypes)
-    return ranked(cut).mapInPandas(look_up, f"{fields}, sequence_id long, offset long")
+    return ranked(cut, buckets).mapInPandas(look_up, f"{fields}, sequence_id long, offset long")

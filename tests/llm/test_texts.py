@@ -112,6 +112,9 @@ def test_pii_checksums_and_context():
     assert [k for _, k, _ in pii.spans("pay to DE89 3704 0044 0532 0130 00 now")] == ["iban"]
     assert [k for _, k, _ in pii.spans("wallet 1A1zP1eP5QGefi2DMPTfTL5SLmv7DivfNa")] == ["btc"]
     assert pii.spans("part 123-45-6789") == [] and [k for _, k, _ in pii.spans("SSN 123-45-6789")] == ["ssn"]
+    assert pii.spans("SSN in our tracking number 123-45-6789") == []
+    assert pii.spans("serial number DE89 3704 0044 0532 0130 00") == [] and [k for _, k, _ in pii.spans("IBAN, not the serial number: DE89 3704 0044 0532 0130 00")] == ["iban"]
+    assert pii.spans("commit hash 1A1zP1eP5QGefi2DMPTfTL5SLmv7DivfNa") == []
 
 
 def test_pii_frames(spark, odd, empty):
@@ -517,7 +520,7 @@ def test_licenses(spark, odd, empty):
     got = sorted((r["doc_id"] - 100, r["license"], r["n_sentences"]) for r in licenses.scan(odd.unionByName(frame(spark, texts, 100))).collect())
     assert got == [(0, "MIT", 1), (1, "Apache-2.0", 1), (1, "CC-BY-NC-4.0", 1), (2, "BSD-2-Clause", 2), (3, "MPL-2.0", 1), (4, "MIT", 1), (6, "MIT", 1), (6, "MIT", 1)]
     assert licenses.scan(empty).count() == 0
-    assert all(any(m in licenses.normalised(s) for m in licenses.MARKS for s in parts) for _, parts in licenses.RULES)
+    assert all(any(m in licenses.normalised(s) for m in licenses.MARKS for s in parts) for _, parts in licenses.all_rules())
 
 
 def test_licences_as_published(spark):
@@ -553,15 +556,38 @@ file, You can obtain one at https://mozilla.org/MPL/2.0/."""
 THIS SOFTWARE IS PROVIDED"""
     texts = [apache, "\n".join("# " + x for x in gpl.split("\n")), gpl, mpl, bsd, bsd[: bsd.index("\n\n3.")], "Licensed under the GNU General Public License, version\n3. More"]
     wants = ["Apache-2.0", "GPL-3.0-or-later", "GPL-3.0-or-later", "MPL-2.0", "BSD-3-Clause", "BSD-2-Clause", "GPL-3.0-only"]
-    for _, parts in licenses.RULES:  # each rule by itself, one word a line as well
-        texts += [". ".join(p.rstrip(":") for p in parts), "\n".join(" ".join(parts).split())]
+    rules = licenses.all_rules()
+    each = [*range(len(licenses.RULES)), *range(len(licenses.RULES), len(rules), 7)]
+    for k in each:  # rules by themselves, one word a line as well
+        texts += [". ".join(p.rstrip(":") for p in rules[k][1]), "\n".join(" ".join(rules[k][1]).split())]
         wants += [None, None]
     got = {}
     for r in licenses.scan(frame(spark, texts)).collect():
         got.setdefault(r["doc_id"], []).append((r["license"], r["rule"]))
     for d, want in enumerate(wants):
-        rule = (d - 7) // 2 + 1
-        assert len(got[d]) == 1 and (got[d][0][0] == want if want else got[d] == [(licenses.RULES[rule - 1][0], rule)]), texts[d]
+        rule = each[(d - 7) // 2]
+        assert len(got[d]) == 1 and (got[d][0][0] == want if want else got[d] == [(rules[rule][0], rule + 1)]), texts[d]
+
+
+def test_licences_in_comments_and_repeated_rows(spark):
+    notice = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+    marked = ["\n".join(f"{m} {line}".rstrip() for line in notice.split("\n")) for m in (" *", "#", "//", "--", ";", "%", ">")]
+    got = licenses.scan(frame(spark, ["/*\n" + marked[0] + "\n */", *marked[1:]])).collect()
+    assert sorted((r["doc_id"], r["license"], r["n_sentences"]) for r in got) == [(i, "Apache-2.0", 4) for i in range(7)]
+    bsd = "\n".join(f"{p}." for p in next(p for name, p in licenses.RULES if name == "BSD-3-Clause"))
+    rows = frame(spark, [bsd]).unionByName(frame(spark, [bsd])).unionByName(frame(spark, ["Released under the MIT License."]))
+    got = [(r["doc_id"], r["license"], r["n_sentences"]) for r in licenses.scan(rows).collect()]
+    assert sorted(got) == [(0, "BSD-3-Clause", 4), (0, "MIT", 1)]
 
 
 # media

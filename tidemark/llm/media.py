@@ -6,8 +6,8 @@ by SHA-256. Payloads live once each task in a media table of raster images (port
 
 Defined cases: null and empty texts and pages give an empty sequence, an empty payload still fills one row
 of zero samples; equal payloads share a digest and all derived values; a reference that no payload resolves
-keeps its struct with null payload columns; repeated references resolve each on their own; extra columns
-are ignored.
+keeps its struct with null payload columns; repeated references resolve each on their own, and so do repeated
+rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -190,6 +190,13 @@ def described(media: DataFrame) -> DataFrame:
 NAMES = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
+def page(text: str, digest: str) -> str:
+    """A document as a page: a paragraph a line, and after the first one a figure with the text's payload, which has that
+    line as its caption."""
+    head, *rest = [html.escape(x, quote=False) for x in text.split("\n") if x and not x.isspace()] or [""]
+    return f'<p>{head}</p><figure><img src="{SCHEME}{digest}"><figcaption>{head}</figcaption></figure>' + "".join(f"<p>{x}</p>" for x in rest)
+
+
 def as_pages(docs: DataFrame) -> DataFrame:
     """Each document as a page that refers to its text's payload: ``doc_id, n_bytes, html``."""
     bounded_batches(docs.sparkSession)
@@ -199,8 +206,7 @@ def as_pages(docs: DataFrame) -> DataFrame:
             rows = []
             for doc, text in zip(frame["doc_id"], frame["text"], strict=True):
                 digest = hashlib.sha256(padded(text)).hexdigest()
-                head = html.escape(text[:80])
-                rows.append((doc, len(text.encode("utf-8", "surrogatepass")), f'<p>{head}</p><figure><img src="{SCHEME}{digest}"><figcaption>{head}</figcaption></figure>'))
+                rows.append((doc, len(text.encode("utf-8", "surrogatepass")), page(text, digest)))
             yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "html"])
 
     return texts(docs).mapInPandas(run, "doc_id long, n_bytes long, html string")

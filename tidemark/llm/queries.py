@@ -58,9 +58,10 @@ def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     pages = media.as_pages(docs)
     items = media.interleaved(pages.select(F.struct("doc_id", "n_bytes").alias("page"), "html"), "page")
-    refs = items.select("page.*", F.explode("items").alias("item")).where("item.kind = 'media'")
-    refs = refs.select("doc_id", "n_bytes", F.substring_index("item.ref", ":", -1).alias("digest"), F.col("item.position").alias("position"))
-    return media.resolved(refs, media.described(media.store(docs)), ["digest", "n_bytes"]).select("doc_id", "n_bytes", *media.NAMES, "position")
+    refs = items.select("page.*", F.size("items").alias("n_items"), F.explode("items").alias("item")).where("item.kind = 'media'")
+    # A caption travels as its digest: a line may be a whole long text.
+    refs = refs.select("doc_id", "n_bytes", F.substring_index("item.ref", ":", -1).alias("digest"), "item.position", F.sha2("item.caption", 256).alias("caption_sha256"), "n_items")
+    return media.resolved(refs, media.described(media.store(docs)), ["digest", "n_bytes"]).select("doc_id", "n_bytes", *media.NAMES, "position", "caption_sha256", "n_items")
 
 
 @query

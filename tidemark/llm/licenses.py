@@ -214,8 +214,9 @@ def scan(docs: DataFrame) -> DataFrame:
     table = docs.sparkSession.createDataFrame(table, "rule int, license string, n int, words string, n_words int, key string")
     # Each piece has a word at least: KEY of them hold the key.
     key = lambda place: F.substring_index(_joined(F.slice("found", place + 1, KEY)), " ", KEY)
+    # Outer, as a filter on the places would go below ``found`` and work it out again for each piece.
     places = F.filter(F.transform("found", lambda _, i: i), lambda place: key(place).isin(keys))
-    at = pieces(docs).withColumn("places", places).select("doc_id", "row", "found", F.explode("places").alias("place"))
+    at = pieces(docs).withColumn("places", places).select("doc_id", "row", "found", F.explode_outer("places").alias("place"))
     at = at.withColumn("key", key(F.col("place"))).withColumn("here", F.get("found", F.col("place")))
     # The rules are a constant of this module.
     at = at.join(F.broadcast(table), "key").withColumn("run", F.slice("found", F.col("place") + 1, 2 * F.col("n_words")))

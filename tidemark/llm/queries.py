@@ -108,6 +108,26 @@ def op5_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.repeats(table(spark, sf_dir, "documents"))
 
 
+ORACLE["op5_suffix_array"] = r"""
+with words as (
+    select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents
+), windows as (
+    select distinct doc_id, unnest(list_transform(range(0, len(w) - 49), lambda i: {'start': i, 'window': array_to_string(w[i + 1:i + 50], ' ')}), recursive := true)
+    from words where len(w) >= 50
+), shared as (
+    select "window", min(doc_id) as first_doc_id from windows group by 1 having min(doc_id) < max(doc_id)
+), named as (
+    select distinct doc_id, start, first_doc_id from windows join shared using ("window")
+), begun as (
+    select *, case when start <= 50 + lag(start) over (partition by doc_id, first_doc_id order by start) then 0 else 1 end as fresh from named
+), islands as (
+    select *, sum(fresh) over (partition by doc_id, first_doc_id order by start rows unbounded preceding) as island from begun
+)
+select doc_id, min(start) as start, max(start) + 50 as stop, max(start) + 50 - min(start) as n_words, first_doc_id, doc_id <> first_doc_id as repeat
+from islands group by doc_id, first_doc_id, island
+"""
+
+
 @query
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))

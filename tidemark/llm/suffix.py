@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -92,16 +93,25 @@ def runs(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
 
 
 def suffixes(docs: DataFrame) -> DataFrame:
-    """``doc_id, gram, run, begin, windows``: the runs of windows of each document. Narrow: no shuffle."""
+    """``doc_id, gram, run, begins, windows``: each document's distinct runs of windows with their places. Narrow: no
+    shuffle; text that repeats itself gives one row, however often it does."""
     bounded_batches(docs.sparkSession)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            made = [runs(word_hashes(t)) for t in frame["text"]]
-            columns = {name: np.concatenate([m[k] for m in made]) for k, name in enumerate(("gram", "run", "begin", "windows"))}
-            yield pd.DataFrame({"doc_id": np.repeat(frame["doc_id"].to_numpy(), [len(m[0]) for m in made]), **columns})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [runs(word_hashes(t)) for t in batch.column("text").to_pylist()]
+            doc = np.repeat(np.arange(len(made)), [len(m[0]) for m in made])
+            gram, key, begin, count = (np.concatenate([m[k] for m in made] or [np.zeros(0, np.int64)]) for k in range(4))
+            order = np.lexsort((begin, key, gram, doc))
+            doc, gram, key, begin, count = (x[order] for x in (doc, gram, key, begin, count))
+            new = np.ones(len(doc), bool)
+            new[1:] = (doc[1:] != doc[:-1]) | (gram[1:] != gram[:-1]) | (key[1:] != key[:-1])
+            first = np.flatnonzero(new)
+            begins = pa.ListArray.from_arrays(pa.array(np.append(first, len(doc)), pa.int32()), pa.array(begin, pa.int32()))
+            columns = [batch.column("doc_id").take(pa.array(doc[first])), pa.array(gram[first]), pa.array(key[first]), begins, pa.array(count[first], pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "gram", "run", "begins", "windows"])
 
-    return texts(docs).mapInPandas(run, "doc_id long, gram long, run long, begin int, windows int")
+    return texts(docs).mapInArrow(run, "doc_id long, gram long, run long, begins array<int>, windows int")
 
 
 def windows(docs: DataFrame, kinds: DataFrame) -> DataFrame:
@@ -132,15 +142,16 @@ def windows(docs: DataFrame, kinds: DataFrame) -> DataFrame:
 
 
 def stretches(docs: DataFrame) -> DataFrame:
-    """``doc_id, begin, stop, first_doc_id``: stretches of words whose windows all occur in other documents and for the
-    first time in ``first_doc_id``."""
+    """``doc_id, begins, low, high, first_doc_id``: at each of ``begins``, the windows from the ``low``-th to the
+    ``high``-th all occur in other documents and for the first time in ``first_doc_id``."""
     every = written(suffixes(docs), "suffixes")
     grams = every.groupBy("gram").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.min("run").alias("a"), F.max("run").alias("b"))
     grams = written(grams.where("low < high").select("gram", "low", (F.col("a") != F.col("b")).alias("mixed")), "grams")
     kept = written(every.join(grams, "gram"), "kept")
-    same = kept.where("not mixed").select("doc_id", "begin", (F.col("begin") + F.col("windows") - 1 + WORDS).alias("stop"), F.col("low").alias("first_doc_id"))
+    same = kept.where("not mixed").select("doc_id", "begins", F.lit(0).alias("low"), (F.col("windows") - 1).alias("high"), F.col("low").alias("first_doc_id"))
     mixed = kept.where("mixed").drop("low", "mixed")
-    kinds = written(mixed.groupBy("gram", "run").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.min(F.struct("doc_id", "begin", "windows")).alias("at")), "kinds")
+    at = F.min(F.struct("doc_id", F.col("begins")[0].alias("begin"), "windows"))
+    kinds = written(mixed.groupBy("gram", "run").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), at.alias("at")), "kinds")
     each = written(windows(docs, kinds), "windows")
     shared = written(each.groupBy("gram", "window").agg(F.min("low").alias("first_doc_id"), F.max("high").alias("last")).where("first_doc_id < last").drop("last"), "shared")
     named = each.select("gram", "run", "offset", "window").join(shared, ["gram", "window"])
@@ -148,8 +159,7 @@ def stretches(docs: DataFrame) -> DataFrame:
     island = F.col("offset") - F.dense_rank().over(Window.partitionBy("gram", "run", "first_doc_id").orderBy("offset"))
     parts = named.withColumn("island", island).groupBy("gram", "run", "first_doc_id", "island").agg(F.min("offset").alias("low"), F.max("offset").alias("high"))
     parts = written(parts.drop("island"), "parts")
-    found = mixed.join(parts, ["gram", "run"]).select("doc_id", (F.col("begin") + F.col("low")).alias("begin"), (F.col("begin") + F.col("high") + WORDS).alias("stop"), "first_doc_id")
-    return same.unionByName(found)
+    return same.unionByName(mixed.join(parts, ["gram", "run"]).select("doc_id", "begins", "low", "high", "first_doc_id"))
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -169,7 +179,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     Spans of one first document are merged; those of different ones may overlap.
     """
     # A document's stretches: bounded by its words.
-    lists = stretches(docs).groupBy("doc_id").agg(F.collect_set(F.struct("begin", "stop", "first_doc_id")).alias("spans"))
+    lists = stretches(docs).groupBy("doc_id").agg(F.collect_set(F.struct("begins", "low", "high", "first_doc_id")).alias("spans"))
     bounded_batches(docs.sparkSession)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -178,7 +188,7 @@ def repeats(docs: DataFrame) -> DataFrame:
             for doc, spans in frame.itertuples(index=False, name=None):
                 by_first: dict[int, list[tuple[int, int]]] = {}
                 for s in spans:
-                    by_first.setdefault(s["first_doc_id"], []).append((s["begin"], s["stop"]))
+                    by_first.setdefault(s["first_doc_id"], []).extend((int(b) + s["low"], int(b) + s["high"] + WORDS) for b in s["begins"])
                 rows += [(doc, a, b, b - a, first, doc != first) for first, own in by_first.items() for a, b in merged(own)]
             yield pd.DataFrame(rows, columns=["doc_id", "start", "stop", "n_words", "first_doc_id", "repeat"])
 

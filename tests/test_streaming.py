@@ -1,6 +1,7 @@
 """Streams give what the batch operators give."""
 
 import json
+import os
 import uuid
 
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ def stream(spark, folder, batches, schema):
     folder.mkdir()
     for i, rows in enumerate(batches):
         (folder / f"{i:03}.json").write_text("\n".join(map(json.dumps, rows)))
+        os.utime(folder / f"{i:03}.json", (1_700_000_000 + 60 * i,) * 2)  # the order in which files are read
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(folder))
 
 
@@ -35,18 +37,30 @@ def test_bins_with_late_rows(spark, tmp_path):
 
 
 def test_open_events_span_batches(spark, tmp_path):
+    """Files in any order, rows within them, too: events are those of the rows in order of time."""
     flags = [0, 1, 1, 1, 0, 0, 1, 0]
     rows = [{"series_id": 1, "t": at(i), "score": 0.1 * i, "anomaly": a} for i, a in enumerate(flags)]
-    events = stateful.open_events(stream(spark, tmp_path / "in", [rows[:3], rows[3:6], rows[6:]], "series_id long, t timestamp, score double, anomaly int"), "t")
-    got = sorted((r["start"].second, r["stop"].second, r["n"]) for r in collected(events, tmp_path / "c"))
-    assert got == [(1, 3, 3), (6, 6, 1)]
+    last = [{"series_id": 1, "t": at(3000), "score": 0.0, "anomaly": 0}]
+    for k, parts in enumerate(([rows[:3], rows[3:6], rows[6:], last], [rows[6:], rows[2:6][::-1], rows[:2], last])):
+        events = stateful.open_events(stream(spark, tmp_path / f"in{k}", parts, "series_id long, t timestamp, score double, anomaly int"), "t", "1 minute")
+        got = sorted((r["start"].second, r["stop"].second, r["n"], round(r["confidence"], 6)) for r in collected(events, tmp_path / f"c{k}"))
+        assert got == [(1, 3, 3, 0.3), (6, 6, 1, 0.6)]
+
+
+def test_late_rows_of_open_events_are_dropped(spark, tmp_path):
+    rows = [{"series_id": 1, "t": at(i), "score": 0.5, "anomaly": int(i in (1000, 1001))} for i in (0, 1000, 1001, 1002)]
+    more = [{"series_id": 1, "t": at(1500), "score": 0.0, "anomaly": 0}]
+    late = [{"series_id": 1, "t": at(5), "score": 0.9, "anomaly": 1}, {"series_id": 1, "t": at(3000), "score": 0.0, "anomaly": 0}]
+    events = stateful.open_events(stream(spark, tmp_path / "in", [rows, more, late], "series_id long, t timestamp, score double, anomaly int"), "t", "1 minute")
+    assert [(r["n"], r["confidence"]) for r in collected(events, tmp_path / "c")] == [(2, 0.5)]
 
 
 def test_frozen_scores_keep_their_reference(spark, tmp_path):
     rows = [{"series_id": 1, "row_idx": i, "value": float(i % 4) + (40 if i >= 64 else 0)} for i in range(96)]
-    scores = stateful.frozen_scores(stream(spark, tmp_path / "in", [rows[:30], rows[30:70], rows[70:]], "series_id long, row_idx long, value double"), 16)
-    got = {r["row_idx"]: r["p"] for r in collected(scores, tmp_path / "c")}
-    assert len(got) == 96 and max(got[i] for i in range(64)) < 0.5 < min(got[i] for i in range(64, 96))
+    for k, parts in enumerate(([rows[:30], rows[30:70], rows[70:]], [rows[70:], rows[30:70][::-1], rows[:30]])):
+        scores = stateful.frozen_scores(stream(spark, tmp_path / f"in{k}", parts, "series_id long, row_idx long, value double"), 16)
+        got = {r["row_idx"]: r["p"] for r in collected(scores, tmp_path / f"c{k}")}
+        assert len(got) == 96 and max(got[i] for i in range(64)) < 0.5 < min(got[i] for i in range(64, 96))
 
 
 def test_sessions_and_duplicates(spark, tmp_path):

@@ -39,53 +39,74 @@ def anomaly_sessions(rows: DataFrame, t: str, gap: str, late: str) -> DataFrame:
     return hot.groupBy("series_id", F.session_window(t, gap)).agg(F.count("*").alias("n"), F.max("score").alias("confidence")).select("series_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("stop"), "n", "confidence")
 
 
-def open_events(rows: DataFrame, t: str) -> DataFrame:
+def open_events(rows: DataFrame, t: str, late: str = "10 minutes") -> DataFrame:
     """Events that stay open until a normal row arrives: one row when an event closes.
 
-    State of a series: start, last time, rows and largest score of its open event. Rows of one batch are put in
-    order; ``rows`` has ``series_id`` (long), the time, ``score, anomaly``.
+    Rows are taken in order of time, in whatever order they arrive: a row waits in the state until the watermark has
+    passed it. State of a series: start, last time, rows and largest score of its open event, and the rows of the last
+    ``late`` that wait. ``rows`` has ``series_id`` (long), the time, ``score, anomaly``.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        # Only this batch's rows of the series.
-        rows = pd.concat(list(frames)).sort_values(t, kind="stable")
-        start, last, n, top = state.get if state.exists else (None, None, 0, 0.0)
+        start, last, n, top, passed, times, scores, flags = state.get if state.exists else (0, 0, 0, 0.0, -(1 << 62), [], [], [])
+        waiting = [*zip(times, scores, flags, strict=True)]
+        for frame in frames:
+            frame = frame[frame["at_"] > passed]  # else later than the watermark
+            waiting += zip(frame["at_"].tolist(), frame["score"].tolist(), frame["anomaly"].tolist(), strict=True)
+        waiting.sort()
+        mark = state.getCurrentWatermarkMs() * 1000
+        done = 0
         closed = []
-        for at, score, flag in rows[[t, "score", "anomaly"]].itertuples(index=False):
+        for at, score, flag in waiting:
+            if at > mark:
+                break
+            done += 1
             if flag == 1:
                 start, last, n, top = (start if n else at), at, n + 1, max(top, score)
             elif n:
                 closed.append((key[0], start, last, n, top))
-                start, last, n, top = None, None, 0, 0.0
-        state.update((start, last, n, top))
+                start, last, n, top = 0, 0, 0, 0.0
+        waiting = waiting[done:]
+        times, scores, flags = ([w[k] for w in waiting] for k in range(3))
+        state.update((start, last, n, top, max(passed, mark), times, scores, flags))
+        if waiting:  # back when the watermark has passed the first one
+            state.setTimeoutTimestamp(max(times[0] // 1000, mark // 1000) + 1)
         yield pd.DataFrame(closed, columns=["series_id", "start", "stop", "n", "confidence"])
 
-    out = "series_id long, start timestamp, stop timestamp, n long, confidence double"
-    return rows.groupBy("series_id").applyInPandasWithState(step, out, "start timestamp, last timestamp, n long, top double", "append", GroupStateTimeout.NoTimeout)
+    out = "series_id long, start long, stop long, n long, confidence double"
+    held = "start long, last long, n long, top double, passed long, times array<long>, scores array<double>, flags array<int>"
+    timed = rows.withWatermark(t, late).select("series_id", t, F.unix_micros(F.col(t).cast("timestamp")).alias("at_"), F.col("score").cast("double").alias("score"), F.col("anomaly").cast("int").alias("anomaly"))
+    made = timed.groupBy("series_id").applyInPandasWithState(step, out, held, "append", GroupStateTimeout.EventTimeTimeout)
+    return made.select("series_id", F.timestamp_micros("start").alias("start"), F.timestamp_micros("stop").alias("stop"), "n", "confidence")
 
 
 def frozen_scores(cells: DataFrame, size: int, threshold: float = 0.5) -> DataFrame:
     """Scores of single-channel series in blocks of ``size`` rows against the last block that stayed calm.
 
-    State of a series: the reference block and the rows not yet in a whole block, both at most ``size`` values plus
-    the rows of one batch. A block without any reference yet is scored against itself.
+    Rows are taken in order of ``row_idx`` from 0 on, in whatever order they arrive: a row waits for those before it, and
+    a second one of the same index is dropped. State of a series: the reference block and the rows that wait. A block
+    without any reference yet is scored against itself.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(frames)).sort_values("row_idx", kind="stable")
-        reference, waiting, first = state.get if state.exists else ([], [], int(rows["row_idx"].iloc[0]))
-        values = np.array([*waiting, *rows["value"]], float)
+        reference, at, waiting, first = state.get if state.exists else ([], [], [], 0)
+        rows = pd.concat([pd.DataFrame({"row_idx": np.array(at, np.int64), "value": np.array(waiting, float)}), *(f[["row_idx", "value"]] for f in frames)])
+        rows = rows[rows["row_idx"] >= first].drop_duplicates("row_idx").sort_values("row_idx", kind="stable")
+        at, values = rows["row_idx"].to_numpy(), rows["value"].to_numpy(float)
+        ready = int((at == first + np.arange(len(at))).sum())  # rows without a gap before them
+        done = 0
         reference = np.array(reference, float)
         out = []
-        while len(values) >= size:
-            block, values = values[:size], values[size:]
+        while ready - done >= size:
+            block = values[done : done + size]
             z = np.abs(scaled_by(block[:, None], (reference if len(reference) else block)[:, None]))[:, 0]
             p = np.clip(1 - np.exp(-np.maximum(z - 3, 0)), 0, 1)
             out.append(pd.DataFrame({"series_id": key[0], "row_idx": np.arange(first, first + size), "p": p}))
-            first += size
+            first, done = first + size, done + size
             if p[-max(1, size // 4) :].max() < threshold:
                 reference = block
-        state.update((reference.tolist(), values.tolist(), first))
+        state.update((reference.tolist(), at[done:].tolist(), values[done:].tolist(), first))
         yield pd.concat(out) if out else pd.DataFrame({"series_id": pd.Series(dtype="int64"), "row_idx": pd.Series(dtype="int64"), "p": pd.Series(dtype=float)})
 
-    return cells.groupBy("series_id").applyInPandasWithState(step, "series_id long, row_idx long, p double", "reference array<double>, waiting array<double>, first long", "append", GroupStateTimeout.NoTimeout)
+    held = "reference array<double>, at array<long>, waiting array<double>, first long"
+    return cells.groupBy("series_id").applyInPandasWithState(step, "series_id long, row_idx long, p double", held, "append", GroupStateTimeout.NoTimeout)

@@ -263,9 +263,40 @@ def test_detect_and_predict(spark):
     made = spark.createDataFrame(rows, "series_id string, timestamp double, channel int, value double")
     _, found = scoring.detect(made)
     assert [(r["series_id"], r["start"], r["stop"]) for r in found.collect()] == [("a", 40, 42)]
+    assert [r["type"] for r in found.collect()] == ["anomaly"]
     assert scoring.predict(made).agg(F.count("*"), F.sum("anomaly")).first() == (105, 3)
 
 
+def test_detect_calibrates_cells_and_fills_short_series(spark):
+    """Channels of an event are those whose calibrated cells exceed the threshold of the level."""
+    z = {0: 3.25, 1: 5.0}  # deviations in units of the scale: raw probabilities of about 0.2 and 0.86
+    base = [math.sin(7.0 * i) for i in range(99)]
+    centre = float(np.median(base))
+    scale = float(np.median(np.abs(np.array(base) - centre))) * 1.4826
+    rows = [("a", float(i), c, centre + scale * z[c] if i == 50 else base[i]) for i in range(99) for c in z]
+    rows += [("b", float(i), 0, None if i == 3 else 90.0 if i == 7 else float(i % 3)) for i in range(12)]
+    made = spark.createDataFrame(rows, "series_id string, timestamp double, channel int, value double")
+    seen = {}
+    for level, temperature in (("low", 1.0), ("medium", 1.0), ("high", 3.0)):
+        flagged, found = scoring.detect(made, level=level, how="max", temperature=temperature, use_types=True)
+        seen[level] = {r["series_id"]: (r["start"], r["channels"], r["type"]) for r in found.collect()}
+        assert flagged.where("series_id = 'b'").count() == 12
+    assert seen["low"]["a"] == (50, "1", "anomaly") and seen["medium"]["a"] == (50, "1", "anomaly")
+    assert seen["high"]["a"][1] == "0,1" and all(s["b"] == (7, "0", "spike") for s in seen.values())
+
+
+def test_detect_in_windows_and_against_a_reference(spark):
+    x = [float(i % 4) + (30 if i >= 150 else 0) for i in range(300)]
+    made = spark.createDataFrame([("a", float(i), 0, v) for i, v in enumerate(x)], "series_id string, timestamp double, channel int, value double")
+    rows, found = scoring.detect(made, max_t=64)
+    p = scoring.fold_windows(np.array(x)[:, None], 64, 32, 0.5)[:, 0]
+    assert [r["score"] for r in rows.orderBy("row_idx").collect()] == pytest.approx(list(p), abs=1e-9)
+    assert found.agg(F.max("stop")).first()[0] == 299
+    calm = spark.createDataFrame([("a", i, 0, float(i % 4)) for i in range(40)], "series_id string, row_idx int, channel int, value double")
+    rows, _ = scoring.detect(made, max_t=64, normal=calm)
+    assert rows.where("anomaly = 1").agg(F.min("row_idx"), F.count("*")).first() == (150, 150)
+
+
 def test_results_do_not_depend_on_partitions(spark):
     made = cells(spark, [i * 37 % 101 for i in range(60)])
     one = column(series.robust_normalize(series.local_deviation(made.repartition(1), 8, "ms")), "ms")

@@ -21,7 +21,7 @@ def detected(cells: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
     """One row an event, a run of anomalous rows: ``start, stop`` (inclusive), times, channels, type, confidence, reason.
 
     Its channels are those of cells above the threshold; without any, of each row's strongest cell. ``cells`` has
-    ``series_id, row_idx, channel, timestamp, p`` and ``type`` (an id).
+    ``series_id, row_idx, channel, timestamp, p`` and ``type`` (an id; 0 throughout an event: just an anomaly).
     """
     flagged = rows.withColumnRenamed("anomaly", "label")
     spans = runs.islands(flagged).select("series_id", "row_idx", "run", "score")
@@ -33,20 +33,28 @@ def detected(cells: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
     marked = inside.withColumn("over", over).withColumn("strongest", strongest).withColumn("any", F.max(over.cast("int")).over(run) == 1)
     used = marked.withColumn("used", F.when(F.col("any"), F.col("over")).otherwise(F.col("strongest")))
     kinds = used.where("used").groupBy("series_id", "run", "type").agg(F.count("*").alias("n"))
-    kind = kinds.groupBy("series_id", "run").agg(F.max_by("type", F.struct("n", -F.col("type"))).alias("type"))
+    kind = kinds.groupBy("series_id", "run").agg(F.max_by("type", F.struct("n", -F.col("type"))).alias("type"), F.max("type").alias("most"))
     spans = used.groupBy("series_id", "run").agg(
         F.min("row_idx").alias("start"), F.max("row_idx").alias("stop"), F.min("timestamp").alias("start_time"), F.max("timestamp").alias("stop_time"),
         F.array_sort(F.collect_set(F.when(F.col("used"), F.col("channel")))).alias("channels"), F.max("score").alias("confidence"),
     )
     names = F.create_map(*(x for i, t in enumerate(TYPES) for x in (F.lit(i), F.lit(t))))
     reason = F.format_string("%d channels deviate over %d rows", F.size("channels"), F.col("stop") - F.col("start") + 1)
-    return spans.join(kind, ["series_id", "run"]).select("series_id", "start", "stop", "start_time", "stop_time", names[F.col("type")].alias("type"), F.array_join("channels", ",").alias("channels"), "confidence", reason.alias("reason"))
+    return spans.join(kind, ["series_id", "run"]).select("series_id", "start", "stop", "start_time", "stop_time", F.when(F.col("most") > 0, names[F.col("type")]).otherwise("anomaly").alias("type"), F.array_join("channels", ",").alias("channels"), "confidence", reason.alias("reason"))
 
 
 def _mad(values, centre):
     return F.median(F.abs(values - centre)) * 1.4826 + 1e-9
 
 
+def within(cells: DataFrame, events: DataFrame, width: int) -> DataFrame:
+    """Cells with the events whose rows from ``low`` up to ``high`` they are among, by an equi-join on the series and bins
+    of ``width`` rows: a long series is many keys, and an event meets its own bins only."""
+    bins = F.sequence(F.floor(F.col("low") / width), F.floor((F.col("high") - 1) / width))
+    spread = events.where("low < high").withColumn("bin", F.explode(bins))
+    return cells.withColumn("bin", F.floor(F.col("row_idx") / width)).join(spread, ["series_id", "bin"]).where("row_idx >= low and row_idx < high").drop("bin")
+
+
 def statistics(cells: DataFrame, least_before: int = 16, least_after: int = 8, window: int = MAX_T) -> DataFrame:
     """One row a labelled event with its measures against the rows before and after it.
 
@@ -60,8 +68,7 @@ def statistics(cells: DataFrame, least_before: int = 16, least_after: int = 8, w
     events = runs.runs(rows).join(lengths, "series_id").where(F.col("length") <= window)
     before = F.greatest(F.lit(0), F.col("start") - F.greatest(F.lit(32), 2 * F.col("length")))
     events = events.withColumn("low", before).where(F.col("start") - F.col("low") >= least_before).withColumn("high", F.least(F.col("n"), F.col("stop") + 2 * F.col("length")))
-    # Equi-join on the series, then the bounds: an event meets the rows of its own series only.
-    near = cells.drop("label").join(events, "series_id").where("row_idx >= low and row_idx < high")
+    near = within(cells.drop("label"), events, window)
     key = ["series_id", "start", "channel"]
     phase = F.when(F.col("row_idx") < F.col("start"), "pre").when(F.col("row_idx") < F.col("stop"), "event").otherwise("post")
     tagged = near.withColumn("phase", phase)
@@ -105,7 +112,8 @@ def templates(cells: DataFrame, stats: DataFrame, least: int = 8, most: int = 20
     half of it, are left out.
     """
     usable = stats.where(F.col("duration").between(least, most) & (F.col("amplitude") >= 0.5)).select("series_id", F.col("start"), F.col("duration").alias("length"))
-    near = cells.join(usable, "series_id").where("row_idx >= start - 2 * length and row_idx < start + 3 * length")
+    bounds = usable.withColumn("low", F.greatest(F.lit(0), F.col("start") - 2 * F.col("length"))).withColumn("high", F.col("start") + 3 * F.col("length"))
+    near = within(cells, bounds, MAX_T).drop("low", "high")
     key = ["series_id", "start", "channel"]
     pre = F.when(F.col("row_idx") < F.col("start"), F.col("value"))
     centre = near.groupBy(*key).agg(F.median(pre).alias("m0"))

@@ -40,10 +40,8 @@ def held_out(key: Column, one_in: int = 5) -> Column:
 
 def holdout_ids(ids: DataFrame, key: str, share: float) -> DataFrame:
     """``max(1, round(n * share))`` of the ids (half to even), those of least hash."""
-    ranked = ids.select(key).distinct().withColumn("h", F.xxhash64(key))
-    n = ranked.agg(F.greatest(F.lit(1), F.bround(F.count("*") * share)).alias("take"))
-    low = ranked.join(F.broadcast(n)).withColumn("place", F.rank().over(Window.orderBy("h", key)))
-    return low.where("place <= take").select(key)
+    ranked = ids.select(key).distinct()
+    return ranked.orderBy(F.xxhash64(key), key).limit(max(1, round(ranked.count() * share)))
 
 
 def roles(catalog: DataFrame, tests: list[str], validation: list[str], holdout_sectors: list[str]) -> DataFrame:

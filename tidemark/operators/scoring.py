@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import combine_scales, robust_probability
+from ..functions.columns import calibrate, combine_scales, robust_probability, sensitivity
 from ..schema import MAX_T, MIN_T
 from . import reshape, series
 from .events import decide, detected
@@ -60,8 +60,8 @@ def matrix_profile(cells: DataFrame, most_rows: int = 40_000, channels: int = 8,
     """``series_id, row_idx, score``: the nearest-neighbour baseline.
 
     Stretches of ``min(64, max(8, n // 20))`` rows; the profile of the (at most ``channels``) most variable channels is
-    averaged, put at stretch centres, its ends extended, and smoothed. A series has at most ``most_rows`` rows (the
-    baseline's own limit). The work is quadratic in them: a task takes ``block`` offsets of one channel, and the least
+    averaged, put at stretch centres, its ends extended, and smoothed. Rows from ``most_rows`` on (the baseline's own
+    limit) have no score (null). The work is quadratic in them: a task takes ``block`` offsets of one channel, and the least
     distance of each stretch is taken over all blocks.
     """
     kind = dict(cells.dtypes)["series_id"]
@@ -106,7 +106,9 @@ def matrix_profile(cells: DataFrame, most_rows: int = 40_000, channels: int = 8,
     # A channel's stretches: at most ``most_rows``.
     least = least.groupBy("series_id", "rank").agg(F.collect_list(F.struct("place", "d")).alias("found"))
     made = picked.select("series_id", "rank", "m", "index").join(least, ["series_id", "rank"], "left")
-    return made.groupBy("series_id").applyInPandas(score, f"series_id {kind}, row_idx long, score double")
+    scores = made.groupBy("series_id").applyInPandas(score, f"series_id {kind}, row_idx long, score double")
+    beyond = cells.where(F.col("row_idx") >= most_rows).select("series_id", F.col("row_idx").cast("long").alias("row_idx")).distinct()
+    return scores.unionByName(beyond.withColumn("score", F.lit(None).cast("double")))
 
 
 def scaled_by(x: np.ndarray, reference: np.ndarray) -> np.ndarray:
@@ -117,18 +119,18 @@ def scaled_by(x: np.ndarray, reference: np.ndarray) -> np.ndarray:
     return np.clip((x - centre) / np.where(mad > 1e-8, mad, np.where(sd > 1e-8, sd, 1.0)), -50, 50)
 
 
-def fold_windows(x: np.ndarray, size: int, stride: int, threshold: float) -> np.ndarray:
+def fold_windows(x: np.ndarray, size: int, stride: int, threshold: float, given: np.ndarray | None = None) -> np.ndarray:
     """Cell probabilities of one series: windows in order, each scored against the last one that ended calm.
 
     A window whose last quarter stays below ``threshold`` becomes the reference of those after it; else the reference
-    stays as it is. Windows are blended by triangle weights.
+    stays as it is. With a ``given`` reference all are scored against that. Windows are blended by triangle weights.
     """
     n = len(x)
     starts = [0] if n <= size else [*range(0, n - size + 1, stride)]
     if starts[-1] + size < n:
         starts.append(n - size)
     total, weight = np.zeros(x.shape), np.zeros((n, 1))
-    reference = None
+    reference = given
     for s in starts:
         part = x[s : s + size]
         z = scaled_by(part, part if reference is None else reference)
@@ -137,27 +139,54 @@ def fold_windows(x: np.ndarray, size: int, stride: int, threshold: float) -> np.
         total[s : s + size] += p * w
         weight[s : s + size] += w
         top = np.sort(p[-max(1, len(part) // 4) :], 1)[:, ::-1][:, :3].mean(1)
-        if top.max() < threshold:
+        if given is None and top.max() < threshold:
             reference = part
     return total / np.maximum(weight, 1e-8)
 
 
-def frozen_reference(cells: DataFrame, size: int = MAX_T, stride: int | None = None, threshold: float = 0.5, group: int = 100) -> DataFrame:
+def frozen_reference(cells: DataFrame, size: int = MAX_T, stride: int | None = None, threshold: float = 0.5, group: int = 100, normal: DataFrame | None = None) -> DataFrame:
     """``series_id, row_idx, channel, p`` with each window scored against a reference that anomalies don't enter.
 
-    Sequential by definition: one group is a series' block of ``group`` channels.
+    ``normal``: rows of the same columns that are known to be calm; every window of their series is scored against them.
+    They need ``MIN_T`` rows, the series' channels and finite values. Sequential by definition: one group is a series'
+    block of ``group`` channels.
     """
     step = stride or size // 2
 
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        wide = frame.pivot(index="row_idx", columns="channel", values="value").sort_index().ffill()
-        wide = wide.fillna(wide.median()).fillna(0.0)
-        p = fold_windows(wide.to_numpy(float), size, step, threshold)
-        return pd.DataFrame({"series_id": frame["series_id"].iloc[0], "row_idx": np.repeat(wide.index.to_numpy(), p.shape[1]), "channel": np.tile(wide.columns.to_numpy(), len(p)), "p": p.ravel()})
+    def wide(frame: pd.DataFrame) -> pd.DataFrame:
+        return frame.pivot(index="row_idx", columns="channel", values="value").sort_index()
+
+    def folded(frame: pd.DataFrame, given: pd.DataFrame | None) -> pd.DataFrame:
+        x = wide(frame).ffill()
+        x = x.fillna(x.median()).fillna(0.0)
+        if given is not None and len(given):
+            given = wide(given)
+            if len(given) < MIN_T or list(given.columns) != list(x.columns) or not np.isfinite(given.to_numpy(float)).all():
+                raise ValueError(f"a normal reference needs {MIN_T} rows, the series' channels and finite values")
+        p = fold_windows(x.to_numpy(float), size, step, threshold, None if given is None or not len(given) else given.to_numpy(float))
+        return pd.DataFrame({"series_id": frame["series_id"].iloc[0], "row_idx": np.repeat(x.index.to_numpy(), p.shape[1]), "channel": np.tile(x.columns.to_numpy(), len(p)), "p": p.ravel()})
 
     kind = dict(cells.dtypes)["series_id"]
-    blocks = cells.select("series_id", "row_idx", "channel", "value").withColumn("block", F.floor(F.col("channel") / group))
-    return blocks.groupBy("series_id", "block").applyInPandas(fold, f"series_id {kind}, row_idx long, channel int, p double")
+    out = f"series_id {kind}, row_idx long, channel int, p double"
+    cut = lambda df: df.select("series_id", "row_idx", "channel", "value").withColumn("block", F.floor(F.col("channel") / group)).groupBy("series_id", "block")
+    if normal is None:
+        return cut(cells).applyInPandas(lambda frame: folded(frame, None), out)
+    none = pd.DataFrame({"series_id": [], "row_idx": [], "channel": [], "p": []})
+    return cut(cells).cogroup(cut(normal)).applyInPandas(lambda frame, given: folded(frame, given) if len(frame) else none, out)
+
+
+def windowed_scorer(size: int = MAX_T, stride: int | None = None, threshold: float = 0.5, normal: DataFrame | None = None) -> Scorer:
+    """Robust z-scores in windows of ``size`` rows: against a ``normal`` reference where one is given, else series of more
+    than ``size`` rows against their last calm window and shorter ones, a single window, against themselves."""
+
+    def scorer(cells: DataFrame) -> DataFrame:
+        if normal is not None:
+            return frozen_reference(cells, size, stride, threshold, normal=normal)
+        longer = cells.groupBy("series_id").agg(F.max("row_idx").alias("m")).where(F.col("m") + 1 > size).select("series_id")
+        whole = robust_scorer(cells.join(longer, "series_id", "left_anti")).select("series_id", "row_idx", F.col("channel").cast("int").alias("channel"), "p")
+        return whole.unionByName(frozen_reference(cells.join(longer, "series_id", "left_semi"), size, stride, threshold))
+
+    return scorer
 
 
 def score_cells(cells: DataFrame, scorer: Scorer = robust_scorer, scales: tuple[int, ...] = (), how: str = "mean", max_t: int = MAX_T) -> DataFrame:
@@ -180,21 +209,29 @@ def score_cells(cells: DataFrame, scorer: Scorer = robust_scorer, scales: tuple[
     return out.withColumn("p", combine_scales("p", names, how)).drop(*names)
 
 
-def detect(cells: DataFrame, scorer: Scorer = robust_scorer, threshold: float = 0.5, level: str = "medium", how: str = "topk", k: int = 3, temperature: float = 1.0, bias: float = 0.0) -> tuple[DataFrame, DataFrame]:
+def detect(
+    cells: DataFrame, scorer: Scorer | None = None, threshold: float = 0.5, level: str = "medium", how: str = "topk", k: int = 3, temperature: float = 1.0, bias: float = 0.0,
+    scales: tuple[int, ...] = (), combine: str = "mean", normal: DataFrame | None = None, max_t: int = MAX_T, use_types: bool = False,
+) -> tuple[DataFrame, DataFrame]:
     """Rows with ``score, anomaly``, and the events. ``cells``: ``series_id, timestamp, channel, value``.
 
-    Equal timestamps are merged first. Series of fewer than ``MIN_T`` rows are scored by robust z alone.
+    Equal timestamps are merged first. Series are scored in windows of ``max_t`` rows (``windowed_scorer``, against
+    ``normal`` if given) or by ``scorer``, over coarser ``scales`` as well. Series of fewer than ``MIN_T`` rows are filled
+    and scored by robust z alone, without calibration. Rows and, for an event's channels, cells are calibrated before
+    they are compared with the threshold of ``level``. Events have a type only with ``use_types``.
     """
     merged = reshape.merge_duplicates(cells).withColumn("label", F.lit(0))
     size = merged.groupBy("series_id").agg((F.max("row_idx") + 1).alias("rows_"))
     long_ones = size.where(F.col("rows_") >= MIN_T).select("series_id")
-    scored = score_cells(merged.join(long_ones, "series_id", "left_semi"), scorer)
-    short = series.short_scores(merged, MIN_T).select("series_id", "row_idx", "channel", F.coalesce("p", F.lit(0.0)).alias("p"))
-    p = scored.unionByName(short)
-    rows = decide(p, threshold, level, how, k, temperature, bias)
+    scored = score_cells(merged.join(long_ones, "series_id", "left_semi"), scorer or windowed_scorer(max_t, normal=normal), scales, combine, max_t)
+    filled = series.fill(merged.join(size.where(F.col("rows_") < MIN_T), "series_id", "left_semi")).drop("value").withColumnRenamed("filled", "value")
+    short = series.short_scores(filled, MIN_T).select("series_id", "row_idx", "channel", F.coalesce("p", F.lit(0.0)).alias("p"))
+    rows = decide(scored, threshold, level, how, k, temperature, bias).unionByName(decide(short, threshold, level, how, k))
+    limit = sensitivity(threshold, level)
+    spiked = F.when(F.col("p") > limit, 1).otherwise(0) if use_types else F.lit(0)
+    p = scored.withColumn("p", calibrate("p", temperature, bias)).withColumn("type", F.lit(0)).unionByName(short.withColumn("type", spiked))
     times = merged.select("series_id", "row_idx", "channel", "timestamp")
-    typed = p.join(times, ["series_id", "row_idx", "channel"]).withColumn("type", F.lit(1))
-    return rows, detected(typed, rows, threshold)
+    return rows, detected(p.join(times, ["series_id", "row_idx", "channel"]), rows, limit)
 
 
 def predict(cells: DataFrame, **options) -> DataFrame:

@@ -242,6 +242,9 @@ k as (select *, row_number() over (partition by channel order by round(abs(r), 9
 reach as (select channel as a, partner as b from e union select r.a, e.partner from reach r join e on e.channel = r.b) select a, b from reach"""
 ORACLE["detect_rows"] = f"""with {EV}, {scaled("ev", "series_id")}, q as (select series_id, least(1, greatest(0, 1 - exp(-greatest(abs(z) - 3, 0)))) as p from z)
 select series_id, count(*) as n, cast(count(*) filter (p > 0.3) as bigint) as n_anomalies, {r6("max(p)")} as top from q group by 1"""
+ORACLE["detect_calibrated"] = f"""with {EV}, {scaled("ev", "series_id")}, q as (select series_id, least(1 - 1e-7, greatest(1e-7, 1 - exp(-greatest(abs(z) - 3, 0)))) as p from z),
+s as (select series_id, 1 / (1 + exp(-(ln(p / (1 - p)) / 1.5 + 0.2))) as s from q)
+select series_id, cast(count(*) filter (s > 0.65) as bigint) as n_low, cast(count(*) filter (s > 0.18) as bigint) as n_high from s group by 1"""
 ORACLE["first_positive_rows"] = f"""with {EV}, p as (select *, row_number() over (partition by series_id, label = 1 order by row_idx) as k from ev)
 select series_id, row_idx, case when label = 1 and (series_id % 5 = 0 or k > 3) then -1 else label end as label from p"""
 ORACLE["first_rows_of_runs"] = f"""with {EV}, {RUNS.format(src="ev", label=1)}

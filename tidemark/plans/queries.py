@@ -439,6 +439,14 @@ def detect_rows(spark, sf):
     return rows.groupBy("series_id").agg(F.count("*").alias("n"), F.sum("anomaly").alias("n_anomalies"), r6(F.max("score"), "top"))
 
 
+@query
+def detect_calibrated(spark, sf):
+    cells = T.event_series(spark, sf).select("series_id", "timestamp", "channel", "value")
+    low, high = (scoring.detect(cells, threshold=0.3, level=level, temperature=1.5, bias=0.2)[0] for level in ("low", "high"))
+    low, high = (rows.groupBy("series_id").agg(F.sum("anomaly").alias(name)) for rows, name in ((low, "n_low"), (high, "n_high")))
+    return low.join(high, "series_id")
+
+
 @query
 def multi_scale_scores(spark, sf):
     cells = T.daily_series(spark, sf)

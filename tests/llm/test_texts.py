@@ -364,6 +364,21 @@ def test_repeats_around_a_frequent_line(spark):
     same_firsts(frame(spark, texts), texts)
 
 
+def test_clashing_columns_and_repeated_rows_of_cut_texts(spark, empty):
+    rng = random.Random(16)
+    shared = " ".join(f"v{rng.randint(0, 10**9)}" for _ in range(60))
+    texts = [shared + " one", "two " + shared, None, "", shared + " one"]
+    extra = {c: F.lit(7) for c in ("cuts", "left", "row", "cut_spans", "node", "component", "kind", "centre")}
+    docs = frame(spark, texts[:4]).unionByName(frame(spark, texts[1:2], 1)).withColumns(extra)
+    out = suffix.without_repeats(docs)
+    assert out.columns == docs.columns
+    got = sorted((r["doc_id"], r["text"] or "", r["n_chars"], r["cuts"], r["row"]) for r in out.collect())
+    assert got == [(0, texts[0], len(texts[0]), 7, 7), (1, "two ", 4, 7, 7), (1, "two ", 4, 7, 7), (2, "", None, 7, 7), (3, "", 0, 7, 7)]
+    left = minhash.distinct_documents(docs)
+    assert left.columns == docs.columns and sorted(r["doc_id"] for r in left.collect()) == [0, 2, 3]
+    assert suffix.without_repeats(empty.withColumns(extra)).count() == 0
+
+
 def test_cut():
     assert suffix.cut("a b  c\nd e", [(1, 3)]) == "a d e" and suffix.cut("a b", [(0, 2)]) == "" and suffix.cut("a b", []) == "a b"
 

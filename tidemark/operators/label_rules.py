@@ -36,7 +36,7 @@ def status_labels(rows: DataFrame, log: DataFrame, fault: Column, other: Column,
     entry = entry.where("at is not null").groupBy("series_id", F.col("at").alias("timestamp")).agg(rank)
     both = inside.join(entry, ["series_id", "timestamp"], "left")
     top = F.greatest(F.when(F.col("label") == 1, 2).when(F.col("label") == -1, 1).otherwise(0), F.coalesce("rank", F.lit(0)))
-    final = both.select("series_id", "timestamp", F.when(top == 2, 1).when(top == 1, -1).otherwise(0).alias("label"))
+    final = both.select("series_id", "timestamp", F.when(top == 2, 1).when(top == 1, -1).otherwise(0).alias("label")).distinct()
     return rows.drop("label").join(final, ["series_id", "timestamp"])
 
 
@@ -47,7 +47,7 @@ def leak_labels(flows: DataFrame, onset: int = 864, margin: int = 288, least: fl
     span = flows.groupBy("leak").agg(F.min(F.when(F.col("flow") > 0, F.col("row_idx"))).alias("first"), F.max(F.when(F.col("flow") > 0, F.col("row_idx"))).alias("last"), F.max("flow").alias("top"), F.max("row_idx").alias("end"))
     leaks = span.where("first is not null")
     begin = leaks.where("first > 0").select(F.col("first").alias("a"), F.least(F.col("first") + onset - 1, F.col("last")).alias("b"), F.when(F.col("top") >= least, 1).otherwise(-1).alias("label"))
-    repair = leaks.where("last < end").select(F.greatest(F.col("last") - margin, F.lit(0)).alias("a"), (F.col("last") + margin).alias("b"), F.lit(-1).alias("label"))
+    repair = leaks.where("last < end").select(F.greatest(F.col("last") + 1 - margin, F.lit(0)).alias("a"), (F.col("last") + margin).alias("b"), F.lit(-1).alias("label"))
     table = begin.unionByName(repair).select(F.lit(0).alias("series_id"), F.col("a").cast("double").alias("a"), F.col("b").cast("double").alias("b"), "label")
     rows = flows.select(F.lit(0).alias("series_id"), F.col("row_idx").cast("double").alias("row")).distinct()
     return reshape.interval_label(rows, table, "row", 1000.0).select(F.col("row").cast("long").alias("row_idx"), "label")

@@ -10,14 +10,17 @@ deviation and volatility (a row a channel), a list of names goes to the driver,
 
 from __future__ import annotations
 
+import csv
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import missing, unix_seconds
-from ..operators import label_rules, reshape, runs, series
+from ..operators import label_rules, labels, reshape, runs, series
 
 #: Sources whose labels are weak (from a time limit) or predictive, and the benchmark each source is in.
 WEAK = ("cmapss", "ims_bearing", "femto")
@@ -96,6 +99,7 @@ class Wide:
     moving: bool = False  #: whether constant channels go
     top: int | None = None  #: this many channels of largest volatility
     least: int = 1  #: least rows of a series
+    counted: str | None = None  #: only rows with a value here count towards ``least``
     intervals: tuple[tuple[float, float], ...] = ()  #: closed anomalous times
     onset: int | None = None  #: repair: rows of an event that stay anomalies; also asks for normal rows before events
     test_from: float | None = None  #: rows before this share of a series are unknown
@@ -128,25 +132,27 @@ def measured_channels(rows: DataFrame, names: list[str], spec: Wide) -> list[str
     return [c for c, _ in able]
 
 
+def numeric_names(raw: DataFrame, spec: Wide) -> list[str]:
+    """The numeric columns that may be channels, by name and type."""
+    numeric = [c for c, k in raw.dtypes if k in ("int", "bigint", "double", "float", "smallint", "tinyint") or k.startswith("decimal")]
+    return [c for c in numeric if c != spec.time and c not in spec.drop and (spec.keep is None or re.search(spec.keep, c))]
+
+
 def load_wide(spark: SparkSession, path: str, source: str, spec: Wide) -> Loaded:
     """Any source that a ``Wide`` describes."""
     reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", spec.pattern)
     raw = reader.parquet(path) if spec.parquet else reader.options(header=True, inferSchema=True, **spec.options).csv(path)
     raw = raw.toDF(*(c.strip() for c in raw.columns))
-    numeric = [c for c, k in raw.dtypes if k in ("int", "bigint", "double", "float", "smallint", "tinyint") or k.startswith("decimal")]
-    names = [c for c in numeric if c != spec.time and c not in spec.drop]
+    names = numeric_names(raw, spec)
     label = spec.label() if spec.label else F.lit(-1)
     rows = raw.select(*(F.col(f"`{c}`") for c in names), spec.series().alias("series_id"), time_column(spec).alias("timestamp"), label.cast("int").alias("label"), F.monotonically_increasing_id().alias("order"))
-    if spec.keep:
-        hits = spark.createDataFrame([(c,) for c in names], "c string").where(F.col("c").rlike(spec.keep)).collect()  # a few names
-        names = [r["c"] for r in hits]
     if spec.sentinel is not None:
         rows = rows.select(*(F.nullif(F.col(f"`{c}`").cast("double"), F.lit(spec.sentinel)).alias(c) for c in names), "series_id", "timestamp", "label", "order")
     names = measured_channels(rows, names, spec)
     if spec.time is None:
         rows = reshape.row_numbers(rows, "series_id", "order").withColumn("timestamp", F.lit(EPOCH) + spec.step * F.col("row_idx")).drop("row_idx")
     if spec.least > 1:
-        large = rows.groupBy("series_id").count().where(F.col("count") >= spec.least).select("series_id")
+        large = rows.groupBy("series_id").agg(F.count(missing(F.col(f"`{spec.counted}`").cast("double")) if spec.counted else "*").alias("n")).where(F.col("n") >= spec.least).select("series_id")
         rows = rows.join(large, "series_id", "left_semi")
     for a, b in spec.intervals:
         rows = rows.withColumn("label", F.when(F.col("timestamp").between(a, b), 1).otherwise(F.greatest("label", F.lit(0))))
@@ -167,6 +173,17 @@ def flag(name: str, *hits: object) -> Callable[[], Column]:
     return lambda: F.coalesce((c(f"`{name}`").isin(*hits) if hits else c(f"`{name}`") > 0).cast("int"), F.lit(0))
 
 
+#: Rows of an event that stay anomalies, event classes that come too slowly for any to stay.
+ONSET = 2048
+SLOW_CLASSES = ("7", "8")
+
+
+def well_label() -> Column:
+    """Wells: positive classes are anomalies, unknown in folders of slow classes; no class is unknown."""
+    kind = F.nanvl(F.col("class").cast("double"), F.lit(None).cast("double"))
+    return F.when(kind.isNull(), -1).when(kind <= 0, 0).when(folder_name().isin(*SLOW_CLASSES), -1).otherwise(1)
+
+
 #: The sources that are wide tables. Column names and rules are those of the raw files.
 WIDE: dict[str, Wide] = {
     "skab": Wide("manufacturing", "datetime", label=flag("anomaly"), drop=("anomaly", "changepoint"), options={"sep": ";"}, series=lambda: F.concat_ws("/", folder_name(), file_stem())),
@@ -182,17 +199,12 @@ WIDE: dict[str, Wide] = {
     "damadics": Wide("chemical", step=1.0, moving=True, options={"sep": "\t"}),
     "uci": Wide("environment", "Date", "dd/MM/yyyy", options={"sep": ";"}, sentinel=-200.0),
     "msft": Wide("it", "datetime", series=lambda: F.col("machineID").cast("string"), label=flag("label"), drop=("machineID", "label"), least=100),
-    "lead": Wide("buildings", "timestamp", series=lambda: F.col("building_id").cast("string"), label=flag("anomaly"), drop=("building_id", "anomaly"), least=500),
+    "lead": Wide("building", "timestamp", series=lambda: F.col("building_id").cast("string"), label=flag("anomaly"), drop=("building_id", "anomaly"), least=500, counted="meter_reading"),
     "opssat": Wide("space", "timestamp", series=lambda: F.col("channel"), label=flag("anomaly"), drop=("anomaly", "segment", "train"), least=300),
-    "care": Wide("energy", "time_stamp", label=lambda: F.when(F.col("status_type_id").isin(0, 2), 0).otherwise(-1), drop=("status_type_id", "id", "asset_id"), keep="_avg$", options={"sep": ";"}, top=100),
-    "kelmarsh": Wide("energy", "Date and time", keep="^(?!.*(?i:counter|status|availab|alarm|fault|stop|lost))", known=0.5, moving=True, top=40, quality="log", confidence=0.5),
     "hai": Wide("industry", "timestamp", label=flag("attack"), drop=("attack", "attack_P1", "attack_P2", "attack_P3"), moving=True),
-    "w3": Wide("oil", "timestamp", parquet=True, label=lambda: F.when(F.col("class").isNull(), -1).when(F.col("class") > 0, 1).otherwise(0), drop=("class", "state"), known=0.5, moving=True, least=200),
+    "w3": Wide("oil_gas", "timestamp", parquet=True, pattern="WELL-*.parquet", series=lambda: F.concat_ws("/", folder_name(), file_stem()), label=lambda: well_label(), drop=("class", "state"), known=0.5, moving=True, least=200, onset=ONSET),
     "refit": Wide("buildings", "Unix", "unix", drop=("Issues",), least=1000),
-    "battledim": Wide("water", "Timestamp", options={"sep": ";"}),
 }
-WIDE["penmanshiel"] = WIDE["kelmarsh"]
-WIDE["care_c"] = WIDE["care"]
 for _name, _spec in WIDE.items():
     LOADERS[_name] = lambda spark, path, n=_name, s=_spec: load_wide(spark, path, n, s)
 
@@ -202,6 +214,120 @@ def labelled_rows(rows: DataFrame, intervals: DataFrame, width: float) -> DataFr
     return reshape.interval_label(rows.drop("label"), intervals, "timestamp", width)
 
 
+def united(parts: list[Loaded], path: str) -> Loaded:
+    """Parts of one source with channels of their own, as one source."""
+    if not parts:
+        raise ValueError(f"no files of this source in {path}")
+    return reduce(DataFrame.unionByName, (p[0] for p in parts)), reduce(DataFrame.unionByName, (p[1] for p in parts))
+
+
+def file_names(spark: SparkSession, path: str, pattern: str) -> list[str]:
+    """Paths of a few files by name; only the listing is read."""
+    found = spark.read.format("binaryFile").options(recursiveFileLookup=True, pathGlobFilter=pattern).load(path)
+    return sorted(r["path"] for r in found.select("path").collect())
+
+
+def load_farms(source: str, farms: tuple[str, ...]) -> Callable[[SparkSession, str], Loaded]:
+    """Folders ``Wind Farm X`` with ``event_info.csv`` and a file an event in ``datasets``.
+
+    Rows of an anomaly's window (by row id) are anomalous, others normal while the turbine produces or stands by (status
+    0 and 2), else unknown. Farms that aren't there are left out; each farm has its own channels.
+    """
+    spec = Wide("energy", "time_stamp", drop=("status_type_id", "id", "asset_id"), keep="_avg$", known=0.5, moving=True, top=100)
+
+    def farm(spark: SparkSession, path: str, name: str) -> Loaded:
+        read = spark.read.options(header=True, inferSchema=True, sep=";")
+        raw = read.csv(f"{path}/Wind Farm {name}/datasets", pathGlobFilter="*.csv")
+        names = measured_channels(raw, numeric_names(raw, spec), spec)
+        info = read.csv(f"{path}/Wind Farm {name}/event_info.csv").where("event_label = 'anomaly'")
+        windows = info.groupBy(F.col("event_id").cast("long").alias("event")).agg(F.max(F.struct("event_start_id", "event_end_id")).alias("w"))
+        rows = raw.select(file_stem().cast("long").alias("event"), time_column(spec).alias("timestamp"), F.col("id").alias("order"), F.col("status_type_id").alias("status"), *(F.col(f"`{c}`") for c in names))
+        inside = F.col("order").between(F.col("w.event_start_id"), F.col("w.event_end_id"))
+        label = F.when(inside, 1).when(F.col("status").isin(0, 2), 0).otherwise(-1)
+        rows = rows.join(windows, "event", "left").withColumn("label", label).withColumn("series_id", F.concat(F.lit(f"farm{name}/event"), F.col("event"))).drop("w", "event", "status")
+        return canonical(rows, source, spec.sector, names)
+
+    def load(spark: SparkSession, path: str) -> Loaded:
+        there = {p.split("/")[-2] for p in file_names(spark, path, "event_info.csv")}  # at most a few farms
+        return united([farm(spark, path, n) for n in farms if f"Wind Farm {n}" in there], path)
+
+    return load
+
+
+LOADERS["care"], LOADERS["care_c"] = load_farms("care", ("A", "B")), load_farms("care_c", ("C",))
+
+#: Parts of names of derived columns, which give the turbine's state away, and of summaries and counters.
+DERIVED = (
+    "Lost Production", "Energy", "Potential", "Budget", "Theoretical", "Virtual", "Compensated", "Available Capacity",
+    "setpoint", "counter", "Long Term", "Cascading", "Manufacturer", "Production", "Standard deviation", "StdDev",
+    ", Min", ", Max", ", Std", "Minimum", "Maximum", "Time-based", "Contractual", "Curtailment", "Count", "Hours", "Status",
+    "Performance Ratio", "Capacity factor", "calibration point",
+)
+
+
+def load_turbines(source: str) -> Callable[[SparkSession, str], Loaded]:
+    """Unpacked files ``Turbine_Data_<farm>_<turbine>_<year>…`` with a ``Status_…`` log each; a series a turbine and year.
+
+    Lines before the header start with ``#``, the header of the values does as well; all files of a call have the same
+    one. Forced outages and faults mark an anomaly's first rows, other stops and lost communication unknown rows. Files
+    without a log and series of fewer than 1,000 rows are left out.
+    """
+    spec = Wide("energy", "ts", keep="(?i)^(?!.*(" + "|".join(map(re.escape, DERIVED)) + "))", known=0.5, moving=True, top=40)
+    everywhere = {"recursiveFileLookup": True}
+    name = lambda kind: F.format_string("wt%02d/%s", F.regexp_extract(file_stem(), rf"^{kind}_[^_]+_(\d+)_(\d{{4}})", 1).cast("int"), F.regexp_extract(file_stem(), rf"^{kind}_[^_]+_(\d+)_(\d{{4}})", 2))
+
+    def load(spark: SparkSession, path: str) -> Loaded:
+        lines = spark.read.options(**everywhere, pathGlobFilter="Turbine_Data_*.csv").text(path)
+        heads = lines.where(F.col("value").startswith("# Date and time")).select("value").distinct().limit(2).collect()
+        if len(heads) != 1:
+            raise ValueError(f"the files in {path} have {'several headers; load them by header' if heads else 'no header'}")
+        columns = ["ts", *next(csv.reader([heads[0]["value"]]))[1:]]
+        raw = spark.read.options(**everywhere, comment="#", inferSchema=True, pathGlobFilter="Turbine_Data_*.csv").csv(path).toDF(*columns)
+        names = measured_channels(raw, numeric_names(raw, spec), spec)
+        rows = raw.select(name("Turbine_Data").alias("series_id"), time_column(spec).alias("timestamp"), F.monotonically_increasing_id().alias("order"), *(F.col(f"`{c}`") for c in names)).where("timestamp is not null")
+        logged = spark.read.options(**everywhere, pathGlobFilter="Status_*.csv").text(path).select(name("Status").alias("series_id")).distinct()
+        large = rows.groupBy("series_id").count().where("count >= 1000").join(logged, "series_id", "left_semi").select("series_id")
+        rows = rows.join(large, "series_id", "left_semi")
+        log = spark.read.options(**everywhere, comment="#", header=True, pathGlobFilter="Status_*.csv").csv(path)
+        at = lambda c: unix_seconds(F.try_to_timestamp(F.col(f"`{c}`")))
+        # The row strictly before a start counts, so starts are moved back by less than any step.
+        log = log.select(name("Status").alias("series_id"), (at("Timestamp start") - 0.001).alias("start"), at("Timestamp end").alias("stop"), "Status", F.col("IEC category").alias("category"), F.col("Service contract category").alias("service")).where("start is not null")
+        stop = F.col("Status") == "Stop"
+        fault = stop & (F.coalesce(F.col("category") == "Forced outage", F.lit(False)) | F.coalesce(F.col("service").rlike("error|Safety chain"), F.lit(False)))
+        marked = label_rules.status_labels(rows, log, fault, F.col("Status").isin("Stop", "Communication"))
+        first = runs.onset_cut(reshape.row_numbers(marked, "series_id", "timestamp", "order"), ONSET).drop("row_idx")
+        return canonical(first, source, spec.sector, names, quality="log", confidence=0.5)
+
+    return load
+
+
+LOADERS["kelmarsh"], LOADERS["penmanshiel"] = load_turbines("kelmarsh"), load_turbines("penmanshiel")
+
+
+@loader("battledim")
+def load_network(spark: SparkSession, path: str) -> Loaded:
+    """Files ``<year>_SCADA_Pressures.csv``, ``…_Flows``, ``…_Levels`` and ``<year>_Leakages.csv`` with decimal commas; a
+    series a year, its measured files joined by time, labelled by the onsets of leaks."""
+    def table(year: str, kind: str) -> DataFrame:
+        raw = spark.read.options(header=True, sep=";").csv(f"{path}/{year}_{kind}.csv")
+        number = lambda c: F.regexp_replace(F.col(f"`{c}`"), ",", ".").cast("double").alias(c)
+        return raw.select(unix_seconds(F.to_timestamp(F.col(f"`{raw.columns[0]}`"))).alias("timestamp"), *map(number, raw.columns[1:]))
+
+    def one_year(year: str) -> Loaded:
+        parts = [table(year, f"SCADA_{k}") for k in ("Pressures", "Flows", "Levels")]
+        names = [c for t in parts for c in t.columns[1:]]
+        wide = reduce(lambda a, b: a.join(b, "timestamp", "full"), parts).withColumns({"series_id": F.lit(year), "order": F.lit(0)})
+        rows = reshape.row_numbers(wide, "series_id", "timestamp")
+        leaks = table(year, "Leakages")
+        by_row = rows.select("row_idx", "timestamp").join(leaks, "timestamp", "left").fillna(0.0, leaks.columns[1:])
+        flows = by_row.unpivot("row_idx", leaks.columns[1:], "leak", "flow")
+        labelled = rows.join(label_rules.leak_labels(flows), "row_idx").drop("row_idx")
+        return canonical(labelled, "battledim", "water", names, quality="onset", confidence=0.5)
+
+    files = file_names(spark, path, "*_SCADA_Pressures.csv")  # one a year
+    return united([one_year(p.split("/")[-1].split("_")[0]) for p in files], path)
+
+
 @loader("skab_teaser")
 def load_long(spark: SparkSession, path: str) -> Loaded:
     """Long rows of time, name and value; the mean of repeats."""
@@ -513,7 +639,28 @@ def load_mission(spark: SparkSession, path: str, width: float = 600.0) -> Loaded
 
 LOADERS["esa"] = LOADERS["esa2"] = LOADERS["esa_full"]
 LOADERS["bidmc"] = lambda spark, path: load_wide(spark, path, "bidmc", Wide("health", step=1.0, pattern="*.csv", drop=("Time [s]",)))
-LOADERS["w3_val"], LOADERS["lead_val"], LOADERS["ctf_val"], LOADERS["alfa_val"] = (LOADERS[n] for n in ("w3", "lead", "ctf", "alfa"))
+
+
+def part_of(load: Callable[[SparkSession, str], Loaded], source: str, group: Callable[[], Column], held: bool, share: float = 0.2) -> Callable[[SparkSession, str], Loaded]:
+    """``load``'s series without the groups that are held out for validation, or only those, under the name ``source``.
+
+    Groups are held out whole, by least hash: ``share`` of them, one at least.
+    """
+    def load_part(spark: SparkSession, path: str) -> Loaded:
+        cells, catalog = load(spark, path)
+        out = labels.holdout_ids(catalog.select(group().alias("part")), "part", share)
+        how = "left_semi" if held else "left_anti"
+        cells, catalog = (t.withColumn("part", group()).join(out, "part", how).select(*t.columns) for t in (cells, catalog))
+        return cells, catalog.withColumn("source", F.lit(source))
+
+    return load_part
+
+
+#: What is held out together: wells (the start of a file's name), buildings, machines, flights.
+GROUPS = {"w3": lambda: F.regexp_extract("series_id", r"([^/_]+)_[^/]*$", 1), "lead": lambda: F.col("series_id"), "ctf": lambda: F.col("series_id"), "alfa": lambda: F.col("series_id")}
+for _name, _group in GROUPS.items():
+    _load = LOADERS[_name]
+    LOADERS[_name], LOADERS[f"{_name}_val"] = part_of(_load, _name, _group, False), part_of(_load, f"{_name}_val", _group, True)
 
 
 #: Sectors of a mixed archive's subsets, the first match counts.

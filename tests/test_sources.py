@@ -157,7 +157,7 @@ def test_nested_arrays_and_pool(spark, tmp_path):
     raw.write_pool(cells, str(tmp_path / "pool"), "lotsa")
     assert raw.read_series(spark, str(tmp_path / "pool"), ["a"], "lotsa").where("value = -70").count() == 1
     files = spark.createDataFrame([("solar_x", "f1", 9), ("solar_x", "f2", 3), ("zzz", "f3", 1)], "subset string, file string, size long")
-    assert sorted(tuple(r) for r in raw.smallest_files(files).collect()) == [("solar_x", "f2", "energy"), ("zzz", "f3", "mixed")]
+    assert sorted(tuple(r) for r in raw.smallest_files(files).collect()) == [("solar_x", "f2", "unknown"), ("zzz", "f3", "unknown")]
 
 
 def test_simulations_and_labels_by_position(spark, tmp_path):
@@ -200,3 +200,10 @@ def test_leaks(spark):
 def test_all_sources_are_registered():
     assert set(raw.WIDE) <= set(raw.LOADERS) and len(raw.LOADERS) >= 50
     assert len(set(raw.LOADERS.values())) >= len(raw.LOADERS) - 3  # three names of one archive's missions share an adapter
+
+
+def test_sectors_by_start_of_name(spark):
+    names = ["solar_power_4s", "taxi_30min", "era5_2018", "m4_daily", "tourism_monthly", "my_taxi_", "Taxi_", "largest_2017", "cmip6_1850"]
+    files = spark.createDataFrame([(n, "f", 1) for n in names], "subset string, file string, size long")
+    found = {r["subset"]: r["sector"] for r in raw.smallest_files(files).collect()}
+    assert found == {"solar_power_4s": "energy", "taxi_30min": "transport", "era5_2018": "environment", "m4_daily": "mixed_business", "tourism_monthly": "tourism", "my_taxi_": "unknown", "Taxi_": "unknown"}

@@ -256,11 +256,11 @@ select series_id, row_idx, coalesce((select case max(hit) when 2 then 1 when 1 t
 ORACLE["train_part_unknown"] = f"with {EV} select series_id, row_idx, case when row_idx < floor(count(*) over (partition by series_id) * 0.7) then -1 else label end as label from ev"
 ORACLE["outer_align"] = f"""with {HOURS}, a as (select bin, value from hours where channel = 1 and cast(bin as bigint) % 7200 = 0), b as (select bin, value from hours where channel = 3 and cast(bin as bigint) % 10800 = 0)
 select coalesce(a.bin, b.bin) as bin, {r6("a.value")} as error, {r6("b.value")} as signup from a full join b on a.bin = b.bin"""
-ORACLE["positional_join"] = f"""with {EV}, {DAYS}, m as (select row_idx, max(label) as label from ev where series_id < 3 group by 1)
+ORACLE["positional_join"] = f"""with {EV}, {DAYS}, m as (select row_idx, max(label) as label from ev group by 1)
 select series_id, d.row_idx, coalesce(m.label, -1) as label from days d left join m on m.row_idx = d.row_idx"""
-ORACLE["smallest_of_group"] = """with p as (select p_brand || ' ' || case p_partkey % 3 when 0 then 'solar' when 1 then 'taxi' else 'x' end as subset, p_name as file, p_partkey as size from part),
+ORACLE["smallest_of_group"] = """with p as (select ['solar_power', 'taxi_', 'era5_1999', 'x solar_power', 'm4_'][p_partkey % 5 + 1] || ' ' || p_brand as subset, p_name as file, p_partkey as size from part where p_partkey % 5 <> 2),
 k as (select *, row_number() over (partition by subset order by size, file) as k from p)
-select subset, file, case when subset like '%taxi' then 'transport' when subset like '%solar' then 'energy' else 'mixed' end as sector from k where k = 1"""
+select subset, file, case when subset like 'taxi%' then 'transport' when subset like 'solar%' then 'energy' when subset like 'm4%' then 'mixed_business' else 'unknown' end as sector from k where k = 1"""
 ORACLE["role_counts"] = f"select role, count(*) as n, min(series_id) as first from ({ORACLE['role_assignment']}) group by 1"
 ORACLE["per_source_subset"] = """with s as (select distinct user_id as series_id, user_id % 11 as source from events), k as (select *, row_number() over (partition by source order by series_id) as place from s)
 select * from k where place <= 3"""

@@ -524,7 +524,7 @@ def outer_align(spark, sf):
 def positional_join(spark, sf):
     """Labels of one table put to the rows of another by position; rows beyond the labels are unknown."""
     rows = T.daily_series(spark, sf).select("series_id", "row_idx", "value")
-    marks = T.event_series(spark, sf).where("series_id < 3").groupBy("row_idx").agg(F.max("label").alias("label"))
+    marks = T.event_series(spark, sf).groupBy("row_idx").agg(F.max("label").alias("label"))
     return rows.join(marks, "row_idx", "left").select("series_id", "row_idx", F.coalesce("label", F.lit(-1)).alias("label"))
 
 
@@ -533,7 +533,7 @@ def smallest_of_group(spark, sf):
     """The smallest item of each group, its class by the first pattern that matches its name."""
     from ..sources.raw import smallest_files
 
-    parts = T.table(spark, sf, "part").select(F.concat_ws(" ", F.col("p_brand"), F.when(F.col("p_partkey") % 3 == 0, "solar").when(F.col("p_partkey") % 3 == 1, "taxi").otherwise("x")).alias("subset"), F.col("p_name").alias("file"), F.col("p_partkey").alias("size"))
+    parts = T.table(spark, sf, "part").select(F.concat_ws(" ", F.element_at(F.array(*map(F.lit, ("solar_power", "taxi_", "era5_1999", "x solar_power", "m4_"))), (F.col("p_partkey") % 5 + 1).cast("int")), F.col("p_brand")).alias("subset"), F.col("p_name").alias("file"), F.col("p_partkey").alias("size"))
     return smallest_files(parts)
 
 

@@ -663,14 +663,33 @@ for _name, _group in GROUPS.items():
     LOADERS[_name], LOADERS[f"{_name}_val"] = part_of(_load, _name, _group, False), part_of(_load, f"{_name}_val", _group, True)
 
 
-#: Sectors of a mixed archive's subsets, the first match counts.
-SECTORS = (("traffic|pems|loop|taxi|bike|pedestrian", "transport"), ("elec|load|bdg|building|smart", "energy"), ("solar|wind", "energy"), ("weather|era5|cmip|temp|rain|air", "environment"), ("sales|m5|retail|restaurant", "retail"), ("covid|hospital|ili", "health"), ("azure|borg|alibaba|cloud", "it"), ("bitcoin|fred|nn5|exchange", "finance"))
+#: Sectors of a mixed archive's subsets by their names' starts, the first match counts; subsets that only
+#: repeat another one's other years.
+SECTORS = (
+    ("BEIJING_SUBWAY|HZMETRO|SHMETRO|LOOP_SEATTLE|LOS_LOOP|M_DENSE|PEMS|Q-TRAFFIC|SZ_TAXI|taxi_|uber_tlc|traffic_|pedestrian|rideshare|vehicle_trips|largest_|covid_mobility", "transport"),
+    ("australian_electricity|bdg-2|buildings_900k|covid19_energy|elecdemand|elf|gfc1|ideal|lcl|london_smart|residential_|solar_power|wind_power|wind_farms|spain|smart|sceaux|borealis|bull|cockatoo|hog|pdb|kdd2022", "energy"),
+    ("era5|cmip6|weather|oikolab|subseasonal|temperature_rain|china_air|beijing_air|kdd_cup_2018|saugeenday|sunspot", "environment"),
+    ("borg_cluster|azure_vm|alibaba_cluster|extended_web_traffic|kaggle_web_traffic|wiki-rolling", "it"),
+    ("favorita|m5|restaurant|hierarchical_sales|car_parts|godaddy", "retail"),
+    ("bitcoin|fred_md|nn5", "finance"),
+    ("hospital|covid_deaths|cdc_fluview|project_tycho|us_births", "health"),
+    ("tourism", "tourism"),
+    ("m1_|m3_|m4_|monash_m3|cif_2016", "mixed_business"),
+)
+REPEATED_YEARS = "^(era5_(?!2018)|cmip6_(?!2010)|largest_(?!2021))"
+
+
+def sector_of(subset: Column) -> Column:
+    sector = F.lit("unknown")
+    for pattern, name in reversed(SECTORS):
+        sector = F.when(subset.rlike(f"^({pattern})"), name).otherwise(sector)
+    return sector
 
 
 @loader("lotsa")
 def load_nested(spark: SparkSession, path: str, series_: int = 200, least: int = 64, most: int = 10_000) -> Loaded:
-    """Rows with a start, a frequency in seconds and a nested array of targets; at most ``series_`` series of least hash a
-    file, each cut to ``most`` steps from a start by hash."""
+    """Rows with a start, a frequency in seconds and a nested array of targets; at most ``series_`` series of least hash of
+    the subset that the path's last folder names, each cut to ``most`` steps from a start by hash."""
     raw = spark.read.parquet(path).select(F.col("item_id").cast("string").alias("series_id"), "start", F.col("freq_s").cast("double").alias("step"), "target").where(F.size(F.element_at("target", 1)) >= least)
     some = raw.orderBy(F.xxhash64("series_id"), "series_id").limit(series_)
     k = some.agg(F.max(F.size("target"))).head()[0]
@@ -679,15 +698,14 @@ def load_nested(spark: SparkSession, path: str, series_: int = 200, least: int =
     cut = some.withColumn("begin", begin)
     rows = cut.select("series_id", unix_seconds("start").alias("t0"), "step", "begin", F.posexplode(F.arrays_zip(*(F.slice(F.element_at("target", c + 1), F.col("begin") + 1, most).alias(f"ch_{c}") for c in range(k)))).alias("order", "x"))
     wide = rows.select("series_id", (F.col("t0") + F.col("step") * (F.col("begin") + F.col("order"))).alias("timestamp"), *(F.col(f"x.ch_{c}").alias(f"ch_{c}") for c in range(k)), F.lit(-1).alias("label"), "order")
-    return canonical(wide, "lotsa", "mixed", [f"ch_{c}" for c in range(k)])
+    cells, catalog = canonical(wide, "lotsa", "unknown", [f"ch_{c}" for c in range(k)])
+    return cells, catalog.withColumn("sector", sector_of(F.lit(path.rstrip("/").split("/")[-1])))
 
 
 def smallest_files(files: DataFrame) -> DataFrame:
-    """The smallest file of each subset (``subset, file, size``), its sector by name."""
-    sector = F.lit("mixed")
-    for pattern, name in reversed(SECTORS):
-        sector = F.when(F.lower("subset").rlike(pattern), name).otherwise(sector)
-    return files.groupBy("subset").agg(F.min_by("file", F.struct("size", "file")).alias("file")).withColumn("sector", sector)
+    """The smallest file of each subset (``subset, file, size``), its sector by name; subsets of repeated years go."""
+    wanted = files.where(~F.col("subset").rlike(REPEATED_YEARS))
+    return wanted.groupBy("subset").agg(F.min_by("file", F.struct("size", "file")).alias("file")).withColumn("sector", sector_of(F.col("subset")))
 
 
 def write_pool(cells: DataFrame, path: str, source: str) -> None:

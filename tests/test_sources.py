@@ -207,3 +207,40 @@ def test_sectors_by_start_of_name(spark):
     files = spark.createDataFrame([(n, "f", 1) for n in names], "subset string, file string, size long")
     found = {r["subset"]: r["sector"] for r in raw.smallest_files(files).collect()}
     assert found == {"solar_power_4s": "energy", "taxi_30min": "transport", "era5_2018": "environment", "m4_daily": "mixed_business", "tourism_monthly": "tourism", "my_taxi_": "unknown", "Taxi_": "unknown"}
+
+
+def test_rooms(spark, tmp_path):
+    put(tmp_path, **{"air_quality/AirQualityUCI.csv": "Date;Time;CO(GT);T;;\n10/03/2004;18.00.00;2,6;-200;;\n10/03/2004;19.00.00;-200;13,5;;\n;;;;;\n", "occupancy/datatest.txt": '"date","Temperature","Humidity","Light","CO2","HumidityRatio","Occupancy"\n"1","2015-02-02 14:19:00",23.7,26.2,585.2,749.2,0.004,1\n', "appliances/energydata_complete.csv": '"date","Appliances"\n"2016-01-11 17:00:00","60"\n'})
+    cells, catalog = raw.LOADERS["uci"](spark, str(tmp_path))
+    rows = {r["series_id"]: r for r in catalog.collect()}
+    assert {k: (r["sector"], r["n_rows"], r["n_channels"]) for k, r in rows.items()} == {"air_quality": ("environment", 2, 2), "appliances": ("building", 1, 1), "occupancy_datatest": ("building", 1, 5)}
+    assert rows["air_quality"]["step_s"] == 3600.0 and rows["air_quality"]["unlabeled"]
+    assert [r["value"] for r in cells.where("series_id = 'air_quality'").orderBy("row_idx", "channel").collect()] == [2.6, None, None, 13.5]
+    assert [r["value"] for r in cells.where("series_id = 'occupancy_datatest'").orderBy("channel").collect()] == [23.7, 26.2, 585.2, 749.2, 0.004]
+
+
+def test_houses_by_minute(spark, tmp_path):
+    day = 86400
+    lines = [f"x,{t},{t % 7},{t // 30 % 5},0" for t in range(0, 120 * 20, 30)] + [f"x,{60 * day + t},1,2,0" for t in range(0, 60 * 12, 30)]
+    path = put(tmp_path, House_1_DOT_csv="Time,Unix,Aggregate,Appliance1,Issues\n" + "\n".join(lines))
+    _, catalog = raw.load_houses(spark, path, least=12)
+    assert catalog.count() == 0  # nearly all minutes are missing, so no channel is known
+    lines = [f"x,{t},{t % 7},{t // 30 % 5},0" for t in range(0, 60 * 60, 30) if t // 60 != 5] + [f"x,{3600 * 24 + t},1,2,0" for t in range(0, 60 * 12, 30)]
+    put(tmp_path, House_1_DOT_csv="Time,Unix,Aggregate,Appliance1,Issues\n" + "\n".join(lines[: len(lines) - 24]))
+    cells, catalog = raw.load_houses(spark, path, least=59)
+    row = catalog.first()
+    assert (row["series_id"], row["n_rows"], row["channel_names"], row["step_s"], row["sector"]) == ("house_1/p00", 60, "Aggregate|Appliance1", 60.0, "residential")
+    got = {r["row_idx"]: r["value"] for r in cells.where("channel = 1").collect()}
+    assert got[0] == 0.5 and got[5] is None and raw.load_houses(spark, path, least=60)[1].count() == 0
+
+
+def test_attacks_by_process(spark, tmp_path):
+    head = "time;P1_A;P2_B;P3_C;attack;attack_P1;attack_P2"
+    old = [f"2020-01-01 00:00:0{i};{i};{i * 2};7;{int(i > 1)};{int(i == 2)};{int(i == 3)}" for i in range(6)]
+    new = ["timestamp,P1_A"] + [f"2022-01-01 00:00:0{i},{i}" for i in range(4)]
+    put(tmp_path, **{"v1/test1.csv": "\n".join([head, *old]), "v1/train1.csv": "\n".join([head, *old]), "v2/hai-test1.csv": "\n".join(new), "v2/label-test1.csv": "timestamp,label\n2022-01-01 00:00:01,1\n2022-01-01 00:00:02,0\n"})
+    cells, catalog = raw.LOADERS["hai"](spark, str(tmp_path))
+    rows = {r["series_id"]: (r["label_level"], r["channel_names"]) for r in catalog.collect()}
+    assert rows == {"v1/test1": ("cell", "P1_A|P2_B"), "v1/train1": ("row", "P1_A|P2_B"), "v2/test1": ("row", "P1_A")}
+    of = lambda s, c: labels(cells.where(f"series_id = '{s}'"), c)
+    assert of("v1/test1", 0) == [0, 0, 1, 0, 1, 1] and of("v1/test1", 1) == [0, 0, 0, 1, 1, 1] and of("v1/train1", 0) == [0] * 6 and of("v2/test1", 0) == [0, 1, 0, 0]

@@ -197,13 +197,10 @@ WIDE: dict[str, Wide] = {
     "lbnl": Wide("buildings", "Datetime", label=flag("Fault Detection Ground Truth"), drop=("Fault Detection Ground Truth",), options={"nullValue": "NA"}, onset=2048),
     "binance": Wide("finance", "open_time", parquet=True),
     "damadics": Wide("chemical", step=1.0, moving=True, options={"sep": "\t"}),
-    "uci": Wide("environment", "Date", "dd/MM/yyyy", options={"sep": ";"}, sentinel=-200.0),
     "msft": Wide("it", "datetime", series=lambda: F.col("machineID").cast("string"), label=flag("label"), drop=("machineID", "label"), least=100),
     "lead": Wide("building", "timestamp", series=lambda: F.col("building_id").cast("string"), label=flag("anomaly"), drop=("building_id", "anomaly"), least=500, counted="meter_reading"),
     "opssat": Wide("space", "timestamp", series=lambda: F.col("channel"), label=flag("anomaly"), drop=("anomaly", "segment", "train"), least=300),
-    "hai": Wide("industry", "timestamp", label=flag("attack"), drop=("attack", "attack_P1", "attack_P2", "attack_P3"), moving=True),
     "w3": Wide("oil_gas", "timestamp", parquet=True, pattern="WELL-*.parquet", series=lambda: F.concat_ws("/", folder_name(), file_stem()), label=lambda: well_label(), drop=("class", "state"), known=0.5, moving=True, least=200, onset=ONSET),
-    "refit": Wide("buildings", "Unix", "unix", drop=("Issues",), least=1000),
 }
 for _name, _spec in WIDE.items():
     LOADERS[_name] = lambda spark, path, n=_name, s=_spec: load_wide(spark, path, n, s)
@@ -328,6 +325,92 @@ def load_network(spark: SparkSession, path: str) -> Loaded:
     return united([one_year(p.split("/")[-1].split("_")[0]) for p in files], path)
 
 
+@loader("uci")
+def load_rooms(spark: SparkSession, path: str) -> Loaded:
+    """Hourly air (decimal commas, -200 for missing), ten-minute energy use and the occupancy of a room; no labels. Files
+    that aren't there are left out."""
+    at = lambda c, f=None: unix_seconds(F.try_to_timestamp(c, *([F.lit(f)] if f else []))).alias("timestamp")
+    as_rows = lambda raw, name, time, values: raw.select(F.lit(name).alias("series_id"), time, F.lit(-1).alias("label"), F.monotonically_increasing_id().alias("order"), *values)
+    parts = []
+    for file in file_names(spark, path, "*.{csv,txt}"):  # five files
+        stem = file.split("/")[-1].split(".")[0]
+        if stem == "AirQualityUCI":
+            raw = spark.read.options(header=True, sep=";").csv(file).where("Date is not null")
+            names = [c for c in raw.columns if c not in ("Date", "Time") and not re.fullmatch(r"_c\d+", c)]
+            number = lambda c: F.nullif(F.regexp_replace(F.col(f"`{c}`"), ",", ".").cast("double"), F.lit(-200.0)).alias(c)
+            rows = as_rows(raw, "air_quality", at(F.concat_ws(" ", "Date", "Time"), "dd/MM/yyyy HH.mm.ss"), map(number, names))
+            parts.append(canonical(rows, "uci", "environment", names))
+        elif stem == "energydata_complete":
+            raw = spark.read.options(header=True).csv(file)
+            names = [c for c in raw.columns if c != "date"]
+            rows = as_rows(raw, "appliances", at(F.col("date")), (F.col(f"`{c}`").cast("double").alias(c) for c in names))
+            parts.append(canonical(rows, "uci", "building", names))
+        elif stem in ("datatraining", "datatest", "datatest2"):
+            names = ["Temperature", "Humidity", "Light", "CO2", "HumidityRatio"]
+            # Rows have a number before the columns that the header names.
+            kinds = ", ".join(f"{c} string" for c in ("number", "date", *names, "occupied"))
+            raw = spark.read.schema(kinds).csv(file).where("number != 'date'")
+            rows = as_rows(raw, f"occupancy_{stem}", at(F.col("date")), (F.col(c).cast("double").alias(c) for c in names))
+            parts.append(canonical(rows, "uci", "building", names))
+    return united(parts, path)
+
+
+@loader("refit")
+def load_houses(spark: SparkSession, path: str, width: int = 60, days: int = 60, least: int = 1000) -> Loaded:
+    """A file a house of power readings some seconds apart: means of minutes, minutes without readings missing, in series
+    of ``days`` from the house's first minute; series of fewer than ``least`` complete rows are left out. No labels."""
+    raw = spark.read.options(header=True, inferSchema=True, pathGlobFilter="House_*.csv").csv(path)
+    spec = Wide("residential", "Unix", "unix", known=0.5, moving=True)
+    names = numeric_names(raw, spec)
+    minute = (F.floor(F.col("Unix") / width) * width).cast("long").alias("minute")
+    means = raw.groupBy(F.lower(file_stem()).alias("house"), minute).agg(*(F.avg(missing(F.col(f"`{c}`").cast("double"))).alias(c) for c in names))
+    spans = means.groupBy("house").agg(F.min("minute").alias("first"), F.max("minute").alias("last"))
+    spaced = spans.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("last") - F.col("first")) / (days * 86400)))))
+    start = F.col("first") + F.col("part") * days * 86400
+    grid = spaced.select("house", "part", F.explode(F.sequence(start, F.least(start + days * 86400 - width, F.col("last")), F.lit(width).cast("long"))).alias("minute"))
+    filled = grid.join(means, ["house", "minute"], "left")
+    names = measured_channels(filled, names, spec)
+    rows = filled.select(F.format_string("%s/p%02d", "house", "part").alias("series_id"), F.col("minute").cast("double").alias("timestamp"), F.lit(-1).alias("label"), F.lit(0).alias("order"), *(F.col(f"`{c}`") for c in names))
+    whole = reduce(Column.__and__, (F.col(f"`{c}`").isNotNull() for c in names), F.lit(bool(names)))
+    large = rows.where(whole).groupBy("series_id").count().where(F.col("count") >= least).select("series_id")
+    return canonical(rows.join(large, "series_id", "left_semi"), "refit", spec.sector, names)
+
+
+@loader("hai")
+def load_attacks(spark: SparkSession, path: str) -> Loaded:
+    """Files by version, each with channels and a separator of its own: training ones are normal, test ones have attacks in
+    columns or in a file ``label-…``. Attacks on a process count for its channels, those on no known process for all; test
+    files without either are unknown."""
+    files = file_names(spark, path, "*.csv")  # some dozens
+
+    def one(file: str) -> Loaded:
+        folder, name = file.split("/")[-2:]
+        head = spark.read.text(file).head()
+        raw = spark.read.options(header=True, inferSchema=True, sep=";" if head and ";" in head[0] else ",").csv(file)
+        raw = raw.toDF(*(c.strip() for c in raw.columns))
+        time, marks = raw.columns[0], [c for c in raw.columns if c.lower().startswith("attack")]
+        spec = Wide("process_control", time, drop=tuple(marks), moving=True)
+        names = measured_channels(raw, numeric_names(raw, spec), spec)
+        hit = {c: F.coalesce(F.col(f"`{c}`").cast("int"), F.lit(0)) == 1 for c in marks}
+        by_process = {c[-2:]: hit[c] for c in marks if "_P" in c}
+        if "train" in name:
+            label = F.lit(0)
+        elif by_process:
+            anywhere = reduce(Column.__or__, by_process.values())
+            label = F.array(*((by_process.get(c[:2] if c[2:3] == "_" else "", F.lit(False)) | (hit[marks[0]] & ~anywhere)).cast("int") for c in names))
+        else:
+            label = hit[marks[0]].cast("int") if marks else F.lit(-1)
+        rows = raw.select(F.lit(f"{folder}/{name.rsplit('.', 1)[0].replace('hai-', '')}").alias("series_id"), time_column(spec).alias("timestamp"), label.alias("label"), F.monotonically_increasing_id().alias("order"), *(F.col(f"`{c}`") for c in names))
+        beside = file[: -len(name)] + name.replace("hai-", "label-")
+        if not marks and "test" in name and beside in files:
+            given = spark.read.options(header=True, inferSchema=True).csv(beside)
+            given = given.groupBy(time_column(Wide("", "timestamp")).alias("timestamp")).agg(F.max(F.col("label").cast("int")).alias("given"))
+            rows = rows.join(given, "timestamp", "left").withColumn("label", F.coalesce("given", F.lit(0))).drop("given")
+        return canonical(rows, "hai", spec.sector, names, level="cell" if by_process and "train" not in name else "row")
+
+    return united([one(f) for f in files if not f.split("/")[-1].startswith("label-")], path)
+
+
 @loader("skab_teaser")
 def load_long(spark: SparkSession, path: str) -> Loaded:
     """Long rows of time, name and value; the mean of repeats."""

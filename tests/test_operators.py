@@ -203,6 +203,14 @@ def test_injection_labels_changed_cells_only(spark):
         assert out.where("mark = 1").count() > 0
 
 
+def test_correlation_break_copies_a_stretch(spark):
+    values = [float((i * i) % 11) for i in range(30)]
+    for start, stop, step in ((10, 18, -8), (2, 8, 6), (1, 20, 19)):
+        rows = inject.inject(cells(spark, values), "correlation_break", F.lit(start), F.lit(stop), 4.0).orderBy("row_idx").collect()
+        want = [values[i + step] if start <= i < stop and i + step < 30 else x for i, x in enumerate(values)]
+        assert [r["value"] for r in rows] == want and [r["label"] for r in rows] == [int(start <= i < stop) for i in range(30)]
+
+
 def test_injection_without_effect_goes_back(spark):
     out = inject.inject(cells(spark, [5.0] * 30), "flatline", F.lit(10), F.lit(20), 4.0)
     assert out.where("label = 1").count() == 0

@@ -17,7 +17,8 @@ def inject(cells: DataFrame, kind: str, start: Column, stop: Column, strength: f
 
     ``spike`` a single row in the middle; ``level_shift`` by ``strength`` spreads; ``flatline`` holds the first row's value;
     ``drift`` grows to ``strength`` spreads; ``noise_burst`` alternates; ``pattern_change`` a sine about the median;
-    ``missing_data`` nulls. Channels on which the fault moves cells by less than ``LEAST_EFFECT`` spreads are given
+    ``correlation_break`` the channel's own stretch of the same length before, after it where too few rows are before (rows
+    without such a value keep theirs); ``missing_data`` nulls. Channels on which the fault moves cells by less than ``LEAST_EFFECT`` spreads are given
     back unchanged, labels included.
     """
     stats = centre_and_scale(cells)
@@ -25,6 +26,12 @@ def inject(cells: DataFrame, kind: str, start: Column, stop: Column, strength: f
     inside = (i >= start) & (i < stop)
     held = cells.where(i == start).select("series_id", "channel", v.alias("held"))
     all_ = cells.join(stats, ["series_id", "channel"]).join(held, ["series_id", "channel"], "left")
+    if kind == "correlation_break":
+        width = stop - start
+        before = start >= width
+        near = cells.where(F.when(before, (i >= start - width) & (i < start)).otherwise((i >= stop) & (i < stop + width)))
+        shifted = near.select("series_id", "channel", (i + F.when(before, width).otherwise(-width)).alias("row_idx"), v.alias("elsewhere"))
+        all_ = all_.join(shifted, ["series_id", "channel", "row_idx"], "left")
     share = (i - start + 1) / (stop - start)
     size = strength * F.col("scale")
     changed = {
@@ -34,6 +41,7 @@ def inject(cells: DataFrame, kind: str, start: Column, stop: Column, strength: f
         "drift": v + size * share * share,
         "noise_burst": v + size * F.when((i - start) % 2 == 0, 1).otherwise(-1),
         "pattern_change": F.col("centre") + size * F.sin((i - start) * 0.7853981633974483),
+        "correlation_break": F.coalesce(F.col("elsewhere"), v) if kind == "correlation_break" else v,
         "missing_data": F.lit(None).cast("double"),
     }[kind]
     hit = inside & ((i == F.floor((start + stop) / 2)) if kind == "spike" else F.lit(True))

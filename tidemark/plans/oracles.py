@@ -203,12 +203,14 @@ _INJECT = {
     "inject_spike": ("spike", "row_idx = 14", "value + 4 * scale"),
     "inject_level": ("level_shift", "row_idx >= 10 and row_idx < 18", "value + 4 * scale"),
     "inject_flatline": ("flatline", "row_idx >= 10 and row_idx < 18", "coalesce(held, value)"),
+    "inject_correlation_break": ("correlation_break", "row_idx >= 10 and row_idx < 18", "coalesce(elsewhere, value)"),
     "inject_drift": ("drift", "row_idx >= 10 and row_idx < 18", "value + 4 * scale * ((row_idx - 9) / 8) * ((row_idx - 9) / 8)"),
 }
 for _name, (_kind, _hit, _new) in _INJECT.items():
-    _id = {"spike": 1, "level_shift": 2, "flatline": 3, "drift": 4}[_kind]
+    _id = {"spike": 1, "level_shift": 2, "flatline": 3, "drift": 4, "correlation_break": 7}[_kind]
     ORACLE[_name] = f"""with {EV}, {scaled("ev", "series_id")}, h as (select series_id, value as held from ev where row_idx = 10),
-m as (select z.series_id, row_idx, value, {_hit} as hit, case when {_hit} then {_new} else value end as new, scale from z left join h on h.series_id = z.series_id),
+m as (select z.series_id, row_idx, value, {_hit} as hit, case when {_hit} then {_new} else value end as new, scale from z left join h on h.series_id = z.series_id
+    left join (select series_id as s, row_idx + 8 as at, value as elsewhere from ev where row_idx between 2 and 9) f on f.s = z.series_id and f.at = row_idx),
 e as (select series_id, coalesce(avg(case when hit then abs(new - value) / scale end) >= 0.3, false) as ok from m group by 1)
 select m.series_id, row_idx, {r6("case when hit and ok then new else value end")} as value, case when hit and ok then 1 else 0 end as label, case when hit and ok then {_id} else 0 end as type from m join e on e.series_id = m.series_id"""
 ORACLE["budget_select"] = """with o as (select o_orderpriority, o_orderkey, cast(floor(o_totalprice) as bigint) as size from orders),

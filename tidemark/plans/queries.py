@@ -378,6 +378,11 @@ def inject_drift(spark, sf):
     return _injected(spark, sf, "drift")
 
 
+@query
+def inject_correlation_break(spark, sf):
+    return _injected(spark, sf, "correlation_break")
+
+
 @query
 def budget_select(spark, sf):
     orders = T.table(spark, sf, "orders").select("o_orderpriority", "o_orderkey", F.floor("o_totalprice").alias("size"))

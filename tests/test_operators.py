@@ -326,3 +326,34 @@ def test_upsert_and_budget(spark):
     assert sorted(tuple(r) for r in reshape.upsert(old, new, "id").collect()) == [(1, "o"), (2, "n"), (3, "n")]
     sizes = spark.createDataFrame([("a", 1, 9), ("a", 2, 1), ("b", 1, 3), ("b", 2, 1), ("b", 3, 2)], "s string, id int, n int")
     assert sorted((r["s"], r["id"]) for r in labels.budget(sizes, "s", "n", [F.col("id")], 4).collect()) == [("a", 1), ("b", 1), ("b", 2)]
+
+
+def test_ways_are_compared(spark):
+    rows = [("a", 1, True, 0.6, 0.6), ("b", 1, True, 0.605, 0.605), ("c", 1, True, 0.7, 0.7), ("d", 1, True, 0.7, 0.7), ("e", 1, True, None, None)]
+    found = spark.createDataFrame(rows, "way string, source int, unseen boolean, average_precision double, roc_auc double")
+
+    def chosen(base, *ways):
+        return [r["way"] for r in metrics.compared(found.where(F.col("way").isin(*ways)), base).where("chosen").collect()]
+
+    assert chosen(None, *"abcde") == ["c"]
+    assert chosen("a", *"abcde") == ["c"]
+    assert chosen("a", "a", "b") == ["a"]
+    assert chosen("x", "a", "b") == ["b"]
+    assert chosen(None, "e") == []
+
+
+def test_windows_that_can_be_learned_from(spark):
+    schema = "series_id int, window int, row_idx int, channel int, value double, label int"
+    rows = [(1, w, 4 * w + i, c, None if c == 2 else float(i * c), int(i < hits)) for w, hits in ((0, 2), (1, 3)) for i in range(4) for c in range(3)]
+    windows = spark.createDataFrame(rows, schema)
+    assert {r["channel"] for r in labels.usable_channels(windows).collect()} == {1}
+    assert labels.without_dense(windows).select("window").distinct().collect() == [(0,)]
+    assert labels.without_dense(windows, F.col("window") == 1).count() == len(rows)
+    assert labels.without_dense(windows.limit(0)).count() == labels.usable_channels(windows.limit(0)).count() == 0
+
+
+def test_false_alarms_by_channel(spark):
+    rows = [("a", i, c, 0.9 if i < 5 - c else 0.1, y) for i, y in enumerate((0, 0, 0, 1, -1)) for c in range(6)]
+    cells = spark.createDataFrame(rows, "series_id string, row_idx int, channel int, p double, label int")
+    got = [(r["channel"], round(r["rate"], 3)) for r in metrics.false_alarms(cells, k=4).orderBy("place").collect()]
+    assert got == [(0, 1.0), (1, 1.0), (2, 1.0), (3, 0.667)]

@@ -7,6 +7,22 @@ from pyspark.sql import functions as F
 
 from ..schema import UNKNOWN_WEIGHT
 
+#: Sources whose labels may be learned from, with the patterns that a series' id must all match.
+LEARNED = {
+    "hai": ("/test", r"hai-20\.07|hai-21\.03"),
+    "cats": ("/train$",),
+    "esa": ("/train$",),
+    "esa_full": ("/train$",),
+    "lead": (),
+    "care": (),
+    "ctf": (),
+    "kelmarsh": (),
+    "alfa": (),
+    "pvfault": (),
+}
+#: Ids of series that measure bodies.
+PHYSIOLOGY = "sddb|BIDMC|ECG|ecg|mitdb|MITDB|ltst|LTST|qtdb"
+
 
 def row_targets(cells: DataFrame, keys: tuple[str, ...] = ("series_id", "row_idx")) -> DataFrame:
     """A row's label from its cells': anomaly if any is, normal if all are, else unknown."""
@@ -84,3 +100,33 @@ def crop(rows: DataFrame, most: int) -> DataFrame:
     bounds = rows.groupBy("series_id").agg((F.max("row_idx") + 1).alias("n"), F.coalesce(F.min(F.when(F.col("label") == 1, F.col("row_idx"))), F.lit(0)).alias("first"))
     start = F.when((F.col("n") <= most) | (F.col("first") < 0.8 * most), 0).otherwise(F.least(F.col("first") - most // 2, F.col("n") - most))
     return rows.join(bounds.select("series_id", start.alias("from_row")), "series_id").where((F.col("row_idx") >= F.col("from_row")) & (F.col("row_idx") < F.col("from_row") + most)).drop("from_row")
+
+
+def learned_from(source: Column, series_id: Column) -> Column:
+    """Whether a series' labels may be used in training: true or false, also for null."""
+    may = F.lit(False)
+    for name, patterns in LEARNED.items():
+        fits = source == name
+        for pattern in patterns:
+            fits = fits & series_id.rlike(pattern)
+        may = may | fits
+    return F.coalesce(may, F.lit(False))
+
+
+def reported_source(source: Column, series_id: Column) -> Column:
+    """``source``, but for physiological series of ``ucr``, which are reported apart."""
+    return F.when((source == "ucr") & series_id.rlike(PHYSIOLOGY), "ucr_physiology").otherwise(source)
+
+
+def usable_channels(windows: DataFrame, keys: tuple[str, ...] = ("series_id", "window")) -> DataFrame:
+    """The cells of channels that have two different values in their window; a window without any goes."""
+    seen = windows.groupBy(*keys, "channel").agg(F.min("value").alias("low"), F.max("value").alias("high")).where("low < high")
+    return windows.join(seen.select(*keys, "channel"), [*keys, "channel"], "left_semi")
+
+
+def without_dense(windows: DataFrame, referenced: Column | None = None, keys: tuple[str, ...] = ("series_id", "window"), most: float = 0.6) -> DataFrame:
+    """The cells of windows with anomalies in at most this share of rows, and of those with a normal reference."""
+    known = F.lit(False) if referenced is None else F.coalesce(referenced, F.lit(False))
+    rows = windows.groupBy(*keys, "row_idx").agg(F.max(F.when(F.col("label") == 1, 1.0).otherwise(0.0)).alias("hit"), F.max(known).alias("known"))
+    dense = rows.groupBy(*keys).agg(F.avg("hit").alias("share"), F.max("known").alias("known")).where((F.col("share") > most) & ~F.col("known"))
+    return windows.join(dense.select(*keys), list(keys), "left_anti")

@@ -61,15 +61,50 @@ def row_metrics(scores: DataFrame) -> DataFrame:
     return brier_nll(scores).join(ranking(scores.where("label >= 0")), "series_id", "left").join(range_precision(scores), "series_id", "left")
 
 
-def source_score(metrics: DataFrame, unseen_weight: float = 0.7) -> DataFrame:
-    """One number: mean of (average precision + ROC area) / 2 by source, then over unseen and over seen sources, weighed;
-    the one there is where the other is missing."""
-    by_source = metrics.groupBy("source", "unseen").agg(F.avg((F.col("average_precision") + F.col("roc_auc")) / 2).alias("s"))
-    two = by_source.agg(F.avg(F.when(F.col("unseen"), F.col("s"))).alias("unseen_score"), F.avg(F.when(~F.col("unseen"), F.col("s"))).alias("seen_score"))
+def source_score(metrics: DataFrame, unseen_weight: float = 0.7, keys: tuple[str, ...] = ()) -> DataFrame:
+    """One number (for each of ``keys``): mean of (average precision + ROC area) / 2 by source, then over unseen and over
+    seen sources, weighed; the one there is where the other is missing."""
+    by_source = metrics.groupBy(*keys, "source", "unseen").agg(F.avg((F.col("average_precision") + F.col("roc_auc")) / 2).alias("s"))
+    two = by_source.groupBy(*keys).agg(F.avg(F.when(F.col("unseen"), F.col("s"))).alias("unseen_score"), F.avg(F.when(~F.col("unseen"), F.col("s"))).alias("seen_score"))
     both = unseen_weight * F.col("unseen_score") + (1 - unseen_weight) * F.col("seen_score")
     return two.withColumn("score", F.coalesce(both, "unseen_score", "seen_score"))
 
 
+def compared(metrics: DataFrame, base: str | None = None, margin: float = 0.01, places: int = 9) -> DataFrame:
+    """Ways of scoring against each other: ``metrics`` of each ``way`` give its source score and whether it is ``chosen``.
+
+    The best is (the first by name of equals), and the way ``base`` keeps its place unless the best exceeds it by more
+    than ``margin``. Ways without a score are never chosen. Scores are compared as rounded to ``places``.
+    """
+    each = source_score(metrics, keys=("way",))
+    score = F.round("score", places)
+    by = F.when(score.isNotNull(), F.struct(-score, "way"))
+    best = each.agg(F.min_by("way", by).alias("way"), F.max(score).alias("top"), F.max(F.when(F.col("way") == F.lit(base), score)).alias("kept"))
+    keeps = F.col("kept").isNotNull() & (F.col("top") <= F.col("kept") + margin)
+    best = best.select(F.when(keeps, F.lit(base)).otherwise(F.col("way")).alias("way"), F.lit(True).alias("chosen"))
+    return each.join(best, "way", "left").withColumn("chosen", F.coalesce("chosen", F.lit(False)))
+
+
+def benchmark(metrics: DataFrame, baseline: DataFrame | None = None) -> DataFrame:
+    """By ``source``: number of series, mean of each metric, ``chance`` (what a random score gets for the mean of average
+    precision and ROC area) and, with a ``baseline``'s metrics, ``gain``: the difference in range-tolerant precision
+    (null for sources that the baseline lacks)."""
+    names = ("anomaly_share", "average_precision", "vus_pr", "roc_auc", "best_f1", "brier", "nll")
+    table = metrics.groupBy("source").agg(F.count("series_id").alias("n_series"), *(F.avg(c).alias(c) for c in names)).withColumn("chance", (F.col("anomaly_share") + 0.5) / 2)
+    if baseline is None:
+        return table
+    theirs = baseline.groupBy("source").agg(F.avg("vus_pr").alias("theirs"))
+    return table.join(theirs, "source", "left").withColumn("gain", F.col("vus_pr") - F.col("theirs")).drop("theirs")
+
+
+def false_alarms(cells: DataFrame, above: float = 0.7, k: int = 5) -> DataFrame:
+    """The channels of each series that most often exceed ``above`` (``p``) in normal rows (``label``, the row's):
+    ``series_id, channel, rate, place``; of equals the least channel first."""
+    rate = cells.where("label = 0").groupBy("series_id", "channel").agg(F.avg(F.when(F.col("p") > above, 1.0).otherwise(0.0)).alias("rate"))
+    place = F.row_number().over(Window.partitionBy("series_id").orderBy(F.desc("rate"), "channel"))  # a row a channel
+    return rate.withColumn("place", place).where(F.col("place") <= k)
+
+
 def best_threshold(scores: DataFrame, keys: tuple[str, ...] = ("series_id",), low: float = 1e-4, high: float = 0.95) -> DataFrame:
     """The score with the best F1 (the highest of equals), within bounds."""
     c = curve(scores.where("label >= 0"), keys).where("p > 0")

@@ -266,3 +266,34 @@ select subset, file, case when subset like 'taxi%' then 'transport' when subset
 ORACLE["role_counts"] = f"select role, count(*) as n, min(series_id) as first from ({ORACLE['role_assignment']}) group by 1"
 ORACLE["per_source_subset"] = """with s as (select distinct user_id as series_id, user_id % 11 as source from events), k as (select *, row_number() over (partition by source order by series_id) as place from s)
 select * from k where place <= 3"""
+_WINDOWS = """win as (select series_id, cast(floor(row_idx / {n}) as bigint) as "window", row_idx, label, 0 as channel, value from ev
+union all select series_id, cast(floor(row_idx / {n}) as bigint), row_idx, label, 1, case when event_id % 3 = 0 then value end from ev union all select series_id, cast(floor(row_idx / {n}) as bigint), row_idx, label, 2, 5.0 from ev)"""
+ORACLE["usable_window_channels"] = f"""with {EV}, {_WINDOWS.format(n=6)}
+select series_id, "window", channel, count(*) as n, count(value) as n_values from win group by 1, 2, 3 having count(distinct value) > 1"""
+ORACLE["dense_window_reject"] = f"""with {EV}, {_WINDOWS.format(n=3)}, r as (select series_id, "window", row_idx, bool_or(label = 1) as hit from win group by 1, 2, 3)
+select series_id, "window", count(*) as n_rows from r group by 1, 2 having count(*) filter (hit) <= 0.6 * count(*) or series_id % 3 = 0"""
+ORACLE["learned_sources"] = """with p as (select p_partkey, ['hai', 'cats', 'ucr', 'lead', 'w3', 'esa'][p_partkey % 6 + 1] as source,
+    ['hai-20.07/test', 'hai-22.04/test', 'x/train', 'train/x', 'ECG1', 'hai-21.03/train', null][p_partkey % 7 + 1] as path from part)
+select p_partkey, coalesce(case source when 'hai' then contains(path, '/test') and (contains(path, 'hai-20.07') or contains(path, 'hai-21.03'))
+    when 'cats' then ends_with(path, '/train') when 'esa' then ends_with(path, '/train') when 'lead' then true else false end, false) as learned,
+    case when source = 'ucr' and contains(path, 'ECG') then 'ucr_physiology' else source end as source from p"""
+ORACLE["aggregation_choice"] = f"""with {_P}, s as (select row_idx, 'max' as way, {r6("most")} as score from l union all select row_idx, 'topk3', {r6("list_sum(top) / len(top)")} from l
+    union all select row_idx, 'noisy_or3', {r6("1 - (1 - least(top[1], 1 - 1e-6)) * (1 - least(top[2], 1 - 1e-6)) * (1 - least(top[3], 1 - 1e-6))")} from l),
+sc as (select way, row_idx % 12 as series_id, row_idx % 7 = 0 as hit, score from s),
+one as (select way, series_id, score, count(*) filter (hit) as pos, count(*) filter (not hit) as neg from sc group by 1, 2, 3),
+c as (select *, sum(pos) over d as tp, sum(neg) over d as fp, sum(pos) over e as p, sum(neg) over e as n from one
+    window d as (partition by way, series_id order by score desc rows between unbounded preceding and current row), e as (partition by way, series_id)),
+m as (select way, series_id % 4 as source, series_id, (sum(pos / p * tp / (tp + fp)) + sum(pos * (n - fp + neg / 2) / (p * n))) / 2 as s from c where p > 0 and n > 0 group by 1, 2, 3),
+g as (select way, source, avg(s) as s from m group by 1, 2), t as (select way, avg(s) filter (source < 2) as u, avg(s) filter (source >= 2) as k from g group by 1),
+x as (select *, coalesce(0.7 * u + 0.3 * k, u, k) as score from t),
+b as (select case when max(score) <= max(score) filter (way = 'max') + 0.01 then 'max' else arg_max(way, score) end as way from x)
+select way, {r6("u")} as unseen_score, {r6("k")} as seen_score, {r6("score")} as score, way = (select way from b) as chosen from x"""
+ORACLE["benchmark_table"] = f"""with {RANKED}, {_vus((0, 16, 64, 256))},
+b as (select series_id, avg(label) as anomaly_share, avg((score - label) ** 2) as brier, avg({_LOSS}) as nll from sc where label >= 0 group by 1),
+j as (select b.*, b.series_id % 9 as source, average_precision, roc_auc, best_f1, vus_pr from b left join ranked r on r.series_id = b.series_id left join vus v on v.series_id = b.series_id),
+t as (select source, count(*) as n_series, {", ".join(f"avg({c}) as {c}" for c in ("anomaly_share", "average_precision", "vus_pr", "roc_auc", "best_f1", "brier", "nll"))} from j group by 1)
+select source, n_series, {", ".join(f"{r6(c)} as {c}" for c in ("anomaly_share", "average_precision", "vus_pr", "roc_auc", "best_f1", "brier", "nll"))},
+    {r6("(anomaly_share + 0.5) / 2")} as chance, {r6("case when source > 1 then vus_pr - average_precision end")} as gain from t"""
+ORACLE["false_alarm_channels"] = f"""with {EMB}, {scaled("emb", "series_id, channel")}, f as (
+    select series_id, channel, avg(case when round(1 - exp(-abs(z)), 9) > 0.7 then 1.0 else 0.0 end) as rate from z where row_idx % 7 <> 0 and row_idx % 5 <> 0 group by 1, 2),
+k as (select *, row_number() over (partition by series_id order by rate desc, channel) as place from f) select series_id, channel, {r6("rate")} as rate, place from k where place <= 5"""

@@ -553,3 +553,57 @@ def per_source_subset(spark, sf):
     """At most three series a group, by id."""
     rows = T.event_series(spark, sf).select("series_id", F.pmod("series_id", F.lit(11)).alias("source")).distinct()
     return rows.selectExpr("*", "row_number() over (partition by source order by series_id) as place").where("place <= 3")
+
+
+def _windows(spark, sf, size):
+    """Rows of the event series in windows that follow each other, with a channel of gaps and a constant one."""
+    rows = T.event_series(spark, sf).withColumn("window", F.floor(F.col("row_idx") / size))
+    channels = F.array(F.col("value"), F.when(F.col("event_id") % 3 == 0, F.col("value")), F.lit(5.0))
+    return rows.select("series_id", "window", "row_idx", "label", F.posexplode(channels).alias("channel", "value"))
+
+
+@query
+def usable_window_channels(spark, sf):
+    out = labels.usable_channels(_windows(spark, sf, 6))
+    return out.groupBy("series_id", "window", "channel").agg(F.count("*").alias("n"), F.count("value").alias("n_values"))
+
+
+@query
+def dense_window_reject(spark, sf):
+    out = labels.without_dense(_windows(spark, sf, 3), F.pmod("series_id", F.lit(3)) == 0)
+    return out.groupBy("series_id", "window").agg(F.countDistinct("row_idx").alias("n_rows"))
+
+
+@query
+def learned_sources(spark, sf):
+    """Whose labels may be used, and under which name a series is reported."""
+    names = F.array(*map(F.lit, ("hai", "cats", "ucr", "lead", "w3", "esa")))
+    paths = F.array(*map(F.lit, ("hai-20.07/test", "hai-22.04/test", "x/train", "train/x", "ECG1", "hai-21.03/train", None)))
+    part = T.table(spark, sf, "part").select("p_partkey", F.element_at(names, (F.col("p_partkey") % 6 + 1).cast("int")).alias("source"), F.element_at(paths, (F.col("p_partkey") % 7 + 1).cast("int")).alias("path"))
+    return part.select("p_partkey", labels.learned_from(F.col("source"), F.col("path")).alias("learned"), labels.reported_source(F.col("source"), F.col("path")).alias("source"))
+
+
+@query
+def aggregation_choice(spark, sf):
+    """Ways to aggregate a row's cells, compared by source score; the first stays unless another is clearly better."""
+    ways = {"max": ("max", 1), "noisy_or3": ("noisy_or", 3), "topk3": ("topk", 3)}
+    lists = _cell_probabilities(spark, sf).groupBy("row_idx").agg(F.collect_list("p").alias("ps"))  # a row's channels
+    each = F.explode(F.array(*(F.struct(F.lit(w).alias("way"), r6(C.row_score("ps", how, k), "score")) for w, (how, k) in ways.items())))
+    rows = lists.select("row_idx", each.alias("s")).select("row_idx", "s.way", "s.score", (F.col("row_idx") % 12).alias("series_id"), (F.col("row_idx") % 7 == 0).cast("int").alias("label"))
+    found = metrics.ranking(rows, ("way", "series_id")).withColumn("source", F.col("series_id") % 4).withColumn("unseen", F.col("source") < 2)
+    return metrics.compared(found, base="max").select("way", r6("unseen_score"), r6("seen_score"), r6("score"), "chosen")
+
+
+@query
+def benchmark_table(spark, sf):
+    """Metrics by source, against the plain average precision of some of the sources."""
+    each = metrics.row_metrics(scores(spark, sf)).withColumn("source", F.pmod("series_id", F.lit(9)))
+    out = metrics.benchmark(each, each.where("source > 1").select("source", F.col("average_precision").alias("vus_pr")))
+    return out.select("source", "n_series", *(r6(c) for c in ("anomaly_share", "average_precision", "vus_pr", "roc_auc", "best_f1", "brier", "nll", "chance", "gain")))
+
+
+@query
+def false_alarm_channels(spark, sf):
+    row = F.col("row_idx")
+    cells = _cell_probabilities(spark, sf).withColumn("label", F.when(row % 7 == 0, 1).when(row % 5 == 0, -1).otherwise(0))
+    return metrics.false_alarms(cells).select("series_id", "channel", r6("rate"), "place")

@@ -357,3 +357,23 @@ def test_false_alarms_by_channel(spark):
     cells = spark.createDataFrame(rows, "series_id string, row_idx int, channel int, p double, label int")
     got = [(r["channel"], round(r["rate"], 3)) for r in metrics.false_alarms(cells, k=4).orderBy("place").collect()]
     assert got == [(0, 1.0), (1, 1.0), (2, 1.0), (3, 0.667)]
+
+
+def test_template_is_stretched_and_added(spark):
+    bank = spark.createDataFrame([("t", 7, 3, 2, p, float(z)) for p, z in ((-1, 9), (0, 4), (1, 8), (2, 0))], "series_id string, start long, channel int, length long, place long, z double")
+    values = [0.0, 1.0] * 10
+    one = cells(spark, values)
+    placed = spark.createDataFrame([("a", "t", 7, 4, 5 / 3, 2.0)], "series_id string, template string, template_start long, start int, stretch double, gain double")
+    got = inject.from_template(one, bank, placed).orderBy("row_idx").collect()
+    scale = 0.5 * 1.4826
+    want = list(values)
+    for i, z in enumerate((4, 6, 8, 4, 0)):
+        want[4 + i] += z * 2 * scale
+    assert [r["value"] for r in got] == pytest.approx(want)
+    assert [r["label"] for r in got] == [int(4 <= i < 7) for i in range(20)]
+    assert [r["type"] for r in got] == [-int(4 <= i < 7) for i in range(20)]
+    late = placed.withColumn("start", F.lit(16))
+    busy = one.withColumn("label", (F.col("row_idx") == 5).cast("int"))
+    for rows, where in ((one, late), (busy, placed), (one, placed.withColumn("gain", F.lit(0.01))), (one, placed.limit(0))):
+        same = inject.from_template(rows, bank, where).orderBy("row_idx").collect()
+        assert [(r["value"], r["label"], r["type"]) for r in same] == [(r["value"], r["label"], 0) for r in rows.orderBy("row_idx").collect()]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import TYPES
@@ -51,3 +51,48 @@ def inject(cells: DataFrame, kind: str, start: Column, stop: Column, strength: f
     out = made.join(effect, ["series_id", "channel"]).withColumn("hit", F.col("hit") & F.col("effective"))
     kept = [c for c in cells.columns if c not in ("value", "label", "type")]
     return out.select(*kept, F.when(F.col("hit"), F.col("new")).otherwise(v).alias("value"), F.when(F.col("hit"), 1).otherwise(0).alias("label"), F.when(F.col("hit"), TYPES.index(kind)).otherwise(0).alias("type"))
+
+
+def from_template(cells: DataFrame, bank: DataFrame, placed: DataFrame) -> DataFrame:
+    """``cells`` with real events put in: ``value, label`` (1 on the event's rows), ``type`` (-1 there: unknown).
+
+    ``bank`` has templates (``events.templates`` with ``length``), ``placed`` a row a series: ``series_id, template,
+    template_start`` (a template's key), ``start`` (first row), ``stretch`` (of its time), ``gain``. A template's event and
+    what follows it are stretched linearly and added in units of a channel's scale; the i-th channel of a series takes the
+    i-th of the template. A series stays as it is, labels included, if the template doesn't end before the series
+    does or the event meets rows that are labelled already, and so does a channel that the event moves by less than
+    ``LEAST_EFFECT`` spreads.
+    """
+    key = ["template", "template_start"]
+    by_place = Window.partitionBy(*key, "rank").orderBy("place")
+    # A template's rows are bounded by the bank's longest event.
+    after = bank.where("place >= 0").select(
+        F.col("series_id").alias("template"), F.col("start").alias("template_start"), F.col("length").alias("own_length"), "place", "z",
+        F.dense_rank().over(Window.partitionBy("series_id", "start").orderBy("channel")).alias("rank"),
+    )
+    points = after.select(*key, "rank", "place", "z", F.coalesce(F.lead("z").over(by_place), "z").alias("next_z"))
+    sizes = after.groupBy(*key).agg((F.max("place") + 1).alias("m"), F.max("own_length").alias("own_length"))
+    rows = cells.groupBy("series_id").agg((F.max("row_idx") + 1).alias("n_rows"))
+    plan = placed.join(sizes, key).join(rows, "series_id").select(
+        "series_id", *key, F.col("start").alias("begin"), "gain", "m",
+        F.greatest(F.lit(2), F.round(F.col("m") * F.col("stretch"))).cast("long").alias("n_new"),
+        F.greatest(F.lit(1), F.round(F.col("own_length") * F.col("stretch"))).cast("long").alias("n_event"), "n_rows",
+    ).where("begin + n_new < n_rows")
+    ranks = centre_and_scale(cells).withColumn("rank", F.dense_rank().over(Window.partitionBy("series_id").orderBy("channel")))  # a row a channel
+    every = cells.select("series_id", "row_idx", "channel", *(c for c in cells.columns if c not in ("series_id", "row_idx", "channel", "type")))
+    j = F.col("row_idx") - F.col("begin")
+    x = j * (F.col("m") - 1) / (F.col("n_new") - 1)
+    all_ = every.join(ranks, ["series_id", "channel"]).join(plan, "series_id", "left").withColumn("x", F.when((j >= 0) & (j < F.col("n_new")), x)).withColumn("place", F.floor("x"))
+    all_ = all_.join(points, [*key, "rank", "place"], "left")
+    added = (F.col("z") + (F.col("x") - F.col("place")) * (F.col("next_z") - F.col("z"))) * F.col("scale") * F.col("gain")
+    made = all_.withColumn("new", F.col("value") + added).withColumn("hit", F.col("z").isNotNull() & (j < F.col("n_event")))
+    effect = made.groupBy("series_id", "channel").agg(
+        F.coalesce(F.avg(F.when(F.col("hit"), F.abs(F.col("new") - F.col("value")) / F.col("scale"))) >= LEAST_EFFECT, F.lit(False)).alias("effective"),
+        F.max(F.col("hit") & (F.col("label") == 1)).alias("met"),
+    )
+    busy = effect.groupBy("series_id").agg(F.coalesce(F.max("met"), F.lit(False)).alias("busy"))
+    use = effect.join(busy, "series_id").select("series_id", "channel", (F.col("effective") & ~F.col("busy")).alias("used"))
+    out = made.join(use, ["series_id", "channel"])
+    kept = [c for c in cells.columns if c not in ("value", "label", "type")]
+    hit = F.col("used") & F.col("hit")
+    return out.select(*kept, F.when(F.col("used"), F.coalesce("new", "value")).otherwise(F.col("value")).alias("value"), F.when(hit, 1).otherwise(F.col("label")).alias("label"), F.when(hit, -1).otherwise(0).alias("type"))

@@ -130,3 +130,19 @@ def without_dense(windows: DataFrame, referenced: Column | None = None, keys: tu
     rows = windows.groupBy(*keys, "row_idx").agg(F.max(F.when(F.col("label") == 1, 1.0).otherwise(0.0)).alias("hit"), F.max(known).alias("known"))
     dense = rows.groupBy(*keys).agg(F.avg("hit").alias("share"), F.max("known").alias("known")).where((F.col("share") > most) & ~F.col("known"))
     return windows.join(dense.select(*keys), list(keys), "left_anti")
+
+
+def weighted_pick(catalog: DataFrame, by: str, weight: Column, drawn: Column, k: int) -> DataFrame:
+    """``k`` rows of each group of ``by`` without replacement, likelier by ``weight``: those with the least
+    ``-ln(drawn) / weight``; ``drawn`` is a row's own number above 0 and up to 1. Rows without a weight above 0 are never picked.
+    A catalogue has one row a series, which a window can hold."""
+    some = catalog.withColumn("weight_", weight).where("weight_ > 0").withColumn("turn_", -F.log(drawn) / F.col("weight_"))
+    place = F.row_number().over(Window.partitionBy(by).orderBy("turn_", "series_id"))
+    return some.withColumn("turn_", place).where(F.col("turn_") <= k).drop("weight_", "turn_")
+
+
+def thinned(cells: DataFrame, share: float, drawn: Column | None = None) -> DataFrame:
+    """An irregular series: rows whose number ``drawn`` (from 0 to below 1; a hash of series and row) is below ``share`` stay with all
+    their cells, in order, labels and times unchanged; ``row_idx`` keeps its gaps. Narrow."""
+    number = F.pmod(F.xxhash64("series_id", "row_idx"), F.lit(1 << 20)) / (1 << 20) if drawn is None else drawn
+    return cells.where(number < share)

@@ -297,3 +297,15 @@ select source, n_series, {", ".join(f"{r6(c)} as {c}" for c in ("anomaly_share",
 ORACLE["false_alarm_channels"] = f"""with {EMB}, {scaled("emb", "series_id, channel")}, f as (
     select series_id, channel, avg(case when round(1 - exp(-abs(z)), 9) > 0.7 then 1.0 else 0.0 end) as rate from z where row_idx % 7 <> 0 and row_idx % 5 <> 0 group by 1, 2),
 k as (select *, row_number() over (partition by series_id order by rate desc, channel) as place from f) select series_id, channel, {r6("rate")} as rate, place from k where place <= 5"""
+ORACLE["inject_template"] = f"""with {EV}, {scaled("ev", "series_id")}, tb as (select place, z, lead(z) over (order by place) as nz from ({ORACLE["template_bank"]}) where series_id = 'A' and start = 60 and channel = 0 and place >= 0),
+sz as (select max(place) + 1 as m from tb), s as (select series_id, max(row_idx) + 1 as n, 5 + series_id % 3 as b, case when series_id % 2 = 0 then 0.25 else 0.5 end as f from ev group by 1),
+pl as (select series_id, b, round(m * f) as nn, round(12 * f) as ne, m from s, sz where b + round(m * f) < n),
+j as (select e.*, p.b, ne, case when row_idx >= p.b and row_idx < p.b + nn then cast(row_idx - p.b as double) * (m - 1) / (nn - 1) end as x from z e left join pl p on p.series_id = e.series_id),
+k as (select j.*, value + (tb.z + (x - place) * (coalesce(nz, tb.z) - tb.z)) * scale * 1.5 as new, tb.z is not null and row_idx < b + ne as hit from j left join tb on tb.place = floor(x)),
+u as (select series_id, coalesce(avg(abs(new - value) / scale) filter (hit) >= 0.3, false) and not coalesce(bool_or(label = 1) filter (hit), false) as used from k group by 1)
+select k.series_id, row_idx, {r6("case when used then coalesce(new, value) else value end")} as value, case when used and hit then 1 else label end as label, case when used and hit then -1 else 0 end as type
+from k join u on u.series_id = k.series_id"""
+ORACLE["weighted_series_pick"] = f"""with c as (select c_custkey as series_id, c_mktsegment as sector, cast(c_acctbal as double) as size from customer where c_acctbal > 0),
+k as (select *, row_number() over (partition by sector order by -ln((series_id * 7919 % 1009 + 1) / 1009) / sqrt(size), series_id) as k from c) select series_id, sector, {r6("size")} as size from k where k <= 3"""
+ORACLE["random_drop"] = f"""with {EV}, f as (select * from ev where (event_id * 31 + series_id) % 97 / 97 < 2 / 3), s as (select *, t - lag(t) over (partition by series_id order by row_idx) as step from f)
+select series_id, row_idx, label, {r6("coalesce(ln(1 + step / greatest(median(step) over (partition by series_id), 1e-12)), 0)")} as delta_t from s"""

@@ -607,3 +607,32 @@ def false_alarm_channels(spark, sf):
     row = F.col("row_idx")
     cells = _cell_probabilities(spark, sf).withColumn("label", F.when(row % 7 == 0, 1).when(row % 5 == 0, -1).otherwise(0))
     return metrics.false_alarms(cells).select("series_id", "channel", r6("rate"), "place")
+
+
+@query
+def inject_template(spark, sf):
+    """A real event, a quarter or half as long, in the series of events."""
+    wide = _wide_events(spark, sf)
+    bank = events.templates(wide, events.statistics(wide)).where("series_id = 'A' and start = 60").withColumn("z", r6("z"))
+    cells = T.event_series(spark, sf)
+    placed = cells.select("series_id").distinct().select(
+        "series_id", F.lit("A").alias("template"), F.lit(60).alias("template_start"), (5 + F.pmod("series_id", F.lit(3))).alias("start"),
+        F.when(F.pmod("series_id", F.lit(2)) == 0, 0.25).otherwise(0.5).alias("stretch"), F.lit(1.5).alias("gain"),
+    )
+    return inject.from_template(cells, bank, placed).select("series_id", "row_idx", r6("value"), "label", "type")
+
+
+@query
+def weighted_series_pick(spark, sf):
+    """Three customers a segment, likelier the larger their balance."""
+    rows = T.table(spark, sf, "customer").select(F.col("c_custkey").alias("series_id"), F.col("c_mktsegment").alias("sector"), F.col("c_acctbal").cast("double").alias("size"))
+    drawn = (F.pmod(F.col("series_id") * 7919, F.lit(1009)) + 1) / 1009
+    return labels.weighted_pick(rows, "sector", F.when(F.col("size") > 0, F.sqrt("size")), drawn, 3).select("series_id", "sector", r6("size"))
+
+
+@query
+def random_drop(spark, sf):
+    """Two of three rows and the times between those that stay."""
+    rows = T.event_series(spark, sf)
+    few = labels.thinned(rows, 2 / 3, F.pmod(F.col("event_id") * 31 + F.col("series_id"), F.lit(97)) / 97)
+    return series.delta_t(few).select("series_id", "row_idx", "label", r6("delta_t"))

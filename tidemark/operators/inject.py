@@ -59,22 +59,18 @@ def from_template(cells: DataFrame, bank: DataFrame, placed: DataFrame) -> DataF
     ``bank`` has templates (``events.templates`` with ``length``), ``placed`` a row a series: ``series_id, template,
     template_start`` (a template's key), ``start`` (first row), ``stretch`` (of its time), ``gain``. A template's event and
     what follows it are stretched linearly and added in units of a channel's scale; the i-th channel of a series takes the
-    i-th of the template. A series stays as it is, labels included, if the template doesn't end before the series
+    i-th of the template, whose places follow each other from 0. A series stays as it is, labels included, if the template doesn't end before the series
     does or the event meets rows that are labelled already, and so does a channel that the event moves by less than
     ``LEAST_EFFECT`` spreads.
     """
     key = ["template", "template_start"]
-    by_place = Window.partitionBy(*key, "rank").orderBy("place")
-    # A template's rows are bounded by the bank's longest event.
-    after = bank.where("place >= 0").select(
-        F.col("series_id").alias("template"), F.col("start").alias("template_start"), F.col("length").alias("own_length"), "place", "z",
-        F.dense_rank().over(Window.partitionBy("series_id", "start").orderBy("channel")).alias("rank"),
-    )
-    points = after.select(*key, "rank", "place", "z", F.coalesce(F.lead("z").over(by_place), "z").alias("next_z"))
-    sizes = after.groupBy(*key).agg((F.max("place") + 1).alias("m"), F.max("own_length").alias("own_length"))
+    # A template's channel as an array: bounded by the bank's longest event.
+    one = F.sort_array(F.collect_list(F.struct("place", "z")))
+    channels = bank.where("place >= 0").groupBy(F.col("series_id").alias("template"), F.col("start").alias("template_start"), "channel").agg(one.alias("zs"), F.max("length").alias("own_length"))
+    channels = channels.withColumn("rank", F.row_number().over(Window.partitionBy(*key).orderBy("channel"))).withColumn("m", F.size("zs"))
     rows = cells.groupBy("series_id").agg((F.max("row_idx") + 1).alias("n_rows"))
-    plan = placed.join(sizes, key).join(rows, "series_id").select(
-        "series_id", *key, F.col("start").alias("begin"), "gain", "m",
+    plan = placed.join(channels, key).join(rows, "series_id").select(
+        "series_id", "rank", F.col("start").alias("begin"), "gain", "m", "zs.z",
         F.greatest(F.lit(2), F.round(F.col("m") * F.col("stretch"))).cast("long").alias("n_new"),
         F.greatest(F.lit(1), F.round(F.col("own_length") * F.col("stretch"))).cast("long").alias("n_event"), "n_rows",
     ).where("begin + n_new < n_rows")
@@ -82,9 +78,10 @@ def from_template(cells: DataFrame, bank: DataFrame, placed: DataFrame) -> DataF
     every = cells.select("series_id", "row_idx", "channel", *(c for c in cells.columns if c not in ("series_id", "row_idx", "channel", "type")))
     j = F.col("row_idx") - F.col("begin")
     x = j * (F.col("m") - 1) / (F.col("n_new") - 1)
-    all_ = every.join(ranks, ["series_id", "channel"]).join(plan, "series_id", "left").withColumn("x", F.when((j >= 0) & (j < F.col("n_new")), x)).withColumn("place", F.floor("x"))
-    all_ = all_.join(points, [*key, "rank", "place"], "left")
-    added = (F.col("z") + (F.col("x") - F.col("place")) * (F.col("next_z") - F.col("z"))) * F.col("scale") * F.col("gain")
+    all_ = every.join(ranks.join(plan, ["series_id", "rank"], "left"), ["series_id", "channel"]).withColumn("x", F.when((j >= 0) & (j < F.col("n_new")), x))
+    at = F.floor("x").cast("int")
+    all_ = all_.withColumn("part", F.col("x") - at).withColumn("next_z", F.get("z", at + 1)).withColumn("z", F.get("z", at))
+    added = (F.col("z") + F.col("part") * (F.coalesce("next_z", "z") - F.col("z"))) * F.col("scale") * F.col("gain")
     made = all_.withColumn("new", F.col("value") + added).withColumn("hit", F.col("z").isNotNull() & (j < F.col("n_event")))
     effect = made.groupBy("series_id", "channel").agg(
         F.coalesce(F.avg(F.when(F.col("hit"), F.abs(F.col("new") - F.col("value")) / F.col("scale"))) >= LEAST_EFFECT, F.lit(False)).alias("effective"),

@@ -9,15 +9,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import CONTEXT_ROWS, CONTEXT_SHARE
+from . import scans
 
-
-def _by_row():
-    return Window.partitionBy("series_id").orderBy("row_idx")
+SERIES = ("series_id",)
 
 
 def islands(rows: DataFrame, label: int = 1) -> DataFrame:
     """The rows with ``label``, with ``run``, which is the same within a run and rises from run to run."""
-    return rows.where(F.col("label") == label).withColumn("run", F.col("row_idx") - F.row_number().over(_by_row()))
+    return scans.run_starts(rows.where(F.col("label") == label), label).withColumnRenamed("run_start", "run")
 
 
 def runs(rows: DataFrame, label: int = 1) -> DataFrame:
@@ -27,11 +26,8 @@ def runs(rows: DataFrame, label: int = 1) -> DataFrame:
 
 
 def _with_place(rows: DataFrame) -> DataFrame:
-    """``rows`` with ``place`` (0-based, in a run of anomalies) and ``run_start``; null outside. One shuffle for all windows."""
-    begins = (F.col("label") == 1) & (F.coalesce(F.lag("label").over(_by_row()), F.lit(0)) != 1) | (F.col("label") == 1) & (F.coalesce(F.lag("row_idx").over(_by_row()), F.lit(-2)) != F.col("row_idx") - 1)
-    start = F.last(F.when(begins, F.col("row_idx")), ignorenulls=True).over(_by_row().rowsBetween(Window.unboundedPreceding, 0))
-    marked = rows.withColumn("run_start", F.when(F.col("label") == 1, start))
-    return marked.withColumn("place", F.col("row_idx") - F.col("run_start"))
+    """``rows`` with ``place`` (0-based, in a run of anomalies) and ``run_start``; null outside."""
+    return scans.run_starts(rows, 1).withColumn("place", F.col("row_idx") - F.col("run_start"))
 
 
 def onset_cut(rows: DataFrame, onset: int) -> DataFrame:
@@ -45,13 +41,14 @@ def context_fix(rows: DataFrame, onset: int | None = None, most: int = CONTEXT_R
     Enough are ``most``, or a ``share``-th of the series' rows if that is less.
     """
     cut = rows if onset is None else onset_cut(rows, onset)
-    placed = _with_place(cut)
-    normal = F.sum(F.when(F.col("label") == 0, 1).otherwise(0)).over(_by_row().rowsBetween(Window.unboundedPreceding, 0))
-    n = F.count("*").over(Window.partitionBy("series_id"))
+    normal = F.count_if(F.col("label") == 0)
+    totals = {"normal_": F.sum("normal_").over(scans.before(SERIES)), "n_": F.sum("n_").over(Window.partitionBy(*SERIES))}
+    placed = scans.carried(scans.blocks(cut), SERIES, {"normal_": normal, "n_": F.count("*")}, totals)
+    own = normal.over(scans.inside(SERIES).rowsBetween(Window.unboundedPreceding, 0))
     # Within a run no normal row is added, so the count at any of its rows is that before its start.
-    need = F.least(F.lit(most), F.floor(n / share))
-    label = F.when((F.col("label") == 1) & (normal < need), -1).otherwise(F.col("label"))
-    return placed.withColumn("fixed", label).withColumn("label", F.col("fixed")).drop("fixed", "place", "run_start")
+    enough = F.coalesce("normal_", F.lit(0)) + own >= F.least(F.lit(most), F.floor(F.col("n_") / share))
+    label = F.when((F.col("label") == 1) & ~enough, -1).otherwise(F.col("label"))
+    return placed.withColumn("fixed", label).withColumn("label", F.col("fixed")).drop("fixed", "normal_", "n_", "block_")
 
 
 def first_rows(rows: DataFrame, keep: int) -> DataFrame:
@@ -73,8 +70,8 @@ def audit(rows: DataFrame, longest: int = 4096, share: float = 0.5, most: int =
     before the first one (``context``; all normal rows without events), and flags for too many anomalies, too long an
     event and too little context.
     """
-    first = F.min(F.when(F.col("label") == 1, F.col("row_idx"))).over(Window.partitionBy("series_id"))
-    sized = rows.withColumn("first", first)
+    first = F.min(F.when(F.col("label") == 1, F.col("row_idx")))
+    sized = scans.carried(scans.blocks(rows), SERIES, {"first": first}, {"first": F.min("first").over(Window.partitionBy(*SERIES))})
     base = sized.groupBy("series_id").agg(
         F.count("*").alias("n"),
         F.count_if(F.col("label") >= 0).alias("known"),

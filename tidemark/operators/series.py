@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import clip, robust_probability, triangle
+from ..storage import written
+from . import scans, selection
 
 KEYS = ("series_id", "channel")
 
@@ -17,33 +19,50 @@ def _ordered(keys: tuple[str, ...]) -> Window:
 def delta_t(rows: DataFrame, series: str = "series_id", t: str = "timestamp") -> DataFrame:
     """``rows`` with ``delta_t``: log of one plus the step to the row before over the series' median step; 0 at first.
 
-    Both windows share one partitioning, so the rows are shuffled once.
+    Series that fit a task take two windows of one partitioning; longer ones are scanned in blocks.
     """
-    step = rows.withColumn("step", F.col(t) - F.lag(t).over(Window.partitionBy(series).orderBy("row_idx")))
-    median = F.median("step").over(Window.partitionBy(series))
-    return step.withColumn("delta_t", F.coalesce(F.log1p(F.col("step") / F.greatest(median, F.lit(1e-12))), F.lit(0.0))).drop("step")
+    if selection.hot_keys(rows, (series,)) is None:
+        step = rows.withColumn("step", F.col(t) - F.lag(t).over(Window.partitionBy(series).orderBy("row_idx")))
+        stepped = step.withColumn("usual", F.median("step").over(Window.partitionBy(series)))
+    else:
+        step = scans.previous(rows, [t], (series,)).withColumn("step", F.col(t) - F.col(f"previous_{t}")).drop(f"previous_{t}")
+        step = written(step, "steps")
+        stepped = step.join(selection.medians(step, (series,), "step", "usual"), series, "left")
+    share = F.col("step") / F.greatest("usual", F.lit(1e-12))
+    return stepped.withColumn("delta_t", F.coalesce(F.log1p(share), F.lit(0.0))).drop("step", "usual")
 
 
 def fill(cells: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """``cells`` with ``filled``: the last value seen; before the first one the median of the forward-filled
-    channel; 0 where all are missing."""
-    forward = cells.withColumn("forward", F.last("value", ignorenulls=True).over(_ordered(keys).rowsBetween(Window.unboundedPreceding, 0)))
-    return forward.withColumn("filled", F.coalesce("forward", F.median("forward").over(Window.partitionBy(*keys)), F.lit(0.0))).drop("forward")
+    channel; 0 where all are missing. Channels that fit a task take windows; longer ones are scanned in blocks."""
+    if selection.hot_keys(cells, keys) is None:
+        known = F.last("value", ignorenulls=True).over(_ordered(keys).rowsBetween(Window.unboundedPreceding, 0))
+        forward = cells.withColumn("forward", known).withColumn("typical", F.median("forward").over(Window.partitionBy(*keys)))
+    else:
+        forward = written(scans.last_known(cells, "value", keys, "forward"), "forward")
+        forward = forward.join(selection.medians(forward, keys, "forward", "typical"), list(keys), "left")
+    return forward.withColumn("filled", F.coalesce("forward", "typical", F.lit(0.0))).drop("forward", "typical")
 
 
 def centre_and_scale(cells: DataFrame, keys: tuple[str, ...] = KEYS, reference: Column | None = None) -> DataFrame:
     """``keys, centre, scale``: median, and 1.4826 times the median absolute deviation; where that vanishes the
     standard deviation, where that vanishes 1. Only ``reference`` rows count, if given.
 
-    Two aggregations with a join between them rather than a window, so that a channel with a large share of all
-    rows is pre-aggregated where it lies.
+    Two aggregations with a join between them. The medians of channels too long for a task are selected by rank.
     """
     known = cells if reference is None else cells.where(reference)
-    centre = known.groupBy(*keys).agg(F.median("value").alias("centre"), F.stddev_pop("value").alias("deviation"))
-    spread = known.join(centre, list(keys)).groupBy(*keys).agg(
-        F.first("centre").alias("centre"), F.first("deviation").alias("deviation"), (F.median(F.abs(F.col("value") - F.col("centre"))) * 1.4826).alias("mad")
-    )
-    scale = F.when(F.col("mad") > 1e-8, F.col("mad")).when(F.col("deviation") > 1e-8, F.col("deviation")).otherwise(1.0)
+    away = F.abs(F.col("value") - F.col("centre"))
+    if selection.hot_keys(known, keys) is None:
+        centre = known.groupBy(*keys).agg(F.median("value").alias("centre"), F.stddev_pop("value").alias("deviation"))
+        spread = known.join(centre, list(keys)).groupBy(*keys).agg(F.first("centre").alias("centre"), F.first("deviation").alias("deviation"), F.median(away).alias("mad"))
+    else:
+        known = written(known.select(*keys, "value"), "values")
+        centre = written(selection.medians(known, keys, "value", "centre"), "centres")
+        mad = selection.medians(known.join(centre, list(keys)), keys, away, "mad")
+        deviation = known.groupBy(*keys).agg(F.stddev_pop("value").alias("deviation"))
+        spread = deviation.join(centre, list(keys), "left").join(mad, list(keys), "left")
+    mad = F.col("mad") * 1.4826
+    scale = F.when(mad > 1e-8, mad).when(F.col("deviation") > 1e-8, F.col("deviation")).otherwise(1.0)
     return spread.select(*keys, "centre", scale.alias("scale"))
 
 
@@ -55,7 +74,8 @@ def robust_normalize(cells: DataFrame, keys: tuple[str, ...] = KEYS, reference:
 
 def difference(cells: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """``cells`` with ``diff``, the step from the row before; 0 at first."""
-    return cells.withColumn("diff", F.coalesce(F.col("value") - F.lag("value").over(_ordered(keys)), F.lit(0.0)))
+    stepped = scans.previous(cells, ["value"], keys)
+    return stepped.withColumn("diff", F.coalesce(F.col("value") - F.col("previous_value"), F.lit(0.0))).drop("previous_value")
 
 
 def local_deviation(cells: DataFrame, n: int, name: str, keys: tuple[str, ...] = KEYS) -> DataFrame:

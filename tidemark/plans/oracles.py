@@ -309,3 +309,18 @@ ORACLE["weighted_series_pick"] = f"""with c as (select c_custkey as series_id, c
 k as (select *, row_number() over (partition by sector order by -ln((series_id * 7919 % 1009 + 1) / 1009) / sqrt(size), series_id) as k from c) select series_id, sector, {r6("size")} as size from k where k <= 3"""
 ORACLE["random_drop"] = f"""with {EV}, f as (select * from ev where (event_id * 31 + series_id) % 97 / 97 < 2 / 3), s as (select *, t - lag(t) over (partition by series_id order by row_idx) as step from f)
 select series_id, row_idx, label, {r6("coalesce(ln(1 + step / greatest(median(step) over (partition by series_id), 1e-12)), 0)")} as delta_t from s"""
+ONE = """one as (select row_number() over (order by ts, event_id) - 1 as row_idx, epoch_us(ts) / 1e6 as t, value as full_value, case when event_id % 17 = 0 then null else value end as value,
+    case event_type when 'error' then 1 when 'signup' then -1 else 0 end as label from events),
+filled as (select *, last_value(value ignore nulls) over (order by row_idx rows between unbounded preceding and current row) as ff from one)"""
+ORACLE["one_series_scans"] = f"""with {ONE}, r as (select row_idx, min(row_idx) over (partition by g) as run_start from (select row_idx, row_idx - row_number() over (order by row_idx) as g from one where label = 1))
+select f.row_idx, {r6("ff")} as filled, {r6("ff - lag(ff) over w")} as diff, {r6("t - lag(t) over w")} as step, run_start, cast(count(*) filter (label = 1) over w as bigint) as anomalies,
+    {r6("exp(sum(ln(1 + value * 1e-6)) over w)")} as growth, {r6("max(value) over w")} as highest, {r6("min(value) over w")} as lowest
+from filled f left join r on r.row_idx = f.row_idx window w as (order by f.row_idx)"""
+ORACLE["one_series_repairs"] = f"""with {ONE}, g as (select *, case when label = 1 then row_idx - row_number() over (partition by label order by row_idx) end as run from one),
+cut as (select row_idx, case when label = 1 and row_number() over (partition by run order by row_idx) > 2 and run is not null then -1 else label end as label from g),
+fixed as (select row_idx, case when label = 1 and sum(case when label = 0 then 1 else 0 end) over (order by row_idx) < least(200, floor(count(*) over () / 10)) then -1 else label end as label from cut),
+v as (select 0 as series_id, row_idx, coalesce(ff, (select median(ff) from filled), 0) as value from filled), {scaled("v", "series_id")}
+select z.row_idx, label, {r6("z")} as z from z join fixed on fixed.row_idx = z.row_idx"""
+ORACLE["channel_quantiles"] = f"""with c as (select unnest(['price', 'quantity', 'balance']) as channel,
+    unnest([cast(l_extendedprice as double), cast(l_quantity as double), cast((l_extendedprice - 30000) * (1 - l_discount) as double)]) as value from lineitem)
+select channel, {r6("quantile_cont(value, 0.1)")} as low, {r6("quantile_cont(value, 0.5)")} as middle, {r6("quantile_cont(value, 0.9)")} as high, {r6("min(value)")} as least, {r6("max(value)")} as most from c group by 1"""

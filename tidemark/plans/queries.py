@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import events, generate, inject, label_rules, labels, metrics, reshape, runs, scoring, series
+from ..operators import events, generate, inject, label_rules, labels, metrics, reshape, runs, scans, scoring, selection, series
 from ..sources import tables as T
+from ..storage import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -636,3 +637,35 @@ def random_drop(spark, sf):
     rows = T.event_series(spark, sf)
     few = labels.thinned(rows, 2 / 3, F.pmod(F.col("event_id") * 31 + F.col("series_id"), F.lit(97)) / 97)
     return series.delta_t(few).select("series_id", "row_idx", "label", r6("delta_t"))
+
+
+@query
+def one_series_scans(spark, sf):
+    """Scans over the table as one series, in blocks of 4,096 rows: last known value, difference, runs, and running totals."""
+    keys, size = ("series_id",), 4_096
+    rows = written(scans.last_known(gappy(T.one_series(spark, sf)), "value", keys, "filled", size), "filled")
+    rows = written(scans.previous(rows, ["filled", "timestamp"], keys, size), "steps")
+    rows = written(scans.run_starts(rows, 1, keys, size), "runs")
+    totals = {"anomalies": ("sum", (F.col("label") == 1).cast("long")), "growth": ("product", 1 + F.col("value") * 1e-6), "highest": ("max", "value"), "lowest": ("min", "value")}
+    rows = scans.running(rows, totals, keys, size)
+    steps = (r6(F.col("filled") - F.col("previous_filled"), "diff"), r6(F.col("timestamp") - F.col("previous_timestamp"), "step"))
+    return rows.select("row_idx", r6("filled"), *steps, "run_start", "anomalies", r6("growth"), r6("highest"), r6("lowest"))
+
+
+@query
+def one_series_repairs(spark, sf):
+    """The label repairs and the filled, scaled values of the table as one series."""
+    rows = written(gappy(T.one_series(spark, sf)), "one-series")
+    fixed = runs.context_fix(rows.select("series_id", "row_idx", "label"), onset=2, most=200).select("series_id", "row_idx", "label")
+    filled = written(series.fill(rows.drop("label")).drop("value").withColumnRenamed("filled", "value"), "filled")
+    return series.robust_normalize(filled).join(fixed, ["series_id", "row_idx"]).select("row_idx", "label", r6("z"))
+
+
+@query
+def channel_quantiles(spark, sf):
+    """Exact quantiles of whole columns, each a channel: continuous, tied, and with both signs."""
+    items = T.table(spark, sf, "lineitem")
+    values = {"price": F.col("l_extendedprice"), "quantity": F.col("l_quantity"), "balance": (F.col("l_extendedprice") - 30000) * (1 - F.col("l_discount"))}
+    cells = items.select(F.explode(F.map_from_arrays(F.array(*map(F.lit, values)), F.array(*(v.cast("double") for v in values.values())))).alias("channel", "value"))
+    found = selection.selected(cells, ("channel",), "value", {"low": 0.1, "middle": 0.5, "high": 0.9, "least": 0.0, "most": 1.0})
+    return found.select("channel", *(r6(c) for c in ("low", "middle", "high", "least", "most")))

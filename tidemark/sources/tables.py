@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import unix_seconds
 from ..operators.reshape import binned, row_numbers
+from ..operators.scans import numbered
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,3 +43,9 @@ def daily_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("series_id"), binned(unix_seconds("l_shipdate"), 86400.0).alias("timestamp")).agg(F.sum("l_quantity").alias("value"), F.count("*").alias("n"))
     days = row_numbers(items, "series_id", "timestamp").withColumn("channel", F.lit(0))
     return days.withColumn("label", F.when(F.col("n") % 7 == 0, 1).when(F.col("n") % 5 == 0, -1).otherwise(0))
+
+
+def one_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events as a single series in order of time: ``series_id`` (0), ``row_idx, timestamp, channel, value, label, event_id``."""
+    events = table(spark, sf_dir, "events").select(F.lit(0).alias("series_id"), "ts", "event_id", unix_seconds("ts").alias("timestamp"), F.lit(0).alias("channel"), "value", event_label().alias("label"))
+    return numbered(events, ("series_id",), ["ts", "event_id"]).drop("ts")

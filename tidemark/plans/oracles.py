@@ -324,3 +324,33 @@ select z.row_idx, label, {r6("z")} as z from z join fixed on fixed.row_idx = z.r
 ORACLE["channel_quantiles"] = f"""with c as (select unnest(['price', 'quantity', 'balance']) as channel,
     unnest([cast(l_extendedprice as double), cast(l_quantity as double), cast((l_extendedprice - 30000) * (1 - l_discount) as double)]) as value from lineitem)
 select channel, {r6("quantile_cont(value, 0.1)")} as low, {r6("quantile_cont(value, 0.5)")} as middle, {r6("quantile_cont(value, 0.9)")} as high, {r6("min(value)")} as least, {r6("max(value)")} as most from c group by 1"""
+ORACLE["result_frame"] = f"""with {EV}, {scaled("ev", "series_id")}, q as (select *, least(1, greatest(0, 1 - exp(-greatest(abs(z) - 3, 0)))) as p from z)
+select series_id, row_idx, {r6("t")} as timestamp, {r6("value")} as ch_0, {r6("p")} as score, cast(p > 0.3 as int) as anomaly from q"""
+ORACLE["window_scores"] = f"""with {DAYS}, n as (select series_id, count(*) as total from days group by 1),
+st as (select series_id, total, unnest(case when total <= 512 then [0] else range(0, total - 511, 256) end) as start from n union select series_id, total, total - 512 from n where total > 512 and (total - 512) % 256 <> 0),
+w as (select d.*, start, row_idx - start as place, least(512, total) as len from days d join st on st.series_id = d.series_id and row_idx >= start and row_idx < start + 512), {scaled("w", "series_id, start")},
+p as (select *, least(1, greatest(0, 1 - exp(-greatest(abs(z) - 3, 0)))) as p, (1 - abs(2 * place / (len - 1) - 1)) * 0.9 + 0.1 as weight from z)
+select series_id, row_idx, 0 as channel, {r6("sum(p * weight) / sum(weight)")} as p from p group by series_id, row_idx"""
+
+
+def blocks(factor: int, src: str = "days") -> str:
+    """Means of whole blocks of rows of ``src``, in a CTE."""
+    return f"""b{factor}_{src} as (select series_id, row_idx // {factor} as block, avg(value) as value from (select *, count(*) over (partition by series_id) // {factor} * {factor} as whole from {src})
+    where row_idx < whole group by 1, 2)"""
+
+
+def probability(z: str, name: str) -> str:
+    return f"{name} as (select *, least(1, greatest(0, 1 - exp(-greatest(abs(z) - 3, 0)))) as p from {z})"
+
+
+ORACLE["multi_scale_scores"] = f"""with {DAYS}, {scaled("days", "series_id")}, {probability("z", "p1")},
+{blocks(4)}, {scaled("b4_days", "series_id", "z4")}, {probability("z4", "p4")}, {blocks(16)}, {scaled("b16_days", "series_id", "z16")}, {probability("z16", "p16")},
+n as (select series_id, count(*) as total from days group by 1)
+select a.series_id, row_idx, 0 as channel, {r6("case when total > 1000 then ((a.p + b.p) / 2 + c.p) / 2 else a.p end")} as p from p1 a join n on n.series_id = a.series_id
+left join p4 b on b.series_id = a.series_id and b.block = least(row_idx // 4, total // 4 - 1) left join p16 c on c.series_id = a.series_id and c.block = least(row_idx // 16, total // 16 - 1)"""
+_AGAINST = """{name} as (select a.series_id, {at}, least(1, greatest(0, 1 - exp(-greatest(abs(greatest(-50, least(50, (a.value - centre) / case when mad > 1e-8 then mad when sd > 1e-8 then sd else 1 end))) - 3, 0)))) as p
+    from {src} a join {ref}_m r on r.series_id = a.series_id)"""
+ORACLE["scales_with_reference"] = f"""with {DAYS}, early as (select * from days where row_idx < 200), {scaled("early", "series_id", "r1")}, {blocks(4, "early")}, {scaled("b4_early", "series_id", "r4")}, {blocks(4)},
+{_AGAINST.format(name="p1", at="row_idx", src="days", ref="r1")}, {_AGAINST.format(name="p4", at="block", src="b4_days", ref="r4")}, n as (select series_id, count(*) as total from days group by 1)
+select a.series_id, row_idx, 0 as channel, {r6("case when total > 1000 then (a.p + b.p) / 2 else a.p end")} as p
+from p1 a join n on n.series_id = a.series_id left join p4 b on b.series_id = a.series_id and b.block = least(row_idx // 4, total // 4 - 1)"""

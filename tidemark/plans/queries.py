@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import events, generate, inject, label_rules, labels, metrics, reshape, runs, scans, scoring, selection, series
+from ..operators import events, generate, inject, label_rules, labels, metrics, reshape, runs, scans, scoring, selection, series, windows
 from ..sources import tables as T
 from ..storage import written
 
@@ -448,7 +448,7 @@ def detect_rows(spark, sf):
 @query
 def detect_calibrated(spark, sf):
     cells = T.event_series(spark, sf).select("series_id", "timestamp", "channel", "value")
-    low, high = (scoring.detect(cells, threshold=0.3, level=level, temperature=1.5, bias=0.2)[0] for level in ("low", "high"))
+    low, high = (scoring.detect(cells, threshold=0.3, level=level, temperature=1.5, bias=0.2).rows for level in ("low", "high"))
     low, high = (rows.groupBy("series_id").agg(F.sum("anomaly").alias(name)) for rows, name in ((low, "n_low"), (high, "n_high")))
     return low.join(high, "series_id")
 
@@ -669,3 +669,24 @@ def channel_quantiles(spark, sf):
     cells = items.select(F.explode(F.map_from_arrays(F.array(*map(F.lit, values)), F.array(*(v.cast("double") for v in values.values())))).alias("channel", "value"))
     found = selection.selected(cells, ("channel",), "value", {"low": 0.1, "middle": 0.5, "high": 0.9, "least": 0.0, "most": 1.0})
     return found.select("channel", *(r6(c) for c in ("low", "middle", "high", "least", "most")))
+
+
+@query
+def result_frame(spark, sf):
+    """What a user gets for each row: its time, values, score and verdict."""
+    cells = T.event_series(spark, sf).select("series_id", "timestamp", "channel", "value")
+    return scoring.detect(cells, threshold=0.3).frame([0]).select("series_id", "row_idx", r6("timestamp"), r6("ch_0"), r6("score"), "anomaly")
+
+
+@query
+def window_scores(spark, sf):
+    """Overlapping windows, each scaled by itself, their scores blended."""
+    return windows.window_scores(T.daily_series(spark, sf), 512, 256).select("series_id", "row_idx", "channel", r6("p"))
+
+
+@query
+def scales_with_reference(spark, sf):
+    """Scores against the first 200 days, on days and on means of four of them."""
+    cells = T.daily_series(spark, sf)
+    normal = cells.where("row_idx < 200").select("series_id", "row_idx", "channel", "value")
+    return scoring.score_cells(cells, scoring.windowed_scorer(1000), scales=(4,), max_t=1000, normal=normal).select("series_id", "row_idx", "channel", r6("p"))

@@ -244,3 +244,71 @@ def test_attacks_by_process(spark, tmp_path):
     assert rows == {"v1/test1": ("cell", "P1_A|P2_B"), "v1/train1": ("row", "P1_A|P2_B"), "v2/test1": ("row", "P1_A")}
     of = lambda s, c: labels(cells.where(f"series_id = '{s}'"), c)
     assert of("v1/test1", 0) == [0, 0, 1, 0, 1, 1] and of("v1/test1", 1) == [0, 0, 0, 1, 1, 1] and of("v1/train1", 0) == [0] * 6 and of("v2/test1", 0) == [0, 1, 0, 0]
+
+
+@pytest.fixture
+def tiny_splits(spark):
+    """Files are cut every few dozen bytes and spread over many tasks."""
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "97")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    yield
+    for k, v in old.items():
+        spark.conf.set(k, v)
+
+
+def test_rows_are_numbered_in_the_order_of_the_file(spark, tmp_path, tiny_splits):
+    path = put(tmp_path, a_DOT_txt="\n".join(f"{i}" if i % 7 else f"{i}\n" for i in range(700)), b_DOT_txt="\n".join(f"{1000 + i:09}" for i in range(99)))
+    read = spark.read.text(path).where("value != ''").select("value", raw.file_order().alias("order"))
+    assert read.rdd.getNumPartitions() > 20
+    got = raw.row_numbers_in_file(read).select("value", "row_idx").collect()
+    assert sorted((int(r["value"]), r["row_idx"]) for r in got) == [(i, i) for i in range(700)] + [(1000 + i, i) for i in range(99)]
+
+
+def test_positions_hold_in_tiny_splits(spark, tmp_path, tiny_splits):
+    """Label files that go with their data by row number only."""
+    n = 300
+    data = "t,f\n" + "\n".join(f"{i},{i * 3}" for i in range(n))
+    path = put(tmp_path / "psm", train_DOT_csv=data.replace("t,f", "timestamp_(min),f"), test_DOT_csv=data.replace("t,f", "timestamp_(min),f"), test_label_DOT_csv="timestamp_(min),label\n" + "\n".join(f"{i},{int(i % 5 == 0)}" for i in range(n)))
+    cells, _ = raw.LOADERS["psm"](spark, path)
+    assert labels(cells.where("series_id = 'test'")) == [int(i % 5 == 0) for i in range(n)]
+    assert [r["value"] for r in cells.where("series_id = 'test'").orderBy("row_idx").collect()] == [3.0 * i for i in range(n)]
+    path = put(tmp_path / "smd", test__m1_DOT_txt="\n".join(f"{i},{-i}" for i in range(n)), test_label__m1_DOT_txt="\n".join(str(int(i % 4 == 1)) for i in range(n)), interpretation_label__m1_DOT_txt="8-13:2")
+    cells, _ = raw.LOADERS["smd"](spark, path)
+    assert [r["value"] for r in cells.where("channel = 1").orderBy("row_idx").collect()] == [float(-i) for i in range(n)]
+    assert labels(cells) == [int(i % 4 == 1 and not 8 <= i <= 13) for i in range(n)]
+
+
+def test_causes_and_affected_channels(spark, tmp_path, tiny_splits):
+    at = lambda i: f"2023-01-01 00:{i // 60:02}:{i % 60:02}"
+    marked = {5, 6, 7, 40, 41, 90}
+    data = ["timestamp,aimp,amud,arnd,y,category"] + [f"{at(i)},{i}.5,{-i},{i % 3},{int(i in marked)}.0,0.0" for i in range(100)]
+    meta = ["start_time,end_time,root_cause,affected,category", f"{at(5)},{at(7)},aimp,\"['arnd']\",1", f"{at(6)},{at(8)},amud,[],2", f"{at(40)},{at(40)},other,\"['nothing']\",3"]
+    path = put(tmp_path, data_DOT_csv="\n".join(data), metadata_DOT_csv="\n".join(meta))
+    cells, catalog = raw.LOADERS["cats"](spark, path)
+    got = [[0] * 70 + [0] * 30 for _ in range(3)]
+    for c, rows in enumerate(([5, 6, 7, 40, 41, 90], [6, 7, 8, 40, 41, 90], [5, 6, 7, 40, 41, 90])):
+        for i in rows:
+            got[c][i] = 1
+    for c in range(3):
+        assert labels(cells.where("series_id = 'train'"), c) == got[c][:70] and labels(cells.where("series_id = 'val'"), c) == got[c][70:]
+    assert {(r["series_id"], r["n_rows"], r["label_level"], r["channel_names"]) for r in catalog.collect()} == {("train", 70, "cell", "aimp|amud|arnd"), ("val", 30, "cell", "aimp|amud|arnd")}
+
+
+def test_servers_by_position(spark, tmp_path, tiny_splits):
+    path = put(tmp_path, omi_1_train_DOT_csv="\n".join(f"{i},0" for i in range(60)), omi_1_test_DOT_csv="\n".join(f"{i},1" for i in range(50)), omi_1_test_label_DOT_csv="\n".join(f"{int(i > 30)}.0" for i in range(45)))
+    cells, catalog = raw.LOADERS["asd"](spark, path)
+    assert labels(cells.where("series_id = 'omi_1/train'")) == [-1] * 60
+    assert labels(cells.where("series_id = 'omi_1/test'")) == [int(i > 30) for i in range(45)] + [-1] * 5
+    first = cells.where("series_id = 'omi_1/test' and row_idx = 0 and channel = 1").first()
+    assert (first["timestamp"], first["value"]) == (raw.EPOCH + 300 * 60, 1.0)
+    assert {r["series_id"]: r["unlabeled"] for r in catalog.collect()} == {"omi_1/train": True, "omi_1/test": False}
+
+
+def test_plant_faults(spark, tmp_path, tiny_splits):
+    code = [0] * 30 + [1, 2, 3, 4] + [0] * 6
+    path = put(tmp_path, dataset_DOT_csv="vdc1,vdc2,idc1,idc2,irr,pvt,f_nv\n" + "\n".join(f"{i},2,3,4,5,6,{f}" for i, f in enumerate(code)))
+    cells, catalog = raw.LOADERS["pvfault"](spark, path)
+    assert labels(cells) == [0] * 30 + [1, 1, 1, -1] + [0] * 6
+    assert [r["value"] for r in cells.where("channel = 0").orderBy("row_idx").collect()] == [float(i) for i in range(40)]
+    assert catalog.first()["sector"] == "energy"

@@ -98,6 +98,22 @@ def interval_label(rows: DataFrame, intervals: DataFrame, at: str, width: float,
     return rows.join(hits, ["series_id", at], "left").withColumn("label", label).drop("rank")
 
 
+def interval_channels(rows: DataFrame, intervals: DataFrame, at: str, width: float) -> DataFrame:
+    """``rows`` with ``channels``: those that closed intervals ``series_id, a, b, channels`` name at a row's time; empty outside.
+
+    Intervals are cut in bins of ``width`` and their channels exploded, rows' times are cut in bins, and both meet by one equi-join.
+    """
+    bounds = rows.groupBy("series_id").agg(F.min(at).alias("low"), F.max(at).alias("high"))
+    known = intervals.join(bounds, "series_id").select("series_id", F.greatest("a", "low").alias("a"), F.least("b", "high").alias("b"), "channels").where("a <= b")
+    bins = F.sequence(F.floor(F.col("a") / width).cast("long"), F.floor(F.col("b") / width).cast("long"))
+    spread = known.select("series_id", "a", "b", F.explode("channels").alias("channel"), bins.alias("bins")).withColumn("bin", F.explode("bins")).drop("bins")
+    times = rows.select("series_id", at, F.floor(F.col(at) / width).cast("long").alias("bin")).distinct()
+    hits = times.join(spread, ["series_id", "bin"]).where(F.col(at).between(F.col("a"), F.col("b")))
+    hits = hits.groupBy("series_id", at).agg(F.array_sort(F.collect_set("channel")).alias("channels"))  # bounded by the channels
+    empty = F.array().cast(dict(hits.dtypes)["channels"])
+    return rows.join(hits, ["series_id", at], "left").withColumn("channels", F.coalesce("channels", empty))
+
+
 def melt_pivot_last(messages: DataFrame, keys: list[str], bin_: str, name: str, names: list[str], value: str, order: Column) -> DataFrame:
     """The last value of each name in each bin, one column a name."""
     last = messages.groupBy(*keys, bin_).pivot(name, names).agg(F.max_by(value, order))

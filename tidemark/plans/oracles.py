@@ -354,3 +354,8 @@ ORACLE["scales_with_reference"] = f"""with {DAYS}, early as (select * from days
 {_AGAINST.format(name="p1", at="row_idx", src="days", ref="r1")}, {_AGAINST.format(name="p4", at="block", src="b4_days", ref="r4")}, n as (select series_id, count(*) as total from days group by 1)
 select a.series_id, row_idx, 0 as channel, {r6("case when total > 1000 then (a.p + b.p) / 2 else a.p end")} as p
 from p1 a join n on n.series_id = a.series_id left join p4 b on b.series_id = a.series_id and b.block = least(row_idx // 4, total // 4 - 1)"""
+ORACLE["interval_cell_labels"] = f"""with {HOURS}, h as (select bin as timestamp, max(case when n % 7 = 0 then 1 else 0 end) as marked from hours group by 1),
+s as (select epoch_us(ts) / 1e6 as a, epoch_us(ts) / 1e6 + 600 * (event_id % 11) as b, unnest([1, user_id % 5, event_id % 5]) as channel from events where event_type = 'error'),
+c as (select timestamp, marked, unnest(range(5)) as channel from h), hit as (select distinct timestamp, channel from h join s on timestamp between a and b)
+select c.timestamp, c.channel, case when c.timestamp in (select timestamp from hit) then cast(hit.channel is not null as int) else marked end as label
+from c left join hit on hit.timestamp = c.timestamp and hit.channel = c.channel"""

@@ -690,3 +690,16 @@ def scales_with_reference(spark, sf):
     cells = T.daily_series(spark, sf)
     normal = cells.where("row_idx < 200").select("series_id", "row_idx", "channel", "value")
     return scoring.score_cells(cells, scoring.windowed_scorer(1000), scales=(4,), max_t=1000, normal=normal).select("series_id", "row_idx", "channel", r6("p"))
+
+
+@query
+def interval_cell_labels(spark, sf):
+    """Cells of hourly series by intervals and the channels they name; marked hours that none reaches count for all channels."""
+    hours = T.hourly_cells(spark, sf).groupBy("series_id", F.col("bin").alias("timestamp")).agg(F.max(F.when(F.col("n") % 7 == 0, 1).otherwise(0)).alias("marked"))
+    faults = T.table(spark, sf, "events").where("event_type = 'error'").select(F.lit(0).alias("series_id"), C.unix_seconds("ts").alias("a"), "event_id", "user_id")
+    channels = F.array_distinct(F.array(F.lit(1), (F.col("user_id") % 5).cast("int"), (F.col("event_id") % 5).cast("int")))
+    spans = faults.select("series_id", "a", (F.col("a") + 600.0 * (F.col("event_id") % 11)).alias("b"), channels.alias("channels"))
+    known = reshape.interval_channels(hours, spans, "timestamp", 86400.0)
+    cells = known.withColumn("channel", F.explode(F.array(*map(F.lit, range(5)))))
+    label = F.when(F.size("channels") > 0, F.array_contains("channels", F.col("channel")).cast("int")).otherwise(F.col("marked"))
+    return cells.select("timestamp", "channel", label.alias("label"))

@@ -20,7 +20,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import missing, unix_seconds
-from ..operators import label_rules, labels, reshape, runs, series
+from ..operators import label_rules, labels, reshape, runs, scans, series
+from .files import file_order, row_numbers_in_file
 
 #: Sources whose labels are weak (from a time limit) or predictive, and the benchmark each source is in.
 WEAK = ("cmapss", "ims_bearing", "femto")
@@ -142,10 +143,11 @@ def load_wide(spark: SparkSession, path: str, source: str, spec: Wide) -> Loaded
     """Any source that a ``Wide`` describes."""
     reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", spec.pattern)
     raw = reader.parquet(path) if spec.parquet else reader.options(header=True, inferSchema=True, **spec.options).csv(path)
-    raw = raw.toDF(*(c.strip() for c in raw.columns))
+    columns = [c.strip() for c in raw.columns]
+    raw = raw.select("*", file_order().alias("order")).toDF(*columns, "order")
     names = numeric_names(raw, spec)
     label = spec.label() if spec.label else F.lit(-1)
-    rows = raw.select(*(F.col(f"`{c}`") for c in names), spec.series().alias("series_id"), time_column(spec).alias("timestamp"), label.cast("int").alias("label"), F.monotonically_increasing_id().alias("order"))
+    rows = raw.select(*(F.col(f"`{c}`") for c in names), spec.series().alias("series_id"), time_column(spec).alias("timestamp"), label.cast("int").alias("label"), "order")
     if spec.sentinel is not None:
         rows = rows.select(*(F.nullif(F.col(f"`{c}`").cast("double"), F.lit(spec.sentinel)).alias(c) for c in names), "series_id", "timestamp", "label", "order")
     names = measured_channels(rows, names, spec)
@@ -279,9 +281,10 @@ def load_turbines(source: str) -> Callable[[SparkSession, str], Loaded]:
         if len(heads) != 1:
             raise ValueError(f"the files in {path} have {'several headers; load them by header' if heads else 'no header'}")
         columns = ["ts", *next(csv.reader([heads[0]["value"]]))[1:]]
-        raw = spark.read.options(**everywhere, comment="#", inferSchema=True, pathGlobFilter="Turbine_Data_*.csv").csv(path).toDF(*columns)
+        raw = spark.read.options(**everywhere, comment="#", inferSchema=True, pathGlobFilter="Turbine_Data_*.csv").csv(path)
+        raw = raw.select("*", file_order().alias("order")).toDF(*columns, "order")
         names = measured_channels(raw, numeric_names(raw, spec), spec)
-        rows = raw.select(name("Turbine_Data").alias("series_id"), time_column(spec).alias("timestamp"), F.monotonically_increasing_id().alias("order"), *(F.col(f"`{c}`") for c in names)).where("timestamp is not null")
+        rows = raw.select(name("Turbine_Data").alias("series_id"), time_column(spec).alias("timestamp"), "order", *(F.col(f"`{c}`") for c in names)).where("timestamp is not null")
         logged = spark.read.options(**everywhere, pathGlobFilter="Status_*.csv").text(path).select(name("Status").alias("series_id")).distinct()
         large = rows.groupBy("series_id").count().where("count >= 1000").join(logged, "series_id", "left_semi").select("series_id")
         rows = rows.join(large, "series_id", "left_semi")
@@ -330,7 +333,7 @@ def load_rooms(spark: SparkSession, path: str) -> Loaded:
     """Hourly air (decimal commas, -200 for missing), ten-minute energy use and the occupancy of a room; no labels. Files
     that aren't there are left out."""
     at = lambda c, f=None: unix_seconds(F.try_to_timestamp(c, *([F.lit(f)] if f else []))).alias("timestamp")
-    as_rows = lambda raw, name, time, values: raw.select(F.lit(name).alias("series_id"), time, F.lit(-1).alias("label"), F.monotonically_increasing_id().alias("order"), *values)
+    as_rows = lambda raw, name, time, values: raw.select(F.lit(name).alias("series_id"), time, F.lit(-1).alias("label"), file_order().alias("order"), *values)
     parts = []
     for file in file_names(spark, path, "*.{csv,txt}"):  # five files
         stem = file.split("/")[-1].split(".")[0]
@@ -400,7 +403,7 @@ def load_attacks(spark: SparkSession, path: str) -> Loaded:
             label = F.array(*((by_process.get(c[:2] if c[2:3] == "_" else "", F.lit(False)) | (hit[marks[0]] & ~anywhere)).cast("int") for c in names))
         else:
             label = hit[marks[0]].cast("int") if marks else F.lit(-1)
-        rows = raw.select(F.lit(f"{folder}/{name.rsplit('.', 1)[0].replace('hai-', '')}").alias("series_id"), time_column(spec).alias("timestamp"), label.alias("label"), F.monotonically_increasing_id().alias("order"), *(F.col(f"`{c}`") for c in names))
+        rows = raw.select(F.lit(f"{folder}/{name.rsplit('.', 1)[0].replace('hai-', '')}").alias("series_id"), time_column(spec).alias("timestamp"), label.alias("label"), file_order().alias("order"), *(F.col(f"`{c}`") for c in names))
         beside = file[: -len(name)] + name.replace("hai-", "label-")
         if not marks and "test" in name and beside in files:
             given = spark.read.options(header=True, inferSchema=True).csv(beside)
@@ -424,7 +427,7 @@ def load_long(spark: SparkSession, path: str) -> Loaded:
 def load_windows(spark: SparkSession, path: str) -> Loaded:
     """One-channel files and a JSON of labelled windows by file."""
     raw = spark.read.options(header=True, inferSchema=True, recursiveFileLookup=True, pathGlobFilter="*.csv").csv(path)
-    rows = raw.select(F.concat_ws("/", folder_name(), file_stem()).alias("series_id"), unix_seconds(F.to_timestamp(F.col("timestamp").cast("string"))).alias("timestamp"), "value", F.monotonically_increasing_id().alias("order"))
+    rows = raw.select(F.concat_ws("/", folder_name(), file_stem()).alias("series_id"), unix_seconds(F.to_timestamp(F.col("timestamp").cast("string"))).alias("timestamp"), "value", file_order().alias("order"))
     text = spark.read.option("wholetext", "true").text(f"{path}/combined_windows.json")
     windows = text.select(F.explode(F.from_json("value", "map<string, array<array<string>>>")).alias("file", "spans")).select(F.regexp_replace("file", r"\.csv$", "").alias("series_id"), F.explode("spans").alias("s"))
     at = lambda i: unix_seconds(F.to_timestamp(F.element_at("s", i)))
@@ -435,8 +438,8 @@ def load_windows(spark: SparkSession, path: str) -> Loaded:
 @loader("ucr")
 def load_named_interval(spark: SparkSession, path: str) -> Loaded:
     """One value a line; train end and the anomaly's first and last row in the file's name."""
-    raw = spark.read.text(path, recursiveFileLookup=True, pathGlobFilter="*.txt").where("trim(value) != ''").select(file_stem().alias("series_id"), F.col("value").cast("double").alias("value"), F.monotonically_increasing_id().alias("order"))
-    rows = reshape.row_numbers(raw, "series_id", "order")
+    raw = spark.read.text(path, recursiveFileLookup=True, pathGlobFilter="*.txt").where("trim(value) != ''").select(file_stem().alias("series_id"), F.col("value").cast("double").alias("value"), file_order().alias("order"))
+    rows = row_numbers_in_file(raw)
     part = lambda i: F.regexp_extract("series_id", r"_(\d+)_(\d+)_(\d+)$", i).cast("long")
     label = F.when(F.col("row_idx") < part(1), -1).when(F.col("row_idx").between(part(2), part(3)), 1).otherwise(0)
     return canonical(rows.select("series_id", "value", "order", label.alias("label"), (F.lit(EPOCH) + F.col("row_idx")).alias("timestamp")), "ucr", "mixed", ["value"], synthetic=True)
@@ -449,8 +452,8 @@ def load_interpretation(spark: SparkSession, path: str) -> Loaded:
     Anomalous rows that no line covers count for all channels; normal rows for none.
     """
     def numbered(folder: str) -> DataFrame:
-        text = spark.read.text(f"{path}/{folder}").where("trim(value) != ''").select(file_stem().alias("series_id"), "value", F.monotonically_increasing_id().alias("order"))
-        return reshape.row_numbers(text, "series_id", "order")
+        text = spark.read.text(f"{path}/{folder}").where("trim(value) != ''").select(file_stem().alias("series_id"), "value", file_order().alias("order"))
+        return row_numbers_in_file(text).drop("order")
 
     values = numbered("test").select("series_id", "row_idx", F.split("value", ",").cast("array<double>").alias("v"))
     k = values.agg(F.max(F.size("v"))).head()[0]
@@ -518,8 +521,8 @@ LOADERS["femto"] = load_snapshots("femto", "manufacturing")
 @loader("hydraulic")
 def load_cycles(spark: SparkSession, path: str) -> Loaded:
     """One file a sensor, one line a 60 s cycle of samples at the sensor's rate: means of each second, joined by second."""
-    lines = spark.read.text(path, pathGlobFilter="*.txt").where("trim(value) != ''").select(file_stem().alias("sensor"), F.monotonically_increasing_id().alias("order"), F.split(F.trim("value"), r"\s+").cast("array<double>").alias("v"))
-    cycle = reshape.row_numbers(lines, "sensor", "order")
+    lines = spark.read.text(path, pathGlobFilter="*.txt").where("trim(value) != ''").select(file_stem().alias("sensor"), file_order().alias("order"), F.split(F.trim("value"), r"\s+").cast("array<double>").alias("v"))
+    cycle = row_numbers_in_file(lines)
     second = cycle.select("sensor", F.col("row_idx").alias("cycle"), (F.size("v") / 60).cast("int").alias("rate"), F.posexplode("v").alias("i", "x"))
     mean = second.groupBy("sensor", (F.col("cycle") * 60 + F.floor(F.col("i") / F.col("rate"))).alias("row")).agg(F.avg("x").alias("x"))
     names = [r[0] for r in lines.select("sensor").distinct().orderBy("sensor").collect()]  # a few sensor names
@@ -617,9 +620,9 @@ def load_episodes(spark: SparkSession, path: str) -> Loaded:
 def load_blocks(spark: SparkSession, path: str, factor: int = 10, files: int = 40) -> Loaded:
     """Vibration files (``x,y,z``) in folders ``good`` and ``bad``: the first ``files`` by name, means of ``factor`` rows."""
     raw = spark.read.options(header=True, inferSchema=True, recursiveFileLookup=True).csv(path)
-    named = raw.select(F.concat_ws("/", folder_name(), file_stem()).alias("series_id"), *raw.columns, F.monotonically_increasing_id().alias("order"), (folder_name() == "bad").cast("int").alias("label"))
+    named = raw.select(F.concat_ws("/", folder_name(), file_stem()).alias("series_id"), *raw.columns, file_order().alias("order"), (folder_name() == "bad").cast("int").alias("label"))
     first = named.select("series_id").distinct().orderBy("series_id").limit(files)
-    numbered = reshape.row_numbers(named.join(first, "series_id", "left_semi"), "series_id", "order")
+    numbered = row_numbers_in_file(named).join(first, "series_id", "left_semi")
     whole = F.floor((F.max("row_idx").over(Window.partitionBy("series_id")) + 1) / factor)
     block = numbered.withColumn("block", F.floor(F.col("row_idx") / factor)).withColumn("whole", whole).where("block < whole")
     rows = block.groupBy("series_id", F.col("block").alias("row_idx")).agg(*(F.avg(c).alias(c) for c in raw.columns), F.max("label").alias("label"))
@@ -632,8 +635,8 @@ def load_with_labels(source: str, sector: str, time: str, step: float) -> Callab
 
     def load(spark: SparkSession, path: str) -> Loaded:
         def part(name: str) -> DataFrame:
-            raw = spark.read.options(header=True, inferSchema=True).csv(f"{path}/{name}.csv").withColumn("order", F.monotonically_increasing_id()).withColumn("series_id", F.lit(name))
-            return reshape.row_numbers(raw, "series_id", "order")
+            raw = spark.read.options(header=True, inferSchema=True).csv(f"{path}/{name}.csv").withColumn("order", file_order()).withColumn("series_id", F.lit(name))
+            return row_numbers_in_file(raw)
 
         train, test, marks = part("train"), part("test"), part("test_label")
         names = [c for c in train.columns if c not in (time, "order", "series_id", "row_idx")]
@@ -655,16 +658,73 @@ def load_machine_days(spark: SparkSession, path: str, unknown_days: int = 5, ste
     lines = spark.read.options(header=True, inferSchema=True, pathGlobFilter="machine*.csv").csv(path)
     names = lines.columns
     part = lambda i: F.regexp_extract(file_stem(), r"^(.*)_(\d+)$", i)
-    rows = lines.select(part(1).alias("series_id"), part(2).cast("int").alias("day"), F.monotonically_increasing_id().alias("order"), *names)
-    rows = rows.withColumn("slot", F.row_number().over(Window.partitionBy("series_id", "day").orderBy("order")) - 1)
+    rows = lines.select(part(1).alias("series_id"), part(2).cast("int").alias("day"), file_order().alias("order"), *names)
+    rows = row_numbers_in_file(rows, "slot")
     per_day = int(86400 / step)
     rows = rows.withColumn("at", F.col("day") * per_day + F.col("slot"))
-    marks = spark.read.options(header=True, inferSchema=True, pathGlobFilter="label_*.csv").csv(path).select(F.regexp_replace(file_stem(), "^label_", "").alias("series_id"), F.col("label").cast("int").alias("label"), F.monotonically_increasing_id().alias("o"))
-    marks = reshape.row_numbers(marks, "series_id", "o").select("series_id", (F.col("row_idx") + unknown_days * per_day).alias("at"), "label")
+    marks = spark.read.options(header=True, inferSchema=True, pathGlobFilter="label_*.csv").csv(path).select(F.regexp_replace(file_stem(), "^label_", "").alias("series_id"), F.col("label").cast("int").alias("label"), file_order().alias("order"))
+    marks = row_numbers_in_file(marks).select("series_id", (F.col("row_idx") + unknown_days * per_day).alias("at"), "label")
     joined = rows.join(marks, ["series_id", "at"], "left").withColumn("label", F.when(F.col("day") < unknown_days, -1).otherwise(F.coalesce("label", F.lit(-1))))
     return canonical(joined.withColumn("timestamp", F.lit(EPOCH) + step * F.col("at")).drop("at", "day", "slot"), "ctf", "it", names, synthetic=True)
 
 
+@loader("cats")
+def load_causes(spark: SparkSession, path: str, train: float = 0.7, width: float = 3600.0) -> Loaded:
+    """``data.csv`` (``timestamp``, channels, ``y``) and ``metadata.csv`` with a time span, a root cause and a list of affected channels
+    for each anomaly: cells of these channels are anomalous. Rows that ``y`` marks and no span reaches count for all
+    channels. The first part of the rows is the series ``train``, the rest ``val``."""
+    raw = spark.read.options(header=True, inferSchema=True).csv(f"{path}/data.csv")
+    names = [c for c in raw.columns if c not in ("timestamp", "y", "category")]
+    at = lambda c: unix_seconds(F.to_timestamp(F.col(c).cast("string")))
+    rows = raw.select(*names, F.coalesce(F.col("y").cast("double") > 0, F.lit(False)).alias("marked"), at("timestamp").alias("timestamp"), file_order().alias("order"), F.lit("all").alias("series_id"))
+    meta = spark.read.options(header=True, escape='"').csv(f"{path}/metadata.csv")
+    affected = F.from_json(F.translate("affected", "'", '"'), "array<string>")
+    hit = F.array_union(F.array("root_cause"), F.coalesce(affected, F.array().cast("array<string>")))
+    spans = meta.select(F.lit("all").alias("series_id"), at("start_time").alias("a"), at("end_time").alias("b"), F.array_intersect(hit, F.array(*map(F.lit, names))).alias("channels"))
+    known = reshape.interval_channels(scans.numbered(rows, ("series_id",), ["timestamp", "order"]), spans, "timestamp", width)
+    covered = F.size("channels") > 0
+    label = F.array(*(F.when(covered, F.array_contains("channels", c)).otherwise(F.col("marked")).cast("int") for c in names))
+    cut = F.floor(F.lit(known.count()) * train)
+    part = F.when(F.col("row_idx") < cut, "train").otherwise("val")
+    wide = known.select(*names, "timestamp", "order", label.alias("label"), part.alias("series_id"))
+    return canonical(wide, "cats", "space", names, level="cell")
+
+
+@loader("asd")
+def load_servers(spark: SparkSession, path: str, step: float = 300.0) -> Loaded:
+    """Files ``<server>_train.csv``, ``<server>_test.csv`` and ``<server>_test_label.csv`` without headers, rows by position: the test part
+    goes on where the unknown training part ends."""
+    def part(kind: str) -> DataFrame:
+        lines = spark.read.text(path, recursiveFileLookup=True, pathGlobFilter=f"*_{kind}.csv").where("trim(value) != ''")
+        server = F.regexp_extract("order.file", rf"([^/]+)_{kind}\.csv$", 1)
+        lines = row_numbers_in_file(lines.select(F.split("value", ",").cast("array<double>").alias("v"), file_order().alias("order")))
+        return lines.select(server.alias("server"), "row_idx", "v")
+
+    train, test, marks = part("train"), part("test"), part("test_label")
+    k = train.unionByName(test).agg(F.max(F.size("v"))).head()[0]
+    marks = marks.select("server", "row_idx", F.element_at("v", 1).cast("int").alias("label"))
+    known = test.join(marks, ["server", "row_idx"], "left").withColumn("label", F.coalesce("label", F.lit(-1)))
+    before = train.groupBy("server").agg(F.count("*").alias("before"))
+    known = known.join(before, "server", "left").withColumn("at", F.col("row_idx") + F.coalesce("before", F.lit(0))).withColumn("part", F.lit("test"))
+    both = train.select("server", "v", F.lit(-1).alias("label"), F.col("row_idx").alias("at"), F.lit("train").alias("part")).unionByName(known.select("server", "v", "label", "at", "part"))
+    names = [f"metric_{i}" for i in range(k)]
+    rows = both.select(F.concat_ws("/", "server", "part").alias("series_id"), (F.lit(EPOCH) + step * F.col("at")).alias("timestamp"), "label", F.col("at").alias("order"), *(F.get("v", F.lit(i)).alias(n) for i, n in enumerate(names)))
+    return canonical(rows, "asd", "it", names, synthetic=True)
+
+
+@loader("pvfault")
+def load_plant(spark: SparkSession, path: str) -> Loaded:
+    """CSV rows of voltages, currents, irradiance and module temperature with a fault code ``f_nv``, in the order of the file: short circuit,
+    degradation and open circuit (1 to 3) are anomalies, shadows (4) unknown. Repaired by onset and context."""
+    names = ["vdc1", "vdc2", "idc1", "idc2", "irr", "pvt"]
+    raw = spark.read.options(header=True, inferSchema=True).csv(path)
+    code = F.col("f_nv").cast("int")
+    label = F.when(code.isin(1, 2, 3), 1).when(code == 4, -1).otherwise(0)
+    rows = row_numbers_in_file(raw.select(*names, label.alias("label"), file_order().alias("order"))).withColumn("series_id", F.lit("plant"))
+    fixed = runs.context_fix(rows, 2048).withColumn("timestamp", F.lit(EPOCH) + F.col("row_idx")).drop("row_idx")
+    return canonical(fixed, "pvfault", "energy", names, synthetic=True)
+
+
 def load_arrays(source: str, sector: str) -> Callable[[SparkSession, str], Loaded]:
     """Binary array files ``test/*.npy`` and ``train/*.npy`` and a CSV ``labeled_anomalies.csv`` with ``chan_id`` and inclusive
     row ranges of the test part as a list; several lists of one channel are joined. Labels are cells of the first channel."""

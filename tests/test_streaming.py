@@ -1,11 +1,16 @@
 """Streams give what the batch operators give."""
 
+import datetime
 import json
 import os
+import random
 import uuid
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from tidemark.operators import scoring, windows
 from tidemark.streaming import stateful
 
 
@@ -25,7 +30,7 @@ def collected(df, folder, mode="append"):
 
 
 def at(second):
-    return f"2024-01-01T00:{second // 60:02}:{second % 60:02}.000Z"
+    return f"2024-01-01T{second // 3600:02}:{second // 60 % 60:02}:{second % 60:02}.000Z"
 
 
 def test_bins_with_late_rows(spark, tmp_path):
@@ -55,12 +60,53 @@ def test_late_rows_of_open_events_are_dropped(spark, tmp_path):
     assert [(r["n"], r["confidence"]) for r in collected(events, tmp_path / "c")] == [(2, 0.5)]
 
 
-def test_frozen_scores_keep_their_reference(spark, tmp_path):
-    rows = [{"series_id": 1, "row_idx": i, "value": float(i % 4) + (40 if i >= 64 else 0)} for i in range(96)]
-    for k, parts in enumerate(([rows[:30], rows[30:70], rows[70:]], [rows[70:], rows[30:70][::-1], rows[:30]])):
-        scores = stateful.frozen_scores(stream(spark, tmp_path / f"in{k}", parts, "series_id long, row_idx long, value double"), 16)
-        got = {r["row_idx"]: r["p"] for r in collected(scores, tmp_path / f"c{k}")}
-        assert len(got) == 96 and max(got[i] for i in range(64)) < 0.5 < min(got[i] for i in range(64, 96))
+def frozen_rows():
+    """Two channels, values missing, a level that stays, and a rest of an hour and a half before the last 21 rows."""
+    rng = random.Random(5)
+    rows = []
+    for i in range(96):
+        second = i + (5_400 if i >= 75 else 0)
+        for c in range(2):
+            if rng.random() < 0.9:
+                value = rng.gauss(0, 1) + (9 if rng.random() < 0.05 else 0) + (30 if i >= 40 else 0)
+                rows.append({"series_id": 1, "t": at(second), "channel": c, "value": value})
+    return rows
+
+
+def folded(rows, size, stride):
+    """The same by the batch fold, part by part; the reference of a part goes on in the next one."""
+    times = sorted({r["t"] for r in rows})
+    x = np.full((len(times), 2), np.nan)
+    for r in rows:
+        x[times.index(r["t"]), r["channel"]] = r["value"]
+    fold = stateful.Fold(size, stride, 0.5, windows.robust_z, "topk", 3)
+    cut = sum(t < at(3_000) for t in times)
+    first = scoring.fold_windows(x[:cut], size, stride, 0.5)
+    fold.know({0, 1})
+    done = []
+    for i, row in enumerate(x):
+        if i == cut:
+            done += fold.flush()
+        done += fold.push(int(datetime.datetime.fromisoformat(times[i]).timestamp() * 1e6), dict(enumerate(row)))
+    done += fold.flush()
+    p = np.array([d[2] for d in done])
+    assert [d[0] for d in done] == list(range(len(x))) and p[:cut] == pytest.approx(first, abs=1e-9)
+    return p
+
+
+@pytest.mark.parametrize(("size", "stride"), [(16, 8), (16, 16), (100, 50), (10, 7)])
+def test_frozen_scores_equal_the_batch_fold(spark, tmp_path, size, stride):
+    rows = frozen_rows()
+    want = folded(rows, size, stride)
+    near, far = [r for r in rows if r["t"] < at(3_000)], [r for r in rows if r["t"] > at(3_000)]
+    shuffled = random.Random(1).sample(near, len(near))
+    end = [[{"series_id": 2, "t": at(s), "channel": 0, "value": 0.0}] for s in (9_000, 20_000, 20_001)]  # move the watermark
+    late = [{"series_id": 1, "t": at(10), "channel": 0, "value": 99.0}]
+    for k, parts in enumerate(([near, far, *end], [shuffled[:40], shuffled[40:], far[::-1], late, *end])):
+        scores = stateful.frozen_scores(stream(spark, tmp_path / f"in{k}", parts, "series_id long, t timestamp, channel int, value double"), "t", size, stride, late="10 minutes", idle=3_600.0)
+        got = {(r["row_idx"], r["channel"]): r["p"] for r in collected(scores, tmp_path / f"c{k}") if r["series_id"] == 1}
+        assert len(got) == want.size
+        assert np.array([[got[i, c] for c in range(2)] for i in range(len(want))]) == pytest.approx(want, abs=1e-9)
 
 
 def test_sessions_and_duplicates(spark, tmp_path):

@@ -6,6 +6,7 @@ All take and return streaming frames (``readStream`` to ``writeStream``); rows l
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -13,7 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.scoring import scaled_by
+from ..operators import windows
+from ..operators.scoring import row_scores
 
 
 def binned_counts(events: DataFrame, t: str, width: str = "60 seconds", late: str = "10 minutes") -> DataFrame:
@@ -80,33 +82,146 @@ def open_events(rows: DataFrame, t: str, late: str = "10 minutes") -> DataFrame:
     return made.select("series_id", F.timestamp_micros("start").alias("start"), F.timestamp_micros("stop").alias("stop"), "n", "confidence")
 
 
-def frozen_scores(cells: DataFrame, size: int, threshold: float = 0.5) -> DataFrame:
-    """Scores of single-channel series in blocks of ``size`` rows against the last block that stayed calm.
-
-    Rows are taken in order of ``row_idx`` from 0 on, in whatever order they arrive: a row waits for those before it, and
-    a second one of the same index is dropped. State of a series: the reference block and the rows that wait. A block
-    without any reference yet is scored against itself.
+@dataclass
+class Fold:
+    """Windows of one series' rows as they come, each scored against the last calm one: what ``scoring.fold_windows`` does for
+    a series at hand. Rows before ``first`` are done with; the buffer has those that a later window may still cover."""
+
+    size: int
+    stride: int
+    threshold: float
+    scorer: windows.Predict
+    how: str
+    k: int
+    channels: list[int] = field(default_factory=list)
+    times: list[int] = field(default_factory=list)
+    x: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
+    total: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
+    weight: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    reference: np.ndarray | None = None
+    first: int = 0  #: number of the buffer's first row
+    start: int = 0  #: buffer place of the next window
+    covered: int = 0  #: buffer rows that a window has covered
+
+    def know(self, channels: set[int]) -> None:
+        """Make room for channels that weren't there before: their earlier values are missing."""
+        every = sorted({*self.channels, *channels})
+        if every == self.channels:
+            return
+        place = [every.index(c) for c in self.channels]
+
+        def wider(old: np.ndarray, blank: float) -> np.ndarray:
+            out = np.full((len(old), len(every)), blank)
+            out[:, place] = old
+            return out
+
+        self.x, self.total = wider(self.x, np.nan), wider(self.total, 0.0)
+        self.reference = None if self.reference is None else windows.filled(wider(self.reference, np.nan))
+        self.channels = every
+
+    def push(self, time: int, values: dict[int, float]) -> list[tuple[int, int, np.ndarray]]:
+        """Add a row; rows that are done come back as ``(number, time, probabilities)``."""
+        row = np.array([[values.get(c, np.nan) for c in self.channels]])
+        self.times.append(time)
+        self.x, self.total, self.weight = np.concatenate([self.x, row]), np.concatenate([self.total, np.zeros(row.shape)]), np.append(self.weight, 0.0)
+        if len(self.times) - self.start < self.size:
+            return []
+        self._score(self.start, self.size)
+        # The next window begins after this one's first row, wherever the series ends.
+        done = self._leave(self.start + 1)
+        self.start += self.stride
+        return done
+
+    def flush(self) -> list[tuple[int, int, np.ndarray]]:
+        """The series ends here: its last window ends with it. The reference stays for what may come."""
+        n = len(self.times)
+        if n > self.covered:
+            rows = min(n, self.size)
+            self._score(n - rows, rows)
+        done = self._leave(n)
+        self.start = self.covered = 0
+        return done
+
+    def _score(self, start: int, rows: int) -> None:
+        part = windows.filled(self.x[start : start + rows])
+        centre, scale = windows.centre_and_scale(part if self.reference is None else self.reference)
+        seconds = np.array(self.times[start : start + rows]) / 1e6
+        p = np.asarray(self.scorer(windows.batch_of([(np.clip((part - centre) / scale, -50, 50), seconds)]))[0], float)
+        w = windows.weights(rows)
+        self.total[start : start + rows] += p * w[:, None]
+        self.weight[start : start + rows] += w
+        self.covered = start + rows
+        if row_scores(p[rows * 3 // 4 :], self.how, self.k).max() < self.threshold:
+            self.reference = part
+
+    def _leave(self, n: int) -> list[tuple[int, int, np.ndarray]]:
+        p = self.total[:n] / np.maximum(self.weight[:n, None], 1e-8)
+        done = [(self.first + i, self.times[i], p[i]) for i in range(n)]
+        self.times, self.x, self.total, self.weight = self.times[n:], self.x[n:], self.total[n:], self.weight[n:]
+        self.first, self.start, self.covered = self.first + n, self.start - n, self.covered - n
+        return done
+
+
+def frozen_scores(cells: DataFrame, t: str, size: int, stride: int | None = None, threshold: float = 0.5, late: str = "10 minutes", idle: float = 3600.0, scorer: windows.Predict = windows.robust_z, how: str = "topk", k: int = 3, group: int = windows.GROUP) -> DataFrame:
+    """``series_id, row_idx, t, channel, p``: overlapping windows of ``size`` rows, scored against the last one that ended calm and blended.
+
+    ``cells``: ``series_id`` (long), a timestamp ``t``, ``channel, value``. Cells of one time are a row, equal ones averaged. Rows are
+    taken in order of time, in whatever order they arrive: a cell waits until the watermark has passed it, and later ones are
+    dropped. A series that rests for more than ``idle`` seconds ends there: its last rows are scored by a window that ends with them, and what
+    comes after begins a new row of windows, with the reference it had. State of a series and ``group`` of channels: the
+    reference, at most ``size + stride`` rows, and the cells of the last ``late`` that wait.
     """
+    step_rows, rest = stride or size // 2, int(idle * 1_000_000)
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        reference, at, waiting, first = state.get if state.exists else ([], [], [], 0)
-        rows = pd.concat([pd.DataFrame({"row_idx": np.array(at, np.int64), "value": np.array(waiting, float)}), *(f[["row_idx", "value"]] for f in frames)])
-        rows = rows[rows["row_idx"] >= first].drop_duplicates("row_idx").sort_values("row_idx", kind="stable")
-        at, values = rows["row_idx"].to_numpy(), rows["value"].to_numpy(float)
-        ready = int((at == first + np.arange(len(at))).sum())  # rows without a gap before them
-        done = 0
-        reference = np.array(reference, float)
-        out = []
-        while ready - done >= size:
-            block = values[done : done + size]
-            z = np.abs(scaled_by(block[:, None], (reference if len(reference) else block)[:, None]))[:, 0]
-            p = np.clip(1 - np.exp(-np.maximum(z - 3, 0)), 0, 1)
-            out.append(pd.DataFrame({"series_id": key[0], "row_idx": np.arange(first, first + size), "p": p}))
-            first, done = first + size, done + size
-            if p[-max(1, size // 4) :].max() < threshold:
-                reference = block
-        state.update((reference.tolist(), at[done:].tolist(), values[done:].tolist(), first))
-        yield pd.concat(out) if out else pd.DataFrame({"series_id": pd.Series(dtype="int64"), "row_idx": pd.Series(dtype="int64"), "p": pd.Series(dtype=float)})
-
-    held = "reference array<double>, at array<long>, waiting array<double>, first long"
-    return cells.groupBy("series_id").applyInPandasWithState(step, "series_id long, row_idx long, p double", held, "append", GroupStateTimeout.NoTimeout)
+        fold = Fold(size, step_rows, threshold, scorer, how, k)
+        waiting = []
+        if state.exists:
+            last, at, channel, value, fold.channels, fold.times, x, total, weight, reference, fold.first, fold.start, fold.covered = state.get
+            wide = len(fold.channels)
+            fold.channels, fold.times = list(fold.channels), list(fold.times)
+            fold.x, fold.total = (np.array(v, float).reshape(-1, wide) if wide else np.zeros((0, 0)) for v in (x, total))
+            fold.weight = np.array(weight, float)
+            fold.reference = np.array(reference, float).reshape(-1, wide) if len(reference) else None
+            waiting = [*zip(at, channel, value, strict=True)]
+        else:
+            last = None
+        mark = state.getCurrentWatermarkMs() * 1000
+        for frame in frames:
+            if mark > 0:  # there is one
+                frame = frame[frame["at_"] > mark]
+            waiting += zip(frame["at_"].tolist(), frame["channel"].tolist(), frame["value"].astype(float).tolist(), strict=True)
+        waiting.sort(key=lambda w: w[:2])
+        ready, waiting = [w for w in waiting if w[0] <= mark], [w for w in waiting if w[0] > mark]
+        rows: dict[int, dict[int, list[float]]] = {}
+        for at, channel, value in ready:
+            rows.setdefault(at, {}).setdefault(channel, []).append(value)
+        fold.know({c for row in rows.values() for c in row})
+        done = []
+        for at, row in rows.items():
+            if last is not None and at - last > rest:
+                done += fold.flush()
+            finite = {c: [v for v in values if np.isfinite(v)] for c, values in row.items()}
+            done += fold.push(at, {c: sum(v) / len(v) for c, v in finite.items() if v})
+            last = at
+        if fold.times and mark - last > rest:
+            done += fold.flush()
+        at, channel, value = ([w[i] for w in waiting] for i in range(3))
+        reference = [] if fold.reference is None else fold.reference.ravel().tolist()
+        kept = (last, at, channel, value, fold.channels, fold.times, fold.x.ravel().tolist(), fold.total.ravel().tolist(), fold.weight.tolist(), reference, fold.first, fold.start, fold.covered)
+        state.update(kept)
+        next_ = [waiting[0][0]] if waiting else []
+        next_ += [last + rest] if fold.times else []
+        if next_:
+            state.setTimeoutTimestamp(max(min(next_) // 1000, mark // 1000) + 1)
+        n = len(fold.channels)
+        yield pd.DataFrame({
+            "series_id": np.full(len(done) * n, key[0], np.int64), "row_idx": np.repeat(np.array([d[0] for d in done], np.int64), n), "at": np.repeat(np.array([d[1] for d in done], np.int64), n),
+            "channel": np.tile(np.array(fold.channels, np.int32), len(done)), "p": np.concatenate([d[2] for d in done]) if done else np.zeros(0),
+        })
+
+    out = "series_id long, row_idx long, at long, channel int, p double"
+    held = "last long, at array<long>, channel array<int>, value array<double>, channels array<int>, times array<long>, x array<double>, total array<double>, weight array<double>, reference array<double>, first long, start long, covered long"
+    timed = cells.withWatermark(t, late).select("series_id", t, F.unix_micros(F.col(t).cast("timestamp")).alias("at_"), F.col("channel").cast("int").alias("channel"), F.col("value").cast("double").alias("value"), F.floor(F.col("channel") / group).alias("block"))
+    made = timed.groupBy("series_id", "block").applyInPandasWithState(step, out, held, "append", GroupStateTimeout.EventTimeTimeout)
+    return made.select("series_id", "row_idx", F.timestamp_micros("at").alias(t), "channel", "p")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -134,12 +136,41 @@ def volatility(cells: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     return cells.groupBy(*keys).agg((F.stddev_samp("value") / (F.median(F.abs("value")) + 1e-9)).alias("volatility"))
 
 
+def correlations(cells: DataFrame, block: int = 4_096) -> DataFrame:
+    """``series_id, channel, partner, r, n``: correlation of each two channels of a series, ``channel < partner``, over the ``n`` rows
+    that both have values in; null where one doesn't vary.
+
+    A task takes ``block`` rows of a series as a matrix and adds up outer products of its rows, one matrix product for each moment;
+    a block then has one row a pair of channels. Values are taken from the channel's mean, so that sums don't cancel.
+    """
+    kind = dict(cells.dtypes)["series_id"]
+
+    def products(frame: pd.DataFrame) -> pd.DataFrame:
+        wide = frame.pivot(index="row_idx", columns="channel", values="x")
+        x = wide.to_numpy(float)
+        known = (~np.isnan(x)).astype(float)
+        x = np.nan_to_num(x)
+        a, b = np.triu_indices(x.shape[1], 1)
+        channels = wide.columns.to_numpy()
+        n, sx, sxx, sxy = known.T @ known, x.T @ known, (x * x).T @ known, x.T @ x
+        return pd.DataFrame({"series_id": frame["series_id"].iloc[0], "channel": channels[a], "partner": channels[b], "n": n[a, b], "sx": sx[a, b], "sy": sx[b, a], "sxx": sxx[a, b], "syy": sxx[b, a], "sxy": sxy[a, b]})
+
+    known = cells.select("series_id", "row_idx", F.col("channel").cast("int").alias("channel"), F.col("value").cast("double").alias("value")).where("value is not null")
+    means = known.groupBy("series_id", "channel").agg(F.avg("value").alias("mean"))
+    moved = known.join(means, ["series_id", "channel"]).select("series_id", "row_idx", "channel", (F.col("value") - F.col("mean")).alias("x"), F.floor(F.col("row_idx") / block).alias("block"))
+    sums = ("n", "sx", "sy", "sxx", "syy", "sxy")
+    parts = moved.groupBy("series_id", "block").applyInPandas(products, f"series_id {kind}, channel int, partner int, " + ", ".join(f"{c} double" for c in sums))
+    total = parts.groupBy("series_id", "channel", "partner").agg(*(F.sum(c).alias(c) for c in sums))
+    vx, vy = F.expr("n * sxx - sx * sx"), F.expr("n * syy - sy * sy")
+    r = F.when((vx > 0) & (vy > 0), F.expr("n * sxy - sx * sy") / F.sqrt(vx) / F.sqrt(vy))
+    return total.select("series_id", "channel", "partner", clip(r, -1.0, 1.0).alias("r"), F.col("n").cast("long").alias("n"))
+
+
 def correlated_partner(cells: DataFrame, least: float = 0.5) -> DataFrame:
     """For each channel the other one of its series with the largest absolute correlation of at least ``least``;
     the lowest channel of equals."""
-    a = cells.select("series_id", "row_idx", F.col("channel").alias("channel"), F.col("value").alias("x"))
-    b = cells.select("series_id", "row_idx", F.col("channel").alias("partner"), F.col("value").alias("y"))
-    pairs = a.join(b, ["series_id", "row_idx"]).where("channel != partner").groupBy("series_id", "channel", "partner").agg(F.corr("x", "y").alias("r"))
-    strong = pairs.where(F.abs("r") >= least)
+    half = correlations(cells)
+    other = half.select("series_id", F.col("partner").alias("channel"), F.col("channel").alias("partner"), "r")
+    strong = half.select("series_id", "channel", "partner", "r").unionByName(other).where(F.abs("r") >= least)
     best = F.max_by(F.struct("partner", "r"), F.struct(F.round(F.abs("r"), 9), -F.col("partner")))
     return strong.groupBy("series_id", "channel").agg(best.alias("best")).select("series_id", "channel", "best.partner", "best.r")

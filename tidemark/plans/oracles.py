@@ -359,3 +359,24 @@ s as (select epoch_us(ts) / 1e6 as a, epoch_us(ts) / 1e6 + 600 * (event_id % 11)
 c as (select timestamp, marked, unnest(range(5)) as channel from h), hit as (select distinct timestamp, channel from h join s on timestamp between a and b)
 select c.timestamp, c.channel, case when c.timestamp in (select timestamp from hit) then cast(hit.channel is not null as int) else marked end as label
 from c left join hit on hit.timestamp = c.timestamp and hit.channel = c.channel"""
+ORACLE["buyer_reach"] = """with recursive o as (select o_custkey as a, max(o_orderkey) as k from orders group by 1), e as (select a, a + 1 + k % 3 as b from o where a % 10 < 8),
+reach as (select a, b from e union select r.a, e.b from reach r join e on e.a = r.b) select a, count(*) as reached, max(b) as furthest from reach group by 1"""
+ORACLE["channel_correlations"] = f"""with {EMB} select a.series_id, a.channel, b.channel as partner, {r6("corr(a.value, b.value)")} as r, count(*) as n
+from emb a join emb b on a.series_id = b.series_id and a.row_idx = b.row_idx and a.channel < b.channel group by 1, 2, 3"""
+ORACLE["training_draws"] = """with c as (select o_custkey as series_id, count(*) * 30 as n_rows from orders group by 1),
+k as (select series_id, c_mktsegment as sector, n_rows, 1 + series_id % 9 as nc, case when series_id % 3 = 0 then 'row' else 'cell' end as level, floor(sqrt(n_rows)) as w from c join customer on c_custkey = series_id),
+l as (select *, sum(w) over (partition by sector order by series_id) as upto, sum(w) over (partition by sector) as whole, dense_rank() over (order by sector) - 1 as g from k),
+i as (select o_orderkey as item, (o_orderkey * 7919 + 104729) % 10007 / 10007 as ug, (o_orderkey * 7919 + 2 * 104729) % 10007 / 10007 as ur, (o_orderkey * 7919 + 3 * 104729) % 10007 / 10007 as uf,
+    (o_orderkey * 7919 + 4 * 104729) % 10007 / 10007 as ul, (o_orderkey * 7919 + 5 * 104729) % 10007 / 10007 as uw, (o_orderkey * 7919 + 6 * 104729) % 10007 / 10007 as us,
+    (o_orderkey * 7919 + 7 * 104729) % 10007 / 10007 as uc from orders),
+d as (select * from i join l on g = floor(ug * (select count(distinct sector) from l)) and ur >= (upto - w) / whole and ur < upto / whole),
+f as (select *, [1, 1, 1, 2, 3, 4, 7, 8, 12][cast(floor(uf * 9) as int) + 1] as f0 from d),
+h as (select *, case when n_rows // f0 < 40 then 1 else f0 end as factor from f),
+n as (select *, n_rows // factor as steps, least(case when uw < 0.5 then 200 else 20 + floor(ul * 181) end, n_rows // factor) as length from h)
+select item, sector, series_id, factor, cast(length as bigint) as length, cast(floor(us * (steps - length + 1)) as bigint) as start,
+    case when level = 'row' then nc else least(nc, greatest(1, cast(round_even(exp(uc * ln(nc)), 0) as int))) end as channels from n"""
+ORACLE["batches_by_size"] = """with i as (select l_orderkey as item, cast(sum(l_quantity) as bigint) as n_rows, count(*) as n_channels from lineitem group by 1),
+k as (select *, length(bin(n_rows)) as b, length(bin(n_channels)) as d from i),
+c as (select *, (b * 8 + cast(floor(n_rows * 4 / pow(2.0, b - 1)) as int)) || '/' || (d * 8 + cast(floor(n_channels * 4 / pow(2.0, d - 1)) as int)) as bucket from k)
+select item, n_rows, n_channels, bucket, cast(floor((row_number() over (partition by bucket order by n_rows * n_channels, item) - 1)
+    / greatest(1, floor(20000 / (max(n_rows) over (partition by bucket) * max(n_channels) over (partition by bucket))))) as bigint) as batch from c"""

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import events, generate, inject, label_rules, labels, metrics, reshape, runs, scans, scoring, selection, series, windows
+from ..operators import events, generate, graph, inject, label_rules, labels, metrics, reshape, runs, sampling, scans, scoring, selection, series, windows
 from ..sources import tables as T
 from ..storage import written
 
@@ -488,11 +488,8 @@ def source_quality(spark, sf):
 @query
 def corr_graph_reach(spark, sf):
     """Channels reachable along strong correlations: the closure of the coupling graph."""
-    cells = T.hourly_cells(spark, sf).select("series_id", F.col("bin").alias("row_idx"), "channel", F.col("n").cast("double").alias("value"))
-    best = series.correlated_partner(cells, 0.0).select("channel", "partner")
-    best.createOrReplaceTempView("tidemark_edges")
-    # Each channel has one edge, so no path is longer than the number of channels.
-    return spark.sql("with recursive reach(a, b, d) as (select channel, partner, 1 from tidemark_edges union all select r.a, e.partner, r.d + 1 from reach r join tidemark_edges e on e.channel = r.b where r.d < 6) select distinct a, b from reach")
+    cells = T.hourly_cells(spark, sf).select("series_id", (F.col("bin") / 3600).cast("long").alias("row_idx"), "channel", F.col("n").cast("double").alias("value"))
+    return graph.closure(series.correlated_partner(cells, 0.0).select(F.col("channel").alias("a"), F.col("partner").alias("b")))
 
 
 @query
@@ -703,3 +700,42 @@ def interval_cell_labels(spark, sf):
     cells = known.withColumn("channel", F.explode(F.array(*map(F.lit, range(5)))))
     label = F.when(F.size("channels") > 0, F.array_contains("channels", F.col("channel")).cast("int")).otherwise(F.col("marked"))
     return cells.select("timestamp", "channel", label.alias("label"))
+
+
+@query
+def buyer_reach(spark, sf):
+    """From each customer along chains: whose latest order leads to which customers, by order numbers; a graph with long paths."""
+    orders = T.table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("a")).agg(F.max("o_orderkey").alias("k"))
+    edges = orders.where("a % 10 < 8").select("a", (F.col("a") + 1 + F.col("k") % 3).alias("b"))
+    return graph.closure(edges).groupBy("a").agg(F.count("*").alias("reached"), F.max("b").alias("furthest"))
+
+
+@query
+def channel_correlations(spark, sf):
+    """All pairs of the 64 channels of each label's vectors."""
+    return series.correlations(T.embedding_cells(spark, sf)).select("series_id", "channel", "partner", r6("r"), "n")
+
+
+def _orders_catalog(spark, sf):
+    """Each customer as a series of a segment: as many rows as orders, channels by key."""
+    orders = T.table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("series_id")).agg((F.count("*") * 30).alias("n_rows"))
+    rows = orders.join(T.table(spark, sf, "customer"), F.col("series_id") == F.col("c_custkey"))
+    level = F.when(F.col("series_id") % 3 == 0, "row").otherwise("cell")
+    return rows.select("series_id", F.col("c_mktsegment").alias("sector"), "n_rows", (1 + F.col("series_id") % 9).cast("int").alias("n_channels"), level.alias("label_level"))
+
+
+@query
+def training_draws(spark, sf):
+    """A draw for each order: its sector, series, and what is cut from it, by numbers made of its key."""
+    salts = {"group": 1, "row": 2, "factor": 3, "length": 4, "whole": 5, "start": 6, "channels": 7}
+    draw = lambda choice: F.pmod(F.col("item") * 7919 + salts[choice] * 104729, F.lit(10007)) / 10007
+    items = T.table(spark, sf, "orders").select(F.col("o_orderkey").alias("item"))
+    drawn = sampling.weighted_draws(items, _orders_catalog(spark, sf), "sector", F.floor(F.sqrt("n_rows")), draw)
+    return sampling.placed(drawn, draw, max_t=200, min_t=20).select("item", "sector", "series_id", "factor", "length", "start", "channels")
+
+
+@query
+def batches_by_size(spark, sf):
+    """Orders in batches whose padded size is within a budget."""
+    items = T.table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("item")).agg(F.sum("l_quantity").cast("long").alias("n_rows"), F.count("*").alias("n_channels"))
+    return sampling.bucketed(items, "n_rows", "n_channels", 20_000)

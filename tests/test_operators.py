@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import columns as C
-from tidemark.operators import generate, inject, labels, metrics, reshape, runs, scoring, series
+from tidemark.operators import events, generate, inject, labels, metrics, reshape, runs, scoring, series
 from tidemark.plans import queries
 from tidemark.schema import BUFFERS
 from tidemark.sources import tables
@@ -377,3 +377,45 @@ def test_template_is_stretched_and_added(spark):
     for rows, where in ((one, late), (busy, placed), (one, placed.withColumn("gain", F.lit(0.01))), (one, placed.limit(0))):
         same = inject.from_template(rows, bank, where).orderBy("row_idx").collect()
         assert [(r["value"], r["label"], r["type"]) for r in same] == [(r["value"], r["label"], 0) for r in rows.orderBy("row_idx").collect()]
+
+
+def test_times_of_any_form(spark):
+    made = spark.createDataFrame([("a", 1.7e9), ("a", 1.7e9 + 1), ("b", 1.7e12), ("b", 1.7e12 + 500), ("b", None)], "series_id string, timestamp double")
+    assert sorted((r[0], r[1] or 0) for r in reshape.unix_times(made).select("series_id", "timestamp").collect()) == [("a", 1.7e9), ("a", 1.7e9 + 1), ("b", 0), ("b", 1.7e9), ("b", 1.7e9 + 0.5)]
+    text = spark.createDataFrame([("a", "2024-01-01T00:00:01.5")], "series_id string, timestamp string")
+    assert reshape.unix_times(text).first()["timestamp"] == reshape.unix_times(text.withColumn("timestamp", F.to_timestamp("timestamp"))).first()["timestamp"] == 1704067201.5
+    rows = [("a", 1.7e12 + 1000 * i, 0, 50.0 if i == 40 else float(i % 5)) for i in range(100)]
+    found = scoring.detect(spark.createDataFrame(rows, "series_id string, timestamp double, channel int, value double"), times="guess")
+    assert [(r["start"], r["start_time"]) for r in found.events.collect()] == [(40, 1.7e9 + 40)]
+    with pytest.raises(ValueError, match="times"):
+        scoring.detect(made, times="hours")
+
+
+def test_context_rule_on_cells(spark):
+    marks = {0: [0] * 4 + [1, 1, 1] + [0] * 3, 1: [1, 0, -1, 0, 0, 1, 1, 0, 0, 0]}
+    made = spark.createDataFrame([("a", i, c, y) for c, ys in marks.items() for i, y in enumerate(ys)], "series_id string, row_idx long, channel int, label int")
+    got = runs.context_fix_cells(made, onset=2, most=1, share=1)
+    # The first row's event has no normal row before it, the third row of the other one is cut; cells that aren't anomalous stay.
+    assert column(got.where("channel = 1"), "label") == [-1, 0, -1, 0, 0, 1, -1, 0, 0, 0] and column(got.where("channel = 0"), "label") == [0] * 4 + [1, 1, -1] + [0] * 3
+
+
+def test_events_by_cell_count_marked_channels_only(spark):
+    rows = [("lead1", i, c, math.sin(i * (c + 1.7)) + (20 if 60 <= i < 70 and c < 2 else 0), int(60 <= i < 70 and c == 0)) for i in range(120) for c in range(3)]
+    made = spark.createDataFrame(rows, "series_id string, row_idx long, channel int, value double, label int")
+    catalog = spark.createDataFrame([("lead1", "lead", False, "cell"), ("x", "lead", True, "cell")], "series_id string, source string, unlabeled boolean, label_level string")
+    one = events.real_events(made, catalog).collect()
+    assert [(r["source"], r["start"], r["n_affected"], round(r["affected_share"], 6)) for r in one] == [("lead", 60, 1, 0.333333)]
+    whole = made.withColumn("label", F.when(F.col("row_idx").between(60, 69), 1).otherwise(0))
+    two = events.real_events(whole, catalog.withColumn("label_level", F.lit("row"))).first()
+    assert (two["n_affected"], two["affected_share"]) == (3, 1.0)  # a wave deviates, too, from its own median
+    assert events.real_events(made, catalog.withColumn("source", F.lit("skab"))).count() == 0
+
+
+def test_fault_variants_are_checked(spark):
+    made = cells(spark, [math.sin(i) for i in range(60)])
+    with pytest.raises(ValueError, match="variant"):
+        inject.inject(made, "spike", F.lit(3), F.lit(5), 3.0, "noisy")
+    with pytest.raises(ValueError, match="fault"):
+        inject.inject(made, "normal", F.lit(3), F.lit(5), 3.0)
+    one, two = (inject.inject(made.repartition(k), "noise_burst", F.lit(20), F.lit(40), 6.0, "ramped") for k in (1, 5))
+    assert column(one, "value") == column(two, "value") and sum(column(one, "label")) == 20

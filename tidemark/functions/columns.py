@@ -133,9 +133,8 @@ def unix_seconds(t: Column | str) -> Column:
     return F.unix_micros(col(t).cast("timestamp")) / 1e6
 
 
-def parse_scale(typical: float) -> float:
-    """What numeric timestamps are divided by, given their median absolute value: 1000 for milliseconds."""
-    return 1000.0 if typical > 1e11 else 1.0
+#: Numeric times of a larger typical size are milliseconds.
+MILLISECONDS = 1e11
 
 
 def binary_loss(p: Column | str, y: Column | str, eps: float = 1e-7) -> Column:

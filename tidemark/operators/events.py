@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import calibrate, clip, row_score, sensitivity
 from ..schema import MAX_T, TYPES
 from . import runs
+from .labels import learned_from
 
 
 def decide(cells: DataFrame, threshold: float, level: str = "medium", how: str = "topk", k: int = 3, temperature: float = 1.0, bias: float = 0.0) -> DataFrame:
@@ -55,15 +56,16 @@ def within(cells: DataFrame, events: DataFrame, width: int) -> DataFrame:
     return cells.withColumn("bin", F.floor(F.col("row_idx") / width)).join(spread, ["series_id", "bin"]).where("row_idx >= low and row_idx < high").drop("bin")
 
 
-def statistics(cells: DataFrame, least_before: int = 16, least_after: int = 8, window: int = MAX_T) -> DataFrame:
+def statistics(cells: DataFrame, least_before: int = 16, least_after: int = 8, window: int = MAX_T, by_cell: bool = False) -> DataFrame:
     """One row a labelled event with its measures against the rows before and after it.
 
     The rows before reach back ``max(32, 2 * length)``; events over ``window`` rows, or with fewer than ``least_before``
     rows before them, don't count. By channel: ``a`` median deviation in units of the spread before, ``onset`` share of the
     event until half of it is reached, ``variance`` ratio of spreads, ``returns`` whether the rows after lie within one unit.
-    ``cells``: ``series_id, row_idx, channel, value`` and the row's ``label``.
+    ``cells``: ``series_id, row_idx, channel, value`` and the row's ``label``; with ``by_cell`` each cell's own: a row is then anomalous if any
+    cell is, and an event's channels are those with an anomalous cell in it, still as a share of all.
     """
-    rows = cells.select("series_id", "row_idx", "label").distinct()
+    rows = cells.groupBy("series_id", "row_idx").agg(F.max("label").alias("label"))
     lengths = rows.groupBy("series_id").agg((F.max("row_idx") + 1).alias("n"))
     events = runs.runs(rows).join(lengths, "series_id").where(F.col("length") <= window)
     before = F.greatest(F.lit(0), F.col("start") - F.greatest(F.lit(32), 2 * F.col("length")))
@@ -85,10 +87,15 @@ def statistics(cells: DataFrame, least_before: int = 16, least_after: int = 8, w
     amplitude = inside.groupBy(*key).agg(F.median("d").alias("a"))
     reached = inside.join(amplitude, key).where("a > 0.5 and d >= a / 2").groupBy(*key).agg((F.min(F.col("row_idx") - F.col("start")) / F.first("length")).alias("onset"))
     per = spread.join(amplitude, key).join(reached, key, "left")
+    total = F.count("*")
+    if by_cell:
+        hit = within(cells.where("label = 1").select("series_id", "row_idx", "channel"), events.select("series_id", "start", F.col("start").alias("low"), F.col("stop").alias("high")), window)
+        width = cells.groupBy("series_id").agg(F.count_distinct("channel").alias("width"))
+        per, total = per.join(hit.select(*key).distinct(), key, "left_semi").join(width, "series_id"), F.first("width")
     variance = F.when(F.col("n_event") >= 4, F.col("sde") / F.col("sd0"))
     returns = F.when(F.col("n_post") >= least_after, (F.abs(F.col("mp") - F.col("m0")) / F.col("sd0") < 1).cast("double"))
     out = per.withColumn("variance", variance).withColumn("returns", returns).groupBy("series_id", "start").agg(
-        F.first("length").alias("duration"), F.first("stop").alias("stop"), F.first("n").alias("n"), F.count("*").alias("n_channels"),
+        F.first("length").alias("duration"), F.first("stop").alias("stop"), F.first("n").alias("n"), total.alias("n_channels"),
         F.count_if(F.col("a") >= 0.5).alias("n_affected"), F.median(F.when(F.col("a") >= 0.5, F.col("a"))).alias("strong"), F.median("a").alias("typical"),
         F.median("onset").alias("onset"), F.avg("returns").alias("return_share"), F.median("variance").alias("variance_ratio"),
     )
@@ -98,6 +105,22 @@ def statistics(cells: DataFrame, least_before: int = 16, least_after: int = 8, w
     )
 
 
+def real_events(cells: DataFrame, catalog: DataFrame, **options) -> DataFrame:
+    """Statistics of the labelled events that may be learned from, with their ``source``: of series of the sources and names that
+    ``labels.learned_from`` allows, by cell where their labels are. ``catalog``: ``series_id, source, unlabeled, label_level``."""
+    may = catalog.where(~F.col("unlabeled") & learned_from(F.col("source"), F.col("series_id"))).select("series_id", "source", "label_level")
+    parts = [statistics(cells.join(may.where(level), "series_id", "left_semi"), by_cell=by_cell, **options) for by_cell, level in ((True, "label_level = 'cell'"), (False, "label_level <> 'cell'"))]
+    return parts[0].unionByName(parts[1]).join(may.select("series_id", "source"), "series_id")
+
+
+def by_source(stats: DataFrame) -> DataFrame:
+    """By ``source``: events, medians of duration, amplitude, onset and affected share, share of events that calm, and of those that stay to the end."""
+    return stats.groupBy("source").agg(
+        F.count("*").alias("events"), F.median("duration").alias("duration"), F.median("amplitude").alias("amplitude"), F.median("onset").alias("onset"), F.median("affected_share").alias("affected_share"),
+        F.avg(F.coalesce(F.col("variance_ratio") < 0.5, F.lit(False)).cast("double")).alias("calms"), F.avg(F.col("persists").cast("double")).alias("persists"),
+    )
+
+
 def summary(stats: DataFrame, by: str, most: int = 150) -> DataFrame:
     """Quantiles of the measures over at most ``most`` events a group (the feature: groups weigh alike), those of least hash."""
     some = stats.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy(F.xxhash64("series_id", "start")))).where(F.col("place") <= most)

@@ -42,8 +42,8 @@ def brier_nll(scores: DataFrame, keys: tuple[str, ...] = ("series_id",)) -> Data
     )
 
 
-def range_precision(scores: DataFrame, buffers: tuple[int, ...] = BUFFERS) -> DataFrame:
-    """``vus_pr``: mean average precision over labels widened by each of ``buffers`` known rows on either side.
+def _widened(scores: DataFrame, buffers: tuple[int, ...]) -> DataFrame:
+    """``average_precision, roc_auc, best_f1`` by series and ``buffer``: labels widened by as many known rows on either side.
 
     All widened labels come from one sort of the known rows; they are then stacked and ranked as groups of their own.
     """
@@ -51,14 +51,29 @@ def range_precision(scores: DataFrame, buffers: tuple[int, ...] = BUFFERS) -> Da
     wide = F.array(*(F.struct(F.lit(b).alias("buffer"), F.max("label").over(by_row.rowsBetween(-b, b)).alias("wide")) for b in buffers))
     stacked = scores.where("label >= 0").select("series_id", "score", wide.alias("ws")).select("series_id", "score", F.explode("ws").alias("w")).select("series_id", "score", "w.buffer", F.col("w.wide").alias("label"))
     each = curve(stacked, ("series_id", "buffer")).where("p > 0")
-    ap = each.groupBy("series_id", "buffer").agg(F.sum(F.col("pos") / F.col("p") * F.col("tp") / (F.col("tp") + F.col("fp"))).alias("ap"))
-    both = scores.where("label >= 0").groupBy("series_id").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("series_id")
-    return ap.groupBy("series_id").agg(F.avg("ap").alias("vus_pr")).join(both, "series_id", "left_semi")
+    tp, fp, p, n = (F.col(x) for x in ("tp", "fp", "p", "n"))
+    return each.groupBy("series_id", "buffer").agg(
+        F.sum(F.col("pos") / p * tp / (tp + fp)).alias("average_precision"),
+        F.sum(F.try_divide(F.col("pos") * (n - fp + F.col("neg") / 2), p * n)).alias("roc_auc"),
+        F.max(2 * tp / (tp + fp + p)).alias("best_f1"),
+    )
 
 
-def row_metrics(scores: DataFrame) -> DataFrame:
-    """All metrics of each series; those that need both classes are null where there is one."""
-    return brier_nll(scores).join(ranking(scores.where("label >= 0")), "series_id", "left").join(range_precision(scores), "series_id", "left")
+def range_precision(scores: DataFrame, buffers: tuple[int, ...] = BUFFERS) -> DataFrame:
+    """``vus_pr``: mean average precision over labels widened by each of ``buffers`` known rows on either side."""
+    both = scores.where("label >= 0").groupBy("series_id").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("series_id")
+    return _widened(scores, buffers).groupBy("series_id").agg(F.avg("average_precision").alias("vus_pr")).join(both, "series_id", "left_semi")
+
+
+def row_metrics(scores: DataFrame, buffers: tuple[int, ...] = BUFFERS) -> DataFrame:
+    """All metrics of each series; those that need both classes are null where there is one. Plain ranking metrics are those of
+    labels widened by no row, so that the rows are ranked once."""
+    plain = lambda c: F.max(F.when(F.col("buffer") == 0, F.col(c))).alias(c)
+    ranked = _widened(scores, tuple({0: 0, **dict.fromkeys(buffers)})).groupBy("series_id")
+    ranked = ranked.agg(*map(plain, ("average_precision", "roc_auc", "best_f1")), F.avg(F.when(F.col("buffer").isin(*buffers), F.col("average_precision"))).alias("vus_pr"))
+    mixed = (F.col("anomaly_share") > 0) & (F.col("anomaly_share") < 1)
+    names = ("average_precision", "roc_auc", "best_f1", "vus_pr")
+    return brier_nll(scores).join(ranked, "series_id", "left").withColumns({c: F.when(mixed, F.col(c)) for c in names})
 
 
 def source_score(metrics: DataFrame, unseen_weight: float = 0.7, keys: tuple[str, ...] = ()) -> DataFrame:

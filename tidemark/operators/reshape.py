@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import col, finite, missing
+from ..functions.columns import MILLISECONDS, col, finite, missing, unix_seconds
+from . import selection
 
 
 def row_numbers(df: DataFrame, series: str, *order: str) -> DataFrame:
@@ -13,6 +14,19 @@ def row_numbers(df: DataFrame, series: str, *order: str) -> DataFrame:
     return df.withColumn("row_idx", F.row_number().over(Window.partitionBy(series).orderBy(*order)) - 1)
 
 
+def unix_times(df: DataFrame, t: str = "timestamp", series: str = "series_id") -> DataFrame:
+    """``df`` with ``t`` as unix seconds: times and ISO text are parsed; numbers are seconds, or milliseconds in a series
+    whose median absolute time is beyond what seconds can be."""
+    kind = dict(df.dtypes)[t]
+    if kind.startswith(("timestamp", "date")):
+        return df.withColumn(t, unix_seconds(t))
+    if kind == "string":
+        return df.withColumn(t, unix_seconds(F.to_timestamp(t)))
+    usual = selection.medians(df, (series,), F.abs(F.col(t)), "usual_")
+    unit = F.when(F.col("usual_") > MILLISECONDS, 1000.0).otherwise(1.0)
+    return df.join(usual, series, "left").withColumn(t, F.col(t).cast("double") / unit).drop("usual_")
+
+
 def to_long(wide: DataFrame, ids: list[str], channels: list[str]) -> DataFrame:
     """One row a cell: ``ids``, ``channel`` (position in ``channels``), ``value`` (NaN as null)."""
     values = F.array(*(missing(F.col(c).cast("double")) for c in channels))
@@ -61,8 +75,8 @@ def gap_fill(bins: DataFrame, width: float, fill: float | None = None, keys: tup
 def block_downsample(cells: DataFrame, factor: int) -> DataFrame:
     """Means of blocks of ``factor`` rows; the rows left at the end go. The label of a block: anomaly if any row is,
     normal if all are, else unknown; its time is that of its first row."""
-    whole = F.floor((F.max("row_idx").over(Window.partitionBy("series_id", "channel")) + 1) / factor) * factor
-    kept = cells.withColumn("whole", whole).where("row_idx < whole")
+    whole = cells.groupBy("series_id", "channel").agg((F.floor((F.max("row_idx") + 1) / factor) * factor).alias("whole"))
+    kept = cells.join(whole, ["series_id", "channel"]).where("row_idx < whole")
     label = F.when(F.max((F.col("label") == 1).cast("int")) == 1, 1).when(F.min((F.col("label") == 0).cast("int")) == 1, 0).otherwise(-1)
     return kept.groupBy("series_id", "channel", F.floor(F.col("row_idx") / factor).alias("row_idx")).agg(F.min("timestamp").alias("timestamp"), F.avg("value").alias("value"), label.alias("label"))
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..schema import CONTEXT_ROWS, CONTEXT_SHARE
 from . import scans
+from .labels import row_targets
 
 SERIES = ("series_id",)
 
@@ -51,6 +52,14 @@ def context_fix(rows: DataFrame, onset: int | None = None, most: int = CONTEXT_R
     return placed.withColumn("fixed", label).withColumn("label", F.col("fixed")).drop("fixed", "normal_", "n_", "block_")
 
 
+def context_fix_cells(cells: DataFrame, onset: int | None = 2048, most: int = CONTEXT_ROWS, share: int = CONTEXT_SHARE) -> DataFrame:
+    """``cells`` with the context rule applied by row: a row is anomalous if any of its cells is, normal if all are. Anomalous
+    cells of rows that the rule makes unknown, or whose row was unknown, become unknown; all others stay."""
+    fixed = context_fix(row_targets(cells), onset, most, share).select("series_id", "row_idx", F.col("label").alias("row_label_"))
+    label = F.when((F.col("row_label_") == -1) & (F.col("label") == 1), -1).otherwise(F.col("label"))
+    return cells.join(fixed, ["series_id", "row_idx"]).withColumn("label", label).drop("row_label_")
+
+
 def first_rows(rows: DataFrame, keep: int) -> DataFrame:
     """Only the first ``keep`` rows of each run stay anomalies."""
     return onset_cut(rows, keep)

@@ -275,16 +275,20 @@ class Detection:
 def detect(
     cells: DataFrame, scorer: Scorer | None = None, threshold: float = 0.5, level: str = "medium", how: str = "topk", k: int = 3, temperature: float = 1.0, bias: float = 0.0,
     scales: tuple[int, ...] = (), combine: str = "mean", normal: DataFrame | None = None, max_t: int = MAX_T, use_types: bool = False, predict_windows: windows.Predict | None = None,
+    times: str = "seconds",
 ) -> Detection:
     """Rows with ``score, anomaly``, the events, and the merged values. ``cells``: ``series_id, timestamp, channel, value``.
 
-    Equal timestamps are merged first. Series are scored in windows of ``max_t`` rows (``windowed_scorer``, by
+    ``times``: ``seconds`` for unix seconds, ``guess`` for anything that ``reshape.unix_times`` reads. Equal timestamps are merged first. Series are scored in windows of ``max_t`` rows (``windowed_scorer``, by
     ``predict_windows`` if given, against ``normal`` if given) or by ``scorer``, over coarser ``scales`` as well. Series of fewer than ``MIN_T``
     rows are filled and scored by robust z alone, without calibration. Rows and, for an event's channels, cells are calibrated before
     they are compared with the threshold of ``level``. Events have a type only with ``use_types``. Merged cells and scores are written
     to the shared folder, as they are used again.
     """
     scorer = scorer or windowed_scorer(max_t, scorer=predict_windows, how=how, k=k)
+    if times not in ("seconds", "guess"):
+        raise ValueError(f"unknown times {times!r}")
+    cells = cells if times == "seconds" else reshape.unix_times(cells)
     merged = reshape.merge_duplicates(cells).withColumn("label", F.lit(0))
     merged = written(_with_size(written(merged, "merged")), "sized")
     enough = merged.where("long_").drop("long_")

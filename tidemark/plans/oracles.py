@@ -380,3 +380,33 @@ k as (select *, length(bin(n_rows)) as b, length(bin(n_channels)) as d from i),
 c as (select *, (b * 8 + cast(floor(n_rows * 4 / pow(2.0, b - 1)) as int)) || '/' || (d * 8 + cast(floor(n_channels * 4 / pow(2.0, d - 1)) as int)) as bucket from k)
 select item, n_rows, n_channels, bucket, cast(floor((row_number() over (partition by bucket order by n_rows * n_channels, item) - 1)
     / greatest(1, floor(20000 / (max(n_rows) over (partition by bucket) * max(n_channels) over (partition by bucket))))) as bigint) as batch from c"""
+_VARIANTS = {
+    "subtle": (2, "value + 1.8 * scale"), "noisy": (3, "held + 0.02 * scale * noise"), "stuck": (3, "extreme + 0.03 * scale * noise"), "linear": (4, "value + 4 * scale * ramp"),
+    "worn": (4, "value + 2 * scale * ramp * ramp + 1.6 * scale * ramp * noise"), "ramped": (5, "value + 2 * scale * (0.2 + 0.8 * ramp) * noise"), "collapse": (5, "earlier + (value - middle) * 0.07"),
+}
+_PARTS = " union all ".join(f"select '{v}' as variant, {i} as id, series_id, row_idx, value, scale, hit, case when hit then {new} else value end as new from m" for v, (i, new) in _VARIANTS.items())
+ORACLE["inject_variants"] = f"""with {DAYS}, {scaled("days", "series_id")}, k as (select series_id, max(value) filter (row_idx = 100) as held, quantile_cont(value, 0.95) as extreme,
+    median(value) filter (row_idx >= 100 and row_idx < 140) as middle, median(value) filter (row_idx >= 60 and row_idx < 100) as earlier from days group by 1),
+m as (select z.series_id, row_idx, value, scale, held, extreme, middle, earlier, row_idx >= 100 and row_idx < 140 as hit, (row_idx - 100) / 39 as ramp, 2 * sin(row_idx * 12.9898) as noise from z join k on k.series_id = z.series_id),
+n as ({_PARTS}), e as (select variant, series_id, coalesce(avg(case when hit then abs(new - value) / scale end) >= 0.3, false) as ok from n group by 1, 2)
+select n.variant, n.series_id, row_idx, {r6("case when hit and ok then new else value end")} as value, case when hit and ok then 1 else 0 end as label, case when hit and ok then id else 0 end as type
+from n join e on e.variant = n.variant and e.series_id = n.series_id"""
+_WIDE = """wide as (select series_id, row_idx, unnest([0, 1]) as channel, unnest([case when row_idx % 90 >= 60 and row_idx % 90 < 72 then value * 3 else cast(value as double) end, value + row_idx % 5]) as value from days)"""
+ORACLE["inject_inverted"] = f"""with {DAYS}, {_WIDE}, {scaled("wide", "series_id, channel")},
+r as (select a.series_id, corr(a.value, b.value) as r from wide a join wide b on a.series_id = b.series_id and a.row_idx = b.row_idx and a.channel = 0 and b.channel = 1 group by 1),
+k as (select series_id, channel, median(value) as middle from wide where row_idx >= 100 and row_idx < 140 group by 1, 2),
+m as (select a.series_id, a.row_idx, a.channel, a.value, a.scale, a.row_idx >= 100 and a.row_idx < 140 as hit, case when abs(r) >= 0.5 then k.middle - (b.value - l.middle) * a.scale / b.scale else a.value end as new
+    from z a join z b on b.series_id = a.series_id and b.row_idx = a.row_idx and b.channel = 1 - a.channel join r on r.series_id = a.series_id
+    join k on k.series_id = a.series_id and k.channel = a.channel join k l on l.series_id = a.series_id and l.channel = b.channel),
+e as (select series_id, channel, coalesce(avg(case when hit then abs(new - value) / scale end) >= 0.3, false) as ok from m group by 1, 2)
+select m.series_id, row_idx, m.channel, {r6("case when hit and ok then new else value end")} as value, case when hit and ok then 1 else 0 end as label, case when hit and ok then 7 else 0 end as type
+from m join e on e.series_id = m.series_id and e.channel = m.channel"""
+ORACLE["cell_context_fix"] = f"""with {EV}, c as (select series_id, row_idx, unnest([0, 1]) as channel, unnest([label, case when event_id % 3 = 0 then label else 0 end]) as label from ev),
+rl as (select series_id, row_idx, case when max(case when label = 1 then 1 else 0 end) = 1 then 1 when min(case when label = 0 then 1 else 0 end) = 1 then 0 else -1 end as label from c group by 1, 2),
+g as (select *, row_idx - row_number() over (partition by series_id, label order by row_idx) as run from rl),
+cut as (select series_id, row_idx, case when label = 1 and row_number() over (partition by series_id, label, run order by row_idx) > 2 then -1 else label end as label from g),
+fixed as (select series_id, row_idx, case when label = 1 and sum(case when label = 0 then 1 else 0 end) over (partition by series_id order by row_idx) < least(6, floor(count(*) over (partition by series_id) / 10)) then -1 else label end as label from cut)
+select c.series_id, c.row_idx, channel, case when f.label = -1 and c.label = 1 then -1 else c.label end as label from c join fixed f on f.series_id = c.series_id and f.row_idx = c.row_idx"""
+ORACLE["parsed_times"] = f"""with {EV} select event_id, {r6("case when series_id % 2 = 0 then round(t * 1000) / 1000 else floor(t) end")} as timestamp from ev"""
+ORACLE["real_event_table"] = f"""with {_STATS} select case series_id when 'A' then 'lead' else 'kelmarsh' end as source, count(*) as events, {r6("median(duration)")} as duration, {r6("median(amplitude)")} as amplitude, {r6("median(onset)")} as onset,
+{r6("median(affected_share)")} as affected_share, {r6("avg(coalesce(variance_ratio < 0.5, false)::int)")} as calms, {r6("avg(persists::int)")} as persists from stats where series_id in ('A', 'R') group by 1"""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -739,3 +740,48 @@ def batches_by_size(spark, sf):
     """Orders in batches whose padded size is within a budget."""
     items = T.table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("item")).agg(F.sum("l_quantity").cast("long").alias("n_rows"), F.count("*").alias("n_channels"))
     return sampling.bucketed(items, "n_rows", "n_channels", 20_000)
+
+
+@query
+def inject_variants(spark, sf):
+    """The further forms of faults, put in the same rows of daily series."""
+    cells = T.daily_series(spark, sf)
+    noise = 2 * F.sin(F.col("row_idx") * 12.9898)
+    parts = [
+        inject.inject(cells, kind, F.lit(100), F.lit(140), 4.0, variant, noise).select(F.lit(variant).alias("variant"), "series_id", "row_idx", r6("value"), "label", "type")
+        for kind, variants in inject.VARIANTS.items() for variant in variants if variant != "inverted"
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query
+def inject_inverted(spark, sf):
+    """A channel that follows its partner upside down for a while."""
+    return inject.inject(_wide_events(spark, sf), "correlation_break", F.lit(100), F.lit(140), 4.0, "inverted").select("series_id", "row_idx", "channel", r6("value"), "label", "type")
+
+
+@query
+def cell_context_fix(spark, sf):
+    """The context rule on cells of two channels: decided by row, done to anomalous cells."""
+    rows = T.event_series(spark, sf)
+    both = F.array(F.col("label"), F.when(F.col("event_id") % 3 == 0, F.col("label")).otherwise(0))
+    cells = rows.select("series_id", "row_idx", F.posexplode(both).alias("channel", "label"))
+    return runs.context_fix_cells(cells, onset=2, most=6).select("series_id", "row_idx", "channel", "label")
+
+
+@query
+def parsed_times(spark, sf):
+    """Series timed in seconds or milliseconds, told apart by their typical time."""
+    rows = T.event_series(spark, sf)
+    t = F.when(F.col("series_id") % 2 == 0, F.round(F.col("timestamp") * 1000)).otherwise(F.floor("timestamp"))
+    return reshape.unix_times(rows.withColumn("timestamp", t.cast("double"))).select("event_id", r6("timestamp"))
+
+
+@query
+def real_event_table(spark, sf):
+    """Measures of events by source, of those series whose labels may be learned from."""
+    cells = _wide_events(spark, sf)
+    source = F.when(F.col("series_id") == "A", "lead").when(F.col("series_id") == "R", "kelmarsh").otherwise("hai")
+    catalog = cells.select("series_id").distinct().select("series_id", source.alias("source"), F.lit(False).alias("unlabeled"), F.lit("row").alias("label_level"))
+    table = events.by_source(events.real_events(cells, catalog))
+    return table.select("source", "events", *(r6(c) for c in ("duration", "amplitude", "onset", "affected_share", "calms", "persists")))

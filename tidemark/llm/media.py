@@ -16,6 +16,7 @@ import hashlib
 import html
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 from html.parser import HTMLParser
 
 import numpy as np
@@ -29,24 +30,39 @@ from .common import bounded_batches, texts, written
 WIDTH = 64
 #: How a reference names its payload.
 SCHEME = "sha256:"
-#: Elements whose text isn't shown, and those that end a run of text.
-HIDDEN = frozenset(("script", "style", "template", "noscript", "head"))
+#: Elements whose text isn't shown, those that may be in a head, those that end a run of text, and those that
+#: refer to media.
+HIDDEN = frozenset(("script", "style", "template", "noscript", "title"))
+HEAD = HIDDEN | {"head", "html", "base", "link", "meta"}
 BLOCKS = frozenset(("p", "div", "li", "ul", "ol", "h1", "h2", "h3", "h4", "h5", "h6", "article", "section", "figure", "figcaption", "table", "tr", "td", "th", "br", "nav", "blockquote", "pre", "body"))
 MEDIA = frozenset(("img", "audio", "video", "source", "embed"))
 
 SEQUENCE = "array<struct<position:int, kind:string, text:string, ref:string, caption:string>>"
 
 
+@dataclass
+class Figure:
+    """An open figure: its own media, those of figures in it left out, and the words of its caption, if any."""
+
+    media: list[dict] = field(default_factory=list)
+    caption: list[str] | None = None
+    open: bool = False
+
+
 class Sequencer(HTMLParser):
-    """Collects the ordered text and media-reference structs of a page."""
+    """Collects the ordered text and media-reference structs of a page.
+
+    Tags that may be left out are taken as given: a head ends at the first text or element that can't be in it, a caption
+    with its figure, and figures with the page. A caption may come before or after its media.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.items: list[dict] = []
         self.run: list[str] = []
         self.hidden: list[str] = []
-        self.caption: list[str] | None = None
-        self.figure = 0
+        self.head = False
+        self.figures: list[Figure] = []
 
     def flush(self) -> None:
         text = " ".join("".join(self.run).split())
@@ -54,47 +70,71 @@ class Sequencer(HTMLParser):
         if text:
             self.items.append({"kind": "text", "text": text, "ref": None, "caption": None})
 
+    def end_figure(self) -> None:
+        figure = self.figures.pop()
+        if figure.caption is not None:
+            text = " ".join("".join(figure.caption).split())
+            for item in figure.media:
+                item["caption"] = text
+
+    def in_caption(self) -> bool:
+        return bool(self.figures) and self.figures[-1].open
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if self.hidden or tag in HIDDEN:
             if tag in HIDDEN:
                 self.hidden.append(tag)
             return
+        self.head = tag == "head" or self.head and tag in HEAD
         if tag in BLOCKS or tag in MEDIA:
             self.flush()
+            if self.in_caption():
+                self.figures[-1].caption.append(" ")
         if tag == "figure":
-            self.figure = len(self.items)
-        elif tag == "figcaption":
-            self.caption = []
+            self.figures.append(Figure())
+        elif tag == "figcaption" and self.figures:
+            self.figures[-1].caption, self.figures[-1].open = self.figures[-1].caption or [], True
         elif tag in MEDIA:
             found = dict(attrs)
             if found.get("src"):
                 self.items.append({"kind": "media", "text": None, "ref": found["src"], "caption": found.get("alt")})
+                if self.figures:
+                    self.figures[-1].media.append(self.items[-1])
 
     def handle_endtag(self, tag: str) -> None:
         if self.hidden:
             if tag in self.hidden:
                 del self.hidden[self.hidden.index(tag) :]
             return
-        if tag == "figcaption" and self.caption is not None:
-            text = " ".join("".join(self.caption).split())
-            self.caption = None
-            for item in self.items[self.figure :]:
-                if item["kind"] == "media":
-                    item["caption"] = text
+        if tag == "head":
+            self.head = False
         if tag in BLOCKS:
             self.flush()
+            if self.in_caption():
+                self.figures[-1].caption.append(" ")
+        if tag == "figcaption" and self.figures:
+            self.figures[-1].open = False
+        elif tag == "figure" and self.figures:
+            self.end_figure()
 
     def handle_data(self, data: str) -> None:
-        if not self.hidden:
-            (self.run if self.caption is None else self.caption).append(data)
+        if self.hidden or self.head and not data.strip():
+            return
+        self.head = False
+        (self.figures[-1].caption if self.in_caption() else self.run).append(data)
+
+    def end(self) -> None:
+        self.close()
+        self.flush()
+        while self.figures:
+            self.end_figure()
 
 
 def sequence(page: str | None) -> list[dict]:
     """The structs of one page in order, with their positions."""
     parser = Sequencer()
     parser.feed(page or "")
-    parser.close()
-    parser.flush()
+    parser.end()
     return [{"position": i, **item} for i, item in enumerate(parser.items)]
 
 

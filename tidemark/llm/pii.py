@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -98,10 +98,22 @@ def emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", follow)
 
 
-def scored(kind: str, text: str, lower: str, start: int, end: int) -> float:
-    """The score of a confirmed proposal: words of its kind nearby raise it, words of other numbers lower it."""
-    near = lower[max(0, start - CONTEXT) : end + CONTEXT]
-    return round(SCORES[kind] + BOOST * any(word in near for word in WORDS[kind]) - PENALTY * any(word in near for word in OTHERS), 6)
+def _whole(words: tuple[str, ...]) -> Callable[[str], Iterator[re.Match]]:
+    return re.compile(rf"(?<![a-z0-9])(?:{'|'.join(map(re.escape, words))})(?![a-z0-9])").finditer
+
+
+_NEAR = {kind: _whole(words) for kind, words in WORDS.items()}
+_OTHER = _whole(OTHERS)
+
+
+def scored(kind: str, text: str, start: int, end: int) -> float:
+    """The score of a confirmed proposal: words of its kind nearby raise it, words of other numbers lower it. Whole words count
+    that lie within ``CONTEXT`` code points; one more on either side shows whether they are whole."""
+    low, high = max(0, start - CONTEXT - 1), min(len(text), end + CONTEXT + 1)
+    near = text[low:high].lower()
+    begin, stop = max(0, start - CONTEXT) - low, len(near) - (high - min(len(text), end + CONTEXT))
+    has = lambda found: any(m.start() >= begin and m.end() <= stop for m in found(near))
+    return round(SCORES[kind] + BOOST * has(_NEAR[kind]) - PENALTY * has(_OTHER), 6)
 
 
 def spans(text: str) -> list[tuple[int, str, int]]:
@@ -120,8 +132,7 @@ def spans(text: str) -> list[tuple[int, str, int]]:
     if "-" in text:
         more += [(5, m) for m in _SSN(text)]
     if more:
-        lower = text.lower() if len(text.lower()) == len(text) else text
-        found += [(m.start(), kind, m.end()) for kind, m in more if scored(KINDS[kind], text, lower, m.start(), m.end()) >= MIN_SCORE]
+        found += [(m.start(), kind, m.end()) for kind, m in more if scored(KINDS[kind], text, m.start(), m.end()) >= MIN_SCORE]
     return [(a, KINDS[kind], b) for a, kind, b in sorted(found)]
 
 

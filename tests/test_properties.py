@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tidemark.operators import generate, metrics, runs, scoring, series
+from tidemark.operators import generate, metrics, runs, series, windows
 
 
 @pytest.fixture(scope="module")
@@ -112,7 +112,7 @@ def test_fill_leaves_no_gaps(spark):
 @given(st.lists(st.floats(-1e6, 1e6), min_size=3, max_size=60))
 def test_scaling_is_bounded_and_centred(xs):
     x = np.array(xs)[:, None]
-    z = scoring.scaled_by(x, x)
+    z = windows.scaled_by(x, x)
     assert np.isfinite(z).all() and np.abs(z).max() <= 50 and (np.median(z) == pytest.approx(0, abs=1e-6) or len(xs) % 2 == 0)
 
 

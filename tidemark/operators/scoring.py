@@ -130,8 +130,8 @@ def fold_windows(x: np.ndarray, size: int, stride: int, threshold: float, t: np.
     reference = None
     for s in starts:
         part = windows.filled(x[s : s + size])
-        centre, scale = windows.centre_and_scale(part if reference is None else reference)
-        p = np.asarray(scorer(windows.batch_of([(np.clip((part - centre) / scale, -50, 50), t[s : s + size])]))[0], float)
+        z = windows.scaled_by(part, part if reference is None else reference)
+        p = np.asarray(scorer(windows.batch_of([(z, t[s : s + size])]))[0], float)
         w = windows.weights(len(part))[:, None]
         total[s : s + size] += p * w
         weight[s : s + size] += w

@@ -57,6 +57,12 @@ def centre_and_scale(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return centre, np.where(mad > 1e-8, mad, np.where(deviation > 1e-8, deviation, 1.0))
 
 
+def scaled_by(x: np.ndarray, reference: np.ndarray) -> np.ndarray:
+    """``x`` in robust units of ``reference``; columns are channels."""
+    centre, scale = centre_and_scale(reference)
+    return np.clip((x - centre) / scale, -50, 50)
+
+
 def steps(t: np.ndarray) -> np.ndarray:
     """Log of one plus the step to the row before over the median step; 0 at first."""
     d = np.diff(t)

@@ -144,9 +144,9 @@ class Fold:
 
     def _score(self, start: int, rows: int) -> None:
         part = windows.filled(self.x[start : start + rows])
-        centre, scale = windows.centre_and_scale(part if self.reference is None else self.reference)
+        z = windows.scaled_by(part, part if self.reference is None else self.reference)
         seconds = np.array(self.times[start : start + rows]) / 1e6
-        p = np.asarray(self.scorer(windows.batch_of([(np.clip((part - centre) / scale, -50, 50), seconds)]))[0], float)
+        p = np.asarray(self.scorer(windows.batch_of([(z, seconds)]))[0], float)
         w = windows.weights(rows)
         self.total[start : start + rows] += p * w[:, None]
         self.weight[start : start + rows] += w

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import label_confidence
 from ..schema import MAX_T, MIN_T, UNKNOWN_WEIGHT
+from ..storage import written
 from . import labels, scans
 
 #: Factors that series are thinned by, as likely as they are often.
@@ -39,13 +40,12 @@ def weighted_draws(items: DataFrame, catalog: DataFrame, by: str, weight: Column
     draw = draw or hashed()
     known = catalog.withColumn("weight_", weight.cast("double")).where("weight_ > 0")
     line = scans.running(scans.numbered(known, (by,), ["series_id"]), {"upto_": ("sum", "weight_")}, (by,))
-    line = scans.written(line, "weights")
-    whole = line.groupBy(by).agg(F.max("upto_").alias("whole_"))
-    names = whole.select(by).withColumn("k_", F.row_number().over(Window.orderBy(by)) - 1)  # a row a value of ``by``
+    line = written(line, "weights")
+    ends = written(line.groupBy(by).agg(F.max("upto_").alias("whole_"), F.max("row_idx").alias("top_")), "ends")
+    names = ends.select(by).withColumn("k_", F.row_number().over(Window.orderBy(by)) - 1)  # a row a value of ``by``
     n = names.count()
     last = F.col("row_idx") == F.col("top_")
-    top = line.groupBy(by).agg(F.max("row_idx").alias("top_"))
-    spans = line.join(whole, by).join(top, by).withColumn("low_", (F.col("upto_") - F.col("weight_")) / F.col("whole_")).withColumn("high_", F.when(last, 1.0).otherwise(F.col("upto_") / F.col("whole_")))
+    spans = line.join(ends, by).withColumn("low_", (F.col("upto_") - F.col("weight_")) / F.col("whole_")).withColumn("high_", F.when(last, 1.0).otherwise(F.col("upto_") / F.col("whole_")))
     # The next one begins where this one ends, to the bit.
     begins = scans.previous(spans, ["high_"], (by,)).withColumn("low_", F.coalesce("previous_high_", F.lit(0.0))).where("low_ < high_")
     parts = F.sequence(F.floor(F.col("low_") * CELLS_OF_LINE), F.least(F.floor(F.col("high_") * CELLS_OF_LINE), F.lit(CELLS_OF_LINE - 1).cast("long")))
@@ -93,7 +93,7 @@ def training_windows(cells: DataFrame, drawn: DataFrame, draw: Draw | None = Non
     cut = cut.withColumn("step_", step).where(F.col("mean_") | ((F.col("row_idx") - F.col("from_")) % F.col("factor") == 0))
     label = F.when(F.max((F.col("label") == 1).cast("int")) == 1, 1).when(F.min((F.col("label") == 0).cast("int")) == 1, 0).otherwise(-1)
     made = cut.groupBy("item", "series_id", "step_", "channel").agg(F.min("timestamp").alias("timestamp"), F.avg("value").alias("value"), label.alias("label"), *(F.first(c).alias(c) for c in ("label_level", "confidence", "channels", "n_channels")))
-    made = scans.written(made.withColumnRenamed("step_", "row_idx"), "windows")
+    made = written(made.withColumnRenamed("step_", "row_idx"), "windows")
     kept = labels.without_dense(labels.usable_channels(made, ("item",)), keys=("item",))
     whole = F.col("channels") >= F.col("n_channels")
     row = Window.partitionBy("item", "row_idx")
@@ -130,7 +130,8 @@ def bucketed(items: DataFrame, rows: str, channels: str, budget: int, order: str
         raise ValueError("a batch holds something")
     known = items.withColumn("bucket", F.concat_ws("/", size_class(rows), size_class(channels)))
     most = known.groupBy("bucket").agg(F.max(rows).alias("r_"), F.max(channels).alias("c_"))
-    fits = most.select("bucket", F.greatest(F.lit(1), F.floor(F.lit(budget) / (F.col("r_") * F.col("c_")))).alias("fits_"))
+    # Written, so that a bucket of many items can be split where it meets its one row.
+    fits = written(most.select("bucket", F.greatest(F.lit(1), F.floor(F.lit(budget) / (F.col("r_") * F.col("c_")))).alias("fits_")), "fits")
     numbered = scans.numbered(known.withColumn("size_", F.col(rows) * F.col(channels)), ("bucket",), ["size_", order])
     return numbered.join(fits, "bucket").withColumn("batch", F.floor(F.col("row_idx") / F.col("fits_"))).drop("row_idx", "size_", "fits_")
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import UNKNOWN_WEIGHT
+from . import scans
 
 #: Sources whose labels may be learned from, with the patterns that a series' id must all match.
 LEARNED = {
@@ -89,10 +90,12 @@ def calibration_split(catalog: DataFrame) -> DataFrame:
 
 
 def budget(catalog: DataFrame, by: str, size: str, order: list[Column], most: int) -> DataFrame:
-    """Rows of each group in ``order`` while their running ``size`` stays within ``most``; the first always stays."""
-    w = Window.partitionBy(by).orderBy(*order)
-    run = catalog.withColumn("running", F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("place", F.row_number().over(w))
-    return run.where((F.col("running") <= most) | (F.col("place") == 1)).drop("place")
+    """Rows of each group in ``order``, which ends in a tie-break, while their ``running`` size stays within ``most``; the first always
+    stays. Few groups may hold all rows: they are numbered by ranges and added up in blocks. Rows without a group go."""
+    names = [f"order_{i}_" for i in range(len(order))]
+    placed = scans.numbered(catalog.withColumns(dict(zip(names, order, strict=True))), (by,), names)
+    run = scans.running(placed, {"running": ("sum", size)}, (by,))
+    return run.where((F.col("running") <= most) | (F.col("row_idx") == 0)).drop("row_idx", *names)
 
 
 def crop(rows: DataFrame, most: int) -> DataFrame:
@@ -132,13 +135,16 @@ def without_dense(windows: DataFrame, referenced: Column | None = None, keys: tu
     return windows.join(dense.select(*keys), list(keys), "left_anti")
 
 
-def weighted_pick(catalog: DataFrame, by: str, weight: Column, drawn: Column, k: int) -> DataFrame:
+def weighted_pick(catalog: DataFrame, by: str, weight: Column, drawn: Column, k: int, parts: int = 64) -> DataFrame:
     """``k`` rows of each group of ``by`` without replacement, likelier by ``weight``: those with the least
     ``-ln(drawn) / weight``; ``drawn`` is a row's own number above 0 and up to 1. Rows without a weight above 0 are never picked.
-    A catalogue has one row a series, which a window can hold."""
+    The least ``k`` of each of ``parts`` parts of a group are found first, the least of these after."""
     some = catalog.withColumn("weight_", weight).where("weight_ > 0").withColumn("turn_", -F.log(drawn) / F.col("weight_"))
-    place = F.row_number().over(Window.partitionBy(by).orderBy("turn_", "series_id"))
-    return some.withColumn("turn_", place).where(F.col("turn_") <= k).drop("weight_", "turn_")
+    some = some.withColumn("part_", F.pmod(F.xxhash64("series_id"), F.lit(parts)))
+    for keys in ((by, "part_"), (by,)):
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy("turn_", "series_id"))
+        some = some.withColumn("place_", place).where(F.col("place_") <= k)
+    return some.drop("weight_", "turn_", "part_", "place_")
 
 
 def thinned(cells: DataFrame, share: float, drawn: Column | None = None) -> DataFrame:

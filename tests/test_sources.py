@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from tidemark.operators import label_rules
+from tidemark.schema import CATALOG
 from tidemark.sources import raw
 
 
@@ -28,6 +29,7 @@ def test_wide_rows(spark, tmp_path):
     row = catalog.first()
     assert (row["series_id"], row["n_rows"], row["n_channels"], row["step_s"], row["benchmark"], row["channel_names"]) == ("valve1/0", 3, 2, 1.0, "SKAB benchmark", "P|T")
     assert row["anomaly_row_ratio"] == pytest.approx(1 / 3) and not row["unlabeled"] and row["label_confidence"] == 1.0
+    assert (row["license"], row["file"]) == ("AGPL-3.0", "source=skab") and catalog.columns == [c.split()[0] for c in CATALOG.split(", ")]
 
 
 def test_farms_with_event_windows(spark, tmp_path):

@@ -27,6 +27,16 @@ from .files import file_order, row_numbers_in_file
 WEAK = ("cmapss", "ims_bearing", "femto")
 PREDICTIVE = ("care", "care_c")
 BENCHMARK = {"nab": "TSB-AD-U", "smap": "TSB-AD-M", "msl": "TSB-AD-M", "smd": "TSB-AD-M", "skab": "SKAB benchmark", "ucr": "UCR Anomaly Archive", "psm": "TSB-AD-M"}
+#: The licences that sources state; ``unclear`` where they state none.
+LICENSES = {
+    "skab": "AGPL-3.0", "skab_teaser": "AGPL-3.0", "nab": "AGPL-3.0", "smap": "Apache-2.0", "msl": "Apache-2.0", "pump": "unclear", "smd": "MIT", "cnc": "CC0-1.0",
+    "wind_gearbox": "Apache-2.0", "hai": "CC-BY-SA-4.0", "metropt": "CC-BY-4.0", "cats": "CC-BY-4.0", "tep": "CC-BY-4.0", "cmapss": "CC0-1.0", "hydraulic": "CC-BY-4.0",
+    "telecom_milan": "CC-BY", "bidmc": "ODC-BY-1.0", "mitbih": "ODC-BY-1.0", "batadal": "unclear", "ved": "Apache-2.0", "stocks": "CC0-1.0", "esa": "CC-BY-4.0",
+    "bosch_cnc": "CC-BY-4.0", "lbnl": "CC-BY-4.0", "ims_bearing": "public domain", "bgl": "unclear", "binance": "unclear", "ucr": "academic", "psm": "MIT", "damadics": "academic",
+    "asd": "MIT", "uci": "CC-BY-4.0", "femto": "academic", "kantine": "Apache-2.0", "lead": "CC-BY-4.0", "w3": "CC-BY-4.0", "esa_full": "CC-BY-4.0", "esa2": "CC-BY-4.0",
+    "care": "CC-BY-SA-4.0", "care_c": "CC-BY-SA-4.0", "refit": "CC-BY-4.0", "msft": "MIT", "ctf": "unclear", "kelmarsh": "CC-BY-4.0", "penmanshiel": "CC-BY-4.0",
+    "battledim": "CC-BY-4.0", "opssat": "CC-BY-4.0", "alfa": "CC0-1.0", "road": "CC-BY-4.0", "pvfault": "Apache-2.0",
+}
 #: Start of made-up time axes: 2020-01-01.
 EPOCH = 1_577_836_800.0
 
@@ -50,6 +60,11 @@ def folder_name() -> Column:
     return F.regexp_extract(F.input_file_name(), r"([^/]+)/[^/]+$", 1)
 
 
+def pool_folder(source: str) -> str:
+    """Where ``write_pool`` puts a source's cells, within the pool."""
+    return f"source={source}"
+
+
 def canonical(rows: DataFrame, source: str, sector: str, channels: list[str], level: str = "row", synthetic: bool = False, quality: str | None = None, confidence: float | None = None, note: str = "") -> Loaded:
     """``rows`` (``series_id, timestamp, label``, the channels, and ``order`` to break ties) as cells and catalog rows.
 
@@ -74,8 +89,8 @@ def canonical(rows: DataFrame, source: str, sector: str, channels: list[str], le
     benchmark = BENCHMARK.get(source)
     catalog = counted.select(
         "series_id", F.lit(source).alias("source"), F.lit(sector).alias("sector"), "n_rows", F.lit(len(channels)).alias("n_channels"), "step_s", F.lit(level).alias("label_level"), "anomaly_row_ratio",
-        "unlabeled", F.lit(synthetic).alias("synthetic_time"), F.lit(benchmark).cast("string").alias("benchmark"), F.lit("|".join(channels)).alias("channel_names"), F.lit(float(trust)).alias("label_confidence"),
-        F.lit(q).alias("label_quality"), F.lit(note).alias("note"),
+        "unlabeled", F.lit(synthetic).alias("synthetic_time"), F.lit(benchmark).cast("string").alias("benchmark"), F.lit(LICENSES.get(source, "")).alias("license"), F.lit("|".join(channels)).alias("channel_names"), F.lit(float(trust)).alias("label_confidence"),
+        F.lit(q).alias("label_quality"), F.lit(note).alias("note"), F.lit(pool_folder(source)).alias("file"),
     )
     return cells, catalog
 
@@ -794,7 +809,7 @@ def part_of(load: Callable[[SparkSession, str], Loaded], source: str, group: Cal
         out = labels.holdout_ids(catalog.select(group().alias("part")), "part", share)
         how = "left_semi" if held else "left_anti"
         cells, catalog = (t.withColumn("part", group()).join(out, "part", how).select(*t.columns) for t in (cells, catalog))
-        return cells, catalog.withColumn("source", F.lit(source))
+        return cells, catalog.withColumn("source", F.lit(source)).withColumn("file", F.lit(pool_folder(source)))
 
     return load_part
 

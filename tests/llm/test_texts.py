@@ -5,8 +5,10 @@ import hashlib
 import random
 import re
 import struct
+import textwrap
 import zlib
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -605,6 +607,52 @@ limitations under the License."""
     assert sorted(got) == [(0, "BSD-3-Clause", 4), (0, "MIT", 1)]
 
 
+def test_licences_in_headings_tags_and_plain_words(spark):
+    texts = {
+        "SPDX-License-Identifier: MIT OR Apache-2.0": ["MIT", "Apache-2.0"],
+        "/* SPDX-License-Identifier: (GPL-2.0-only WITH Classpath-exception-2.0 AND BSD-3-Clause OR MIT) */": ["GPL-2.0-only", "BSD-3-Clause", "MIT"],
+        "License: MIT": ["MIT"],
+        "MIT License\n\nCopyright (c) 2020 A. Name": ["MIT"],
+        "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright": ["GPL-3.0-only"],
+        "                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/": ["Apache-2.0"],
+        "This product is licensed under the MIT License.": ["MIT"],
+        "This project is licensed under the terms of the MIT license.": ["MIT"],
+        "MIT or Apache-2.0 license": [],
+    }
+    got = {}
+    for r in licenses.scan(frame(spark, list(texts))).orderBy("sentence").collect():
+        got.setdefault(r["doc_id"], []).append(r["license"])
+    assert [got.get(i, []) for i in range(len(texts))] == list(texts.values())
+
+
+def test_licence_rules_need_their_sentences_in_order(spark):
+    grant, notice = next(p for name, p in licenses.RULES if name == "MIT")
+    a, b, c, d = next(p for name, p in licenses.RULES if name == "BSD-3-Clause")
+    texts = [f"{grant}\n\n{notice}.", f"{notice}.\n\n{grant}", f"{grant}\n\nOther words.\n\n{notice}.", f"{a}\n1.\n{b}.\n2.\n{c}.\n{d}.", f"{a}\n{c}.\n{b}."]
+    got = sorted((r["doc_id"], r["license"], r["n_sentences"]) for r in licenses.scan(frame(spark, texts)).collect())
+    assert got == [(0, "MIT", 2), (3, "BSD-3-Clause", 4)]
+
+
+def test_licence_sql_on_wrapped_and_commented_texts(spark):
+    rules = licenses.all_rules()
+    texts = ["Released under the MIT License", "# SPDX-License-Identifier: MIT OR Zlib\n# More"]
+    for k in range(0, len(rules), 40):
+        whole = ". ".join(rules[k][1]) + "."
+        wrapped = textwrap.wrap(whole, 60)
+        texts += [whole, "\n".join(wrapped), "\n".join(f" * {x}" for x in wrapped), "1.\n" + "\n2) ".join(rules[k][1]), "Intro\n" + "\n".join(whole.split())]
+    docs = frame(spark, [None, "", *texts, "\n".join(texts)])
+    with duckdb.connect() as db:
+        db.register("documents", docs.select("doc_id", "text").toPandas())
+        want = db.execute(licenses.scan_sql()).fetchall()
+    got = [tuple(r) for r in licenses.scan(docs).select("doc_id", "sentence", "n_sentences", "rule", "license").collect()]
+    assert sorted(got) == sorted(want) and len(got) > len(texts)
+
+
+def test_a_text_of_many_licence_lines(spark):
+    got = licenses.scan(frame(spark, ["Licensed under the Apache License, Version 2.0.\n" * 20_000])).groupBy("license").count().collect()
+    assert [tuple(r) for r in got] == [("Apache-2.0", 20_000)]
+
+
 # media
 
 

@@ -366,6 +366,36 @@ def test_repeats_around_a_frequent_line(spark):
     same_firsts(frame(spark, texts), texts)
 
 
+@pytest.mark.parametrize("ranges", [1, 60])
+def test_matches_across_ranges(spark, ranges):
+    """Suffixes with the same words after them, before them or both, over many more ranges than a bucket needs."""
+    rng = random.Random(ranges)
+    core = [f"c{i}" for i in range(60)]
+    texts = []
+    for i in range(90):
+        before, after = ([f"{side}{rng.randrange(3)}.{k}" for k in range(45)] for side in "ba")
+        for words in (before, after):
+            if rng.random() < 0.7:  # words that differ somewhere
+                words[rng.randrange(45)] = f"x{i % 7}"
+        middle = core[: rng.choice([12, 30, 60])] if rng.random() < 0.8 else core[20:45]
+        texts.append(" ".join(before + middle + after))
+    texts += texts[:5]
+    held = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(ranges))
+    try:
+        got = {(r["doc_id"], i, r["first_doc_id"]) for r in suffix.repeats(frame(spark, texts)).collect() for i in range(r["start"], r["stop"] - 49)}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", held)
+    where = {}
+    for d, text in enumerate(texts):
+        words = text.split()
+        for i in range(len(words) - 49):
+            where.setdefault(tuple(words[i : i + 50]), []).append((d, i))
+    want = {(d, i, min(at)[0]) for at in where.values() if len({d for d, _ in at}) > 1 for d, i in at}
+    # Spans of one first document that touch are one, so that they may hold further windows.
+    assert want <= got and all(any((d, j, f) in want for j in range(i - 49, i + 50)) for d, i, f in got)
+
+
 def test_clashing_columns_and_repeated_rows_of_cut_texts(spark, empty):
     rng = random.Random(16)
     shared = " ".join(f"v{rng.randint(0, 10**9)}" for _ in range(60))

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, texts, written
+from .common import bounded_batches, frugal, texts, written
 from .components import components
 
 #: Words in a shingle; slots of a signature; slots in a band.
@@ -92,7 +92,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 rows.append((doc, len(s), xxhash.xxh3_128_digest(s.tobytes()), bands(s) if len(s) else []))
             yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "print", "bands"])
 
-    return texts(docs).mapInPandas(run, "doc_id long, n_shingles long, print binary, bands array<long>")
+    return texts(docs).mapInPandas(frugal(run), "doc_id long, n_shingles long, print binary, bands array<long>")
 
 
 def sets(docs: DataFrame) -> DataFrame:
@@ -104,7 +104,7 @@ def sets(docs: DataFrame) -> DataFrame:
             found = [shingles(t).view(np.int64) for t in frame["text"]]
             yield pd.DataFrame({"doc_id": frame["doc_id"], "kind": [xxhash.xxh3_64_intdigest(s.tobytes()) >> 1 for s in found], "shingles": found})
 
-    return texts(docs).mapInPandas(run, "doc_id long, kind long, shingles array<long>").dropDuplicates(["doc_id", "kind"])
+    return texts(docs).mapInPandas(frugal(run), "doc_id long, kind long, shingles array<long>").dropDuplicates(["doc_id", "kind"])
 
 
 def overlaps(pairs: DataFrame, full: DataFrame) -> DataFrame:

@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BATCH_ROWS, bounded_batches, texts, written
+from .common import BATCH_ROWS, bounded_batches, frugal, texts, written
 
 #: Least words of a repeated passage, words of a gram.
 WORDS = 50
@@ -127,7 +127,7 @@ def suffixes(docs: DataFrame) -> DataFrame:
             columns = [batch.column("doc_id").take(pa.array(doc[first])), pa.array(gram[first]), pa.array(key[first]), begins, pa.array(count[first], pa.int32())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "gram", "run", "begins", "windows"])
 
-    return texts(docs).mapInArrow(run, "doc_id long, gram long, run long, begins array<int>, windows int")
+    return texts(docs).mapInArrow(frugal(run), "doc_id long, gram long, run long, begins array<int>, windows int")
 
 
 def contexts(docs: DataFrame, kinds: DataFrame) -> DataFrame:
@@ -156,7 +156,7 @@ def contexts(docs: DataFrame, kinds: DataFrame) -> DataFrame:
                     rows.append((gram[k], key[k], places[k]["low"], places[k]["high"], words[at : stop[k]].tobytes(), words[begin[k] : at][::-1].tobytes()))
             yield pd.DataFrame(rows, columns=["gram", "run", "low", "high", "after", "before"])
 
-    return joined.mapInPandas(run, "gram long, run long, low long, high long, after binary, before binary")
+    return joined.mapInPandas(frugal(run), "gram long, run long, low long, high long, after binary, before binary")
 
 
 def common_words(bucket: np.ndarray, words: np.ndarray, begin: np.ndarray) -> np.ndarray:
@@ -234,7 +234,7 @@ def ordered(items: DataFrame, words: str, needs: np.ndarray, keep: str, ranges:
         empty[len(names)], empty[len(names) + 1] = pa.array([part], pa.int32()), pa.array([edge], kind)
         yield pa.RecordBatch.from_arrays(empty, names=table.schema.names)
 
-    return by_words.mapInArrow(run, schema)
+    return by_words.mapInArrow(frugal(run), schema)
 
 
 def carried(order: DataFrame, needs: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -312,7 +312,7 @@ def matches(items: DataFrame, ranges: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*kept.columns, *lists], names=[*kept.schema.names, "after_starts", "after_begins", "after_ends"])
 
     lists = "after_starts array<int>, after_begins array<long>, after_ends array<long>"
-    resolved = right.where("edge is null").drop("edge").mapInArrow(resolve, f"{keep}, before binary, {lists}")
+    resolved = right.where("edge is null").drop("edge").mapInArrow(frugal(resolve), f"{keep}, before binary, {lists}")
     left = written(ordered(resolved, "before", before_needs, f"{keep}, {lists}", ranges), "by-words-before")
     carry_left = carried(left, before_needs)
 
@@ -334,7 +334,7 @@ def matches(items: DataFrame, ranges: int) -> DataFrame:
             columns = [batch.column("gram").to_numpy()[at], batch.column("run").to_numpy()[at], most[at] - o[final], most[at] - o[first], low[at], high[at], *(x[first] for x in (*after, *before))]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=_MATCH)
 
-    return left.where("edge is null").drop("edge").mapInArrow(combine, ", ".join(f"{n} long" for n in _MATCH))
+    return left.where("edge is null").drop("edge").mapInArrow(frugal(combine), ", ".join(f"{n} long" for n in _MATCH))
 
 
 _CLASS = ["after_begin", "after_end", "before_begin", "before_end"]
@@ -395,7 +395,7 @@ def repeats(docs: DataFrame) -> DataFrame:
                 rows += [(doc, a, b, b - a, first, doc != first) for first, own in by_first.items() for a, b in merged(own)]
             yield pd.DataFrame(rows, columns=["doc_id", "start", "stop", "n_words", "first_doc_id", "repeat"])
 
-    return lists.mapInPandas(run, "doc_id long, start long, stop long, n_words long, first_doc_id long, repeat boolean")
+    return lists.mapInPandas(frugal(run), "doc_id long, start long, stop long, n_words long, first_doc_id long, repeat boolean")
 
 
 def cut(text: str, spans: list[tuple[int, int]]) -> str:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import columns as C
-from tidemark.operators import events, generate, inject, labels, metrics, reshape, runs, scoring, series
+from tidemark.operators import events, generate, inject, label_rules, labels, metrics, reshape, runs, scoring, series
 from tidemark.plans import queries
 from tidemark.schema import BUFFERS
 from tidemark.sources import tables
@@ -419,3 +419,9 @@ def test_fault_variants_are_checked(spark):
         inject.inject(made, "normal", F.lit(3), F.lit(5), 3.0)
     one, two = (inject.inject(made.repartition(k), "noise_burst", F.lit(20), F.lit(40), 6.0, "ramped") for k in (1, 5))
     assert column(one, "value") == column(two, "value") and sum(column(one, "label")) == 20
+
+
+@pytest.mark.parametrize(("n", "share", "first"), [(90, 0.7, 63), (170, 0.7, 119), (10, 0.7, 7), (66, 0.7, 46), (3, 1 / 3, 1)])
+def test_unknown_share_is_counted_in_whole_rows(spark, n, share, first):
+    made = label_rules.half_known(labelled(spark, [0] * n), share).where("label = 0").agg(F.min("row_idx")).first()[0]
+    assert made == first

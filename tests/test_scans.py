@@ -6,7 +6,11 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from oracle import connect, same
 from tidemark.operators import runs, scans, selection, series
+from tidemark.plans.oracles import ORACLE
+from tidemark.plans.queries import QUERIES
+from tidemark.sources import tables
 
 KEYS = ("series_id",)
 
@@ -105,3 +109,24 @@ def test_one_hot_channel_is_spread(spark):
 def test_nan_is_left_out(spark):
     cells = spark.createDataFrame([(0, 1.0), (0, float("nan")), (0, None), (0, 3.0), (1, None)], "series_id int, value double")
     assert [tuple(r) for r in selection.medians(cells, KEYS, "value").collect()] == [(0, 2.0)]
+
+
+def spread(df):
+    """Rows of each partition."""
+    return [r[0] for r in df.groupBy(F.spark_partition_id()).count().select("count").collect()]
+
+
+def test_cold_series_are_dealt_by_rows(spark, sf, monkeypatch):
+    rows = spark.read.parquet(f"{sf}/events.parquet")
+    monkeypatch.setattr(selection, "TASK_ROWS", 50)
+    made = spread(tables.event_series(spark, sf))
+    assert len(made) > 8 and sum(made) == rows.count()
+    monkeypatch.setattr(selection, "HOT_ROWS", 20)  # a series of more rows than that would be one task's
+    assert selection.dealt(rows, ("user_id",)) is rows
+    assert selection.dealt(rows, ("user_id",), fine=True) is not rows
+
+
+@pytest.mark.parametrize("name", ["inject_template", "result_frame", "detect_short_series", "vus_pr", "robust_normalize"])
+def test_dealt_rows_give_the_same_as_sql(spark, sf, monkeypatch, name):
+    monkeypatch.setattr(selection, "TASK_ROWS", 50)
+    same(spark, connect(sf), sf, QUERIES[name], ORACLE[name])

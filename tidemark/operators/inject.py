@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import TYPES
+from ..storage import written
 from . import selection
 from .series import centre_and_scale, correlated_partner
 
@@ -110,7 +111,7 @@ def from_template(cells: DataFrame, bank: DataFrame, placed: DataFrame) -> DataF
     what follows it are stretched linearly and added in units of a channel's scale; the i-th channel of a series takes the
     i-th of the template, whose places follow each other from 0. A series stays as it is, labels included, if the template doesn't end before the series
     does or the event meets rows that are labelled already, and so does a channel that the event moves by less than
-    ``LEAST_EFFECT`` spreads.
+    ``LEAST_EFFECT`` spreads. Moved cells are written, as the effect is measured on all of a series' before any is moved.
     """
     key = ["template", "template_start"]
     # A template's channel as an array: bounded by the bank's longest event.
@@ -131,9 +132,12 @@ def from_template(cells: DataFrame, bank: DataFrame, placed: DataFrame) -> DataF
     at = F.floor("x").cast("int")
     all_ = all_.withColumn("part", F.col("x") - at).withColumn("next_z", F.get("z", at + 1)).withColumn("z", F.get("z", at))
     added = (F.col("z") + F.col("part") * (F.coalesce("next_z", "z") - F.col("z"))) * F.col("scale") * F.col("gain")
+    moved = F.abs(F.col("new") - F.col("value")) / F.col("scale")
     made = all_.withColumn("new", F.col("value") + added).withColumn("hit", F.col("z").isNotNull() & (j < F.col("n_event")))
+    made = written(made.withColumn("moved", F.when(F.col("hit"), moved)).select(*every.columns, "new", "hit", "moved"), "moved")
+    made = selection.dealt(made, ("series_id",))
     effect = made.groupBy("series_id", "channel").agg(
-        F.coalesce(F.avg(F.when(F.col("hit"), F.abs(F.col("new") - F.col("value")) / F.col("scale"))) >= LEAST_EFFECT, F.lit(False)).alias("effective"),
+        F.coalesce(F.avg("moved") >= LEAST_EFFECT, F.lit(False)).alias("effective"),
         F.max(F.col("hit") & (F.col("label") == 1)).alias("met"),
     )
     busy = effect.groupBy("series_id").agg(F.coalesce(F.max("met"), F.lit(False)).alias("busy"))

@@ -20,6 +20,8 @@ from ..storage import written
 HOT_ROWS = 250_000
 #: Bins of the logarithmic scale for each doubling, and parts of a bin.
 BINS, PARTS = 32, 1024
+#: Rows that a task takes of a table whose keys are cold.
+TASK_ROWS = 100_000
 
 
 def _log_bin(x: Column) -> Column:
@@ -39,6 +41,21 @@ def hot_keys(cells: DataFrame, keys: tuple[str, ...]) -> DataFrame | None:
     return None if hot.isEmpty() else hot
 
 
+def dealt(rows: DataFrame, keys: tuple[str, ...], fine: bool = False) -> DataFrame:
+    """``rows``, of files, dealt by ``keys`` to as many tasks as leave each about ``TASK_ROWS`` of them.
+
+    Adaptive execution joins partitions until there are as few as cores, whatever a row costs in the sorts of a stage; a given
+    number stays. Windows, joins and groupings on ``keys`` then take place where the rows are. Small tables and such with hot keys
+    are left to it; ``fine`` keys, of a row a channel, are never hot.
+    """
+    spark = rows.sparkSession
+    n = -(-rows.count() // TASK_ROWS)  # from the files' footers
+    few = min(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    if n <= few or not fine and hot_keys(rows, keys) is not None:
+        return rows
+    return rows.repartition(n, *keys)
+
+
 def quantiles(cells: DataFrame, keys: tuple[str, ...], value: Column | str, probabilities: dict[str, float]) -> DataFrame:
     """``keys`` and a column for each of ``probabilities``, ``name: p``: the exact quantile with linear interpolation. Null and
     NaN are left out; a key without values is absent."""

@@ -613,9 +613,10 @@ def false_alarm_channels(spark, sf):
 @query
 def inject_template(spark, sf):
     """A real event, a quarter or half as long, in the series of events."""
-    wide = _wide_events(spark, sf)
-    bank = events.templates(wide, events.statistics(wide)).where("series_id = 'A' and start = 60").withColumn("z", r6("z"))
-    cells = T.event_series(spark, sf)
+    wide = written(_wide_events(spark, sf), "days")
+    stats = written(events.statistics(wide), "statistics")
+    bank = written(events.templates(wide, stats).where("series_id = 'A' and start = 60").withColumn("z", r6("z")), "bank")
+    cells = selection.dealt(written(T.event_series(spark, sf), "cells"), ("series_id",))
     placed = cells.select("series_id").distinct().select(
         "series_id", F.lit("A").alias("template"), F.lit(60).alias("template_start"), (5 + F.pmod("series_id", F.lit(3))).alias("start"),
         F.when(F.pmod("series_id", F.lit(2)) == 0, 0.25).otherwise(0.5).alias("stretch"), F.lit(1.5).alias("gain"),

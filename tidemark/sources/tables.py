@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import unix_seconds
 from ..operators.reshape import binned, row_numbers
 from ..operators.scans import numbered
+from ..operators.selection import dealt
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,7 +22,7 @@ def event_label() -> F.Column:
 def event_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One irregular series a user: ``series_id, row_idx, timestamp, channel, value, label, event_type, event_id``."""
     events = table(spark, sf_dir, "events").select(F.col("user_id").alias("series_id"), unix_seconds("ts").alias("timestamp"), "event_id", "event_type", "value", event_label().alias("label"), F.lit(0).alias("channel"))
-    return row_numbers(events, "series_id", "timestamp", "event_id")
+    return row_numbers(dealt(events, ("series_id",)), "series_id", "timestamp", "event_id")
 
 
 def hourly_cells(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import columns as C
-from tidemark.operators import events, generate, inject, label_rules, labels, metrics, reshape, runs, scoring, series
+from tidemark.operators import events, generate, inject, label_rules, labels, metrics, reshape, runs, scoring, selection, series
 from tidemark.plans import queries
 from tidemark.schema import BUFFERS
 from tidemark.sources import tables
@@ -425,3 +425,9 @@ def test_fault_variants_are_checked(spark):
 def test_unknown_share_is_counted_in_whole_rows(spark, n, share, first):
     made = label_rules.half_known(labelled(spark, [0] * n), share).where("label = 0").agg(F.min("row_idx")).first()[0]
     assert made == first
+
+
+def test_rows_of_plain_cells_are_not_calibrated(spark):
+    made = spark.createDataFrame([("a", 0, 0, 0.6, True), ("b", 0, 0, 0.6, False), ("b", 0, 1, 0.2, False)], "series_id string, row_idx long, channel int, p double, short boolean")
+    found = {r["series_id"]: r for r in events.decide(made, 0.5, bias=5.0, how="max", plain="short").collect()}
+    assert found["a"]["score"] == 0.6 and found["b"]["score"] > 0.9

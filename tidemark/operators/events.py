@@ -11,10 +11,12 @@ from . import runs
 from .labels import learned_from
 
 
-def decide(cells: DataFrame, threshold: float, level: str = "medium", how: str = "topk", k: int = 3, temperature: float = 1.0, bias: float = 0.0) -> DataFrame:
-    """``series_id, row_idx, score, anomaly`` from cell probabilities ``p``: row score, calibration, threshold (exclusive)."""
-    rows = cells.groupBy("series_id", "row_idx").agg(row_score(F.collect_list("p"), how, k).alias("raw"))  # bounded by the channels
-    score = calibrate("raw", temperature, bias)
+def decide(cells: DataFrame, threshold: float, level: str = "medium", how: str = "topk", k: int = 3, temperature: float = 1.0, bias: float = 0.0, plain: str | None = None) -> DataFrame:
+    """``series_id, row_idx, score, anomaly`` from cell probabilities ``p``: row score, calibration, threshold (exclusive). Rows whose
+    cells have ``plain`` set aren't calibrated."""
+    mark = F.lit(False) if plain is None else F.max(plain)
+    rows = cells.groupBy("series_id", "row_idx").agg(row_score(F.collect_list("p"), how, k).alias("raw"), mark.alias("plain_"))  # bounded by the channels
+    score = F.when(F.col("plain_"), F.col("raw")).otherwise(calibrate("raw", temperature, bias))
     return rows.select("series_id", "row_idx", score.alias("score")).withColumn("anomaly", (F.col("score") > sensitivity(threshold, level)).cast("int"))
 
 

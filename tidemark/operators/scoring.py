@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import calibrate, combine_scales, finite, robust_probability, sensitivity
 from ..schema import MAX_T, MIN_T
 from ..storage import written
-from . import reshape, series, windows
+from . import reshape, selection, series, windows
 from .events import decide, detected
 
 #: From cells, and rows known to be calm where there are some, to cells with ``p``.
@@ -28,7 +28,7 @@ Scorer = Callable[..., DataFrame]
 def robust_scorer(cells: DataFrame) -> DataFrame:
     """Robust z-scores of the whole channel as probabilities."""
     filled = written(series.fill(cells).drop("value").withColumnRenamed("filled", "value"), "filled")
-    return series.robust_normalize(filled).withColumn("p", robust_probability("z"))
+    return series.robust_normalize(selection.dealt(filled, series.KEYS)).withColumn("p", robust_probability("z"))
 
 
 def nearest(x: np.ndarray, m: int, exclude: int) -> np.ndarray:
@@ -268,7 +268,8 @@ class Detection:
 
     def frame(self, channels: list[int]) -> DataFrame:
         """The result by row: ``series_id, row_idx, timestamp``, the merged values ``ch_i``, ``score`` and ``anomaly``."""
-        wide = reshape.to_wide(self.values, ["series_id", "row_idx", "timestamp"], channels)
+        values = selection.dealt(self.values, ("series_id", "row_idx"), fine=True)
+        wide = reshape.to_wide(values, ["series_id", "row_idx", "timestamp"], channels)
         return wide.join(self.rows.select("series_id", "row_idx", "score", "anomaly"), ["series_id", "row_idx"])
 
 
@@ -290,8 +291,8 @@ def detect(
         raise ValueError(f"unknown times {times!r}")
     cells = cells if times == "seconds" else reshape.unix_times(cells)
     merged = reshape.merge_duplicates(cells).withColumn("label", F.lit(0))
-    merged = written(_with_size(written(merged, "merged")), "sized")
-    enough = merged.where("long_").drop("long_")
+    merged = written(_with_size(selection.dealt(written(merged, "merged"), ("series_id",))), "sized")
+    enough = selection.dealt(merged, series.KEYS).where("long_").drop("long_")
     scored = score_cells(enough, scorer, scales, combine, max_t, normal).withColumn("short_", F.lit(False))
     brief = written(merged.where("not long_").drop("long_"), "short-series")
     if not brief.isEmpty():
@@ -300,8 +301,7 @@ def detect(
         scored = scored.unionByName(short.select("series_id", "row_idx", "channel", F.coalesce("p", F.lit(0.0)).alias("p"), F.lit(True).alias("short_")))
     scored = written(scored, "scores")
     limit = sensitivity(threshold, level)
-    plain, calibrated = decide(scored.where("short_"), threshold, level, how, k), decide(scored.where("not short_"), threshold, level, how, k, temperature, bias)
-    rows = calibrated.unionByName(plain)
+    rows = decide(selection.dealt(scored, ("series_id", "row_idx"), fine=True), threshold, level, how, k, temperature, bias, plain="short_")
     kind = F.when(F.col("short_") & (F.col("p") > limit), 1).otherwise(0) if use_types else F.lit(0)
     p = scored.select("series_id", "row_idx", "channel", kind.alias("type"), F.when(F.col("short_"), F.col("p")).otherwise(calibrate("p", temperature, bias)).alias("p"))
     values = merged.select("series_id", "row_idx", "channel", "timestamp", "value")

@@ -427,6 +427,20 @@ def test_unknown_share_is_counted_in_whole_rows(spark, n, share, first):
     assert made == first
 
 
+def joined(df):
+    return "Join" in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_cold_channels_are_scaled_without_joins(spark, monkeypatch):
+    made = cells(spark, [1.0, 2.0, None, 9.0, 2.5, 2.0]).unionByName(cells(spark, [3.0] * 5, "b"))
+    cold = series.robust_normalize(made)
+    assert not joined(cold)
+    monkeypatch.setattr(selection, "HOT_ROWS", 3)
+    hot = series.robust_normalize(made)
+    key = lambda df: {(r["series_id"], r["row_idx"]): r["z"] for r in df.collect()}
+    assert joined(hot) and key(cold) == pytest.approx(key(hot))
+
+
 def test_rows_of_plain_cells_are_not_calibrated(spark):
     made = spark.createDataFrame([("a", 0, 0, 0.6, True), ("b", 0, 0, 0.6, False), ("b", 0, 1, 0.2, False)], "series_id string, row_idx long, channel int, p double, short boolean")
     found = {r["series_id"]: r for r in events.decide(made, 0.5, bias=5.0, how="max", plain="short").collect()}

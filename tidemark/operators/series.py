@@ -53,8 +53,17 @@ def centre_and_scale(cells: DataFrame, keys: tuple[str, ...] = KEYS, reference:
     Two aggregations with a join between them. The medians of channels too long for a task are selected by rank.
     """
     known = cells if reference is None else cells.where(reference)
+    return _scales(known, keys, selection.hot_keys(known, keys) is not None)
+
+
+def _scale() -> Column:
+    mad = F.col("mad") * 1.4826
+    return F.when(mad > 1e-8, mad).when(F.col("deviation") > 1e-8, F.col("deviation")).otherwise(1.0)
+
+
+def _scales(known: DataFrame, keys: tuple[str, ...], hot: bool) -> DataFrame:
     away = F.abs(F.col("value") - F.col("centre"))
-    if selection.hot_keys(known, keys) is None:
+    if not hot:
         centre = known.groupBy(*keys).agg(F.median("value").alias("centre"), F.stddev_pop("value").alias("deviation"))
         spread = known.join(centre, list(keys)).groupBy(*keys).agg(F.first("centre").alias("centre"), F.first("deviation").alias("deviation"), F.median(away).alias("mad"))
     else:
@@ -63,15 +72,23 @@ def centre_and_scale(cells: DataFrame, keys: tuple[str, ...] = KEYS, reference:
         mad = selection.medians(known.join(centre, list(keys)), keys, away, "mad")
         deviation = known.groupBy(*keys).agg(F.stddev_pop("value").alias("deviation"))
         spread = deviation.join(centre, list(keys), "left").join(mad, list(keys), "left")
-    mad = F.col("mad") * 1.4826
-    scale = F.when(mad > 1e-8, mad).when(F.col("deviation") > 1e-8, F.col("deviation")).otherwise(1.0)
-    return spread.select(*keys, "centre", scale.alias("scale"))
+    return spread.select(*keys, "centre", _scale().alias("scale"))
 
 
 def robust_normalize(cells: DataFrame, keys: tuple[str, ...] = KEYS, reference: Column | None = None, limit: float = 50.0) -> DataFrame:
-    """``cells`` with ``z``, the robustly scaled value within ``limit``."""
-    stats = centre_and_scale(cells, keys, reference)
-    return cells.join(stats, list(keys)).withColumn("z", clip((F.col("value") - F.col("centre")) / F.col("scale"), -limit, limit)).drop("centre", "scale")
+    """``cells`` with ``z``, the robustly scaled value within ``limit``.
+
+    Channels that fit a task, without a reference, take windows of one sort; else the scales are aggregated and joined.
+    """
+    z = clip((F.col("value") - F.col("centre")) / F.col("scale"), -limit, limit)
+    if reference is not None:
+        return cells.join(centre_and_scale(cells, keys, reference), list(keys)).withColumn("z", z).drop("centre", "scale")
+    if selection.hot_keys(cells, keys) is not None:
+        return cells.join(_scales(cells, keys, True), list(keys)).withColumn("z", z).drop("centre", "scale")
+    own = Window.partitionBy(*keys)
+    centred = cells.withColumns({"centre": F.median("value").over(own), "deviation": F.stddev_pop("value").over(own)})
+    spread = centred.withColumn("mad", F.median(F.abs(F.col("value") - F.col("centre"))).over(own)).withColumn("scale", _scale())
+    return spread.withColumn("z", z).drop("centre", "deviation", "mad", "scale")
 
 
 def difference(cells: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
@@ -116,9 +133,10 @@ def blend(scores: DataFrame, keys: tuple[str, ...] = ("series_id", "row_idx")) -
 
 
 def short_scores(cells: DataFrame, least: int) -> DataFrame:
-    """Cell probabilities ``p`` by robust z-scores of the series with fewer than ``least`` rows."""
+    """Cell probabilities ``p`` by robust z-scores of the series with fewer than ``least`` rows, which are written and dealt anew."""
     short = cells.groupBy("series_id").agg((F.max("row_idx") + 1).alias("n")).where(F.col("n") < least).select("series_id")
-    return robust_normalize(cells.join(short, "series_id", "left_semi")).withColumn("p", robust_probability("z"))
+    brief = selection.dealt(written(cells.join(short, "series_id", "left_semi"), "short-series"), ("series_id",))
+    return robust_normalize(brief).withColumn("p", robust_probability("z"))
 
 
 def snapshot(cells: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:

@@ -441,6 +441,13 @@ def test_cold_channels_are_scaled_without_joins(spark, monkeypatch):
     assert joined(hot) and key(cold) == pytest.approx(key(hot))
 
 
+def test_range_precision_takes_scores_once(spark):
+    made = labelled(spark, [0, 1, 0, 0]).unionByName(labelled(spark, [1, 1], "b")).unionByName(labelled(spark, [0, -1], "c"))
+    found = metrics.range_precision(made.withColumn("score", F.col("row_idx") / 4), (0, 1))
+    assert not joined(found)
+    assert [r["series_id"] for r in found.collect()] == ["a"]
+
+
 def test_rows_of_plain_cells_are_not_calibrated(spark):
     made = spark.createDataFrame([("a", 0, 0, 0.6, True), ("b", 0, 0, 0.6, False), ("b", 0, 1, 0.2, False)], "series_id string, row_idx long, channel int, p double, short boolean")
     found = {r["series_id"]: r for r in events.decide(made, 0.5, bias=5.0, how="max", plain="short").collect()}

@@ -61,8 +61,9 @@ def _widened(scores: DataFrame, buffers: tuple[int, ...]) -> DataFrame:
 
 def range_precision(scores: DataFrame, buffers: tuple[int, ...] = BUFFERS) -> DataFrame:
     """``vus_pr``: mean average precision over labels widened by each of ``buffers`` known rows on either side."""
-    both = scores.where("label >= 0").groupBy("series_id").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("series_id")
-    return _widened(scores, buffers).groupBy("series_id").agg(F.avg("average_precision").alias("vus_pr")).join(both, "series_id", "left_semi")
+    own = Window.partitionBy("series_id")
+    both = scores.where("label >= 0").withColumns({"low_": F.min("label").over(own), "high_": F.max("label").over(own)}).where("low_ < high_")
+    return _widened(both, buffers).groupBy("series_id").agg(F.avg("average_precision").alias("vus_pr"))
 
 
 def row_metrics(scores: DataFrame, buffers: tuple[int, ...] = BUFFERS) -> DataFrame:
